@@ -70,6 +70,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    if len(x) == 0:
+        return x
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads each bit of 64 over all others."""
     x = x ^ (x >> np.uint64(31))

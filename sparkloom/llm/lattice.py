@@ -87,9 +87,11 @@ class Pieces:
 
     def spelled(self, x: np.ndarray) -> np.ndarray:
         """Log probability of each character as bytes."""
-        values, back = np.unique(x, return_inverse=True)
-        own = np.array([self.logp[self.byte[list(chr(int(v)).encode("utf-8", "surrogatepass"))]].sum() for v in values])
-        return own[back].reshape(x.shape)
+        x = x.astype(np.int64)
+        table = np.zeros(int(x.max()) + 1)
+        for v in np.flatnonzero(np.bincount(x.reshape(-1))).tolist():
+            table[v] = self.logp[self.byte[list(chr(v).encode("utf-8", "surrogatepass"))]].sum()
+        return table[x]
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray], np.ndarray]:
         """(log probability of each prefix, lattice, weights of its edges, weights of spelled characters)."""
@@ -128,9 +130,9 @@ class Pieces:
             use = np.exp((alpha[:, : size - n + 1] + w + beta[:, n:] + lead).reshape(-1)[at])
             total[: len(self.names)] += np.bincount(pieces[n].reshape(-1)[at], weights=use, minlength=len(self.names))
         use = np.exp(alpha[:, :-1] + spelled + beta[:, 1:] + lead)
-        values, back = np.unique(x, return_inverse=True)
-        for v, n in zip(values, np.bincount(back.reshape(-1), weights=use.reshape(-1))):
-            np.add.at(total, self.byte[list(chr(int(v)).encode("utf-8", "surrogatepass"))], n)
+        by_character = np.bincount(x.astype(np.int64).reshape(-1), weights=use.reshape(-1))
+        for v in np.flatnonzero(by_character).tolist():
+            np.add.at(total, self.byte[list(chr(v).encode("utf-8", "surrogatepass"))], by_character[v])
 
 
 def grids(words: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:

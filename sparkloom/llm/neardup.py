@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, mix, prefix_hash, span_hash, staged, text_slices, word_spans
+from .common import as_bytes, components, distinct, mix, prefix_hash, span_hash, staged, text_slices, word_spans
 
 VALUES, ORDERS, DEPTH, LEAST = 64, 32, 8, 4
 FIRST_ORDERS, NEIGHBOURS = 6, 4
@@ -58,7 +58,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= words:
-            out.append(np.unique(shingle[a : b - words + 1]))
+            out.append(distinct(shingle[a : b - words + 1]))
         elif b > a:
             out.append(mix((word[a:b] * factors[: b - a]).sum(dtype=np.uint64)[None] + np.uint64(b - a)))
         else:

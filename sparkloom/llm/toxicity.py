@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, mix, staged, text_slices
+from .common import as_bytes, distinct, staged, text_slices
 
 SIZES = (3, 4, 5, 6)
 BITS = 19
 BUCKETS = 1 << BITS
-KEEP = 6_000
-SAMPLE_ROWS = 16_000
+KEEP = 3_000
+SAMPLE_ROWS = 8_000
 
 
 @dataclass
@@ -64,7 +64,7 @@ def present(texts: list[bytes], feature: np.ndarray) -> tuple[np.ndarray, np.nda
         f = feature[bucket]
         at = np.flatnonzero(f >= 0)
         found.append(doc[at].astype(np.int64) << 32 | f[at])
-    pair = np.unique(np.concatenate(found))
+    pair = distinct(np.concatenate(found))
     return (pair >> 32).astype(np.int64), (pair & 0xFFFFFFFF).astype(np.int64)
 
 
@@ -76,7 +76,7 @@ def document_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 1 << 18):
                 label = part.column("toxic").to_numpy()
                 doc, bucket = present(as_bytes(part.column("text")), everything)
                 for y in (0, 1):
@@ -92,7 +92,7 @@ def document_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int
     return out[0, :BUCKETS], out[1, :BUCKETS], int(out[0, BUCKETS]), int(out[1, BUCKETS])
 
 
-def fit_logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 250) -> tuple[np.ndarray, float]:
+def fit_logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and intercept of L2-regularised logistic regression on sparse rows whose values are ``scale[col]`` (Adam, full batch)."""
     n, k, value = len(y), len(scale), scale[col]
     w = np.zeros(k + 1)
@@ -121,8 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return ToxicityModel(feature, np.zeros(0), float(np.log(share / (1 - share))))
     p, q = toxic + 0.5, other + 0.5
     r = np.log(p / (n1 + 1)) - np.log(q / (n0 + 1))
-    strength = np.abs(r) * np.sqrt(np.minimum(p * (n0 + n1) / n1, q * (n0 + n1) / n0) + np.abs(p - (other + toxic) * n1 / (n0 + n1)))
-    at = np.sort(np.argsort(-np.where(other + toxic >= 3, strength, 0), kind="stable")[:KEEP])
+    # Evidence is the chi-square of presence against the label.
+    seen, both = (other + toxic).astype(float), float(n0 + n1)
+    strength = (toxic * (n0 - other.astype(float)) - other * (n1 - toxic.astype(float))) ** 2 * both / ((seen + 1) * (both - seen + 1) * n0 * n1)
+    at = np.sort(np.argsort(-np.where(seen >= 3, strength, 0), kind="stable")[:KEEP])
     feature[at] = np.arange(len(at))
     lookup = feature
 
