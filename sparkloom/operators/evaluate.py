@@ -31,10 +31,11 @@ def profile_summary(rows: DataFrame) -> DataFrame:
 
 
 def pareto(profiles: DataFrame) -> DataFrame:
-    """Profiles (name, quality, cost) that no other beats in one and equals in the other: by one sorted pass, not by pairs."""
-    before = Window.orderBy("cost").rangeBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("cost")
-    return profiles.withColumns({"_less": F.max("quality").over(before), "_same": F.max("quality").over(same)}).where((F.col("_less").isNull() | (F.col("quality") > F.col("_less"))) & (F.col("quality") == F.col("_same"))).drop("_less", "_same")
+    """Profiles (name, quality, cost) that no other beats in one and equals in the other: by a running maximum over costs, not by pairs."""
+    best = profiles.groupBy("cost").agg(F.max("quality").alias("quality"))
+    cheaper = F.max("quality").over(Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
+    front = best.withColumn("_less", cheaper).where("_less is null or quality > _less").drop("_less")
+    return profiles.join(front, ["quality", "cost"], "left_semi")
 
 
 def recommended(profiles: DataFrame, baseline: str, slo_ms: int) -> DataFrame:

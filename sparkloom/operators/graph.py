@@ -75,11 +75,9 @@ def fans(edges: DataFrame) -> DataFrame:
 def layers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(module, fan_in, fan_out, layer) of the module graph."""
     between = module_graph(edges, symbols, least=1)
-    found = fans(between.select(F.col("from_module").alias("src"), F.col("to_module").alias("dst"), "calls").select("src", "dst", "calls").withColumn("n", F.col("calls")).select("src", "dst"))
     total_in = between.groupBy(F.col("to_module").alias("module")).agg(F.sum("calls").alias("fan_in"))
     total_out = between.groupBy(F.col("from_module").alias("module")).agg(F.sum("calls").alias("fan_out"))
     both = total_in.join(total_out, "module", "full_outer").select("module", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
-    del found
     return both.withColumn("layer", M.layer(F.col("module"), F.col("fan_in"), F.col("fan_out")))
 
 
