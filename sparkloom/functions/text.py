@@ -78,7 +78,7 @@ def token_estimate(text: Column) -> Column:
 def preview(text: Column, terms: Column, radius: int = 60) -> Column:
     """Key word in context: ``radius`` characters around the first occurrence of the first term that occurs; else the text's head."""
     low = F.lower(text)
-    places = F.filter(F.transform(terms, lambda t: F.locate(t, low) if isinstance(t, str) else F.instr(low, t)), lambda p: p > 0)
+    places = F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)
     first = F.coalesce(F.array_min(places), F.lit(1))
     start = F.greatest(F.lit(1), first - radius)
     return F.substring(text, start, F.lit(2 * radius))

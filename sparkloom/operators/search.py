@@ -35,14 +35,10 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame) -> Dat
 
 def phrase_hits(docs: DataFrame, id_col: str, text_col: str, phrase: str) -> DataFrame:
     """(id, hits): how often the words of ``phrase`` stand one after the other."""
-    words = [w for w in phrase.lower().split() if w]
-    at = T.tokens(F.col(text_col))
-    hit = lambda i: F.forall(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(words))), lambda x: F.element_at(F.col("terms"), (i + x["k"]).cast("int")) == x["w"])
-    rows = docs.select(F.col(id_col).alias("id"), at.alias("terms")).where(F.size("terms") >= len(words))
-    for w in set(words):
-        rows = rows.where(F.array_contains("terms", w))
-    starts = F.filter(F.sequence(F.lit(1), F.size("terms") - len(words) + 1), hit)
-    return rows.select("id", F.size(starts).cast("long").alias("hits")).where("hits > 0")
+    words = " ".join(w for w in phrase.lower().split() if w.isalnum())
+    joined = F.concat(F.lit(" "), F.array_join(T.tokens(F.col(text_col)), " "), F.lit(" "))
+    # A look-ahead counts places, so phrases that share a word count apart.
+    return docs.select(F.col(id_col).alias("id"), F.regexp_count(joined, F.lit(f"(?= {words} )")).cast("long").alias("hits")).where("hits > 0")
 
 
 def fuzzy_names(symbols: DataFrame, name: str) -> DataFrame:
@@ -180,7 +176,9 @@ def gate(hits: DataFrame, rrf_score: Column, dual: Column, least_prob: float = 0
 def hash_embedding(text: Column, dims: int = 32) -> Column:
     """Deterministic stand-in for a dense model: counts of tokens by hash bucket; cosine needs no unit length."""
     bucket = F.transform(T.tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
+    # The buckets are bound as a lambda's variable, so they are computed once for each text.
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))
+    return F.element_at(F.transform(F.array(bucket), counts), 1)
 
 
 def hybrid_search(docs: DataFrame, id_col: str, text_col: str, group_col: str, query: str, limit: int = 20, pool: int = 500, per_group: int = 1) -> DataFrame:
