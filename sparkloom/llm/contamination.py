@@ -138,8 +138,8 @@ class ItemIndex:
                     own.append(head + row.tobytes())
         return out
 
-    def windows(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of windows: places whose diagonal holds enough of an item's strings."""
+    def windows(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of windows: places whose diagonal, within one text, holds enough of an item's strings; ``bounds``: where texts start."""
         none = np.empty(0, np.int64), np.empty(0, np.int64)
         x = grams(data)
         at = np.flatnonzero(self.table[(x * _SPREAD) >> np.uint64(64 - TABLE_BITS)]) if len(x) else none[0]
@@ -152,10 +152,13 @@ class ItemIndex:
         item = self.item[entry]
         diagonal = np.repeat(at, n) - self.place[entry] + 2**20
         width = 32
-        key = item.astype(np.int64) << 40 | diagonal
+        text = np.repeat(np.searchsorted(bounds, at, "right"), n)
+        pairs, pair = np.unique(item.astype(np.int64) << 32 | text, return_inverse=True)
+        key = pair.astype(np.int64) << 36 | diagonal
         key.sort()
-        item, diagonal = key >> 40, key & ((1 << 40) - 1)
-        group = item << 40 | diagonal // width
+        pair, diagonal = key >> 36, key & ((1 << 36) - 1)
+        item = pairs[pair] >> 32
+        group = pair << 36 | diagonal // width
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         count = np.diff(np.append(first, len(group)))
         name = group[first]
@@ -181,7 +184,7 @@ class ItemIndex:
         joined = b"\xff".join(map(normal, texts))
         data = np.frombuffer(joined, np.uint8)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        start, item = self.windows(data)
+        start, item = self.windows(data, bounds)
         middle = start + np.array([len(self.items[k][1]) // 2 for k in item], np.int64)
         text = np.searchsorted(bounds, middle, "right") - 1
         places: dict[tuple[int, int], list[tuple[int, int]]] = {}

@@ -253,6 +253,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     some = staged(segment_bytes(docs, sorted_, length).join(kinds.select("anchor", "content", "kinds"), ["anchor", "content"]), "suffix-bytes")
     runs = shared_starts(some.where(F.col("kinds") <= GIANT), length).unionByName(counted_starts(some.where(F.col("kinds") > GIANT), length))
     runs = kinds.select("anchor", "content", "n").join(staged(runs, "suffix-runs"), ["anchor", "content"], "left").where("n > 1 or runs is not null")
+    # Written, so that the next join reads both sides by fresh exchanges, which can be split where a segment is very common.
+    runs = staged(runs, "suffix-repeated")
     back = found.join(runs, ["anchor", "content"])
     full = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     starts = F.when(F.col("n") > 1, full).otherwise(F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))))
