@@ -99,14 +99,14 @@ class ItemIndex:
         gram = np.concatenate(found) if found else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(found)), [len(g) for g in found])
         place = np.concatenate([np.arange(len(g)) for g in found]) if found else item
-        # Common strings place no windows, unless they are all that an item has.
+        # Common strings place no windows, unless they are most of what an item has.
         texts = {t: k for k, (_, t) in enumerate(self.items)}
         kind = np.array([texts[t] for _, t in self.items], np.int64)[item] if found else item
         pair = np.unique(np.stack([gram, kind.astype(np.uint64)], axis=1), axis=0) if len(gram) else np.empty((0, 2), np.uint64)
         own, count = np.unique(pair[:, 0], return_counts=True)
         rare = count[np.searchsorted(own, gram)] <= COMMON if len(gram) else np.empty(0, bool)
         has = np.bincount(item[rare], minlength=len(found))
-        rare |= (has < 8)[item] if len(gram) else rare
+        rare |= (has < np.maximum(8, np.bincount(item, minlength=len(found)) // 3))[item] if len(gram) else rare
         gram, self.item, self.place = gram[rare], item[rare], place[rare]
         order = np.argsort(gram, kind="stable")
         self.gram, self.item, self.place = gram[order], self.item[order], self.place[order]
