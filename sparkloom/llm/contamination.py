@@ -25,8 +25,8 @@ GRAM = 8
 SHARE = 0.1
 #: A string that more items than these have places no window.
 COMMON = 4
-#: Independent walks, tables for each and positions sampled by a table: at a share of agreeing positions of 0.75, a pair is missed with probability (1 - 0.75**4) ** 36, below 1e-5.
-WALKS, TABLES, SAMPLED = 3, 12, 4
+#: Independent walks, tables for each and positions sampled by a table: where only a quarter of the positions agree, a pair is missed with probability (1 - 0.25**2) ** 144, below 0.0001.
+WALKS, TABLES, SAMPLED = 6, 24, 2
 BLOCK_BYTES = 16 << 20
 _NORMAL = bytes(0x20 if b in (0x20, *range(0x09, 0x0E)) else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,19 +44,23 @@ def grams(data: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)) if n else np.empty(0, np.uint64)
 
 
-def cgk(texts: list[bytes], seed: int, steps: int) -> np.ndarray:
-    """CGK embedding: each step copies the byte under the pointer, and a random bit for (step, byte) moves the pointer on."""
-    move = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
-    width = steps + 1
-    grid = np.zeros((len(texts), width), np.uint8)
+def walk_bits(seed: int, steps: int) -> np.ndarray:
+    """The random walk: a bit for each step and byte."""
+    return np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
+
+
+def cgk(texts: list[bytes], move: np.ndarray) -> np.ndarray:
+    """CGK embedding: each step copies the byte under the pointer, and the walk's bit for (step, byte) moves the pointer on."""
+    steps = len(move)
+    grid = np.zeros((len(texts), steps + 1), np.uint8)
     for row, t in zip(grid, texts):
-        row[: len(t)] = np.frombuffer(t[:width], np.uint8)
-    out = np.empty((len(texts), steps), np.uint8)
-    at, rows = np.zeros(len(texts), np.int64), np.arange(len(texts))
+        row[: len(t)] = np.frombuffer(t[: steps + 1], np.uint8)
+    out = np.empty((steps, len(texts)), np.uint8)
+    flat, at = grid.reshape(-1), np.arange(len(texts)) * (steps + 1)
     for j in range(steps):
-        c = grid[rows, at]
-        out[:, j] = c
-        at += move[j, c]
+        c = flat[at]
+        out[j] = c
+        at += move[j][c]
     return out
 
 
@@ -111,48 +115,74 @@ class ItemIndex:
         order = np.argsort(gram, kind="stable")
         self.gram, self.item, self.place = gram[order], self.item[order], self.place[order]
         total = np.bincount(self.item, minlength=len(found))
-        #: Votes on a diagonal that place a window: far fewer than those that random edits of the allowed number leave.
-        self.votes = np.maximum(1, np.minimum(total // 12, 12))
+        #: Votes on a diagonal that place a window: an edit spoils GRAM strings at most, so a tenth of edits leaves about a fifth.
+        self.votes = np.maximum(1, total // 6)
+        self.own, self.first, self.count = np.unique(self.gram, return_index=True, return_counts=True)
+        slot = (self.own * _SPREAD) >> np.uint64(64 - TABLE_BITS)
         self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[(self.gram * _SPREAD) >> np.uint64(64 - TABLE_BITS)] = True
+        self.table[slot] = True
+        #: A string's number by its slot; where strings share a slot, one of them, and ``mixed`` says so.
+        self.number = np.zeros(1 << TABLE_BITS, np.int32)
+        self.number[slot] = np.arange(len(slot))
+        self.mixed = np.bincount(slot.astype(np.int64), minlength=1 << TABLE_BITS) > 1
         self.buckets: dict[bytes, list[int]] = {}
-        lengths = sorted({len(t) for _, t in self.items})
-        for n in lengths:
-            own = [k for k, (_, t) in enumerate(self.items) if len(t) == n]
-            for k, keys in zip(own, self.keys([self.items[k][1] for k in own], n)):
+        #: All walks have as many steps as the longest item needs, so items and windows walk alike.
+        self.steps = 2 * max([1, *(len(t) for _, t in self.items)])
+        self.walks = [walk_bits(7_000 + w, self.steps) for w in range(WALKS)]
+        texts = [t for _, t in self.items]
+        for at in range(0, len(texts), 1024):
+            part = texts[at : at + 1024]
+            for k, keys in enumerate(self.keys(part, list(map(len, part))), at):
                 for key in keys:
                     self.buckets.setdefault(key, []).append(k)
 
-    @staticmethod
-    def keys(texts: list[bytes], length: int) -> list[list[bytes]]:
-        """LSH keys of windows of ``length`` bytes: walk, table, length and the bytes at sampled places."""
-        steps = 2 * length
+    def keys(self, texts: list[bytes], lengths: list[int]) -> list[list[bytes]]:
+        """LSH keys of windows for items of ``lengths``: walk, table, length and the bytes at sampled places within 2 * length steps."""
         out: list[list[bytes]] = [[] for _ in texts]
-        for walk in range(WALKS):
-            embedded = cgk(texts, 7_000 + walk, steps)
-            places = np.random.default_rng(walk * 1_000_003 + length).integers(0, steps, (TABLES, SAMPLED))
+        sizes = np.array(lengths)
+        for walk, move in enumerate(self.walks):
+            if not texts:
+                break
+            embedded = cgk(texts, move)
+            share = np.random.default_rng(walk).random((TABLES, SAMPLED))
             for table in range(TABLES):
-                head = b"%d:%d:%d:" % (walk, table, length)
-                sampled = np.ascontiguousarray(embedded[:, places[table]])
-                for own, row in zip(out, sampled):
-                    own.append(head + row.tobytes())
+                places = (share[table][:, None] * 2 * sizes).astype(np.int64)
+                sampled = np.ascontiguousarray(embedded[places, np.arange(len(texts))].T)
+                for own, row, n in zip(out, sampled, lengths):
+                    own.append(b"%d:%d:%d:" % (walk, table, n) + row.tobytes())
         return out
 
     def windows(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) of windows: places whose diagonal, within one text, holds enough of an item's strings; ``bounds``: where texts start."""
         none = np.empty(0, np.int64), np.empty(0, np.int64)
         x = grams(data)
-        at = np.flatnonzero(self.table[(x * _SPREAD) >> np.uint64(64 - TABLE_BITS)]) if len(x) else none[0]
+        slot = ((x * _SPREAD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        at = np.flatnonzero(self.table[slot])
         if len(at) == 0:
             return none
-        lo, hi = np.searchsorted(self.gram, x[at], "left"), np.searchsorted(self.gram, x[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        own, slot = x[at], slot[at]
+        k = self.number[slot]
+        other = np.flatnonzero((self.own[k] != own) & self.mixed[slot])
+        k[other] = np.minimum(np.searchsorted(self.own, own[other]), len(self.own) - 1)
+        same = self.own[k] == own
+        at, k = at[same], k[same]
+        if len(at) == 0:
+            return none
+        n = self.count[k]
+        entry = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item = self.item[entry]
         diagonal = np.repeat(at, n) - self.place[entry] + 2**20
-        width = 32
         text = np.repeat(np.searchsorted(bounds, at, "right"), n)
+        # Votes are first counted by hash in two overlapping bucketings: what lies within 32 places shares a bucket of one
+        # of them, and equal hashes only add. Most votes stand alone and go.
+        width, need = 32, self.votes[item]
+        keep = np.zeros(len(item), bool)
+        for shift in (0, width):
+            h = (((item * 1_000_003 + text) * 4_000_037 + (diagonal + shift) // (2 * width)).astype(np.uint64) * _SPREAD >> np.uint64(44)).astype(np.int64)
+            keep |= np.bincount(h, minlength=1 << 20)[h] >= need
+        item, diagonal, text = item[keep], diagonal[keep], text[keep]
+        if len(item) == 0:
+            return none
         pairs, pair = np.unique(item.astype(np.int64) << 32 | text, return_inverse=True)
         key = pair.astype(np.int64) << 36 | diagonal
         key.sort()
@@ -193,24 +223,23 @@ class ItemIndex:
                 a = min(max(s, int(bounds[t])), int(bounds[t + 1]) - 1)
                 places.setdefault((len(self.items[k][1]), t), []).append((a, s))
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for (n, t), own in places.items():
-            by_length.setdefault(n, []).extend((t, a) for a, _ in set(own))
-        for n, own in by_length.items():
-            cut = [joined[a : min(a + n, int(bounds[t + 1]) - 1)] for t, a in own]
-            for (t, a), keys in zip(own, self.keys(cut, n)):
+        own = [(n, t, a) for (n, t), starts in places.items() for a in {a for a, _ in starts}]
+        for i in range(0, len(own), 1024):
+            part = own[i : i + 1024]
+            cut = [joined[a : min(a + n, int(bounds[t + 1]) - 1)] for n, t, a in part]
+            for (n, t, a), keys in zip(part, self.keys(cut, [n for n, _, _ in part])):
                 for k in {k for key in keys for k in self.buckets.get(key, ())}:
                     allowed, pattern = self.allowed[k], self.items[k][1]
                     lo = max(int(bounds[t]), a - 2 * allowed - 32)
-                    part = joined[lo : min(a + n + 2 * allowed + 64, int(bounds[t + 1]) - 1)]
-                    at = part.find(pattern)
+                    near = joined[lo : min(a + n + 2 * allowed + 64, int(bounds[t + 1]) - 1)]
+                    at = near.find(pattern)
                     if at >= 0:
                         hit = (0, lo + at, lo + at + n)
                     else:
-                        distance, end = best_match(pattern, part)
+                        distance, end = best_match(pattern, near)
                         if distance > allowed:
                             continue
-                        back = best_match(pattern[::-1], part[:end][::-1])[1]
+                        back = best_match(pattern[::-1], near[:end][::-1])[1]
                         hit = (distance, lo + end - back, lo + end)
                     hit = (hit[0], hit[1] - int(bounds[t]), hit[2] - int(bounds[t]))
                     found[t][k] = min(hit, found[t].get(k, hit))
