@@ -7,6 +7,12 @@ one end. No piece crosses a word's start, so the sum over all segmentations of a
 of its words: a forward recursion in log space over the lattice of each distinct word gives its probability, and
 counts of words do the rest. Characters without a piece are spelled as byte pieces, so every text has a probability.
 
+The lattice of a word has one more edge, the whole word, whose weight is the word's count in the training texts; the
+pieces share what is left. With c the count, L the sum over the pieces' segmentations, N all tokens and V the distinct
+ones, the forward recursion ends in (c + (V + 1) * L) / (N + V + 1). As L sums to 1 at most over all words, so does this.
+The pieces thus spell what counts don't know, and are estimated on distinct words, each once. What is learned grows
+with the corpus: a weight for each distinct word besides those of the pieces.
+
 Words are counted over all texts. The most frequent words, at most FREQUENT of them, are sent to every worker;
 all others are joined. Null and empty texts are the end alone. Repeated rows each get their score; ids may be null
 (then they are training rows). Without training texts all pieces keep their starting probabilities.
@@ -190,8 +196,8 @@ def count_words(docs: DataFrame, held: Column) -> DataFrame:
     return rows.repartition(parts, "word").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def estimate(words: DataFrame, names: list[str], ends: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces after ``rounds`` rounds of expectation-maximisation over the training words."""
+def estimate(words: DataFrame, names: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces after ``rounds`` rounds of expectation-maximisation over the distinct training words."""
     spark = words.sparkSession
     model = Pieces(names)
     train = words.where("c > 0")
@@ -202,9 +208,8 @@ def estimate(words: DataFrame, names: list[str], ends: int, rounds: int = ROUNDS
             own = Pieces(*sent.value)
             total = np.zeros(len(own.names))
             for batch in batches:
-                count = batch.column("c").to_numpy().astype(float)
                 for part, x in grids(batch.column("word").to_pylist()):
-                    own.expected(x, count[part], total)
+                    own.expected(x, np.ones(len(part)), total)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
 
@@ -214,21 +219,26 @@ def estimate(words: DataFrame, names: list[str], ends: int, rounds: int = ROUNDS
             break
         n = np.full(len(names), 0.01)
         n[found.column("piece").to_numpy()] += found.column("n").to_numpy()
-        n[-1] += ends
         model.logp = np.log(n / n.sum())
     return model.logp
 
 
-def score_words(words: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
-    """``words`` with lp, the log10 probability of each word."""
+def with_whole(count: np.ndarray, spelled: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """Log probability of tokens whose lattices have a whole-token edge of weight ``count`` besides segmentations that sum to exp(``spelled``)."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(count), np.log(kinds + 1) + spelled) - np.log(total + kinds + 1)
+
+
+def score_words(words: DataFrame, names: list[str], logp: np.ndarray, total: int, kinds: int) -> DataFrame:
+    """``words`` with lp, the log10 probability of each word; ``total`` training tokens of ``kinds`` different ones."""
     sent = words.sparkSession.sparkContext.broadcast((names, logp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(*sent.value)
         for batch in batches:
-            out = np.empty(batch.num_rows)
+            out, count = np.empty(batch.num_rows), batch.column("c").to_numpy().astype(float)
             for part, x in grids(batch.column("word").to_pylist()):
-                out[part] = own.forward(x)[0][:, -1] / np.log(10)
+                out[part] = with_whole(count[part], own.forward(x)[0][:, -1], total, kinds) / np.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(out)], ["word", "c", "lp"])
 
     return words.mapInArrow(run, "word binary, c long, lp double")
@@ -260,14 +270,14 @@ def score_documents(docs: DataFrame, vocabulary_path: str, held: Column, rounds:
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     bottom = float(np.log10(total + 0.1 * (distinct + 1)))
-    logp = estimate(words, names, ends, rounds)
-    rated = staged(score_words(words, names, logp), "lattice-rated")
+    logp = estimate(words, names, rounds)
+    rated = staged(score_words(words, names, logp, total, distinct), "lattice-rated")
     floor = frequent_floor(words)
     top = rated.where(F.col("c") >= floor).toArrow()  # FREQUENT rows at most
     known = top.column("word").to_pylist()
     base = np.log10(top.column("c").to_numpy() + 0.1) - bottom
     sent = spark.sparkContext.broadcast((known, base, top.column("lp").to_numpy()))
-    end_base, end_lp = float(np.log10(ends + 0.1) - bottom), float(logp[-1] / np.log(10))
+    end_base, end_lp = float(np.log10(ends + 0.1) - bottom), float(with_whole(np.array(float(ends)), logp[-1], total, distinct) / np.log(10))
     key = new_key()
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
