@@ -8,6 +8,8 @@ row's neighbours are those with the longest common prefix. How deep a prefix dec
 crowded the region is. Neighbours whose signatures agree enough are candidates; full sets confirm them:
 100 * intersection >= THRESHOLD * union. A first round links nearest neighbours of a few orders; a second
 takes NEIGHBOURS neighbours in all orders, for pairs that the first left apart. Links give components.
+Where a region holds more rows than that and they are in several components, an exact join on the rarest
+shingles of their full sets decides the pairs that no order looked at, so crowded regions lose no link.
 
 Rows without words (null, empty or blank texts) have an empty set and are linked with nothing. Rows with
 equal doc_id are one document. Rows with a null doc_id are not linked: their component_id is null and they
@@ -21,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, components, distinct, mix, prefix_hash, span_hash, staged, text_slices, word_spans
@@ -126,12 +129,76 @@ def forest(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "region long, rest binary, place int, node long")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+ROW = "kind int, region long, node long, other long, place int, task int, at long"
+PAIR, CROWDED, EDGE = range(3)
+
+
+def _beside(region: np.ndarray, node: np.ndarray, place: np.ndarray, task: np.ndarray, at: np.ndarray, known: int, across: bool) -> pa.RecordBatch:
+    """Rows of ROW for sorted rows, those from ``known`` on being new: neighbours in a region, and rows whose regions go on beyond NEIGHBOURS.
+
+    ``across``: only what lies in different tasks.
+    """
+    out = []
+    for k in range(1, NEIGHBOURS + 2):
+        i = np.flatnonzero(region[k:] == region[:-k]) if len(region) > k else np.empty(0, np.int64)
+        i = i[i + k >= known]
+        if across:
+            i = i[task[i] != task[i + k]]
+        if k <= NEIGHBOURS:
+            out.append((np.full(len(i), PAIR), region[i], node[i], node[i + k], np.where(k == 1, place[i], ORDERS), task[i], at[i]))
+        else:
+            out += [(np.full(len(i), CROWDED), region[j], node[j], node[j], place[j], task[j], at[j]) for j in (i, i + k)]
+    return _rows(*(np.concatenate(x) for x in zip(*out)))
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in ROW.split(", ")])
+
+
+def neighbours(nodes: DataFrame) -> DataFrame:
+    """Rows of ROW: neighbours (PAIR; place is ORDERS unless they are next to each other) and rows whose regions hold more (CROWDED).
+
+    All orders are sorted as one, by ranges, so a region of any size is dealt over as many tasks as it needs. Each
+    task hands on its first and last rows (EDGE), which are linked across tasks after that: a few rows for each task.
+    """
+    reach = NEIGHBOURS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = TaskContext.get().partitionId(), 0
+        tail = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            rows = [np.concatenate([t, batch.column(c).to_numpy().astype(np.int64)]) for t, c in zip(tail, ("region", "node", "place"))]
+            known, n = len(tail[0]), len(rows[0])
+            index = np.arange(at - known, at - known + n)
+            yield _beside(*rows, np.full(n, own), index, known, False)
+            head = (index < reach) & (index >= at)
+            yield _rows(np.full(head.sum(), EDGE), rows[0][head], rows[1][head], rows[1][head], rows[2][head], np.full(head.sum(), own), index[head])
+            at += n - known
+            tail = [x[-reach:] for x in rows]
+        index = np.arange(at - len(tail[0]), at)
+        last = index >= reach
+        yield _rows(np.full(last.sum(), EDGE), tail[0][last], tail[1][last], tail[1][last], tail[2][last], np.full(last.sum(), own), index[last])
+
+    def run_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.empty(0, np.int64)] * 5
+        for batch in batches:
+            rows = [np.concatenate([t, batch.column(c).to_numpy().astype(np.int64)]) for t, c in zip(tail, ("region", "node", "place", "task", "at"))]
+            yield _beside(*rows, len(tail[0]), True)
+            tail = [x[-reach:] for x in rows]
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["region", "rest", "node"]
+    dealt = forest(nodes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    inner = staged(dealt.select("region", "node", "place").mapInArrow(run, ROW), "neardup-neighbours")
+    edges = inner.where(F.col("kind") == EDGE).coalesce(1).sortWithinPartitions("task", "at").mapInArrow(run_edges, ROW)
+    return inner.where(F.col("kind") != EDGE).unionByName(edges)
+
+
+def candidates(near: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, first): neighbours in some order whose signatures agree in ESTIMATE of their values; ``first``: in the first round."""
-    order = Window.partitionBy("region").orderBy("rest", "node")
-    near = forest(nodes).select("node", "place", *(F.lead("node", k).over(order).alias(f"n{k}") for k in range(1, NEIGHBOURS + 1)))
-    pairs = near.select("node", "place", F.posexplode(F.array(*(f"n{k}" for k in range(1, NEIGHBOURS + 1)))).alias("step", "other")).where("other is not null and other <> node")
-    pairs = pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max((F.col("step") == 0) & (F.col("place") < FIRST_ORDERS)).alias("first"))
+    pairs = near.where((F.col("kind") == PAIR) & (F.col("node") != F.col("other")))
+    pairs = pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max(F.col("place") < FIRST_ORDERS).alias("first"))
     sig = nodes.select("node", "signature")
     both = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
 
@@ -144,6 +211,33 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(agree, "a long, b long, first boolean")
 
 
+def undecided(near: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, group): nodes whose crowded regions hold several groups, so that pairs of them were not looked at."""
+    group = groups.select(F.col("id").alias("node"), "component")
+    crowded = near.where(F.col("kind") == CROWDED).select("region", "node").distinct().join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    mixed = crowded.groupBy("region").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("region")
+    return crowded.join(mixed, "region", "left_semi").select("node", "group").distinct()
+
+
+def exact_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, group) from different groups that may reach THRESHOLD; no such pair is missed.
+
+    Prefix filtering: of two sets that are similar enough, the rarest (1 - THRESHOLD) of each, and one more, have a shingle in
+    common. Shingles that only one group has come first in the order, as they link nothing; most sets end within them.
+    """
+    own = sets.join(nodes, "node").select("node", "group", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    shared = own.groupBy("h").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("h", "n")
+    held = own.join(shared, "h").groupBy("node", "group", "size").agg(F.collect_list(F.struct("n", "h")).alias("x"))
+    room = F.expr(f"size - (size * {THRESHOLD} + 99) div 100 + 1 - (size - size(x))").cast("int")
+    first = held.withColumn("room", room).where("room > 0").select("node", "group", "size", F.explode(F.slice(F.array_sort("x"), F.lit(1), F.col("room"))["h"]).alias("h"))
+    first = staged(first, "neardup-prefixes")
+    ends = first.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    # With two groups in a bucket, each side holds one of them.
+    a = first.join(ends, "h").where("group < hi").select("h", F.col("node").alias("a"), F.col("group").alias("ga"), F.col("size").alias("na"))
+    b = first.join(ends, "h").where("group > lo").select("h", F.col("node").alias("b"), F.col("group").alias("gb"), F.col("size").alias("nb"))
+    return a.join(b, "h").where(f"ga < gb and 100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)").select("a", "b").distinct()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, hashes) for the ids in ``wanted`` (node)."""
 
@@ -173,7 +267,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     rows = staged(sketches(docs, words), "neardup-sketches")
     linkable = rows.where("doc_id is not null and set_key is not null")
     nodes = staged(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "neardup-nodes")
-    found = staged(candidates(nodes), "neardup-candidates")
+    near = staged(neighbours(nodes), "neardup-near")
+    found = staged(candidates(near, nodes), "neardup-candidates")
     wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = staged(full_sets(docs, wanted, words), "neardup-sets")
     links = staged(confirmed(found.where("first"), sets), "neardup-links-1")
@@ -182,9 +277,13 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     apart = found.where("not first").join(group("a"), "a", "left").join(group("b"), "b", "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     more = staged(confirmed(apart, sets), "neardup-links-2")
+    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "neardup-groups-2")
+    rest = staged(undecided(near, groups), "neardup-undecided")
+    sets = staged(full_sets(docs, rest, words), "neardup-sets-3")
+    exact = staged(confirmed(staged(exact_pairs(sets, rest), "neardup-exact"), sets), "neardup-links-3")
     # Rows of one document with different sets are one document, too.
     same = linkable.select("set_key", "doc_id").distinct().join(nodes.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same), "neardup-groups-2")
+    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(exact).unionByName(same), "neardup-groups-3")
     found = rows.select("doc_id", "n_shingles").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept"))
 
