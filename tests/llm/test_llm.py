@@ -169,6 +169,56 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(got[i]["n_shingles"] == len(s) for i, s in enumerate(sets))
 
 
+def test_neighbours_in_crowded_regions(spark):
+    """Rows are next to each other, or marked, across tasks as within them."""
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 2, (60, neardup.VALUES)).astype(">u4")
+    sig[:, ::2] = 7  # many equal prefixes
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "node long, signature binary").repartition(3)
+    got = neardup.neighbours(nodes).collect()
+    rows = sorted((r["region"], bytes(r["rest"]), r["node"], r["place"]) for r in neardup.forest(nodes).collect())
+    pairs, crowded = Counter(), set()
+    for k in range(1, neardup.NEIGHBOURS + 2):
+        for x, y in zip(rows, rows[k:]):
+            if x[0] == y[0] and k <= neardup.NEIGHBOURS:
+                pairs[x[2], y[2], x[3] if k == 1 else neardup.ORDERS] += 1
+            elif x[0] == y[0]:
+                crowded |= {(x[0], x[2]), (x[0], y[2])}
+    assert len(pairs) > 100 and len(crowded) > 100
+    assert Counter((r["node"], r["other"], r["place"]) for r in got if r["kind"] == neardup.PAIR) == pairs
+    assert {(r["region"], r["node"]) for r in got if r["kind"] == neardup.CROWDED} == crowded
+
+
+def test_exact_pairs_by_brute_force(spark):
+    """No pair of different groups that reaches the threshold is missed, and pairs inside a group are not made."""
+    rng = random.Random(4)
+    common = [rng.getrandbits(40) for _ in range(300)]
+    sets = []
+    for i in range(120):
+        own = common[: rng.choice([20, 60, 100])] if i % 3 else rng.sample(common, rng.choice([5, 20, 21]))
+        sets.append(sorted({*own, *(rng.getrandbits(40) for _ in range(rng.choice([0, 1, 4, 30])))}))
+    group = [i % 7 if i < 60 else i for i in range(120)]
+    frame_ = spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>")
+    nodes = spark.createDataFrame(list(enumerate(group)), "node long, group long")
+    pairs = neardup.exact_pairs(frame_, nodes)
+    made = {(min(r), max(r)) for r in pairs.collect()}
+    assert all(group[a] != group[b] for a, b in made)
+    want = set()
+    for a in range(120):
+        for b in range(a + 1, 120):
+            n = len({*sets[a]} & {*sets[b]})
+            if group[a] != group[b] and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                want.add((a, b))
+    assert len(want) > 50 and want <= made
+    assert {(min(r), max(r)) for r in neardup.confirmed(pairs, frame_).collect()} == want
+
+
+def test_undecided(spark):
+    near = spark.createDataFrame([(neardup.CROWDED, 1, 5), (neardup.CROWDED, 1, 6), (neardup.CROWDED, 2, 5), (neardup.CROWDED, 2, 7), (neardup.PAIR, 3, 9)], "kind int, region long, node long")
+    groups = spark.createDataFrame([(5, 5), (6, 5)], "id long, component long")
+    assert {tuple(r) for r in neardup.undecided(near, groups).collect()} == {(5, 5), (7, 7)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links, "test").collect()}
