@@ -34,6 +34,8 @@ FIRST_ORDERS, NEIGHBOURS = 6, 4
 #: Share of equal signature values below which a pair is no candidate; at a similarity of 0.8 this is four deviations low.
 ESTIMATE = 0.58
 THRESHOLD = 80
+#: Bits of the marks that bound from below how many shingles only one of two sets has.
+MARKS = 512
 
 _RANDOM = np.random.default_rng(20240101)
 _FACTORS = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
@@ -219,23 +221,44 @@ def undecided(near: DataFrame, groups: DataFrame) -> DataFrame:
     return crowded.join(mixed, "region", "left_semi").select("node", "group").distinct()
 
 
+def with_marks(sets: DataFrame) -> DataFrame:
+    """``sets`` (node, hashes) and marks: for each of MARKS hash values, whether an odd number of the set's shingles has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            odd = [np.bincount((values[i:j] % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1 for i, j in zip(bounds[:-1], bounds[1:])]
+            marks = np.packbits(np.array(odd, np.uint8).reshape(-1, MARKS), axis=1).reshape(-1).view(np.int64)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (MARKS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(marks))], ["node", "hashes", "marks"])
+
+    return sets.mapInArrow(run, "node long, hashes array<long>, marks array<long>")
+
+
 def exact_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): pairs of ``nodes`` (node, group) from different groups that may reach THRESHOLD; no such pair is missed.
 
     Prefix filtering: of two sets that are similar enough, the rarest (1 - THRESHOLD) of each, and one more, have a shingle in
     common. Shingles that only one group has come first in the order, as they link nothing; most sets end within them.
+    Two bounds hold for every similar pair, and pairs beyond them are not made: at the first shingle in common, what follows
+    it in each set bounds the intersection; and marks that differ are shingles that only one of the sets has.
     """
-    own = sets.join(nodes, "node").select("node", "group", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    own = with_marks(sets).join(nodes, "node").select("node", "group", "marks", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
     shared = own.groupBy("h").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("h", "n")
-    held = own.join(shared, "h").groupBy("node", "group", "size").agg(F.collect_list(F.struct("n", "h")).alias("x"))
+    held = own.join(shared, "h").groupBy("node", "group", "size").agg(F.first("marks").alias("marks"), F.collect_list(F.struct("n", "h")).alias("x"))
     room = F.expr(f"size - (size * {THRESHOLD} + 99) div 100 + 1 - (size - size(x))").cast("int")
-    first = held.withColumn("room", room).where("room > 0").select("node", "group", "size", F.explode(F.slice(F.array_sort("x"), F.lit(1), F.col("room"))["h"]).alias("h"))
-    first = staged(first, "neardup-prefixes")
+    first = held.withColumn("room", room).where("room > 0").select("node", "group", "size", "marks", F.size("x").alias("left"), F.posexplode(F.slice(F.array_sort("x"), F.lit(1), F.col("room"))["h"]).alias("at", "h"))
+    first = staged(first.withColumn("left", F.col("left") - F.col("at")).drop("at"), "neardup-prefixes")
     ends = first.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
     # With two groups in a bucket, each side holds one of them.
-    a = first.join(ends, "h").where("group < hi").select("h", F.col("node").alias("a"), F.col("group").alias("ga"), F.col("size").alias("na"))
-    b = first.join(ends, "h").where("group > lo").select("h", F.col("node").alias("b"), F.col("group").alias("gb"), F.col("size").alias("nb"))
-    return a.join(b, "h").where(f"ga < gb and 100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)").select("a", "b").distinct()
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "group", "size", "marks", "left")]
+    a = first.join(ends, "h").where("group < hi").select("h", *side("a"))
+    b = first.join(ends, "h").where("group > lo").select("h", *side("b"))
+    follows = f"{100 + THRESHOLD} * least(left_a, left_b) >= {THRESHOLD} * (size_a + size_b)"
+    differ = " + ".join(f"bit_count(marks_a[{i}] ^ marks_b[{i}])" for i in range(MARKS // 64))
+    near = f"group_a < group_b and {follows} and {100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * (size_a + size_b)"
+    return a.join(b, "h").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
