@@ -126,16 +126,43 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Links, of 16 bytes, that one task unites by itself; more are dealt over all tasks.
+ONE_TASK = 1 << 20
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all links (u, v) of a task, by hooking trees to smaller roots and halving their height."""
+    table = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    ids, at = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+    u, v = at[: len(table)], at[len(table) :]
+    root = np.arange(len(ids))
+    while (apart := root[u] != root[v]).any():
+        u, v = u[apart], v[apart]
+        ru, rv = root[u], root[v]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    for i in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), pa.array(ids[root[i : i + (1 << 16)]])], ["id", "component"])
+
+
 def components(links: DataFrame, name: str) -> DataFrame:
     """Connected components of ``links`` (a, b long): rows (id, component), the smallest id that ``id`` reaches.
 
     Large-star and small-star steps alternate until nothing changes; each step is a written table.
     A star's centre gets its smallest neighbour by a pre-aggregated minimum, so hubs gather in no task.
+    As soon as no more than ONE_TASK links are left, a task unites them, which gives the same components.
     """
     spark = links.sparkSession
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
     state = None
     for turn in range(100):
+        seen = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        if seen[0] <= ONE_TASK:
+            return staged(edges.coalesce(1).mapInArrow(_united, "id long, component long"), f"{name}-found")
+        if seen == state:
+            break
+        state = seen
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -143,9 +170,5 @@ def components(links: DataFrame, name: str) -> DataFrame:
         moved = large.join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = staged(small, f"{name}-{turn}")
-        seen = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if seen == state:
-            break
-        state = seen
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return staged(stars.unionByName(stars.select(F.col("component").alias("id"), "component")).distinct(), f"{name}-found")

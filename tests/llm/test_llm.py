@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import audio, bpe, contamination, htmltext, lattice, neardup, pii, suffix, toxicity, urlrules
+from sparkloom.llm import audio, bpe, common, contamination, htmltext, lattice, neardup, pii, suffix, toxicity, urlrules
 from sparkloom.llm.common import components
 from sparkloom.llm.queries import tokenizer
 
@@ -219,10 +220,28 @@ def test_undecided(spark):
     assert {tuple(r) for r in neardup.undecided(near, groups).collect()} == {(5, 5), (7, 7)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, common.ONE_TASK])
+def test_components(spark, monkeypatch, one_task):
+    """Links dealt over tasks and those united by one give the same components; no links, none."""
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links, "test").collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 150: 100, 200: 100}
+    assert components(links.where("a < 0"), "test").count() == 0
+
+
+def test_components_at_random():
+    """The links of one task, against a search from each id."""
+    rng = random.Random(5)
+    for size in (1, 5, 200):
+        links = [(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(size)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["u", "v"])
+        got = {i: c for part in common._united(iter([batch])) for i, c in zip(part["id"].to_pylist(), part["component"].to_pylist())}
+        for start in got:
+            seen = {start}
+            while more := {y for a, b in links for x, y in ((a, b), (b, a)) if x in seen} - seen:
+                seen |= more
+            assert got[start] == min(seen)
 
 
 # -- audio ----------------------------------------------------------------------------------------------------------
