@@ -34,6 +34,8 @@ FIRST_ORDERS, NEIGHBOURS = 6, 4
 #: Share of equal signature values below which a pair is no candidate; at a similarity of 0.8 this is four deviations low.
 ESTIMATE = 0.58
 THRESHOLD = 80
+#: Ids, of 8 bytes, that are sent to all tasks to pick texts; more are joined by a shuffle.
+SENT_IDS = 1 << 20
 #: Bits of the marks that bound from below how many shingles only one of two sets has.
 MARKS = 512
 
@@ -262,7 +264,7 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) for the ids in ``wanted`` (node)."""
+    """(node, hashes) for the ids in ``wanted`` (node), a written table; texts are not shuffled unless it has over SENT_IDS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +274,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 values = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "hashes"])
 
-    rows = docs.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    ids = wanted.select(F.col("node").alias("doc_id"))
+    ids = F.broadcast(ids) if wanted.count() <= SENT_IDS else ids
+    rows = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node", "hashes"])
 
 
@@ -292,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     nodes = staged(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "neardup-nodes")
     near = staged(neighbours(nodes), "neardup-near")
     found = staged(candidates(near, nodes), "neardup-candidates")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = staged(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "neardup-wanted")
     sets = staged(full_sets(docs, wanted, words), "neardup-sets")
     links = staged(confirmed(found.where("first"), sets), "neardup-links-1")
     groups = components(links, "neardup-groups-1")
