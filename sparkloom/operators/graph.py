@@ -33,10 +33,10 @@ def impact(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def call_tree(edges: DataFrame, root: int, depth: int, most: int = 100) -> DataFrame:
+def call_tree(edges: DataFrame, root: int, depth: int, most: int | None = 100) -> DataFrame:
     """(path, depth, reason): calls from ``root`` by path; a repeated node is recorded as ``recursive`` and not expanded.
 
-    Each level keeps at most ``most`` nodes in path order (the tree's stated limit); those at the last level that call on are marked ``depth``.
+    Each level keeps at most ``most`` nodes in path order (the tree's stated limit), or all if it is None; those at the last level that call on are marked ``depth``.
     """
     spark = edges.sparkSession
     level = spark.createDataFrame([([root],)], "path array<long>").withColumn("reason", F.lit(None).cast("string"))
@@ -45,7 +45,7 @@ def call_tree(edges: DataFrame, root: int, depth: int, most: int = 100) -> DataF
     for d in range(1, depth + 1):
         open_ = level.where("reason is null").withColumn("src", F.element_at("path", -1))
         step = open_.join(calls, "src").select(F.concat("path", F.array("dst")).alias("path"), F.when(F.array_contains("path", F.col("dst")), "recursive").alias("reason"))
-        level = step.orderBy("path").limit(most)
+        level = step if most is None else step.orderBy("path").limit(most)
         out = out.unionByName(level.withColumn("depth", F.lit(d).cast("long")))
     more = calls.select(F.col("src").alias("last")).distinct().withColumn("more", F.lit(True))
     out = out.withColumn("last", F.element_at("path", -1)).join(more, "last", "left")

@@ -189,6 +189,18 @@ def callers(spark, sf_dir):
     return graph.neighbours(edges(t).where("dst <= 50"), symbols(t), incoming=True).select("node", "id", "name", "kind")
 
 
+@query(f"WITH {EDGES} SELECT DISTINCT src AS node, p_partkey AS id, p_name AS name, p_type AS kind FROM edges JOIN part ON dst = p_partkey")
+def callees_whole(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.neighbours(edges(t), symbols(t)).select("node", "id", "name", "kind")
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT dst AS node, p_partkey AS id, p_name AS name, p_type AS kind FROM edges JOIN part ON src = p_partkey")
+def callers_whole(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.neighbours(edges(t), symbols(t), incoming=True).select("node", "id", "name", "kind")
+
+
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), walk AS (SELECT 7::BIGINT AS id, 0 AS depth UNION SELECT e.src, depth + 1 FROM walk JOIN e ON e.dst = walk.id WHERE depth < 2)
 SELECT id, min(depth)::BIGINT AS depth FROM walk GROUP BY id HAVING min(depth) > 0""")
 def impact_radius(spark, sf_dir):
@@ -201,7 +213,15 @@ SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOI
 SELECT array_to_string(path, '>') AS path, depth::BIGINT AS depth, again AS recursive FROM walk""")
 def call_tree(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    tree = graph.call_tree(edges(t).where("src % 40 = 7 or src = 7"), 7, 2, most=1_000_000)
+    tree = graph.call_tree(edges(t).where("src % 40 = 7 or src = 7"), 7, 2, most=None)
+    return tree.select(F.array_join("path", ">").alias("path"), "depth", F.coalesce(F.col("reason") == "recursive", F.lit(False)).alias("recursive"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), walk AS (SELECT [7::BIGINT] AS path, 0 AS depth, false AS again UNION ALL
+SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON src = path[-1] WHERE NOT again AND depth < 2)
+SELECT array_to_string(path, '>') AS path, depth::BIGINT AS depth, again AS recursive FROM walk""")
+def call_tree_whole(spark, sf_dir):
+    tree = graph.call_tree(edges(Tables(spark, sf_dir)), 7, 2, most=None)
     return tree.select(F.array_join("path", ">").alias("path"), "depth", F.coalesce(F.col("reason") == "recursive", F.lit(False)).alias("recursive"))
 
 
@@ -245,6 +265,15 @@ def symbol_context(spark, sf_dir):
     return found.select("id", F.when(F.size("callees") > 0, F.array_join("callees", ",")).alias("callees"))
 
 
+@query(f"""WITH {EDGES}, o AS (SELECT src AS id, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS callees FROM edges JOIN part ON dst = p_partkey GROUP BY src),
+i AS (SELECT dst AS id, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS callers FROM edges JOIN part ON src = p_partkey GROUP BY dst)
+SELECT p_partkey AS id, callees, callers FROM part LEFT JOIN o ON p_partkey = o.id LEFT JOIN i ON p_partkey = i.id""")
+def symbol_context_whole(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = graph.symbol_context(edges(t), symbols(t), symbols(t).select("id"))
+    return found.select("id", *(F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c) for c in ("callees", "callers")))
+
+
 @query("""SELECT a.event_id, (SELECT max(b.event_id) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts = (SELECT max(c.ts) FROM events c WHERE c.user_id = a.user_id AND c.event_type = 'view' AND c.ts <= a.ts)) AS view_id
 FROM events a WHERE a.event_type = 'purchase'""")
 def as_of_join(spark, sf_dir):
@@ -274,6 +303,19 @@ def resolution_tiers(spark, sf_dir):
     return u.join(s, "name").withColumn("tier", tier).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS f, CASE WHEN s_acctbal > 0 THEN 'Public' ELSE 'Private' END AS v FROM supplier),
+u AS (SELECT s_name AS name, max(c_nationkey) AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY l_orderkey, l_partkey, s_name, l_suppkey, l_linenumber),
+c AS (SELECT s.id, CASE WHEN u.f = s.f THEN 1 WHEN s.v = 'Public' THEN 3 END AS tier FROM u JOIN s ON u.name = s.name)
+SELECT tier::BIGINT AS tier, count(*) AS n FROM c WHERE tier IS NOT NULL GROUP BY tier""")
+def resolution_tiers_whole(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("f"), F.when(F.col("s_acctbal") > 0, "Public").otherwise("Private").alias("v"))
+    u = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    u = u.groupBy("l_orderkey", "l_partkey", F.col("s_name").alias("name"), "l_suppkey", "l_linenumber").agg(F.max("c_nationkey").alias("uf"))
+    tier = F.when(F.col("uf") == F.col("f"), 1).when(F.col("v") == "Public", 3).cast("long")
+    return u.join(s, "name").withColumn("tier", tier).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))
+
+
 @query()
 def name_resolution(spark, sf_dir):
     """Orders refer to suppliers by name; nations are files, regions languages."""
