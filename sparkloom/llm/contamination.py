@@ -1,10 +1,13 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
 
 Texts and items are compared as UTF-8 bytes, with A-Z lower-cased and each white space byte a blank. A document
-contains an item if a part of it lies within ``share`` of the item's length in edit distance. Windows of an item's
-size are placed where short strings of that item occur along one diagonal of the document. A CGK random walk turns
-a window and an item into strings whose Hamming distance follows their edit distance; tables of sampled positions
-are looked up until the target recall is reached, and an exact approximate-matching pass confirms every pair.
+contains an item if a part of it lies within ``share`` of the item's length in edit distance. Items are cut into
+segments of up to SEGMENT bytes: if all edits are within ``share`` of the item, those of some segment are within
+``share`` of that segment, and its edits move its strings over few diagonals however long the item is. Windows of a
+segment's size are placed where short strings of that segment occur along one diagonal of the document. A CGK random
+walk turns a window and a segment into strings whose Hamming distance follows their edit distance; tables of sampled
+positions are looked up until the target recall is reached, and an exact approximate-matching pass of the whole item
+confirms every pair.
 
 Items are handled in blocks of bounded size. Null or empty texts match nothing; items shorter than GRAM bytes or
 null are never matched; repeated items and rows each give their own results. Documents are processed whole.
@@ -23,6 +26,8 @@ from .common import as_bytes, new_key, once, text_slices
 
 GRAM = 8
 SHARE = 0.1
+#: A tenth of these are fewer diagonals than the 64 that windows() joins.
+SEGMENT = 512
 #: A string that more items than these have places no window.
 COMMON = 4
 #: Independent walks, tables for each and positions sampled by a table: where only a quarter of the positions agree, a pair is missed with probability (1 - 0.25**2) ** 144, below 0.0001.
@@ -93,19 +98,36 @@ def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``spans`` in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class ItemIndex:
-    """Benchmark items: where their short strings stand, and LSH tables of their embeddings."""
+    """Benchmark items: where the short strings of their segments stand, and LSH tables of the segments' embeddings."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE):
         self.items = [(i, t) for i, t in ((i, normal(t).strip(b" ")) for i, t in items) if len(t) >= GRAM]
         self.allowed = [int(share * len(t)) for _, t in self.items]
-        found = [grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
+        #: (item, offset, bytes) of each segment; the segments of an item are of equal size, but for a byte.
+        self.parts: list[tuple[int, int, bytes]] = []
+        for k, (_, t) in enumerate(self.items):
+            n = -(-len(t) // SEGMENT)
+            cuts = [len(t) * j // n for j in range(n + 1)]
+            self.parts += [(k, a, t[a:b]) for a, b in zip(cuts, cuts[1:])]
+        found = [grams(np.frombuffer(t, np.uint8)) for _, _, t in self.parts]
         gram = np.concatenate(found) if found else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(found)), [len(g) for g in found])
         place = np.concatenate([np.arange(len(g)) for g in found]) if found else item
-        # Common strings place no windows, unless they are most of what an item has.
+        # Common strings place no windows, unless they are most of what a segment has.
         texts = {t: k for k, (_, t) in enumerate(self.items)}
-        kind = np.array([texts[t] for _, t in self.items], np.int64)[item] if found else item
+        kind = np.array([texts[self.items[k][1]] for k, _, _ in self.parts], np.int64)[item] if found else item
         pair = np.unique(np.stack([gram, kind.astype(np.uint64)], axis=1), axis=0) if len(gram) else np.empty((0, 2), np.uint64)
         own, count = np.unique(pair[:, 0], return_counts=True)
         rare = count[np.searchsorted(own, gram)] <= COMMON if len(gram) else np.empty(0, bool)
@@ -126,10 +148,10 @@ class ItemIndex:
         self.number[slot] = np.arange(len(slot))
         self.mixed = np.bincount(slot.astype(np.int64), minlength=1 << TABLE_BITS) > 1
         self.buckets: dict[bytes, list[int]] = {}
-        #: All walks have as many steps as the longest item needs, so items and windows walk alike.
-        self.steps = 2 * max([1, *(len(t) for _, t in self.items)])
+        #: All walks have as many steps as the longest segment needs, so segments and windows walk alike.
+        self.steps = 2 * max([1, *(len(t) for _, _, t in self.parts)])
         self.walks = [walk_bits(7_000 + w, self.steps) for w in range(WALKS)]
-        texts = [t for _, t in self.items]
+        texts = [t for _, _, t in self.parts]
         for at in range(0, len(texts), 1024):
             part = texts[at : at + 1024]
             for k, keys in enumerate(self.keys(part, list(map(len, part))), at):
@@ -137,7 +159,7 @@ class ItemIndex:
                     self.buckets.setdefault(key, []).append(k)
 
     def keys(self, texts: list[bytes], lengths: list[int]) -> list[list[bytes]]:
-        """LSH keys of windows for items of ``lengths``: walk, table, length and the bytes at sampled places within 2 * length steps."""
+        """LSH keys of windows for segments of ``lengths``: walk, table, length and the bytes at sampled places within 2 * length steps."""
         out: list[list[bytes]] = [[] for _ in texts]
         sizes = np.array(lengths)
         for walk, move in enumerate(self.walks):
@@ -153,7 +175,7 @@ class ItemIndex:
         return out
 
     def windows(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of windows: places whose diagonal, within one text, holds enough of an item's strings; ``bounds``: where texts start."""
+        """(start, segment) of windows: places whose diagonal, within one text, holds enough of a segment's strings; ``bounds``: where texts start."""
         none = np.empty(0, np.int64), np.empty(0, np.int64)
         x = grams(data)
         slot = ((x * _SPREAD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -214,35 +236,41 @@ class ItemIndex:
         joined = b"\xff".join(map(normal, texts))
         data = np.frombuffer(joined, np.uint8)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        start, item = self.windows(data, bounds)
-        middle = start + np.array([len(self.items[k][1]) // 2 for k in item], np.int64)
+        start, part_of = self.windows(data, bounds)
+        middle = start + np.array([len(self.parts[p][2]) // 2 for p in part_of], np.int64)
         text = np.searchsorted(bounds, middle, "right") - 1
-        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for s, k, t in zip(start.tolist(), item.tolist(), text.tolist()):
+        own = set()
+        for s, p, t in zip(start.tolist(), part_of.tolist(), text.tolist()):
             if 0 <= t < len(texts):
-                a = min(max(s, int(bounds[t])), int(bounds[t + 1]) - 1)
-                places.setdefault((len(self.items[k][1]), t), []).append((a, s))
-        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        own = [(n, t, a) for (n, t), starts in places.items() for a in {a for a, _ in starts}]
+                own.add((len(self.parts[p][2]), t, min(max(s, int(bounds[t])), int(bounds[t + 1]) - 1)))
+        own = sorted(own)
+        # Where an item may stand, by text and item; several segments of one item mostly say the same.
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for i in range(0, len(own), 1024):
             part = own[i : i + 1024]
             cut = [joined[a : min(a + n, int(bounds[t + 1]) - 1)] for n, t, a in part]
-            for (n, t, a), keys in zip(part, self.keys(cut, [n for n, _, _ in part])):
-                for k in {k for key in keys for k in self.buckets.get(key, ())}:
-                    allowed, pattern = self.allowed[k], self.items[k][1]
-                    lo = max(int(bounds[t]), a - 2 * allowed - 32)
-                    near = joined[lo : min(a + n + 2 * allowed + 64, int(bounds[t + 1]) - 1)]
-                    at = near.find(pattern)
-                    if at >= 0:
-                        hit = (0, lo + at, lo + at + n)
-                    else:
-                        distance, end = best_match(pattern, near)
-                        if distance > allowed:
-                            continue
-                        back = best_match(pattern[::-1], near[:end][::-1])[1]
-                        hit = (distance, lo + end - back, lo + end)
-                    hit = (hit[0], hit[1] - int(bounds[t]), hit[2] - int(bounds[t]))
-                    found[t][k] = min(hit, found[t].get(k, hit))
+            for (_, t, a), keys in zip(part, self.keys(cut, [n for n, _, _ in part])):
+                for p in {p for key in keys for p in self.buckets.get(key, ())}:
+                    k, offset, _ = self.parts[p]
+                    allowed, n = self.allowed[k], len(self.items[k][1])
+                    lo, hi = a - offset - 2 * allowed - 32, a - offset + n + 2 * allowed + 64
+                    spans.setdefault((t, k), []).append((max(int(bounds[t]), lo), min(hi, int(bounds[t + 1]) - 1)))
+        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        for (t, k), places in spans.items():
+            allowed, pattern = self.allowed[k], self.items[k][1]
+            for lo, hi in merged(places):
+                near = joined[lo:hi]
+                at = near.find(pattern)
+                if at >= 0:
+                    hit = (0, lo + at, lo + at + len(pattern))
+                else:
+                    distance, end = best_match(pattern, near)
+                    if distance > allowed:
+                        continue
+                    back = best_match(pattern[::-1], near[:end][::-1])[1]
+                    hit = (distance, lo + end - back, lo + end)
+                hit = (hit[0], hit[1] - int(bounds[t]), hit[2] - int(bounds[t]))
+                found[t][k] = min(hit, found[t].get(k, hit))
         return [[(k, *own[k]) for k in sorted(own)] for own in found]
 
 
