@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +69,13 @@ def knn(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
     return vectors.select("id", F.round(M.cosine(F.col("embedding"), asked), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def two_phase_knn(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
-    """As knn(), among the max(5 * limit, 100) vectors whose sign bits differ least from the query's."""
+def two_phase_knn(vectors: DataFrame, query: list[float], limit: int, share: float = 0.0) -> DataFrame:
+    """As knn(), among the max(5 * limit, 100) vectors, or ``share`` of all if that is more, whose sign bits differ least from the query's."""
     asked = F.array(*map(F.lit, query))
     dims = len(query)
     near = vectors.withColumn("distance", M.hamming(M.sign_words(F.col("embedding"), dims), M.sign_words(asked, dims)))
-    return knn(near.orderBy("distance", "id").limit(max(5 * limit, 100)), query, limit)
+    kept = max(5 * limit, 100, math.ceil(share * vectors.count()) if share else 0)
+    return knn(near.orderBy("distance", "id").limit(kept), query, limit)
 
 
 def batch_knn(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 4096) -> DataFrame:
@@ -212,13 +215,12 @@ def nearest_centroid(vectors: DataFrame, centroids: list[tuple[int, list[float]]
     return vectors.select("id", (-F.array_max(scored)["i"]).alias("cluster"))
 
 
-def ivf_search(vectors: DataFrame, assigned: DataFrame, centroids: list[tuple[int, list[float]]], query: list[float], limit: int) -> DataFrame:
-    """knn() within the cluster whose centroid is most similar to the query."""
-    import math
+def ivf_search(vectors: DataFrame, assigned: DataFrame, centroids: list[tuple[int, list[float]]], query: list[float], limit: int, probes: int = 1) -> DataFrame:
+    """knn() within the ``probes`` clusters whose centroids are most similar to the query."""
 
     def similar(c: list[float]) -> float:
         size = math.hypot(*c) * math.hypot(*query)
         return sum(a * b for a, b in zip(c, query)) / size if size else 0.0
 
-    probe = max(centroids, key=lambda c: (similar(c[1]), -c[0]))[0]
-    return knn(vectors.join(assigned.where(F.col("cluster") == probe).select("id"), "id"), query, limit)
+    probed = [i for i, _ in sorted(centroids, key=lambda c: (-similar(c[1]), c[0]))[:probes]]
+    return knn(vectors.join(assigned.where(F.col("cluster").isin(probed)).select("id"), "id"), query, limit)
