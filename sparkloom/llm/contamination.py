@@ -9,8 +9,9 @@ walk turns a window and a segment into strings whose Hamming distance follows th
 positions are looked up until the target recall is reached, and an exact approximate-matching pass of the whole item
 confirms every pair.
 
-Items are handled in blocks of bounded size. Null or empty texts match nothing; items shorter than GRAM bytes or
-null are never matched; repeated items and rows each give their own results. Documents are processed whole.
+Items shorter than GRAM bytes, which permit no edit, are searched for exactly.
+
+Items are handled in blocks of bounded size. Null or empty texts match nothing; items that are null or blank are never matched; repeated items and rows each give their own results. Documents are processed whole.
 """
 
 from __future__ import annotations
@@ -113,11 +114,19 @@ class ItemIndex:
     """Benchmark items: where the short strings of their segments stand, and LSH tables of the segments' embeddings."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE):
-        self.items = [(i, t) for i, t in ((i, normal(t).strip(b" ")) for i, t in items) if len(t) >= GRAM]
+        plain = [(i, t) for i, t in ((i, normal(t).strip(b" ")) for i, t in items) if t]
+        #: Items by number; those shorter than GRAM come last and have no segments.
+        self.items = sorted(plain, key=lambda x: len(x[1]) < GRAM)
+        long = sum(len(t) >= GRAM for _, t in self.items)
+        #: Short items by length: their bytes as sorted numbers, and their own numbers in that order.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(t) for _, t in self.items[long:]}:
+            own = [(int.from_bytes(t, "little"), k) for k, (_, t) in enumerate(self.items) if len(t) == n]
+            self.short[n] = tuple(np.array(x, d) for x, d in zip(zip(*sorted(own)), (np.uint64, np.int64)))
         self.allowed = [int(share * len(t)) for _, t in self.items]
         #: (item, offset, bytes) of each segment; the segments of an item are of equal size, but for a byte.
         self.parts: list[tuple[int, int, bytes]] = []
-        for k, (_, t) in enumerate(self.items):
+        for k, (_, t) in enumerate(self.items[:long]):
             n = -(-len(t) // SEGMENT)
             cuts = [len(t) * j // n for j in range(n + 1)]
             self.parts += [(k, a, t[a:b]) for a, b in zip(cuts, cuts[1:])]
@@ -231,6 +240,24 @@ class ItemIndex:
             items.append(int(item[best]))
         return np.array(starts, np.int64), np.array(items, np.int64)
 
+    def exact(self, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], int]:
+        """First place of each short item in each text, by (text, item)."""
+        first: dict[tuple[int, int], int] = {}
+        padded = np.concatenate([data, np.zeros(GRAM, np.uint8)])
+        word = grams(padded)[: len(data)]
+        for n, (own, items) in self.short.items():
+            # Texts are parted by 0xff, which no item holds, and what is padded comes after the last place.
+            x = word[: max(0, len(data) - n + 1)] & np.uint64((1 << 8 * n) - 1)
+            lo = np.searchsorted(own, x, "left")
+            at = np.flatnonzero(own[np.minimum(lo, len(own) - 1)] == x)
+            text = np.searchsorted(bounds, at, "right") - 1
+            code, place = np.unique(text * len(own) + lo[at], return_index=True)
+            for t, j, a in zip((code // len(own)).tolist(), (code % len(own)).tolist(), at[place].tolist()):
+                # Repeated items stand side by side.
+                for k in items[j : np.searchsorted(own, own[j], "right")].tolist():
+                    first[t, k] = a - int(bounds[t])
+        return first
+
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its (item number, distance, start, end), the best place of each item."""
         joined = b"\xff".join(map(normal, texts))
@@ -271,6 +298,8 @@ class ItemIndex:
                     hit = (distance, lo + end - back, lo + end)
                 hit = (hit[0], hit[1] - int(bounds[t]), hit[2] - int(bounds[t]))
                 found[t][k] = min(hit, found[t].get(k, hit))
+        for (t, k), a in self.exact(data, bounds).items() if self.short else ():
+            found[t][k] = (0, a, a + len(self.items[k][1]))
         return [[(k, *own[k]) for k in sorted(own)] for own in found]
 
 

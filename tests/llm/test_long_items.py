@@ -34,3 +34,13 @@ def test_one_way_edits(size):
             wanted.append([k])
     texts.append(words(size // 5, rng))
     assert [[k for k, *_ in own] for own in index.search(texts)] == [*wanted, []]
+
+
+def test_short_items():
+    items = [(1, b"Yes"), (2, b"4 + 3"), (3, b" "), (4, b"yes"), (5, b"a passage of some length"), (6, b"e"), (7, b"seven b")]
+    index = contamination.ItemIndex(items)
+    texts = [b"no", b"oh YES, yes", b"is 4 + 3 odd", b"", b"a passage of some length", b"4 + ", b"3", b"in seven b"]
+    got = [[(index.items[k][0], *rest) for k, *rest in own] for own in index.search(texts)]
+    assert sorted(got[1]) == [(1, 0, 3, 6), (4, 0, 3, 6), (6, 0, 4, 5)]
+    assert [sorted(i for i, *_ in own) for own in got] == [[], [1, 4, 6], [2], [], [5, 6], [], [], [6, 7]]
+    assert contamination.ItemIndex([(1, b"yes")]).search([b"say yes", b"no"])[0] == [(0, 0, 4, 7)]
