@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +19,60 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where none is set and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch: what a worker and its executor hold of a batch at once is small beside what they need anyway.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """``spark`` with Arrow batches no larger than BATCH_ROWS and BATCH_BYTES from now on; smaller settings stay."""
+    for name, most in _LIMITS.items():
+        found = spark.conf.get(name).lower().removesuffix("b")
+        if not found.isdigit() or not 0 < int(found) <= most:
+            spark.conf.set(name, str(most))
+    return spark
+
+
+#: Folders of tables that were staged since clear_staged() was last called.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Removes all staged tables. Results that read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name`` with a mark in front that makes it differ from all of ``taken``, whatever their case."""
+    own, low = f"__{name}", {x.lower() for x in taken}
+    while own.lower() in low:
+        own = f"_{own}"
+    return own
+
+
 _OWN: dict[str, tuple[str, object]] = {}
 
 
@@ -101,9 +139,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Sums p with p[j] - p[i] = hash of data[i:j] times BASE**i (modulo 2**64); bytes count from 1."""
-    up, _ = powers(len(data))
+    return prefix_sums(data, powers(len(data))[0])
+
+
+def prefix_sums(data: np.ndarray, up: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    own = sums[1:]
+    own[:] = data
+    own += np.uint64(1)
+    own *= up[: len(data)]
+    np.cumsum(own, out=own)
     return sums
 
 
@@ -118,6 +163,44 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def word_hashes(data: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of ``data``, block by block: work space does not grow with its length.
+
+    A word that goes on in the next block is carried over as the sum of its bytes so far.
+    """
+    starts, hashes = [], []
+    size, total, begin = 0, np.uint64(0), 0  # of the word that the last block left open; size 0: none
+    for lo in range(0, max(1, len(data)), block):
+        part = data[lo : lo + block]
+        start, end = word_spans(part)
+        if size and not (len(start) and start[0] == 0):
+            starts.append(np.array([begin]))
+            hashes.append(np.array([total]))
+            size, total = 0, np.uint64(0)
+        if len(start) == 0:
+            continue
+        up, down = powers(len(part) + 1)
+        sums = prefix_sums(part, up)
+        own = (sums[end] - sums[start]) * down[start]
+        at = start + lo
+        if size:
+            own[:1] = own[:1] * np.uint64(pow(BASE, size, 1 << 64)) + total
+            at[0] = begin
+        if end[-1] == len(part):
+            size, total, begin = int(end[-1] - start[-1]) + (size if len(start) == 1 else 0), own[-1], int(at[-1])
+            own, at = own[:-1], at[:-1]
+        else:
+            size, total = 0, np.uint64(0)
+        starts.append(at)
+        hashes.append(own)
+    if size:
+        starts.append(np.array([begin]))
+        hashes.append(np.array([total]))
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts).astype(np.int64), mix(np.concatenate(hashes).astype(np.uint64))
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that are not white space."""
     solid = np.zeros(len(data) + 2, np.int8)
@@ -126,6 +209,43 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Bits of the fixed-size filter of ids.
+FILTER_BITS = 26
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each id."""
+    h = mix(ids.view(np.uint64) + np.uint64(BASE & _MASK))
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """Bit filter of FILTER_BITS bits (8 MB) with two bits for each id: it never misses one, and tells others apart as long as it is not full.
+
+    Its size does not depend on the number of ids; the parts of tasks are put together by their 64-bit words, 2**20 at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        for batch in batches:
+            for at in _places(np.ascontiguousarray(batch.column(0).to_numpy())):
+                np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at].view(np.int64))], ["word", "bits"])
+
+    found = ids.select(column).mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of ``ids`` the filter may hold."""
+    a, b = _places(ids)
+    has = lambda at: (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+    return (has(a) & has(b)).astype(bool)
+
+
 #: Links, of 16 bytes, that one task unites by itself; more are dealt over all tasks.
 ONE_TASK = 1 << 20
 

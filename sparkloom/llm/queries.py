@@ -48,8 +48,8 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_spans(read(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("_base", lambda x: x["k"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in pii.PATTERNS), F.sha2(pii.span_list(F.col("_base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii.PATTERNS), F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
