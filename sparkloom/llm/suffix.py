@@ -2,15 +2,19 @@
 
 Every string of ``length`` bytes belongs to one anchor: the leftmost smallest hash among the ``GRAM``-byte
 strings inside it. Equal strings have equal anchors at equal places, so only strings around equal anchors
-need comparing, and each run of strings that share an anchor is one segment of text. Segments are counted by
-anchor and content before anything else moves, so copies collapse; a segment of which two exist holds repeated
-strings only. Where an anchor has different segments, one of each goes on, and a suffix array of a block of them
-finds what they share: suffixes not larger than their successors are sorted directly, the others follow by one
-scan over the buckets, and adjacent common prefixes of ``length`` bytes mark repeated strings. Anchors with more
-than GIANT different segments are not sorted in one task: their strings are hashed one by one and counted.
+need comparing, and each run of strings that share an anchor is one segment of text. Where all segments of an
+anchor are equal and there are two at least, they hold repeated strings only. Where an anchor has different
+segments, one of each goes on, and a suffix array of a block of them finds what they share: suffixes smaller than
+their successors are sorted directly, the others are induced by scans over the buckets, and adjacent common
+prefixes of ``length`` bytes mark repeated strings. Anchors with more than GIANT different segments are dealt out
+before that: strings whose anchor stands in the left or right half of its range also share the bytes that all of
+that half have in common, so each half is a group by those bytes, and groups still too large are halved again.
 
 Matches never cross texts. Null texts count as empty, texts shorter than ``length`` have no spans, and repeated rows
 are copies of each other. Results depend on a text and on the other texts, not on ids, which may repeat or be null.
+Empty tables give empty results; other columns do not matter, whatever their names. Very long texts are cut into
+segments block by block; the bytes of a text and its segments are what a task holds of it. Texts are shuffled only if
+a fixed-size filter says that they may hold repeated strings.
 """
 
 from __future__ import annotations
@@ -21,53 +25,61 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prefix_hash, span_hash, staged, text_slices
+from .common import as_bytes, id_filter, maybe, prefix_hash, small_batches, span_hash, staged, text_slices
 
 LENGTH, GRAM = 400, 200
-#: Segments of one anchor beyond which its strings are counted one by one.
-GIANT = 4_000
-#: Bytes that are sorted at once.
-BLOCK = 256 << 10
+#: Different segments of one group that are sorted in one task; larger groups are halved.
+GIANT = 400
+#: Bytes that are sorted at once, and starts of strings that are anchored at once.
+BLOCK, STARTS = 128 << 10, 1 << 18
 
 
 # -- suffix array -------------------------------------------------------------------------------------------
 
 
+def smaller_than_next(text: np.ndarray) -> np.ndarray:
+    """Which suffixes are smaller than the suffix after them: the byte after a run of equal bytes decides for the whole run; the end is smallest."""
+    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True))
+    rises = np.append(text[ends[:-1]] < text[ends[:-1] + 1], False)
+    return np.repeat(rises, np.diff(ends, prepend=-1))
+
+
 def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Order of all suffixes of ``text``, compared on their first ``depth`` bytes at least.
 
-    Two-stage sorting: suffixes whose first byte is not greater than the next are sorted directly; each
-    bucket then gets its other suffixes, in the order of their successors, in front of the sorted ones. The
-    end counts as smaller than any byte. Suffixes that agree on ``depth`` bytes stand together, in any order.
+    Two-stage sorting: suffixes smaller than their successors are sorted directly. Then the buckets of first bytes are scanned
+    in order: a bucket's other suffixes stand in front of its sorted ones, in the order of their successors, which are in
+    earlier buckets or, within a run of the bucket's own byte, were placed just before. Suffixes that agree on ``depth``
+    bytes stand together, in any order.
     """
     n = len(text)
     if n == 0:
         return np.empty(0, np.int64)
-    follow = np.full(n, -1, np.int16)
-    follow[:-1] = text[1:]
-    direct = text <= follow  # the last suffix is always induced
+    direct = smaller_than_next(text)
     chosen = _direct_sort(text, np.flatnonzero(direct), depth)
-    rank = np.full(n + 1, -1, np.int64)
-    order = np.empty(n, np.int64)
-    induced = np.flatnonzero(~direct)
-    bucket = text[induced]
-    by = np.argsort(bucket, kind="stable")
-    induced, cuts = induced[by], np.searchsorted(bucket[by], np.arange(257))
-    first = text[chosen]
-    sorted_cuts = np.searchsorted(first, np.arange(257))
-    at = 0
+    follow = np.append(text[1:].astype(np.int16), -1)
+    # Of the induced suffixes those that end a run; the others follow from them.
+    last = np.flatnonzero(~direct & (follow != text))
+    by = np.argsort(text[last], kind="stable")
+    last, cuts = last[by], np.searchsorted(text[last][by], np.arange(257))
+    sorted_cuts = np.searchsorted(text[chosen], np.arange(257))
+    rank, order, at = np.full(n + 1, -1, np.int64), np.empty(n, np.int64), 0
     for c in range(256):
-        # The successors of this bucket's induced suffixes stand in earlier buckets, so their ranks are known.
-        own = induced[cuts[c] : cuts[c + 1]]
+        own = last[cuts[c] : cuts[c + 1]]
         own = own[np.argsort(rank[own + 1], kind="stable")]
-        rest = chosen[sorted_cuts[c] : sorted_cuts[c + 1]]
-        for part in (own, rest):
-            order[at : at + len(part)] = part
-            rank[part] = np.arange(at, at + len(part))
-            at += len(part)
+        while len(own):
+            order[at : at + len(own)] = own
+            rank[own] = np.arange(at, at + len(own))
+            at += len(own)
+            own = own[own > 0] - 1
+            own = own[text[own] == c]
+        own = chosen[sorted_cuts[c] : sorted_cuts[c + 1]]
+        order[at : at + len(own)] = own
+        rank[own] = np.arange(at, at + len(own))
+        at += len(own)
     return order
 
 
@@ -105,72 +117,88 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 # -- anchors and segments -------------------------------------------------------------------------------------
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, anchor place, anchor hash) of the runs of strings of ``length`` bytes that share an anchor."""
-    window, n = length - gram + 1, len(data)
-    if n < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+def _anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Place of the anchor of each string of ``length`` bytes: by blocks of the window's size, from both sides."""
+    window = length - gram + 1
     sums = prefix_hash(data)
-    at = np.arange(n - gram + 1)
+    at = np.arange(len(data) - gram + 1)
     h = span_hash(sums, at, at + gram)
-    # Smallest (hash, place) of each window: by blocks of the window's size, from both sides. Places count within
-    # two blocks' reach, so the low bits order equal hashes from left to right.
+    # The low bits are places, so equal hashes go from left to right.
     bits = np.uint64(24)
-    out = np.empty(len(h) - window + 1, np.int64)
-    reach = 1 << 24
-    for lo in range(0, len(out), reach // 2):
-        hi = min(len(out), lo + reach // 2)
-        own = h[lo : hi + window - 1]
-        m = -(-len(own) // window) * window
-        key = np.full(m, np.iinfo(np.uint64).max, np.uint64)
-        key[: len(own)] = ((own >> bits) << bits) | np.arange(len(own), dtype=np.uint64)
-        grid = key.reshape(-1, window)
-        left = np.minimum.accumulate(grid, axis=1).reshape(-1)
-        right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        count = hi - lo
-        low = np.minimum(right[:count], left[window - 1 : window - 1 + count])
-        out[lo:hi] = (low & np.uint64(reach - 1)).astype(np.int64) + lo
-    first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))
-    last = np.append(first[1:] - 1, len(out) - 1)
-    place = out[first]
-    return first, last, place, h[place]
-
-
-SEGMENT = "text_key binary, anchor long, content binary, first int, last int, place int"
+    key = np.full(-(-len(h) // window) * window, np.iinfo(np.uint64).max, np.uint64)
+    key[: len(h)] = ((h >> bits) << bits) | at.astype(np.uint64)
+    grid = key.reshape(-1, window)
+    left = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    count = len(h) - window + 1
+    low = np.minimum(right[:count], left[window - 1 : window - 1 + count])
+    place = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return np.stack([place, h[place].view(np.int64)])
+
+
+def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, anchor place, anchor hash) of the runs of strings of ``length`` bytes that share an anchor."""
+    out: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(data) - length + 1, STARTS):
+        place, h = _anchors(data[lo : lo + STARTS + length - 1], length, gram)
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        last = np.append(first[1:] - 1, len(place) - 1)
+        if out and out[-1][2][-1] == place[0] + lo:
+            # The run goes on from the block before.
+            out[-1][1][-1] = last[0] + lo
+            first, last = first[1:], last[1:]
+        if len(first):
+            out.append((first + lo, last + lo, place[first] + lo, h[first]))
+    if not out:
+        return (np.empty(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def text_keys(texts: list[bytes]) -> np.ndarray:
+    """The two halves of each text's md5."""
+    return np.frombuffer(b"".join(hashlib.md5(t).digest() for t in texts), "<i8").reshape(-1, 2)
+
+
+def content_keys(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
+
+
+KEY = ["t1", "t2"]
+KIND = ["anchor", "c1", "c2"]
 
 
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each segment of each whole text; text_key is the md5 of the text, content identifies the segment's bytes."""
+    """(t1, t2, anchor, c1, c2, first, last, place): one row for each segment of each whole text; t is the text's key, c that of the segment's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                keys, found, content = [], [], []
+                found = []
                 for text in as_bytes(part.column("text")):
-                    if len(text) < length:
-                        continue
-                    first, last, place, h = anchors(np.frombuffer(text, np.uint8), length, gram)
-                    keys += [hashlib.md5(text).digest()] * len(first)
-                    found.append((h.view(np.int64), first, last, place))
-                    content += [xxhash.xxh3_128_digest(text[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
+                    if len(text) >= length:
+                        first, last, place, h = anchors(np.frombuffer(text, np.uint8), length, gram)
+                        key = np.broadcast_to(text_keys([text]), (len(first), 2))
+                        content = content_keys([text[a : b + length] for a, b in zip(first.tolist(), last.tolist())])
+                        found.append((key[:, 0], key[:, 1], h, content[:, 0], content[:, 1], first, last, place))
                 if found:
-                    h, first, last, place = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.binary()), pa.array(h), pa.array(content, pa.binary()), *(pa.array(x.astype(np.int32)) for x in (first, last, place))],
-                        ["text_key", "anchor", "content", "first", "last", "place"],
-                    )
+                    columns = [np.concatenate(x) for x in zip(*found)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:5]), *(pa.array(x.astype(np.int32)) for x in columns[5:])], [*KEY, *KIND, "first", "last", "place"])
+
+    return docs.select("text").mapInArrow(run, "t1 long, t2 long, anchor long, c1 long, c2 long, first int, last int, place int")
+
 
-    return docs.select("text").mapInArrow(run, SEGMENT)
+RUNS = "array<struct<a:int,b:int>>"
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def shared_starts(rows: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, starts array<struct<a, b>>): runs of strings (relative to the segment) that another segment of the anchor holds.
+def sorted_runs(kinds: DataFrame, length: int) -> DataFrame:
+    """(anchor, c1, c2, runs): strings, by first and last start in the segment, that another segment of the group holds too.
 
-    ``rows`` (anchor, content, bytes, starts): different segments, one row each. Whole anchors are gathered into blocks.
+    ``kinds`` (anchor, c1, c2, bytes): different segments, one row each. Whole groups are gathered into blocks.
     """
 
-    def sort_block(block: list[tuple]) -> tuple[list, list, list]:
-        parts = [np.frombuffer(r[2], np.uint8) for r in block]
+    def sort_block(block: list[tuple]) -> pa.RecordBatch:
+        parts = [np.frombuffer(r[3], np.uint8) for r in block]
         text = np.concatenate(parts)
         base = np.cumsum([0, *map(len, parts)])
         order = two_stage_suffix_array(text, length)
@@ -185,107 +213,173 @@ def shared_starts(rows: DataFrame, length: int) -> DataFrame:
         twice[:-1] |= same[1:]
         hit = np.zeros(len(text) + 1, bool)
         hit[order[twice]] = True
-        keys, contents, runs = [], [], []
+        rows = []
         for r, lo, p in zip(block, base, parts):
             own = np.diff(np.concatenate([[0], hit[lo : lo + len(p)].astype(np.int8), [0]]))
             a, b = np.flatnonzero(own == 1), np.flatnonzero(own == -1) - 1
             if len(a):
-                keys.append(r[0])
-                contents.append(r[1])
-                runs.append([{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist())])
-        return keys, contents, runs
-
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
+                rows.append((*r[:3], [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist())]))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [_RUNS])], [*KIND, "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "bytes"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in (*KIND, "bytes"))):
                 if size >= BLOCK and r[0] != last:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(sort_block(block), kinds)], ["anchor", "content", "runs"])
+                    yield sort_block(block)
                     block, size = [], 0
                 block.append(r)
-                size += len(r[2])
+                size += len(r[3])
                 last = r[0]
         if block:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(sort_block(block), kinds)], ["anchor", "content", "runs"])
+            yield sort_block(block)
+
+    dealt = kinds.select(*KIND, "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, f"anchor long, c1 long, c2 long, runs {RUNS}")
 
-    dealt = rows.select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor long, content binary, runs array<struct<a:int,b:int>>")
 
+def halves(kinds: DataFrame, length: int) -> DataFrame:
+    """(anchor, c1, c2, shift, g, d1, d2, lo, hi, low, high, bytes): each segment of ``kinds`` as its strings with the anchor in either half of the group's range.
 
-def counted_starts(rows: DataFrame, length: int) -> DataFrame:
-    """As shared_starts(), for anchors with very many segments: each string is hashed and counted, whatever the anchor."""
+    A string's offset is the anchor's place in it; a segment's offsets go from ``hi`` at its first start to ``lo`` at its last. ``low`` and ``high``
+    bound the group's offsets. All strings with offsets in [low, high] hold the bytes around the anchor that g is a hash of.
+    """
+    names = [*KIND, "shift", "g", "d1", "d2", "lo", "hi", "low", "high", "bytes"]
+    kinds_ = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, content, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "bytes"))):
-                n = len(text) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * n, pa.int64()), pa.array([content] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)], pa.binary())],
-                    ["anchor", "content", "a", "string"],
-                )
-
-    strings = rows.select("anchor", "content", "bytes").mapInArrow(run, "anchor long, content binary, a int, string binary")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    hits = strings.join(twice, "string", "left_semi").groupBy("anchor", "content").agg(F.collect_list("a").alias("a"))
-    return hits.select("anchor", "content", F.transform("a", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("runs"))
+            rows = []
+            for anchor, c1, c2, lo, hi, low, high, text in zip(*(batch.column(c).to_pylist() for c in (*KIND, "lo", "hi", "low", "high", "bytes"))):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    own_lo, own_hi = max(lo, a), min(hi, b)
+                    if own_lo > own_hi or a > b:
+                        continue
+                    shift = hi - own_hi
+                    part = text[shift : hi - own_lo + length]
+                    core = text[hi - a : hi - b + length]  # that is a to the left of the anchor, as it stands at ``hi``, to the end of string ``b``
+                    g = xxhash.xxh3_64_intdigest(core + b"%d:%d:%d" % (anchor, a, b)) - (1 << 63)
+                    rows.append((anchor, c1, c2, shift, g, *content_keys([part])[0].tolist(), own_lo, own_hi, a, b, part))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * len(names), kinds_)], names)
+
+    return kinds.mapInArrow(run, "anchor long, c1 long, c2 long, shift int, g long, d1 long, d2 long, lo int, hi int, low int, high int, bytes binary")
+
+
+def shared_runs(kinds: DataFrame, length: int, depth: int = 0) -> DataFrame:
+    """(anchor, c1, c2, runs) as sorted_runs(), for groups of any size; ``kinds`` (anchor, c1, c2, lo, hi, low, high, bytes) is a written table."""
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    counted = staged(kinds.join(sizes, "anchor"), f"suffix-groups-{depth}")
+    found = sorted_runs(counted.where(F.col("k") <= GIANT), length)
+    large = counted.where(F.col("k") > GIANT)
+    if large.isEmpty():
+        return found
+    parts = staged(halves(large.drop("k"), length), f"suffix-halves-{depth}")
+    whole = parts.groupBy("g", "d1", "d2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("lo", "hi", "low", "high", "bytes")))
+    whole = staged(whole, f"suffix-parts-{depth}")
+    renamed = {"g": "anchor", "d1": "c1", "d2": "c2"}
+    inner = staged(shared_runs(whole.drop("n").withColumnsRenamed(renamed), length, depth + 1), f"suffix-runs-{depth}")
+    own = whole.select("g", "d1", "d2", "n").join(inner.withColumnsRenamed({v: k for k, v in renamed.items()}), ["g", "d1", "d2"], "left").where("n > 1 or runs is not null")
+    full = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b")))
+    moved = F.transform(F.when(F.col("n") > 1, full).otherwise(F.col("runs")), lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b")))
+    back = parts.drop("bytes").join(own, ["g", "d1", "d2"]).select(*KIND, moved.alias("runs")).groupBy(*KIND).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return found.unionByName(back)
 
 
 def segment_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, bytes) of the segments in ``wanted`` (text_key, anchor, content, first, last)."""
-    own = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", "first", "last")).alias("own"))
-    texts = docs.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), F.col("text").cast("binary").alias("text"))
-    rows = texts.join(own, "text_key")
-    rows = rows.select("text", F.explode("own").alias("x"))
+    """(anchor, c1, c2, lo, hi, bytes) of the segments in ``wanted`` (t1, t2, anchor, c1, c2, first, last, place), a written table."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("t1").distinct(), "t1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = sent.value, set()
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                texts = [t for t in as_bytes(part.column("text")) if len(t) >= length]
+                keys = text_keys(texts)
+                rows = []
+                for k in np.flatnonzero(maybe(bits, np.ascontiguousarray(keys[:, 0]))).tolist() if texts else ():
+                    key = tuple(keys[k].tolist())
+                    if key not in seen:  # one of a task's copies is enough
+                        seen.add(key)
+                        rows.append((*key, texts[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.binary()))], [*KEY, "text"])
+
+    own = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*KIND, "first", "last", "place")).alias("own"))
+    rows = docs.select("text").mapInArrow(run, "t1 long, t2 long, text binary").join(own, KEY).select("text", F.explode("own").alias("x"))
     cut = F.substring(F.col("text"), F.col("x.first") + 1, F.col("x.last") - F.col("x.first") + length)
-    return rows.select("x.anchor", "x.content", cut.alias("bytes")).dropDuplicates(["anchor", "content"])
+    return rows.select("x.anchor", "x.c1", "x.c2", (F.col("x.place") - F.col("x.last")).alias("lo"), (F.col("x.place") - F.col("x.first")).alias("hi"), cut.alias("bytes"))
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(text_key, spans array<struct<a, b>>): first and last starts of strings of ``length`` bytes that also start elsewhere."""
+    """(t1, t2, spans array<struct<a, b>>): first and last starts of strings of ``length`` bytes that also start elsewhere."""
     found = staged(segments(docs, length, gram), "suffix-segments")
-    whole = Window.partitionBy("anchor")
-    kinds = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "last")).alias("one"))
-    kinds = kinds.withColumn("kinds", F.count("*").over(whole)).where("n > 1 or kinds > 1")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c1").alias("c_lo"), F.max("c1").alias("c_hi")).where("n > 1")
+    # Segments whose anchor occurs once go; written, so that a common anchor's rows can be split among tasks.
+    rows = staged(found.join(twice.select("anchor", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "anchor"), "suffix-repeats")
+    mixed = rows.where("mixed")
+    # All first() see the same rows in the same order, so they give one segment's values.
+    kinds = mixed.groupBy(*KIND).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*KEY, "first", "last", "place")))
     kinds = staged(kinds, "suffix-kinds")
-    sorted_ = kinds.where("kinds > 1").select("one.text_key", "anchor", "content", "one.first", "one.last", "kinds")
-    some = staged(segment_bytes(docs, sorted_, length).join(kinds.select("anchor", "content", "kinds"), ["anchor", "content"]), "suffix-bytes")
-    runs = shared_starts(some.where(F.col("kinds") <= GIANT), length).unionByName(counted_starts(some.where(F.col("kinds") > GIANT), length))
-    runs = kinds.select("anchor", "content", "n").join(staged(runs, "suffix-runs"), ["anchor", "content"], "left").where("n > 1 or runs is not null")
-    # Written, so that the next join reads both sides by fresh exchanges, which can be split where a segment is very common.
-    runs = staged(runs, "suffix-repeated")
-    back = found.join(runs, ["anchor", "content"])
+    cuts = staged(segment_bytes(docs, kinds, length), "suffix-cuts")
+    cuts = cuts.dropDuplicates(KIND).withColumns({"low": F.lit(0), "high": F.lit(length - gram)})
+    runs = staged(shared_runs(staged(cuts, "suffix-bytes"), length), "suffix-runs")
+    own = staged(kinds.select(*KIND, "n").join(runs, KIND, "left").where("n > 1 or runs is not null"), "suffix-repeated")
     full = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
-    starts = F.when(F.col("n") > 1, full).otherwise(F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))))
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
+    hits = mixed.join(own, KIND).select(*KEY, F.explode(F.when(F.col("n") > 1, full).otherwise(moved)).alias("x"))
+    hits = hits.unionByName(rows.where("not mixed").select(*KEY, F.struct(F.col("first").alias("a"), F.col("last").alias("b")).alias("x")))
     # Copies of a text have equal segments, so each is gathered once.
-    once = back.select("text_key", F.explode(starts).alias("x")).distinct()
-    return once.groupBy("text_key").agg(F.array_sort(F.collect_list("x")).alias("spans"))
+    return hits.distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("x")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row."""
+    spark = small_batches(docs.sparkSession)
     spans = staged(repeated_starts(docs, length, gram), "suffix-spans")
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
+    sent = spark.sparkContext.broadcast(id_filter(spans, "t1"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def results(ids: pa.Array, texts: list[bytes], spans: list) -> pa.RecordBatch:
+        rows = []
+        for text, own in zip(texts, spans):
+            kept, removed, merged, at = [], 0, 0, -1
+            for s in own or ():
+                lo, hi = s["a"], s["b"] + length
+                if lo > at:
+                    merged += 1
+                    kept.append(text[max(at, 0) : lo])
+                removed += hi - max(lo, at) if hi > at else 0
+                at = max(at, hi)
+            kept.append(text[max(at, 0) :])
+            left = b"".join(kept)
+            rows.append((len(text), removed, merged, hashlib.sha256(left).hexdigest(), left)[: 4 + keep_text])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]]:
         for batch in batches:
             for part in text_slices(batch, "text", 4 << 20):
-                rows = []
-                for text, own in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                    kept, removed, merged, at = [], 0, 0, -1
-                    for s in own or ():
-                        lo, hi = s["a"], s["b"] + length
-                        if lo > at:
-                            merged += 1
-                            kept.append(text[max(at, 0) : lo])
-                        removed += hi - max(lo, at) if hi > at else 0
-                        at = max(at, hi)
-                    kept.append(text[max(at, 0) :])
-                    left = b"".join(kept)
-                    rows.append((len(text), removed, merged, hashlib.sha256(left).hexdigest(), left)[: 4 + keep_text])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [x.split()[0] for x in schema.split(", ")])
-
-    return texts.join(spans, "text_key", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+                texts = as_bytes(part.column("text"))
+                keys = text_keys(texts)
+                yield part, texts, keys, maybe(sent.value, np.ascontiguousarray(keys[:, 0]))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, _, hit in parted(batches):
+            if not hit.all():
+                at = np.flatnonzero(~hit)
+                yield results(part.column("doc_id").take(pa.array(at)), [texts[i] for i in at.tolist()], [None] * len(at))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, keys, hit in parted(batches):
+            at = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at, 0]), pa.array(keys[at, 1]), part.column("doc_id").take(pa.array(at)).cast(pa.int64()), pa.array([texts[i] for i in at.tolist()], pa.binary())], [*KEY, "doc_id", "text"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 4 << 20):
+                yield results(part.column("doc_id"), part.column("text").to_pylist(), part.column("spans").to_pylist())
+
+    rows = docs.select("doc_id", "text")
+    touched = rows.mapInArrow(some, "t1 long, t2 long, doc_id long, text binary").join(spans, KEY, "left")
+    return rows.mapInArrow(whole, schema).unionByName(touched.select("doc_id", "text", "spans").mapInArrow(cut, schema))
