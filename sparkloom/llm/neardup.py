@@ -82,8 +82,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def parity_marks(hashes: np.ndarray) -> bytes:
+    """For each of MARKS hash values whether an odd number of the set's shingles has it: where two marks differ, only one of the sets has some shingle."""
+    return np.packbits(np.bincount((hashes % np.uint64(MARKS)).astype(np.int64), minlength=MARKS).astype(np.uint8) & 1).tobytes()
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every row; key and signature are null for empty sets."""
+    """(doc_id, n_shingles, set_key, signature, marks) of every row; all but the first two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,11 +100,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([signature(s).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([parity_marks(s) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "signature"],
+                    ["doc_id", "n_shingles", "set_key", "signature", "marks"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, marks binary")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -199,16 +205,19 @@ def neighbours(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(near: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, first): neighbours in some order whose signatures agree in ESTIMATE of their values; ``first``: in the first round."""
+    """(a, b, first): neighbours in some order whose signatures agree in ESTIMATE of their values and whose marks allow THRESHOLD; ``first``: in the first round."""
     pairs = near.where((F.col("kind") == PAIR) & (F.col("node") != F.col("other")))
     pairs = pairs.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.max(F.col("place") < FIRST_ORDERS).alias("first"))
-    sig = nodes.select("node", "signature")
-    both = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"), F.col("marks").alias(f"m{x}"), F.col("n_shingles").alias(f"n{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, VALUES) for c in ("sa", "sb"))
-            keep = pa.array((x == y).mean(axis=1) >= ESTIMATE)
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MARKS // 8) for c in ("ma", "mb"))
+            differ = np.unpackbits(u ^ v, axis=1).sum(axis=1, dtype=np.int64)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = pa.array(((x == y).mean(axis=1) >= ESTIMATE) & ((100 + THRESHOLD) * differ <= (100 - THRESHOLD) * total))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "first")], ["a", "b", "first"])
 
     return both.mapInArrow(agree, "a long, b long, first boolean")
@@ -223,14 +232,13 @@ def undecided(near: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def with_marks(sets: DataFrame) -> DataFrame:
-    """``sets`` (node, hashes) and marks: for each of MARKS hash values, whether an odd number of the set's shingles has it."""
+    """``sets`` (node, hashes) with their parity_marks() as 64-bit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("hashes")
             bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            odd = [np.bincount((values[i:j] % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1 for i, j in zip(bounds[:-1], bounds[1:])]
-            marks = np.packbits(np.array(odd, np.uint8).reshape(-1, MARKS), axis=1).reshape(-1).view(np.int64)
+            marks = np.frombuffer(b"".join(parity_marks(values[i:j]) for i, j in zip(bounds[:-1], bounds[1:])), np.int64)
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (MARKS // 64)
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.ListArray.from_arrays(pa.array(ends), pa.array(marks))], ["node", "hashes", "marks"])
 
@@ -299,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = staged(sketches(docs, words), "neardup-sketches")
     linkable = rows.where("doc_id is not null and set_key is not null")
-    nodes = staged(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "neardup-nodes")
+    nodes = staged(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("signature", "marks", "n_shingles"))), "neardup-nodes")
     near = staged(neighbours(nodes), "neardup-near")
     found = staged(candidates(near, nodes), "neardup-candidates")
     wanted = staged(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "neardup-wanted")
