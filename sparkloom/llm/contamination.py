@@ -1,42 +1,55 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
 
 Texts and items are compared as UTF-8 bytes, with A-Z lower-cased and each white space byte a blank. A document
-contains an item if a part of it lies within ``share`` of the item's length in edit distance. Items are cut into
-segments of up to SEGMENT bytes: if all edits are within ``share`` of the item, those of some segment are within
-``share`` of that segment, and its edits move its strings over few diagonals however long the item is. Windows of a
-segment's size are placed where short strings of that segment occur along one diagonal of the document. A CGK random
-walk turns a window and a segment into strings whose Hamming distance follows their edit distance; tables of sampled
-positions are looked up until the target recall is reached, and an exact approximate-matching pass of the whole item
-confirms every pair.
-
-Items shorter than GRAM bytes, which permit no edit, are searched for exactly.
-
-Items are handled in blocks of bounded size. Null or empty texts match nothing; items that are null or blank are never matched; repeated items and rows each give their own results. Documents are processed whole.
+contains an item if a part of it lies within ``share`` of the item's length in edit distance.
+
+Windows start at every word and at places that four bytes choose by their hash (one in 16, for texts without words).
+From each start of a document WALKS random CGK walks of STEPS steps embed what follows: a step copies the byte under
+the pointer, and a random bit for (step, byte) moves the pointer on, so that the Hamming distance of two walks
+follows the edit distance of what they walk over. TABLES tables for each walk sample SAMPLED positions; windows
+of a document and of an item that agree in one table are a hit, and a hit places a window of the item's size in the
+document. An item is entered with up to ENTERED of its starts, spread over its length. Each start is one more trial, so
+the chance to miss an item falls with the number of its starts: at edits of a tenth of the length, tests hold
+recall to 0.9 at least for items of SHORT bytes and more (measured: 0.97 to 1 at 100 bytes, 1 beyond 250). For what a hit places, shared three-byte strings bound the edit
+distance from below, which no match fails, and an exact approximate-matching pass confirms the rest.
+
+Items under SHORT bytes, where few windows fit, are found exactly: of the pieces that one more than the permitted
+edits cut an item into, one stands unchanged in every match.
+
+Items are handled in blocks of BLOCK_BYTES; each block is one scan of the documents. A worker's memory for a block grows
+with its items' starts, not with the longest item. Null or empty texts match nothing; items that are null or blank
+are never matched; repeated items and rows each give their own results; empty tables give empty results. Documents are
+processed whole, whatever their length, and other columns pass unread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, new_key, once, text_slices
+from .common import as_bytes, new_key, once, small_batches, text_slices
 
-GRAM = 8
 SHARE = 0.1
-#: A tenth of these are fewer diagonals than the 64 that windows() joins.
-SEGMENT = 512
-#: A string that more items than these have places no window.
-COMMON = 4
-#: Independent walks, tables for each and positions sampled by a table: where only a quarter of the positions agree, a pair is missed with probability (1 - 0.25**2) ** 144, below 0.0001.
-WALKS, TABLES, SAMPLED = 6, 24, 2
-BLOCK_BYTES = 16 << 20
+#: Steps of a walk, which cover about half as many bytes; independent walks, tables of each and positions sampled by a table.
+STEPS, WALKS, TABLES, SAMPLED = 40, 2, 3, 16
+#: Starts of an item that are entered, and length under which items are found by their pieces.
+ENTERED, SHORT = 64, 64
+BLOCK_BYTES = 2 << 20
+#: Bytes of a piece that are looked up.
+GRAM = 8
+#: Bytes of texts that are searched at once.
+SLICE = 1 << 19
 _NORMAL = bytes(0x20 if b in (0x20, *range(0x09, 0x0E)) else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-TABLE_BITS = 22
+#: Buckets of three-byte strings.
+_BUCKETS = 2048
+_MOVES = [np.random.default_rng(7_000 + w).integers(0, 2, (STEPS, 256), dtype=np.int64) for w in range(WALKS)]
+_PLACES = [np.stack([np.random.default_rng((w, t)).permutation(STEPS)[:SAMPLED] for t in range(TABLES)]) for w in range(WALKS)]
 
 
 def normal(text: bytes) -> bytes:
@@ -44,32 +57,77 @@ def normal(text: bytes) -> bytes:
     return text.translate(_NORMAL)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The GRAM bytes at each place as one number."""
-    n = max(0, len(data) - GRAM + 1)
-    return np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)) if n else np.empty(0, np.uint64)
+def padded(data: np.ndarray) -> np.ndarray:
+    """``data`` with bytes that no text holds behind it, as many as a walk may read."""
+    return np.concatenate([data, np.full(STEPS + GRAM, 0xFF, np.uint8)])
 
 
-def walk_bits(seed: int, steps: int) -> np.ndarray:
-    """The random walk: a bit for each step and byte."""
-    return np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
+def words_of(data: np.ndarray, size: int, count: int) -> np.ndarray:
+    """The 4 or 8 bytes from each of the first ``count`` places on as one number; ``data`` is padded."""
+    return np.ndarray((count,), f"<u{size}", data, strides=(1,))
 
 
-def cgk(texts: list[bytes], move: np.ndarray) -> np.ndarray:
-    """CGK embedding: each step copies the byte under the pointer, and the walk's bit for (step, byte) moves the pointer on."""
-    steps = len(move)
-    grid = np.zeros((len(texts), steps + 1), np.uint8)
-    for row, t in zip(grid, texts):
-        row[: len(t)] = np.frombuffer(t[: steps + 1], np.uint8)
-    out = np.empty((steps, len(texts)), np.uint8)
-    flat, at = grid.reshape(-1), np.arange(len(texts)) * (steps + 1)
-    for j in range(steps):
-        c = flat[at]
+def starts_of(data: np.ndarray, count: int) -> np.ndarray:
+    """Where windows start among the first ``count`` places: at words and where four bytes' hash says so."""
+    word = _WORD[data[:count]]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    chosen = (words_of(data, 4, count) * np.uint32(0x9E3779B1)) >> np.uint32(28) == 0
+    return np.flatnonzero(first | (chosen & word))
+
+
+def cgk(data: np.ndarray, at: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """CGK embedding of what follows each place of ``at``: (steps, places) bytes."""
+    out, at = np.empty((len(move), len(at)), np.uint8), at.copy()
+    for j, bits in enumerate(move):
+        c = data[at]
         out[j] = c
-        at += move[j][c]
+        at += bits[c]
     return out
 
 
+def window_keys(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """For each table the keys of the windows that start at ``at``: the sampled bytes of a walk, hashed with the table."""
+    for move, places in zip(_MOVES, _PLACES):
+        embedded = cgk(data, at, move)
+        for table, sampled in enumerate(places):
+            x = np.ascontiguousarray(embedded[sampled].T).view("<u4").astype(np.uint64)
+            h = np.full(len(at), int(move[:, 0] @ (1 << np.arange(STEPS) % 60)) * TABLES + table, np.uint64)
+            for column in x.T:
+                h = (h ^ column) * _SPREAD
+                h ^= h >> np.uint64(29)
+            yield h * _SPREAD
+
+
+class Lookup:
+    """Sorted keys with their entries, behind a bit filter."""
+
+    def __init__(self, keys: np.ndarray, entries: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.entries = entries[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+        self.shift = np.uint64(64 - max(16, len(keys).bit_length() + 4))
+        slot = self._slot(self.keys)
+        self.bits = np.zeros((1 << (64 - int(self.shift))) // 8, np.uint8)
+        np.bitwise_or.at(self.bits, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the key, entry) of all entries of all ``keys``."""
+        slot = self._slot(keys)
+        hit = np.flatnonzero((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+        at = np.searchsorted(self.keys, keys[hit])
+        at = np.minimum(at, len(self.keys) - 1)
+        same = self.keys[at] == keys[hit] if len(self.keys) else np.zeros(0, bool)
+        hit, at = hit[same], at[same]
+        n = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.entries[entry]
+
+
 def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
     """(least edit distance of ``pattern`` to a part of ``text``, end of the first such part), by bit-parallel columns."""
     m = len(pattern)
@@ -99,225 +157,148 @@ def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """``spans`` in order, those that overlap as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of all places of the ranges [lo, hi)."""
+    n = np.maximum(0, hi - lo)
+    return np.repeat(np.arange(len(lo)), n), np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+def histograms(bucket: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs at the places of each range."""
+    own, at = ranges(lo, hi)
+    return np.bincount(own * _BUCKETS + bucket[at], minlength=len(lo) * _BUCKETS).reshape(len(lo), _BUCKETS)
+
+
+def trigrams(data: np.ndarray, count: int) -> np.ndarray:
+    return ((words_of(data, 4, count) & np.uint32(0xFFFFFF)) * np.uint32(0x9E3779B1) >> np.uint32(21)).astype(np.int64)
 
 
 class ItemIndex:
-    """Benchmark items: where the short strings of their segments stand, and LSH tables of the segments' embeddings."""
+    """Benchmark items: LSH tables of their windows, and the pieces of those that are short."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE):
-        plain = [(i, t) for i, t in ((i, normal(t).strip(b" ")) for i, t in items) if t]
-        #: Items by number; those shorter than GRAM come last and have no segments.
-        self.items = sorted(plain, key=lambda x: len(x[1]) < GRAM)
-        long = sum(len(t) >= GRAM for _, t in self.items)
-        #: Short items by length: their bytes as sorted numbers, and their own numbers in that order.
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in {len(t) for _, t in self.items[long:]}:
-            own = [(int.from_bytes(t, "little"), k) for k, (_, t) in enumerate(self.items) if len(t) == n]
-            self.short[n] = tuple(np.array(x, d) for x, d in zip(zip(*sorted(own)), (np.uint64, np.int64)))
-        self.allowed = [int(share * len(t)) for _, t in self.items]
-        #: (item, offset, bytes) of each segment; the segments of an item are of equal size, but for a byte.
-        self.parts: list[tuple[int, int, bytes]] = []
-        for k, (_, t) in enumerate(self.items[:long]):
-            n = -(-len(t) // SEGMENT)
-            cuts = [len(t) * j // n for j in range(n + 1)]
-            self.parts += [(k, a, t[a:b]) for a, b in zip(cuts, cuts[1:])]
-        found = [grams(np.frombuffer(t, np.uint8)) for _, _, t in self.parts]
-        gram = np.concatenate(found) if found else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(found)), [len(g) for g in found])
-        place = np.concatenate([np.arange(len(g)) for g in found]) if found else item
-        # Common strings place no windows, unless they are most of what a segment has.
-        texts = {t: k for k, (_, t) in enumerate(self.items)}
-        kind = np.array([texts[self.items[k][1]] for k, _, _ in self.parts], np.int64)[item] if found else item
-        pair = np.unique(np.stack([gram, kind.astype(np.uint64)], axis=1), axis=0) if len(gram) else np.empty((0, 2), np.uint64)
-        own, count = np.unique(pair[:, 0], return_counts=True)
-        rare = count[np.searchsorted(own, gram)] <= COMMON if len(gram) else np.empty(0, bool)
-        has = np.bincount(item[rare], minlength=len(found))
-        rare |= (has < np.maximum(8, np.bincount(item, minlength=len(found)) // 3))[item] if len(gram) else rare
-        gram, self.item, self.place = gram[rare], item[rare], place[rare]
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], self.item[order], self.place[order]
-        total = np.bincount(self.item, minlength=len(found))
-        #: Votes on a diagonal that place a window: an edit spoils GRAM strings at most, so a tenth of edits leaves about a fifth.
-        self.votes = np.maximum(1, total // 6)
-        self.own, self.first, self.count = np.unique(self.gram, return_index=True, return_counts=True)
-        slot = (self.own * _SPREAD) >> np.uint64(64 - TABLE_BITS)
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[slot] = True
-        #: A string's number by its slot; where strings share a slot, one of them, and ``mixed`` says so.
-        self.number = np.zeros(1 << TABLE_BITS, np.int32)
-        self.number[slot] = np.arange(len(slot))
-        self.mixed = np.bincount(slot.astype(np.int64), minlength=1 << TABLE_BITS) > 1
-        self.buckets: dict[bytes, list[int]] = {}
-        #: All walks have as many steps as the longest segment needs, so segments and windows walk alike.
-        self.steps = 2 * max([1, *(len(t) for _, _, t in self.parts)])
-        self.walks = [walk_bits(7_000 + w, self.steps) for w in range(WALKS)]
-        texts = [t for _, _, t in self.parts]
-        for at in range(0, len(texts), 1024):
-            part = texts[at : at + 1024]
-            for k, keys in enumerate(self.keys(part, list(map(len, part))), at):
-                for key in keys:
-                    self.buckets.setdefault(key, []).append(k)
-
-    def keys(self, texts: list[bytes], lengths: list[int]) -> list[list[bytes]]:
-        """LSH keys of windows for segments of ``lengths``: walk, table, length and the bytes at sampled places within 2 * length steps."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        sizes = np.array(lengths)
-        for walk, move in enumerate(self.walks):
-            if not texts:
-                break
-            embedded = cgk(texts, move)
-            share = np.random.default_rng(walk).random((TABLES, SAMPLED))
-            for table in range(TABLES):
-                places = (share[table][:, None] * 2 * sizes).astype(np.int64)
-                sampled = np.ascontiguousarray(embedded[places, np.arange(len(texts))].T)
-                for own, row, n in zip(out, sampled, lengths):
-                    own.append(b"%d:%d:%d:" % (walk, table, n) + row.tobytes())
-        return out
-
-    def windows(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, segment) of windows: places whose diagonal, within one text, holds enough of a segment's strings; ``bounds``: where texts start."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
-        x = grams(data)
-        slot = ((x * _SPREAD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        at = np.flatnonzero(self.table[slot])
-        if len(at) == 0:
-            return none
-        own, slot = x[at], slot[at]
-        k = self.number[slot]
-        other = np.flatnonzero((self.own[k] != own) & self.mixed[slot])
-        k[other] = np.minimum(np.searchsorted(self.own, own[other]), len(self.own) - 1)
-        same = self.own[k] == own
-        at, k = at[same], k[same]
-        if len(at) == 0:
-            return none
-        n = self.count[k]
-        entry = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.item[entry]
-        diagonal = np.repeat(at, n) - self.place[entry] + 2**20
-        text = np.repeat(np.searchsorted(bounds, at, "right"), n)
-        # Votes are first counted by hash in two overlapping bucketings: what lies within 32 places shares a bucket of one
-        # of them, and equal hashes only add. Most votes stand alone and go.
-        width, need = 32, self.votes[item]
+        #: Items by number.
+        self.items = [(i, t) for i, t in ((i, normal(t).strip(b" ")) for i, t in items) if t]
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.allowed = (share * self.size).astype(np.int64)
+        joined = b"\xff".join(t for _, t in self.items)
+        #: Where items begin in the joined items.
+        self.base = np.concatenate([[0], np.cumsum(self.size + 1)])[:-1].astype(np.int64)
+        self.data = padded(np.frombuffer(joined, np.uint8))
+        self.bucket = trigrams(self.data, len(joined))
+        at = starts_of(self.data, len(joined))
+        item = np.searchsorted(self.base, at, "right") - 1
+        # A walk covers STEPS / 2 bytes mostly; from places nearer the end it would leave the item.
+        inside = (self.size[item] >= SHORT) & (at - self.base[item] <= self.size[item] - STEPS // 2)
+        at, item = at[inside], item[inside]
+        n = np.bincount(item, minlength=len(self.items))
+        nth = np.arange(len(item)) - np.concatenate([[0], np.cumsum(n)])[item]
+        most = np.minimum(n[item], ENTERED)
+        # Of n starts that many, evenly: those at which the running share reaches the next whole number.
+        spread = (nth * most) // np.maximum(1, n[item]) != ((nth - 1) * most) // np.maximum(1, n[item])
+        at, item = at[spread], item[spread]
+        #: Item and offset of each entry.
+        self.item, self.offset = item, at - self.base[item]
+        keys = list(window_keys(self.data, at)) if len(at) else [np.empty(0, np.uint64)]
+        self.windows = Lookup(np.concatenate(keys), np.tile(np.arange(len(at), dtype=np.int32), len(keys) if len(at) else 0))
+        # Pieces of short items, by the number of bytes that are looked up.
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for k in np.flatnonzero(self.size < SHORT).tolist():
+            text, parts = self.items[k][1], int(self.allowed[k]) + 1
+            for j in range(parts):
+                a, b = len(text) * j // parts, len(text) * (j + 1) // parts
+                own = text[a : min(b, a + GRAM)]
+                pieces.setdefault(len(own), []).append((int.from_bytes(own, "little"), k, a))
+        self.pieces = {}
+        for n, own in pieces.items():
+            keys, numbers, offsets = zip(*own)
+            self.pieces[n] = (Lookup(np.array(keys, np.uint64), np.arange(len(own), dtype=np.int32)), np.array(numbers, np.int64), np.array(offsets, np.int64))
+
+    def hits(self, data: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, offset) where a window or piece of an item agrees with the padded ``data``."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
+        if len(self.item):
+            at = starts_of(data, count)
+            for keys in window_keys(data, at):
+                k, entry = self.windows.find(keys)
+                found.append((at[k], self.item[entry], self.offset[entry]))
+        word = words_of(data, GRAM, count)
+        for n, (lookup, item, offset) in self.pieces.items():
+            k, entry = lookup.find(word & np.uint64((1 << 8 * n) - 1))
+            found.append((k, item[entry], offset[entry]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def places(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, lo, hi): where an item may stand in a text; ``bounds``: where texts start. No match around a hit is left out."""
+        at, item, offset = self.hits(data, int(bounds[-1]))
+        text = np.searchsorted(bounds, at, "right") - 1
+        diagonal = at - offset
+        order = np.lexsort((diagonal, item, text))
+        text, item, diagonal = text[order], item[order], diagonal[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > self.allowed[item[1:]] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(text)) - 1 if len(first) else first
+        text, item = text[first], item[first]
+        a = self.allowed[item]
+        lo = np.maximum(bounds[text], diagonal[first] - a)
+        hi = np.minimum(bounds[text + 1] - 1, diagonal[last] + self.size[item] + 2 * a)
+        # An edit changes three strings of three bytes at most.
+        need = self.size[item] - 2 - 3 * a
+        bucket = trigrams(data, int(bounds[-1]))
         keep = np.zeros(len(item), bool)
-        for shift in (0, width):
-            h = (((item * 1_000_003 + text) * 4_000_037 + (diagonal + shift) // (2 * width)).astype(np.uint64) * _SPREAD >> np.uint64(44)).astype(np.int64)
-            keep |= np.bincount(h, minlength=1 << 20)[h] >= need
-        item, diagonal, text = item[keep], diagonal[keep], text[keep]
-        if len(item) == 0:
-            return none
-        pairs, pair = np.unique(item.astype(np.int64) << 32 | text, return_inverse=True)
-        key = pair.astype(np.int64) << 36 | diagonal
-        key.sort()
-        pair, diagonal = key >> 36, key & ((1 << 36) - 1)
-        item = pairs[pair] >> 32
-        group = pair << 36 | diagonal // width
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        count = np.diff(np.append(first, len(group)))
-        name = group[first]
-        beside = np.zeros(len(name), np.int64)
-        joined = name[1:] == name[:-1] + 1
-        beside[:-1][joined] += count[1:][joined]
-        keep = np.flatnonzero(count + beside >= self.votes[item[first]])
-        # The diagonal with the most votes says where the window starts.
-        same = np.concatenate([[True], key[1:] != key[:-1]])
-        run = np.flatnonzero(same)
-        votes = np.diff(np.append(run, len(key)))
-        starts, items = [], []
-        for k in keep:
-            end = first[k] + count[k] + (beside[k] if k + 1 < len(name) else 0)
-            a, b = np.searchsorted(run, first[k]), np.searchsorted(run, end)
-            best = run[a + int(np.argmax(votes[a:b]))]
-            starts.append(int(diagonal[best]) - 2**20)
-            items.append(int(item[best]))
-        return np.array(starts, np.int64), np.array(items, np.int64)
-
-    def exact(self, data: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], int]:
-        """First place of each short item in each text, by (text, item)."""
-        first: dict[tuple[int, int], int] = {}
-        padded = np.concatenate([data, np.zeros(GRAM, np.uint8)])
-        word = grams(padded)[: len(data)]
-        for n, (own, items) in self.short.items():
-            # Texts are parted by 0xff, which no item holds, and what is padded comes after the last place.
-            x = word[: max(0, len(data) - n + 1)] & np.uint64((1 << 8 * n) - 1)
-            lo = np.searchsorted(own, x, "left")
-            at = np.flatnonzero(own[np.minimum(lo, len(own) - 1)] == x)
-            text = np.searchsorted(bounds, at, "right") - 1
-            code, place = np.unique(text * len(own) + lo[at], return_index=True)
-            for t, j, a in zip((code // len(own)).tolist(), (code % len(own)).tolist(), at[place].tolist()):
-                # Repeated items stand side by side.
-                for k in items[j : np.searchsorted(own, own[j], "right")].tolist():
-                    first[t, k] = a - int(bounds[t])
-        return first
+        cuts = np.cumsum(hi - lo + self.size[item] + _BUCKETS)
+        i = 0
+        while i < len(item):
+            j = max(i + 1, int(np.searchsorted(cuts, (cuts[i - 1] if i else 0) + (1 << 20), "right")))
+            own = item[i:j]
+            mine = histograms(self.bucket, self.base[own], self.base[own] + np.maximum(0, self.size[own] - 2))
+            keep[i:j] = np.minimum(histograms(bucket, lo[i:j], np.maximum(lo[i:j], hi[i:j] - 2)), mine).sum(axis=1) >= need[i:j]
+            i = j
+        return text[keep], item[keep], lo[keep], hi[keep]
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its (item number, distance, start, end), the best place of each item."""
-        joined = b"\xff".join(map(normal, texts))
-        data = np.frombuffer(joined, np.uint8)
-        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        start, part_of = self.windows(data, bounds)
-        middle = start + np.array([len(self.parts[p][2]) // 2 for p in part_of], np.int64)
-        text = np.searchsorted(bounds, middle, "right") - 1
-        own = set()
-        for s, p, t in zip(start.tolist(), part_of.tolist(), text.tolist()):
-            if 0 <= t < len(texts):
-                own.add((len(self.parts[p][2]), t, min(max(s, int(bounds[t])), int(bounds[t + 1]) - 1)))
-        own = sorted(own)
-        # Where an item may stand, by text and item; several segments of one item mostly say the same.
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i in range(0, len(own), 1024):
-            part = own[i : i + 1024]
-            cut = [joined[a : min(a + n, int(bounds[t + 1]) - 1)] for n, t, a in part]
-            for (_, t, a), keys in zip(part, self.keys(cut, [n for n, _, _ in part])):
-                for p in {p for key in keys for p in self.buckets.get(key, ())}:
-                    k, offset, _ = self.parts[p]
-                    allowed, n = self.allowed[k], len(self.items[k][1])
-                    lo, hi = a - offset - 2 * allowed - 32, a - offset + n + 2 * allowed + 64
-                    spans.setdefault((t, k), []).append((max(int(bounds[t]), lo), min(hi, int(bounds[t + 1]) - 1)))
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        for (t, k), places in spans.items():
-            allowed, pattern = self.allowed[k], self.items[k][1]
-            for lo, hi in merged(places):
-                near = joined[lo:hi]
-                at = near.find(pattern)
-                if at >= 0:
-                    hit = (0, lo + at, lo + at + len(pattern))
-                else:
-                    distance, end = best_match(pattern, near)
-                    if distance > allowed:
-                        continue
-                    back = best_match(pattern[::-1], near[:end][::-1])[1]
-                    hit = (distance, lo + end - back, lo + end)
-                hit = (hit[0], hit[1] - int(bounds[t]), hit[2] - int(bounds[t]))
-                found[t][k] = min(hit, found[t].get(k, hit))
-        for (t, k), a in self.exact(data, bounds).items() if self.short else ():
-            found[t][k] = (0, a, a + len(self.items[k][1]))
+        if not self.items:
+            return [[] for _ in texts]
+        joined = b"\xff".join([*map(normal, texts), b""])
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        for t, k, lo, hi in zip(*(x.tolist() for x in self.places(padded(np.frombuffer(joined, np.uint8)), bounds))):
+            pattern, near, start = self.items[k][1], joined[lo:hi], lo - int(bounds[t])
+            at = near.find(pattern)
+            if at >= 0:
+                hit = (0, start + at, start + at + len(pattern))
+            else:
+                distance, end = best_match(pattern, near)
+                if distance > self.allowed[k]:
+                    continue
+                hit = (distance, start + end - best_match(pattern[::-1], near[:end][::-1])[1], start + end)
+            found[t][k] = min(hit, found[t].get(k, hit))
         return [[(k, *own[k]) for k in sorted(own)] for own in found]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, distance, start, end): every item that a document contains, at its best place (byte offsets)."""
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame, share: float) -> Iterator[Callable[[], ItemIndex]]:
+    """For each block of items a function that gives a worker its index, made once."""
+    spark = small_batches(benchmark.sparkSession)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    out = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
         sent = spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in own])
+        yield lambda sent=sent, key=new_key(): once("items", key, lambda: ItemIndex(sent.value, share))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=new_key()) -> Iterator[pa.RecordBatch]:
-            index = once("items", key, lambda: ItemIndex(sent.value, share))
+
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, distance, start, end): every item that a document contains, at its best place (byte offsets)."""
+    out = None
+    for made in item_blocks(benchmark, share):
+
+        def run(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            index = made()
             for batch in batches:
-                for part in text_slices(batch, "text"):
+                for part in text_slices(batch, "text", SLICE):
                     ids = part.column("doc_id").cast(pa.int64()).to_pylist()
                     rows = [(i, index.items[k][0], d, a, b) for i, own in zip(ids, index.search(as_bytes(part.column("text")))) for k, d, a, b in own]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 5)], ["doc_id", "item_id", "distance", "start", "end"])
@@ -328,5 +309,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Data
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """``docs`` without those that contain an item; all columns stay. Rows with a null doc_id stay."""
-    return docs.join(matches(docs, benchmark, share).select("doc_id").distinct(), "doc_id", "left_anti")
+    """``docs`` without the rows whose text contains an item; all columns stay, whatever their names, and nothing is shuffled.
+
+    Each row is judged by its own text: rows with a null or empty text stay, and so do rows with a null doc_id and a clean text.
+    """
+    for made in item_blocks(benchmark, share):
+
+        def run(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            index = made()
+            for batch in batches:
+                for part in text_slices(batch, "text", SLICE):
+                    yield part.filter(pa.array([not own for own in index.search(as_bytes(part.column("text")))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
