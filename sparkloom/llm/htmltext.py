@@ -1,13 +1,20 @@
 """HTML extraction by layout: a tree builder with implied tags and visibility rules, then rendering.
 
 The tree builder opens and closes tags as HTML implies them (paragraphs end before blocks, list items, table
-cells and rows end before the next, stray end tags are ignored, open elements end with their parent). Hidden
-elements (script, style, head and the like, the hidden attribute, display:none, visibility:hidden, hidden inputs)
-give no text. Rendering emits all visible text: blocks on lines of their own, an empty line around paragraphs and
-headings, list marks with indentation, aligned table cells, and preformatted text as it is.
-
-Null and empty pages give an empty text. Text without any tag is one paragraph. Pages are handled one by one, whole;
-nesting beyond MAX_DEPTH is flattened into its parent. Repeated rows give equal values, whatever other columns hold.
+cells and rows end before the next, stray end tags are ignored, open elements end with their parent). Rendering emits
+all visible text: blocks on lines of their own, an empty line around paragraphs and headings, list marks with
+indentation, cells aligned in their columns (colspan and rowspan included), and preformatted text as it is.
+
+Not displayed are script, style, head and the like, the hidden attribute, display:none and hidden inputs, with all
+they hold. visibility:hidden and collapse hide text until an element inside is visible again. Of svg the text elements
+are shown, of math all but annotations. What browsers show only where they can't do something (noscript, the content of
+object, audio, video, canvas and iframe) is left out by choice.
+
+A tag ends at the first ``>`` outside its quoted values; a tag that never ends takes the rest of the page with it, as in
+browsers, and a quote that never closes is an ordinary character. Every character is looked at a bounded number of times, so broken
+pages take time in proportion to their length. Null and empty pages give an empty text. Text without any tag is one
+paragraph. Pages are handled one by one, whole; nesting beyond MAX_DEPTH is flattened into its parent, but what is not
+displayed stays so. Repeated rows give equal values, whatever other columns hold; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,15 +26,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, text_slices
+from .common import as_bytes, small_batches, text_slices
 
-MAX_DEPTH = 400
+MAX_DEPTH = 300
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object datalist canvas audio video svg math".split())
+GONE = frozenset("head script style template noscript title meta link base iframe noembed noframes object datalist canvas audio video annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre section summary table ul tr caption thead tbody tfoot td th hr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure dl ul ol hr".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+FOREIGN = frozenset({"svg", "math"})
+#: Largest spans that HTML allows.
+COLSPAN, ROWSPAN = 1_000, 65_534
 #: An opening tag ends these open elements, as far as the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -45,18 +55,29 @@ ENDS = {
 }
 #: Elements through which an end tag or an implied end does not reach.
 WALLS = frozenset({"table", "td", "th", "caption", "template", "html", "body"})
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NAME = re.compile(r"[^\s/>]*")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+SIGHT = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACE = " \t\n\r\f"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hidden", "tag")
+    """An element; ``hidden``: not displayed at all; ``sight``: whether its text is visible, None as its parent's."""
+
+    __slots__ = ("attrs", "children", "hidden", "sight", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children, self.attrs = tag, [], attrs
-        self.hidden = tag in HIDDEN or bool(attrs) and _unseen(tag, attrs)
+        self.hidden, self.sight = tag in GONE, None
+        low = attrs.lower()
+        if not self.hidden and ("hidden" in low or "style" in low):
+            a = attributes(attrs)
+            style = a.get("style", "")
+            self.hidden = "hidden" in a or tag == "input" and a.get("type", "").lower() == "hidden" or bool(UNSEEN.search(style))
+            seen = SIGHT.findall(style)
+            self.sight = seen[-1].lower() == "visible" if seen else None
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -68,65 +89,120 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _unseen(tag: str, raw: str) -> bool:
-    low = raw.lower()
-    if "hidden" not in low and "style" not in low:
-        return False
-    a = attributes(raw)
-    return "hidden" in a or tag == "input" and a.get("type", "").lower() == "hidden" or bool(UNSEEN.search(a.get("style", "")))
+def span_of(node: Node, name: str, most: int) -> int:
+    value = attributes(node.attrs).get(name, "1").strip() if node.attrs else "1"
+    return max(1, min(int(value), most)) if value.isascii() and value.isdigit() and len(value) < 10 else 1
+
+
+class Tokens:
+    """The tags and texts of a page: (kind, name or text, attributes), with kinds ``text``, ``open`` and ``close``."""
+
+    def __init__(self, source: str):
+        self.source, self.at = source, 0
+        self.unclosed: set[str] = set()  # quotes that do not occur any more
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes start at ``at``, -1 without one."""
+        source = self.source
+        while m := STOP.search(source, at):
+            c, at = m.group(), m.end()
+            if c == ">":
+                return m.start()
+            # A quote opens a value only behind an equals sign.
+            if c not in self.unclosed and source[max(0, at - 65) : at - 1].rstrip(SPACE).endswith("="):
+                to = source.find(c, at)
+                if to < 0:
+                    self.unclosed.add(c)
+                else:
+                    at = to + 1
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        source, n = self.source, len(self.source)
+        text = 0  # where the text that has not been given yet starts
+        while self.at < n:
+            at = source.find("<", self.at)
+            if at < 0 or at + 1 >= n:
+                break
+            c = source[at + 1]
+            name = at + 2 if c == "/" else at + 1
+            letter = source[name : name + 1]
+            if not (letter.isascii() and letter.isalpha()) and c not in "!?/":
+                self.at = at + 1
+                continue
+            if at > text:
+                yield "text", source[text:at], ""
+            if source.startswith("<!--", at):
+                to = source.find("-->", at + 4)
+                to = n if to < 0 else to + 3
+            elif c in "!?" or not (letter.isascii() and letter.isalpha()):
+                to = source.find(">", at)
+                to = n if to < 0 else to + 1
+            else:
+                end = NAME.match(source, name).end()
+                to = self.tag_end(end)
+                if to < 0:
+                    self.at = text = n
+                    return
+                self.at = text = to + 1
+                yield "close" if c == "/" else "open", source[name:end].lower(), source[end:to]
+                text = self.at  # raw text may have been taken
+                continue
+            self.at = text = to
+        if text < n:
+            yield "text", source[text:], ""
+
+    def raw(self, tag: str) -> str:
+        """What stands before the end tag of ``tag``, which is passed."""
+        source, n = self.source, len(self.source)
+        stop = re.compile(f"</{tag}(?=[\\s/>]|$)", re.I).search(source, self.at)
+        to = stop.start() if stop else n
+        own, after = source[self.at : to], source.find(">", to) if stop else -1
+        self.at = after + 1 if after >= 0 else n
+        return own
 
 
 def build(source: str) -> Node:
     """Tree of ``source``, with the tags that it leaves out."""
     root = Node("html")
-    stack, at, n = [root], 0, len(source)
+    stack, tokens = [root], Tokens(source)
 
     def close(names, walls) -> None:
+        at = len(stack)
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
-                return close(names, walls)
-            if stack[i].tag in walls:
-                return None
-
-    while at < n:
-        m = TOKEN.search(source, at)
-        if m is None or m.start() > at:
-            text = source[at : m.start()] if m else source[at:]
-            if text:
-                tag = stack[-1].tag
-                if tag in ("table", "tr", "tbody", "thead", "tfoot") and not text.strip(SPACE):
-                    pass
-                else:
-                    stack[-1].children.append(html.unescape(text) if "&" in text else text)
-        if m is None:
-            break
-        at = m.end()
-        end, tag = m.group(1), m.group(2)
-        if end:
-            end = end.lower()
-            if end == "p" and not any(x.tag == "p" for x in stack):
+                at = i
+            elif stack[i].tag in walls:
+                break
+        del stack[at:]
+
+    # Beyond MAX_DEPTH elements are not opened; after one that is not displayed all is passed up to its own end tag.
+    dead, depth = "", 0
+    for kind, tag, raw in tokens:
+        if depth:
+            if tag == dead and kind != "text":
+                depth += 1 if kind == "open" else -1
+        elif kind == "text":
+            if stack[-1].tag not in ("table", "tr", "tbody", "thead", "tfoot") or tag.strip(SPACE):
+                stack[-1].children.append(html.unescape(tag) if "&" in tag else tag)
+        elif kind == "close":
+            if tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
-            elif end == "br":
+            elif tag == "br":
                 stack[-1].children.append(Node("br"))
-            else:
-                walls = WALLS - {end} if end in ("table", "td", "th", "caption", "template") else WALLS
-                if end in ("tr", "thead", "tbody", "tfoot"):
+            elif tag not in ("html", "body"):
+                walls = WALLS - {tag} if tag in ("table", "td", "th", "caption", "template") else WALLS
+                if tag in ("tr", "thead", "tbody", "tfoot"):
                     walls = frozenset({"table", "template", "body"})
-                elif end == "table":
+                elif tag == "table":
                     walls = frozenset({"template", "body"})
-                elif end in ("html", "body"):
-                    continue
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == end:
+                    if stack[i].tag == tag:
                         del stack[i:]
                         break
                     if stack[i].tag in walls:
                         break
-        elif tag:
-            tag = tag.lower()
-            if tag == "html":
-                continue
+        elif tag != "html":
             if tag in BLOCKS and any(x.tag == "p" for x in stack[-4:]):
                 close({"p"}, WALLS | {"button", "object"})
             if tag in HEADING and stack[-1].tag in HEADING:
@@ -135,20 +211,18 @@ def build(source: str) -> Node:
                 close(*ENDS[tag])
             if tag in ("td", "th") and stack[-1].tag != "tr" and any(x.tag == "table" for x in stack):
                 stack.append(_put(stack, Node("tr")))
-            if tag not in HIDDEN and stack[-1].tag == "head":
+            if tag not in GONE and stack[-1].tag == "head":
                 stack.pop()
-            raw = m.group(3)
             node = _put(stack, Node(tag, raw))
             if tag in RAW:
-                # Raw text ends at its own end tag only.
-                stop = re.compile(f"</{tag}(?=[\\s/>]|$)", re.I).search(source, at)
-                to = stop.start() if stop else n
+                own = tokens.raw(tag)
                 if not node.hidden:
-                    node.children.append(html.unescape(source[at:to]))
-                after = source.find(">", to) if stop else n
-                at = after + 1 if after >= 0 else n
-            elif tag not in VOID and not (raw.endswith("/") and tag in ("svg", "math")) and len(stack) < MAX_DEPTH:
-                stack.append(node)
+                    node.children.append(html.unescape(own))
+            elif tag not in VOID and not (raw.endswith("/") and (tag in FOREIGN or any(x.tag in FOREIGN for x in stack))):
+                if len(stack) < MAX_DEPTH:
+                    stack.append(node)
+                elif node.hidden or node.sight is False:
+                    node.hidden, dead, depth = True, tag, 1
     return root
 
 
@@ -167,9 +241,8 @@ class _Lines:
         self.lead = ""
 
     def text(self, s: str) -> None:
-        if self.now:
-            if s[0] in SPACE and not self.now[-1].endswith(" "):
-                self.now.append(" ")
+        if self.now and s[0] in SPACE and not self.now[-1].endswith(" "):
+            self.now.append(" ")
         words = s.split(None) if s.isascii() else re.split("[ \t\n\r\f]+", s.strip(SPACE))
         body = " ".join(words)
         if body:
@@ -193,9 +266,12 @@ class _Lines:
         self.blank = True
 
 
-def _render(node: Node, out: _Lines, depth: int = 0) -> None:
+def _render(node: Node, out: _Lines, seen: bool = True, drawing: bool = False) -> None:
+    """``seen``: text is visible; ``drawing``: inside svg, where only text elements show theirs."""
     for x in node.children:
         if x.__class__ is str:
+            if not seen or drawing:
+                continue
             if x.strip(SPACE):
                 out.text(x)
             elif out.now and not out.now[-1].endswith(" "):
@@ -203,56 +279,60 @@ def _render(node: Node, out: _Lines, depth: int = 0) -> None:
             continue
         if x.hidden:
             continue
-        tag = x.tag
-        if tag == "br":
-            out.line(force=True)
+        tag, own = x.tag, seen if x.sight is None else x.sight
+        if drawing or tag == "svg":
+            inside = tag not in ("text", "foreignobject")
+            for again in (True, False):
+                if not inside and out.now and not out.now[-1].endswith(" "):
+                    out.now.append(" ")
+                if again:
+                    _render(x, out, own, inside)
+        elif tag == "br":
+            out.line(force=own)
         elif tag == "img":
             alt = attributes(x.attrs).get("alt", "")
-            if alt.strip(SPACE):
+            if own and alt.strip(SPACE):
                 out.text(alt)
         elif tag == "input":
             value = attributes(x.attrs)
-            if value.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email") and value.get("value", "").strip(SPACE):
+            if own and value.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email") and value.get("value", "").strip(SPACE):
                 out.text(value["value"])
         elif tag == "hr":
             out.space()
         elif tag == "pre":
             out.space()
-            for s in _plain(x).strip("\n").split("\n"):
-                out.now = [s]
-                out.line(force=True)
+            text = _plain(x, own)
+            if text.strip():
+                for s in text.strip("\n").split("\n"):
+                    out.now = [s]
+                    out.line(force=True)
             out.space()
         elif tag == "table":
             out.space()
-            for s in _table(x):
+            for s in _table(x, own):
                 out.now = [s]
                 out.line()
             out.space()
         elif tag in ("ul", "ol", "menu"):
-            if node.tag == "li":
-                out.line()
-            else:
-                out.space()
-            _list(x, out)
-            if node.tag == "li":
-                out.line()
-            else:
-                out.space()
+            inner = node.tag == "li"
+            out.line() if inner else out.space()
+            _list(x, out, own)
+            out.line() if inner else out.space()
         elif tag in BLOCKS:
             out.space() if tag in SPACED else out.line()
             lead = out.lead
             if tag in ("blockquote", "dd"):
                 out.lead = lead + "  "
-            _render(x, out)
+            _render(x, out, own)
             if tag in ("blockquote", "dd"):
                 out.line()
                 out.lead = lead
             out.space() if tag in SPACED else out.line()
         else:
-            _render(x, out)
+            _render(x, out, own)
 
 
-def _list(node: Node, out: _Lines) -> None:
+def _list(node: Node, out: _Lines, seen: bool) -> None:
     try:
         number = int(attributes(node.attrs).get("start", "1")) if node.tag == "ol" and node.attrs else 1
     except ValueError:
@@ -260,7 +340,7 @@ def _list(node: Node, out: _Lines) -> None:
     lead = out.lead if not out.lead.strip() else " " * len(out.lead)
     for x in node.children:
         if x.__class__ is str:
-            if x.strip(SPACE):
+            if seen and x.strip(SPACE):
                 out.text(x)
             continue
         if x.hidden:
@@ -269,73 +349,106 @@ def _list(node: Node, out: _Lines) -> None:
             out.line()
             out.lead = lead + (f"{number}. " if node.tag == "ol" else "- ")
             number += 1
-            _render(x, out)
+            _render(x, out, seen if x.sight is None else x.sight)
             out.line()
             out.lead = lead
         else:
             holder = Node("div")
             holder.children.append(x)
-            _render(holder, out)
+            _render(holder, out, seen)
     out.lead = lead
 
 
-def _plain(node: Node) -> str:
-    return "".join(x if x.__class__ is str else "\n" if x.tag == "br" else "" if x.hidden else _plain(x) for x in node.children)
+def _plain(node: Node, seen: bool) -> str:
+    parts = []
+    for x in node.children:
+        if x.__class__ is str:
+            parts.append(x if seen else "")
+        elif x.tag == "br":
+            parts.append("\n")
+        elif not x.hidden:
+            parts.append(_plain(x, seen if x.sight is None else x.sight))
+    return "".join(parts)
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node, seen: bool) -> Iterator[tuple[Node, bool]]:
+    """Rows and captions of a table, with whether their text is visible."""
     for x in node.children:
-        if x.__class__ is not str and not x.hidden:
+        if x.__class__ is str:
+            if x.strip(SPACE):
+                row = Node("caption")
+                row.children.append(x)
+                yield row, seen
+        elif not x.hidden:
+            own = seen if x.sight is None else x.sight
             if x.tag in ("tr", "caption"):
-                yield x
+                yield x, own
             elif x.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                yield from _rows(x)
+                yield from _rows(x, own)
             else:
                 row = Node("tr")
                 row.children.append(x)
-                yield row
-        elif x.__class__ is str and x.strip(SPACE):
-            row = Node("caption")
-            row.children.append(x)
-            yield row
+                yield row, seen
 
 
-def _inside(node: Node) -> list[str]:
+def _inside(node: Node, seen: bool) -> list[str]:
     out = _Lines()
-    _render(node, out)
+    _render(node, out, seen)
     out.line()
     return [s for s in out.done if s]
 
 
-def _table(node: Node) -> list[str]:
-    """Lines of a table: cells side by side, each column as wide as its widest cell."""
-    grid: list[list[list[str]] | list[str]] = []
-    for row in _rows(node):
+def _table(node: Node, seen: bool) -> list[str]:
+    """Lines of a table: cells side by side, each in its column, which is as wide as its widest cell; columns without text take no room."""
+    grid: list[list[str] | dict[int, list[str]]] = []
+    open_: list[tuple[int, int, int]] = []  # (first column, end, end row) of what cells above still span
+    for number, (row, shown) in enumerate(_rows(node, seen)):
         if row.tag == "caption":
-            grid.append(_inside(row))
+            grid.append(_inside(row, shown))
             continue
-        cells: list[list[str]] = []
+        cells: dict[int, list[str]] = {}
+        open_ = [x for x in open_ if x[2] > number]
+        column, beside, spans = 0, 0, []
         for x in row.children:
             if x.__class__ is str:
-                if x.strip(SPACE):
-                    cells.append([" ".join(x.split())])
-            elif not x.hidden:
-                cells.append(_inside(x))
-                span = attributes(x.attrs).get("colspan", "1") if x.attrs else "1"
-                cells += [[]] * (min(int(span), 100) - 1 if span.isdigit() else 0)
-        grid.append([c if isinstance(c, list) else [c] for c in cells])
+                if not (shown and x.strip(SPACE)):
+                    continue
+                lines, wide, tall = [" ".join(x.split())], 1, 1
+            elif x.hidden:
+                continue
+            else:
+                lines, wide, tall = _inside(x, shown if x.sight is None else x.sight), span_of(x, "colspan", COLSPAN), span_of(x, "rowspan", ROWSPAN)
+            while beside < len(open_) and open_[beside][0] <= column:
+                column = max(column, open_[beside][1])
+                beside += 1
+            if lines:
+                cells[column] = lines
+            if tall > 1:
+                spans.append((column, column + wide, number + tall))
+            column += wide
+        if spans:
+            merged: list[tuple[int, int, int]] = []
+            for x in sorted(open_ + spans):
+                if merged and merged[-1][1] == x[0] and merged[-1][2] == x[2]:
+                    merged[-1] = (merged[-1][0], *x[1:])
+                else:
+                    merged.append(x)
+            open_ = merged
+        grid.append(cells)
     width: dict[int, int] = {}
-    rows = [r for r in grid if not (r and isinstance(r[0], str))]
-    for r in rows:
-        for i, c in enumerate(r):
-            width[i] = max([width.get(i, 0), *map(len, c)])
+    for r in grid:
+        if isinstance(r, dict):
+            for i, c in r.items():
+                width[i] = max([width.get(i, 0), *map(len, c)])
+    columns = sorted(width)
     out: list[str] = []
     for r in grid:
-        if r and isinstance(r[0], str):
+        if isinstance(r, list):
             out += r
             continue
-        for k in range(max([0, *map(len, r)])):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(r)).rstrip(" "))
+        last = max(r, default=-1)
+        for k in range(max([0, *map(len, r.values())])):
+            out.append("  ".join((r[i][k] if i in r and k < len(r[i]) else "").ljust(width[i]) for i in columns if i <= last).rstrip(" "))
     return out
 
 
@@ -349,11 +462,12 @@ def render(source: str) -> str:
 
 def visible_text(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_chars) of every page."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "html"):
-                texts = [render(x.decode()) for x in as_bytes(part.column("html"))]
+                texts = [render(x.decode("utf-8", "replace")) for x in as_bytes(part.column("html"))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "text", "n_chars"])
 
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string, n_chars long")
