@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -260,12 +261,54 @@ def test_audio_round_trip(spark):
 def test_resample_keeps_a_tone():
     t = np.arange(16_000) / 16_000
     x = np.sin(2 * np.pi * 440 * t).astype(np.float32)
-    for up, down in ((1, 2), (2, 3), (3, 1)):
+    for up, down in ((1, 2), (2, 3), (3, 4), (3, 1)):
         y = audio.resample(x, up, down)
         peak = np.abs(np.fft.rfft(y)).argmax() * (16_000 * up / down) / len(y)
         assert abs(peak - 440) < 2 and 0.8 < np.abs(y[500:-500]).max() < 1.2
 
 
+@pytest.mark.parametrize(("up", "down"), [(3, 4), (1, 2), (2, 1), (5, 3)])
+def test_resample_by_brute_force(up, down):
+    """Zeros between inputs, the whole filter at the higher rate, then every ``down``-th value."""
+    x, taps = np.random.default_rng(up).normal(size=203), audio.TAPS
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    full = np.convolve(wide, audio.low_pass(up, down, taps))[taps * up :][: len(x) * up]
+    want = np.array([full[m * down] for m in range(audio.resampled_size(len(x), up, down))])
+    assert np.allclose(audio.resample(x.astype(np.float32), up, down), want, atol=1e-4)
+    assert np.allclose(audio.resample(x.astype(np.float32), up, down, lo=31, hi=77), want[31:77], atol=1e-4)
+
+
+@pytest.mark.parametrize("step", [3, audio.STEP])
+def test_features_by_direct_transform(monkeypatch, step):
+    """Frames by a direct Fourier sum over the whole resampled signal; tensors and time spans read back from the stored stream."""
+    monkeypatch.setattr(audio, "STEP", step)
+    data = b"".join(prose(400).encode()[:3_000] + b"\x80" * 2_000 for _ in range(3))[: 576 * 21]
+    payload = audio.pad_payload(data)
+    x = audio.resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
+    rate, n = audio.RATE * audio.UP / audio.DOWN, audio.frame_count(len(x))
+    x = np.concatenate([x, np.zeros((n - 1) * audio.HOP + audio.FRAME - len(x))])
+    t, bank = np.arange(audio.FRAME), audio.mel_bank(rate)
+    wave_ = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), t) / audio.FRAME)
+    frames = [x[i * audio.HOP : i * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME) for i in range(n)]
+    want = np.array([np.log(np.abs(wave_ @ f) ** 2 @ bank + 1e-6) for f in frames])
+    array, spans, active, count = audio.features(payload)
+    table = pa.ipc.open_stream(audio.tensor_stream(array, spans)).read_all()
+    got = table["tensor"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+    assert count == n and n > audio.FRAMES and got.shape == (2 * audio.FRAMES, audio.MELS)
+    assert np.abs(got[:n] - want).max() < 0.02 and not got[n:].any()
+    assert table["start_s"].to_pylist() == [0, audio.FRAMES * audio.HOP / rate] and table["end_s"].to_pylist()[-1] == ((n - 1) * audio.HOP + audio.FRAME) / rate
+    energy, on, spans_ = np.array([np.mean(f * f) for f in frames]), False, []
+    for i, e in enumerate(energy):
+        if not on and e > audio.HIGH * energy.mean():
+            spans_.append([i, n])
+            on = True
+        elif on and e < audio.LOW * energy.mean():
+            spans_[-1][1] = i
+            on = False
+    assert len(spans_) > 1 and np.allclose(active, [[a * audio.HOP / rate, ((b - 1) * audio.HOP + audio.FRAME) / rate] for a, b in spans_])
+
+
 def test_hysteresis():
     assert audio.hysteresis(np.array([0, 0, 9, 3, 3, 0, 9, 9.0]), 1.2, 0.5).tolist() == [[2, 5], [6, 8]]
 
@@ -283,11 +326,72 @@ def test_hysteresis():
     ("<pre>  keep\n   this</pre>", "  keep\n   this"),
     ("plain text", "plain text"),
     ("", ""),
+    ("a<svg><title>no</title><text>one</text><text>two</text><path d=x /></svg>b", "a one two b"),
+    ("<math><mi>x</mi><mo>=</mo><annotation>tex</annotation></math>", "x="),
+    ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span>no</div>", "yes"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td colspan=2>wide<td>x<tr><td>a<td>bb<td>y</table>", "wide      x\na     bb  y"),
+    ("<p title='a>b' class=\"c\">x</p><b don't>y</b>", "x\n\ny"),
+    ("<noscript>no</noscript><object>no</object>a < b </> c", "a < b c"),
+    ("x<!-- never ends <p>y", "x"),
+    ("x<a href='never ends>y</a>z", "xyz"),
+    ("x<a never ends", "x"),
 ])
 def test_html(page, text):
     assert htmltext.render(page) == text
 
 
+def test_broken_pages_take_linear_time():
+    for page in ("<a " * 200_000, "<a href='" * 100_000, '<a "' * 100_000 + ">", "<!--" * 100_000, "</" * 200_000, "<" * 200_000, "<script>" * 50_000, "<p>" * 100_000, "<b>" * 100_000, "&" * 200_000, "<td>" * 50_000, "<table>" * 20_000, "<div hidden>" * 50_000, "<tr><td rowspan=9999>" * 5_000):
+        began = time.time()
+        htmltext.render(page)
+        assert time.time() - began < 8, page[:20]
+
+
+def test_hidden_beyond_the_deepest_level():
+    page = "<div>" * 450 + "<p hidden>SECRET<p>no</p></p>seen<i style='visibility:hidden'>SECRET</i> end"
+    assert "SECRET" not in htmltext.render(page) and "seen" in htmltext.render(page)
+
+
+def test_rendering_by_brute_force():
+    """Random trees of blocks, inline elements, breaks and invisible parts, against text collected by plain rules."""
+    rng = random.Random(12)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.choice(["text", "text", "br", "div", "p", "span", "hidden", "unseen", "seen"]) if depth < 4 else "text"
+            inner = rng.choice(WORDS) if kind == "text" else [] if kind == "br" else tree(depth + 1)
+            out.append((kind, [x for x in inner if x[0] not in ("div", "p")] if kind == "p" else inner))
+        return out
+
+    tags = {"div": ("<div>", "</div>"), "p": ("<p>", "</p>"), "span": ("<span>", "</span>"), "hidden": ("<span hidden>", "</span>"), "unseen": ("<span style=visibility:hidden>", "</span>"), "seen": ("<span style='visibility:visible'>", "</span>")}
+
+    def source(nodes):
+        return "".join(x if k == "text" else "<br>" if k == "br" else tags[k][0] + source(x) + tags[k][1] for k, x in nodes)
+
+    def flat(nodes):  # no block inside inline parts or paragraphs, as HTML would move it
+        return [(k, x if k == "text" else [y for y in flat(x) if k == "div" or y[0] not in ("div", "p")]) for k, x in nodes]
+
+    def collect(nodes, seen, out):
+        for k, x in nodes:
+            if k == "text":
+                out.append(x if seen else "")
+            elif k == "br":
+                out.append("\n")  # hidden text still has its lines
+            elif k != "hidden":
+                edge = {"div": "<", "p": "<<"}.get(k, "")
+                out.append(edge)
+                collect(x, {"unseen": False, "seen": True}.get(k, seen), out)
+                out.append(edge)
+        return out
+
+    for _ in range(300):
+        nodes = flat(tree(0))
+        want = "".join(collect(nodes, True, [])).replace("<", "\n").split("\n")
+        assert [s for s in htmltext.render(source(nodes)).split("\n") if s] == [s for s in want if s]
+
+
 # -- personal data ----------------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
