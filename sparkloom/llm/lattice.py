@@ -1,21 +1,23 @@
 """LM scoring by the likelihood of a subword lattice.
 
-The pieces of an existing subword vocabulary (its order of scores is the starting point) get probabilities that
-are estimated on the training texts by expectation-maximisation over all segmentations. A text is the sequence
-of its words (A-Z lower-cased, between ASCII white space), each with the mark of a word's start in front, then
-one end. No piece crosses a word's start, so the sum over all segmentations of a text is the product of those
-of its words: a forward recursion in log space over the lattice of each distinct word gives its probability, and
-counts of words do the rest. Characters without a piece are spelled as byte pieces, so every text has a probability.
-
-The lattice of a word has one more edge, the whole word, whose weight is the word's count in the training texts; the
-pieces share what is left. With c the count, L the sum over the pieces' segmentations, N all tokens and V the distinct
-ones, the forward recursion ends in (c + (V + 1) * L) / (N + V + 1). As L sums to 1 at most over all words, so does this.
-The pieces thus spell what counts don't know, and are estimated on distinct words, each once. What is learned grows
-with the corpus: a weight for each distinct word besides those of the pieces.
+The pieces of an existing subword vocabulary weigh all segmentations. Their scores are the prior: where they are log
+probabilities they count as they are; where they are merge ranks, as in vocabularies of byte-pair kind, a rank counts as
+its Zipf probability. Expectation-maximisation over all segmentations of the training words, each by its count,
+turns the prior into the weights, so what is learned grows with the corpus. A text is the sequence of its words (A-Z
+lower-cased, between ASCII white space), each with the mark of a word's start in front, then one end. No piece crosses a
+word's start, so the sum over all segmentations of a text is the product of those of its words: a forward recursion in log
+space over the lattice of each distinct word gives its marginal probability, and counts of words do the rest. Characters without a
+piece are spelled as byte pieces, so every text has a probability. ``score`` is the log10 of that probability.
+
+``mixed_score`` is another column: there the lattice of a word has one more edge, the whole word, whose weight is the word's count c in
+the training texts. With L the sum over the pieces' segmentations, N all tokens and V the distinct ones, a word then has
+(c + (V + 1) * L) / (N + V + 1). As L sums to 1 at most over all words, so does this.
 
 Words are counted over all texts. The most frequent words, at most FREQUENT of them, are sent to every worker;
 all others are joined. Null and empty texts are the end alone. Repeated rows each get their score; ids may be null
-(then they are training rows). Without training texts all pieces keep their starting probabilities.
+(then they are training rows). Without training texts all pieces keep their prior. Empty tables give empty results. Very long words
+are handled whole: time and memory grow in proportion to their length, some 300 bytes a character. Other columns do
+not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, new_key, once, staged, text_slices
+from .common import as_bytes, mix, new_key, once, small_batches, staged, text_slices
 
 FREQUENT = 1 << 18
 ROUNDS = 2
+#: Tokens that the prior counts as.
+PRIOR = 10_000.0
 MARK = "▁"
 #: Words that a task counts before it hands them on.
 HELD = 400_000
@@ -42,7 +46,7 @@ _BLOOM_BITS = 20
 class Pieces:
     """A piece vocabulary with log probabilities; piece numbers are places in ``names``, the end comes last."""
 
-    def __init__(self, names: list[str], logp: np.ndarray | None = None):
+    def __init__(self, names: list[str], logp: np.ndarray):
         self.names = names
         self.byte = np.array([names.index(f"<0x{b:02X}>") for b in range(256)])
         special = set(self.byte.tolist())
@@ -59,11 +63,6 @@ class Pieces:
         self.keys, self.ids = np.array(keys, np.uint64)[order], np.array(ids)[order]
         self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
         self.bloom[self.keys >> np.uint64(64 - _BLOOM_BITS)] = True
-        if logp is None:
-            # The starting point: Zipf's law over the vocabulary's own order of scores.
-            p = 1 / (np.arange(len(names)) + 50.0)
-            p[self.byte] = 1e-7
-            logp = np.log(p / p.sum())
         self.logp = logp
 
     @staticmethod
@@ -158,14 +157,27 @@ def grids(words: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarray
             yield part, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n).astype(np.uint64)
 
 
-def load_pieces(path: str) -> list[str]:
-    """Names of a sentencepiece vocabulary's pieces in the order of their scores, then the end."""
+def prior(scores: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces with ``scores``, the end last; ``spelled``: which of them stand for bytes and have no score of their own."""
+    own = scores[~spelled]
+    if len(own) and np.array_equal(own, np.round(own)):
+        logp = -np.log(50.0 - scores)  # merge ranks, counted from 0 downwards
+    else:
+        logp = scores.astype(float).copy()
+    top = logp[~spelled].max() if len(own) else 0.0
+    logp[spelled] = top - 16
+    logp = np.append(logp, top)
+    return logp - np.log(np.exp(logp - logp.max()).sum()) - logp.max()
+
+
+def load_pieces(path: str) -> tuple[list[str], np.ndarray]:
+    """(names, log probabilities) of a sentencepiece vocabulary's pieces, then the end."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     usable = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
-    usable.sort(key=lambda i: (-model.get_score(i) if not model.is_byte(i) else float("inf"), i))
-    return [*(model.id_to_piece(i) for i in usable), "</s>"]
+    scores, spelled = np.array([model.get_score(i) for i in usable]), np.array([model.is_byte(i) for i in usable])
+    return [*(model.id_to_piece(i) for i in usable), "</s>"], prior(scores, spelled)
 
 
 def count_words(docs: DataFrame, held: Column) -> DataFrame:
@@ -196,31 +208,30 @@ def count_words(docs: DataFrame, held: Column) -> DataFrame:
     return rows.repartition(parts, "word").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def estimate(words: DataFrame, names: list[str], rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces after ``rounds`` rounds of expectation-maximisation over the distinct training words."""
+def estimate(words: DataFrame, names: list[str], start: np.ndarray, ends: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces after ``rounds`` rounds of expectation-maximisation over the training words and their ``ends``, from ``start``."""
     spark = words.sparkSession
-    model = Pieces(names)
-    train = words.where("c > 0")
+    logp, train = start, words.where("c > 0")
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((names, model.logp))
+        sent = spark.sparkContext.broadcast((names, logp))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = Pieces(*sent.value)
             total = np.zeros(len(own.names))
             for batch in batches:
+                count = batch.column("c").to_numpy().astype(float)
                 for part, x in grids(batch.column("word").to_pylist()):
-                    own.expected(x, np.ones(len(part)), total)
+                    own.expected(x, count[part], total)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
 
         # One row for each piece comes back.
         found = train.mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-        if found.num_rows == 0:
-            break
-        n = np.full(len(names), 0.01)
+        n = PRIOR * np.exp(start)
         n[found.column("piece").to_numpy()] += found.column("n").to_numpy()
-        model.logp = np.log(n / n.sum())
-    return model.logp
+        n[-1] += ends
+        logp = np.log(n / n.sum())
+    return logp
 
 
 def with_whole(count: np.ndarray, spelled: np.ndarray, total: int, kinds: int) -> np.ndarray:
@@ -230,18 +241,19 @@ def with_whole(count: np.ndarray, spelled: np.ndarray, total: int, kinds: int) -
 
 
 def score_words(words: DataFrame, names: list[str], logp: np.ndarray, total: int, kinds: int) -> DataFrame:
-    """``words`` with lp, the log10 probability of each word; ``total`` training tokens of ``kinds`` different ones."""
+    """``words`` with lp and mp, the log10 probabilities of each word by its pieces and with its whole edge; ``total`` training tokens of ``kinds`` different ones."""
     sent = words.sparkSession.sparkContext.broadcast((names, logp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(*sent.value)
         for batch in batches:
-            out, count = np.empty(batch.num_rows), batch.column("c").to_numpy().astype(float)
+            out = np.empty(batch.num_rows)
             for part, x in grids(batch.column("word").to_pylist()):
-                out[part] = with_whole(count[part], own.forward(x)[0][:, -1], total, kinds) / np.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(out)], ["word", "c", "lp"])
+                out[part] = own.forward(x)[0][:, -1]
+            mixed = with_whole(batch.column("c").to_numpy().astype(float), out, total, kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(out / np.log(10)), pa.array(mixed / np.log(10))], ["word", "c", "lp", "mp"])
 
-    return words.mapInArrow(run, "word binary, c long, lp double")
+    return words.mapInArrow(run, "word binary, c long, lp double, mp double")
 
 
 def frequent_floor(words: DataFrame, most: int = FREQUENT) -> int:
@@ -262,29 +274,29 @@ class _Numbers(dict):
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str, held: Column, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows that are not ``held``."""
-    spark = docs.sparkSession
-    names = load_pieces(vocabulary_path)
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of every row; learns from rows that are not ``held``."""
+    spark = small_batches(docs.sparkSession)
+    names, start = load_pieces(vocabulary_path)
     words = staged(count_words(docs, held), "lattice-words")
     ends = docs.where(~held).count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     bottom = float(np.log10(total + 0.1 * (distinct + 1)))
-    logp = estimate(words, names, rounds)
+    logp = estimate(words, names, start, ends, rounds)
     rated = staged(score_words(words, names, logp, total, distinct), "lattice-rated")
     floor = frequent_floor(words)
     top = rated.where(F.col("c") >= floor).toArrow()  # FREQUENT rows at most
     known = top.column("word").to_pylist()
     base = np.log10(top.column("c").to_numpy() + 0.1) - bottom
-    sent = spark.sparkContext.broadcast((known, base, top.column("lp").to_numpy()))
-    end_base, end_lp = float(np.log10(ends + 0.1) - bottom), float(with_whole(np.array(float(ends)), logp[-1], total, distinct) / np.log(10))
+    sent = spark.sparkContext.broadcast((known, np.stack([base, top.column("lp").to_numpy(), top.column("mp").to_numpy()])))
+    last = np.array([np.log10(ends + 0.1) - bottom, logp[-1] / np.log(10), with_whole(np.array(float(ends)), logp[-1], total, distinct) / np.log(10)])
     key = new_key()
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, b, p = sent.value
+        own, values = sent.value
         number = once("frequent", key, lambda: _Numbers(zip(own, range(len(own)))))
-        b, p = np.append(b, 0.0), np.append(p, 0.0)
+        values = np.append(values, np.zeros((3, 1)), axis=1)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -294,19 +306,19 @@ def score_documents(docs: DataFrame, vocabulary_path: str, held: Column, rounds:
                     at = np.array(list(map(number.__getitem__, tokens)), np.int64)
                     miss = np.flatnonzero(at < 0)
                     rare = Counter([tokens[i] for i in miss.tolist()]) if len(miss) else {}
-                    out.append((row, len(tokens) + 1, len(tokens) - len(miss) + (ends > 0), float(b[at].sum()) + end_base, float(p[at].sum()) + end_lp, [{"word": w, "n": n} for w, n in rare.items()]))
+                    out.append((row, len(tokens) + 1, len(tokens) - len(miss) + (ends > 0), *(values[:, at].sum(axis=1) + last).tolist(), [{"word": w, "n": n} for w, n in rare.items()]))
                     row += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), rare_type]
                 found = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), *found], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "lp", "rare"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), *found], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "lp", "mp", "rare"])
 
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, lp double, rare array<struct<word:binary,n:long>>"
+    schema = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, lp double, mp double, rare array<struct<word:binary,n:long>>"
     rows = staged(docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, schema), "lattice-rows")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
     joined = rare.join(rated.where(F.col("c") < floor), "word")
     n = F.col("n")
     more = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known2"), F.sum(n * (F.log10(F.col("c") + 0.1) - bottom)).alias("base2"), F.sum(n * F.col("lp")).alias("lp2")
+        F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known2"), F.sum(n * (F.log10(F.col("c") + 0.1) - bottom)).alias("base2"), F.sum(n * F.col("lp")).alias("lp2"), F.sum(n * F.col("mp")).alias("mp2")
     )
     zero = F.lit(0.0)
     return rows.drop("rare").join(more, "row", "left").select(
@@ -317,4 +329,5 @@ def score_documents(docs: DataFrame, vocabulary_path: str, held: Column, rounds:
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base2", zero)).alias("base_score"),
         (F.col("lp") + F.coalesce("lp2", zero)).alias("score"),
+        (F.col("mp") + F.coalesce("mp2", zero)).alias("mixed_score"),
     )

@@ -80,8 +80,11 @@ def test_toxicity_without_labels(spark):
 
 def test_lattice_sums_all_segmentations():
     names = [f"<0x{b:02X}>" for b in range(256)] + ["▁", "a", "b", "ab", "▁a", "ba", "</s>"]
-    model = lattice.Pieces(names)
+    scores = np.append(np.zeros(256), -np.arange(6.0))
+    model = lattice.Pieces(names, lattice.prior(scores, np.arange(262) < 256))
     p = dict(zip(names, np.exp(model.logp)))
+    assert np.isclose(sum(p.values()), 1) and p["▁"] > p["a"] > p["ba"] > p["<0x00>"]
+    assert np.allclose(np.diff(lattice.prior(np.array([-0.5, -1.5, 0.0]), np.array([False, False, True])))[:1], -1)
 
     def every(s):
         if not s:
@@ -106,6 +109,34 @@ def test_lm_base_by_brute_force(spark):
         assert np.isclose(base, got[i]["base_score"]) and got[i]["train_tokens"] == n and got[i]["n_known"] == sum(count[w] > 0 for w in split(t)) and got[i]["score"] < 0
 
 
+def test_lm_score_by_brute_force(spark):
+    """Scores by a recursion over all segmentations of each whole text's words, with weights by an EM step done by hand."""
+    texts = ["river stone", "the river", None, "stone the Zé", ""]
+    names, start = lattice.load_pieces(tokenizer("piece_bpe_32k.model"))
+    known = {n: i for i, n in enumerate(names[:-1]) if not n.startswith("<0x")}
+    spelled = lambda c: [names.index(f"<0x{b:02X}>") for b in c.encode()]
+
+    def ways(s):
+        if not s:
+            return [[]]
+        return [spelled(s[0]) + w for w in ways(s[1:])] + [[known[s[:n]]] + w for n in range(1, len(s) + 1) if s[:n] in known for w in ways(s[n:])]
+
+    words = Counter("▁" + w for t in texts if t for w in t.encode().lower().decode().split())
+    logp = start
+    n = lattice.PRIOR * np.exp(start)
+    for w, c in words.items():
+        own = ways(w)
+        p = np.exp([logp[x].sum() for x in own])
+        for x, share in zip(own, p / p.sum()):
+            np.add.at(n, x, c * share)
+    n[-1] += len(texts)
+    logp = np.log(n / n.sum())
+    got = {r["doc_id"]: r["score"] for r in lattice.score_documents(frame(spark, texts), tokenizer("piece_bpe_32k.model"), F.lit(False), rounds=1).collect()}
+    for i, t in enumerate(texts):
+        want = logp[-1] + sum(np.log(sum(np.exp(logp[x].sum()) for x in ways("▁" + w))) for w in (t or "").encode().lower().decode().split())
+        assert np.isclose(got[i], want / np.log(10), rtol=1e-9)
+
+
 # -- suffix arrays ------------------------------------------------------------------------------------------------
 
 
