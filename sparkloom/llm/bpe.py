@@ -7,7 +7,8 @@ a batch are merged together: one row of the tree array for each pre-token.
 
 The vocabulary is a ``tokenizers`` JSON file, whose path is a parameter. Nothing is trained.
 Null texts count as empty; an empty text has no ids and decodes to the empty text. Long texts
-without a break cost n log n. Rows are independent, so repeated rows and ties need no rule.
+without a break cost n log n. Rows are independent, so repeated rows and ties need no rule. Empty tables give empty
+results; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, new_key, once, text_slices
+from .common import as_bytes, new_key, once, small_batches, text_slices
 
 #: How byte-level vocabularies split a text before merging (fixed pattern of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,6 +174,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
     The file at ``tokenizer_path`` is read by the driver and sent along (its size does not depend on the data).
     Null texts count as empty; other columns of ``docs`` are left out.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
     key = new_key()

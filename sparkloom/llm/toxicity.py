@@ -8,7 +8,9 @@ regression is fitted on the set features times r. Labels, language, source and i
 Training uses about ``sample_rows`` labelled rows at most (chosen by a hash of the id); scoring covers
 all rows and whole texts. Null and empty texts get the score of a text without any n-gram. Rows with
 a null label or without a text do not train; several labels of one id count as their maximum. Repeated
-rows get equal scores. Without both classes among the labels every score is the share of toxic labels.
+rows get equal scores. Without both classes among the labels every score is the share of toxic labels. Very long texts
+are scored whole, with work space in proportion to the longest one. Empty tables give empty results. Other columns pass
+as they are; only a column named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, distinct, staged, text_slices
+from .common import as_bytes, distinct, small_batches, staged, text_slices
 
 SIZES = (3, 4, 5, 6)
 BITS = 19
@@ -109,6 +111,7 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fits on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks, about ``sample_rows`` of them at most."""
+    small_batches(docs.sparkSession)
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, sample_rows / max(1, labels.count()))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -154,7 +157,7 @@ def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature, weight, bias = sent.value
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 1 << 19):
                 doc, f = present(as_bytes(part.column("text")), feature)
                 z = np.bincount(doc, weights=weight[f], minlength=part.num_rows) + bias
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names)

@@ -69,6 +69,37 @@ def test_toxicity_learns(spark):
     assert np.mean([(r["p"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in rated]) > 0.95
 
 
+def test_toxicity_by_brute_force(spark):
+    """Document counts of n-grams and scores, n-gram by n-gram."""
+    texts = ["You FOOL, you", "über Zé", "", None, "fool", prose(9)]
+    docs = frame(spark, texts)
+
+    def buckets(text):
+        found = set()
+        points = [ord(c) for c in (text or "").lower()]
+        for n in toxicity.SIZES:
+            for i in range(len(points) - n + 1):
+                h = 0
+                for c in points[i : i + n]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                found.add((((h ^ (h >> 15)) * (0x85EBCA6B + 2 * n)) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+        return found
+
+    marked = docs.select("text", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    other, toxic, n0, n1 = toxicity.document_counts(marked)
+    for y, got in ((0, other), (1, toxic)):
+        want = Counter(b for i, t in enumerate(texts) if i % 2 == y for b in buckets(t))
+        assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(want)
+    assert (n0, n1) == (3, 3)
+    feature = np.full(toxicity.BUCKETS + 1, -1, np.int32)
+    at = sorted(set.union(*map(buckets, texts)))
+    feature[at] = np.arange(len(at))
+    weight = np.random.default_rng(1).normal(size=len(at))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.ToxicityModel(feature, weight, -0.3)).collect()}
+    for i, t in enumerate(texts):
+        assert np.isclose(got[i], 1 / (1 + np.exp(0.3 - sum(weight[feature[b]] for b in buckets(t)))))
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, ["a", None])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -492,6 +523,30 @@ def test_url_rules(spark):
     assert [got[i] for i in range(len(cases))] == [(r, v) for _, r, v in cases]
 
 
+def test_filter_lists(spark, monkeypatch):
+    """Lists of rules, as a literal of the plan and as a table, against every rule tried on every URL."""
+    rng = random.Random(6)
+    words = ["ads", "shop", "news", "track", "img", "a1", "x"]
+    hosts = [".".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) + rng.choice([".com", ".net"]) for _ in range(30)]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(words)}/{rng.choice(words)}{rng.choice(['', '.html', '?q', '/'])}" for _ in range(150)] + [None, "", "no url"]
+    lines = ["! comment", "", *{f"||{rng.choice(hosts)}/{rng.choice(['', 'ads/'])}" for _ in range(12)}, ".track.", "/ads/*.html", "@@/ads/news*", "*shop*img*", "@@||a1.com/x/"]
+    rules = urlrules.parse_list("\n".join(lines))
+    assert len(rules) == len(lines) - 2
+
+    def judge(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest).group()
+        target = host.lower() + re.match("[^?#]*", rest[len(host) :]).group()
+        return max(((r.weight, r.pattern, r.verdict) for r in rules if re.search(r.pattern, target)), default=(0, "", "allow"))[2]
+
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    want = {i: judge(u) for i, u in enumerate(urls)}
+    assert {"allow", "block"} == set(want.values())
+    for most in (urlrules.LITERAL, 0):
+        monkeypatch.setattr(urlrules, "LITERAL", most)
+        assert {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(pages, rules).collect()} == want
+
+
 # -- BPE ----------------------------------------------------------------------------------------------------------------
 
 
