@@ -562,16 +562,3 @@ def test_bpe_equals_the_library():
         want = theirs.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert ours.decode(ids) == theirs.decode(want, skip_special_tokens=False) == text
-
-
-# -- pipeline -----------------------------------------------------------------------------------------------------------
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf)
-    assert 0 < out.count() <= docs.count()
-    assert out.join(docs, "doc_id", "left_anti").count() == 0
