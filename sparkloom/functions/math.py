@@ -61,17 +61,61 @@ def risk(callers: Column, modules: Column) -> Column:
     return F.when((callers > 1000) | (modules > 20), "CRITICAL").when((callers > 500) | (modules > 10), "HIGH").when((callers > 100) | (modules > 5), "MEDIUM").otherwise("LOW")
 
 
+#: Parts of a module's path that make it infrastructure, and calls from which fan-in and fan-out count as high (fixed values).
+INFRASTRUCTURE = ("test", "mock", "fixture", "script", ".github", "ci", "spec", "bench", "example", "third_party", "third-party", "vendor")
+HIGH_IN, HIGH_OUT = 25, 30
+
+
 def layer(name: Column, fan_in: Column, fan_out: Column) -> Column:
-    """Architectural layer by name and by the ratio of incoming to all calls."""
-    ratio = fan_in / (fan_in + fan_out)
+    """Architectural layer by the module's path and by the ratio of incoming to all calls."""
+    ratio, low = fan_in / (fan_in + fan_out), F.lower(name)
     return (
-        F.when(F.lower(name).rlike("config|log|util|infra"), "Infrastructure")
-        .when(F.contains(name, F.lit("/core/")), "Processing")
+        F.when(low.rlike("|".join(x.replace(".", "[.]") for x in INFRASTRUCTURE)), "Infrastructure")
+        .when(F.contains(low, F.lit("/core/")) | F.startswith(low, F.lit("core/")), "Processing")
         .when(fan_in + fan_out == 0, "Infrastructure")
-        .when((fan_in >= 25) & (fan_out >= 30), "Processing")
+        .when((fan_in >= HIGH_IN) & (fan_out >= HIGH_OUT), "Processing")
         .when(ratio >= 0.75, "Data")
-        .when((fan_in < 25) & (fan_out >= 30), "Interface")
+        .when((fan_in < HIGH_IN) & (fan_out >= HIGH_OUT), "Interface")
         .when(ratio > 0.65, "Data")
         .when(ratio < 0.35, "Interface")
         .otherwise("Processing")
     )
+
+
+def kind_signal(kind: Column) -> Column:
+    """How much a symbol's kind says for it as a result."""
+    return F.when(kind.isin("Function", "Method"), 1.0).when(kind.isin("Class", "Struct", "Enum", "Module"), 0.8).when(kind.isin("Interface", "Trait", "TypeAlias"), 0.6).when(kind.isin("Constant", "Field", "Variable"), 0.45).otherwise(0.35)
+
+
+def symbol_signal(kind: Column, fan: Column, trivial: Column) -> Column:
+    """0.65 of the kind's signal and 0.35 of the calls', which grow with their logarithm; 0.5 without a symbol."""
+    calls = F.when(trivial, 0.0).otherwise(F.least(F.lit(4.0), F.log(fan + 1)) / 4)
+    return F.when(kind.isNull(), 0.5).otherwise(0.65 * kind_signal(kind) + 0.35 * calls)
+
+
+def chunk_weight(chunk_type: Column) -> Column:
+    """Weight of a chunk's type: code before comments, comments before documents."""
+    code = ("function", "method", "class", "struct", "module", "interface", "enum", "flow_if_else", "flow_try_catch", "flow_switch", "flow_loop", "flow_call_chain", "flow_error_path")
+    return F.when(chunk_type.isin(*code), 1.0).when(chunk_type.isin("module_comment", "inter_symbol_gap", "imports_gap"), 0.92).when(chunk_type == "doc_chunk", 0.65).when(chunk_type == "config_chunk", 0.6).when(chunk_type.isin("constant", "variable", "field", "type_alias"), 0.9).otherwise(0.85)
+
+
+def is_block(chunk_type: Column, lines: Column, least: int = 4) -> Column:
+    blocks = ("function", "method", "class", "struct", "interface", "enum", "module", "flow_if_else", "flow_try_catch", "flow_switch", "flow_loop", "flow_call_chain", "flow_error_path")
+    return (lines >= max(2, least)) & chunk_type.isin(*blocks)
+
+
+def normalised(v: Column) -> Column:
+    """``v`` at unit length; the norm counts as 1e-12 at least."""
+    size = F.greatest(norm(v), F.lit(1e-12))
+    return F.transform(v, lambda x: x.cast("double") / size)
+
+
+def mean_vector(vectors: Column) -> Column:
+    """Mean of an array of vectors of one length, null without any."""
+    total = F.aggregate(F.slice(vectors, F.lit(2), F.greatest(F.lit(0), F.size(vectors) - 1)), F.transform(F.element_at(vectors, 1), lambda x: x.cast("double")), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")))
+    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: x / F.size(vectors)))
+
+
+def quantised(v: Column, scale: Column) -> Column:
+    """Whole numbers from -127 to 127 by one scale for all vectors."""
+    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(x.cast("double") / scale).cast("int"))))

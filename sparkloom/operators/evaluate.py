@@ -30,11 +30,19 @@ def profile_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("profile").agg(F.round(F.avg("ndcg10"), 3).alias("ndcg10"), F.round(F.avg("rr10"), 3).alias("rr10"), F.round(F.percentile("latency_ms", 0.5)).cast("long").alias("p50"), F.round(F.percentile("latency_ms", 0.95)).cast("long").alias("p95"))
 
 
-def pareto(profiles: DataFrame) -> DataFrame:
-    """Profiles (name, quality, cost) that no other beats in one and equals in the other: by a running maximum over costs, not by pairs."""
+def pareto(profiles: DataFrame, buckets: int = 256) -> DataFrame:
+    """Profiles (name, quality, cost) that no other beats in one and equals in the other: by running maxima over costs, not by pairs.
+
+    Costs are cut into ``buckets`` ranges by approximate quantiles. Each range knows the best quality of the cheaper ranges, so only the
+    rows of a range meet in one task.
+    """
     best = profiles.groupBy("cost").agg(F.max("quality").alias("quality"))
-    cheaper = F.max("quality").over(Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_less", cheaper).where("_less is null or quality > _less").drop("_less")
+    cuts = sorted(set(best.approxQuantile("cost", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    ranged = best.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("cost"))) if cuts else F.lit(0))
+    # One row for each range.
+    tops = ranged.groupBy("_b").agg(F.max("quality").alias("_q")).withColumn("_below", F.max("_q").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_b", "_below")
+    cheaper = F.max("quality").over(Window.partitionBy("_b").orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
+    front = ranged.join(F.broadcast(tops), "_b").withColumn("_less", F.greatest(cheaper, "_below")).where("_less is null or quality > _less").select("cost", "quality")
     return profiles.join(front, ["quality", "cost"], "left_semi")
 
 
@@ -49,3 +57,59 @@ def paired(a: DataFrame, b: DataFrame, least: float = 0.05) -> DataFrame:
     both = a.select("query_id", F.col("value").alias("x")).join(b.select("query_id", F.col("value").alias("y")), "query_id")
     out = both.agg(F.count_if(F.col("y") > F.col("x")).alias("wins"), F.count_if(F.col("y") < F.col("x")).alias("losses"), F.count_if(F.col("y") == F.col("x")).alias("ties"), F.round(F.avg(F.col("y") - F.col("x")), 6).alias("delta"))
     return out.withColumn("accepted", (F.col("delta") >= least) & (F.col("wins") > F.col("losses")))
+
+
+def upper_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, median, p90, mean): the middle value, the upper of two, and the value at int(0.9 n), the last at most; nulls do not count."""
+    sorted_ = F.array_sort(F.collect_list(value))
+    grouped = rows.where(F.col(value).isNotNull()).groupBy(by).agg(sorted_.alias("v"), F.avg(value).alias("mean"))
+    n = F.size("v")
+    return grouped.select(by, n.cast("long").alias("n"), F.element_at("v", F.floor(n / 2).cast("int") + 1).alias("median"), F.element_at("v", F.least(F.floor(n * F.lit(9) / 10).cast("int") + 1, n)).alias("p90"), "mean")
+
+
+def evaluation_set(commits: DataFrame, known: DataFrame, extensions: tuple[str, ...] = (".py",), least: int = 20) -> DataFrame:
+    """(id, query, gold): commits (id, subject, files) as queries with the files that they changed.
+
+    Commits that ask nothing, that changed no or more than three source files outside tests/, or only files that ``known`` (path) did not have, are left out.
+    """
+    from sparkloom.functions import text as T
+
+    source = lambda f: F.exists(F.array(*map(F.lit, extensions)), lambda e: F.endswith(f, e)) & ~F.startswith(f, F.lit("tests/"))
+    rows = commits.where(~T.asks_nothing(F.col("subject"))).withColumn("changed", F.filter("files", source)).where(F.size("changed").between(1, 3))
+    rows = rows.select("id", T.query_of(F.col("subject")).alias("query"), F.explode("changed").alias("path")).where(F.length("query") >= least)
+    return rows.join(known.select("path"), "path", "left_semi").groupBy("id", "query").agg(F.array_sort(F.collect_set("path")).alias("gold"))
+
+
+def lexical_baseline(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, path, rank): files (path, content) by the number of a query's terms that they hold, by all occurrences, then by the length of their paths.
+
+    ``queries`` (query_id, terms), a small set, is sent to the files; a term occurs anywhere, whatever its case.
+    """
+    asked = F.broadcast(queries.select("query_id", F.transform("terms", lambda t: F.lower(t)).alias("terms")))
+    low = files.select("path", F.lower("content").alias("text")).join(asked)
+    times = F.transform("terms", lambda t: ((F.length("text") - F.length(F.replace("text", t, F.lit("")))) / F.length(t)).cast("long"))
+    rows = low.select("query_id", "path", F.transform(times, lambda n: n).alias("n"))
+    rows = rows.select("query_id", "path", F.size(F.filter("n", lambda x: x > 0)).alias("distinct"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("hits")).where("distinct > 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc("distinct"), F.desc("hits"), F.length("path"), "path")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit).select("query_id", "path", "rank")
+
+
+def tokens_until_found(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, tokens): what reading ranked files (query_id, rank, path, tokens) costs until the first wanted one (query_id, path) is in hand; null if none is."""
+    running = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    marked = ranked.withColumn("spent", running).join(gold.select("query_id", "path", F.lit(True).alias("wanted")).distinct(), ["query_id", "path"], "left")
+    return marked.groupBy("query_id").agg(F.min(F.when(F.col("wanted"), F.col("spent"))).cast("long").alias("tokens"))
+
+
+def lost_where(pool: DataFrame, ranked: DataFrame, gold: DataFrame, limit: int) -> DataFrame:
+    """(query_id, reason): found, ranked_low (in the ``pool`` but not among the first ``limit``) or never_pooled, by the best wanted path of each query."""
+    wanted = gold.select("query_id", "path").distinct()
+    top = ranked.where(F.col("rank") <= limit).join(wanted, ["query_id", "path"], "left_semi").select("query_id").distinct().withColumn("top", F.lit(True))
+    seen = pool.join(wanted, ["query_id", "path"], "left_semi").select("query_id").distinct().withColumn("seen", F.lit(True))
+    out = wanted.select("query_id").distinct().join(top, "query_id", "left").join(seen, "query_id", "left")
+    return out.select("query_id", F.when(F.col("top"), "found").when(F.col("seen"), "ranked_low").otherwise("never_pooled").alias("reason"))
+
+
+def valid_qrels(qrels: DataFrame) -> DataFrame:
+    """(query_id, id, grade): judgements with ids and a grade of 0 at least, the highest of repeated ones."""
+    return qrels.where("query_id is not null and id is not null and grade >= 0").groupBy("query_id", "id").agg(F.max("grade").alias("grade"))

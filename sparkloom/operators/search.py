@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import math as M
@@ -19,20 +21,95 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def _scored(tf: DataFrame, total: DataFrame, asked: DataFrame, boost: float = 1.0) -> DataFrame:
+    """(query_id, id, score) of postings ``tf`` (term, id, tf, dl) for ``asked`` (query_id, term); ``total`` (n_docs, avg_dl) is one row."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Distinct terms of the queries: a few rows for each query.
+    idf = df.join(F.broadcast(total)).select("term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    return tf.join(idf, "term").join(asked, "term").groupBy("query_id", "id").agg((boost * F.sum(part)).alias("score"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+
+
+#: Terms of queries, together, that are a literal of the plan, so that other tokens go before they are exploded.
+LITERAL_TERMS = 2_000
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of every document that shares a term with a query of ``queries`` (query_id, text).
 
-    Only postings of query terms are exploded and shuffled; the corpus statistics are one aggregated row.
+    Tokens that no query asks for are dropped inside the row: only postings of query terms are exploded and shuffled. The corpus
+    statistics are one aggregated row.
     """
     rows = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("terms"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    asked = _asked(queries)
     total = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_dl"))
     wanted = asked.select("term").distinct()
-    tf = rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(total)).select("term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return tf.join(idf, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    known = [r["term"] for r in wanted.limit(LITERAL_TERMS + 1).collect()]  # LITERAL_TERMS words at most
+    if len(known) <= LITERAL_TERMS:
+        own = F.filter("terms", lambda t: t.isin(known)) if known else F.expr("cast(array() as array<string>)")
+        held = rows.select("id", F.size("terms").alias("dl"), F.explode(own).alias("term"))
+    else:
+        held = rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    tf = held.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _scored(tf, total, asked)
+
+
+def indexed_bm25(index: DataFrame, total: DataFrame, queries: DataFrame) -> DataFrame:
+    """As bm25(), over written postings ``index`` (term, id, tf, dl) and their ``total`` (n_docs, avg_dl): terms that no query asks for are not read further than the filter."""
+    asked = _asked(queries)
+    known = [r["term"] for r in asked.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    tf = index.where(F.col("term").isin(known)) if len(known) <= LITERAL_TERMS else index.join(asked.select("term").distinct(), "term", "left_semi")
+    return _scored(tf, total, asked)
+
+
+#: Boosts of a chunk's and a symbol's fields, and of phrases in a chunk's (fixed values).
+CHUNK_FIELDS = {"signature": 3.0, "doc": 2.2, "snippet": 1.2, "parent_scope": 1.4}
+CHUNK_WHOLE = {"file_path": 1.5, "chunk_type": 0.8}
+CHUNK_PHRASES = {"signature": 3.8, "doc": 3.0, "snippet": 2.2}
+SYMBOL_FIELDS = {"signature": 2.5, "doc": 1.5, "context": 1.0}
+NAME_GRAMS, NAME_EXACT, NAME_FUZZY, GRAM_FUZZY = 4.0, 12.0, 0.6, 0.35
+
+
+def field_bm25(docs: DataFrame, id_col: str, fields: dict[str, float], queries: DataFrame, whole: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, id, score): the sum over ``fields`` of a field's BM25 times its boost; fields of ``whole`` are one untokenised term each.
+
+    All fields go through one aggregation, a term and its field being the key. A document counts for a field's statistics if it has the field.
+    """
+    columns = [(c, boost, T.tokens(F.col(c))) for c, boost in fields.items()] + [(c, boost, F.array(F.col(c))) for c, boost in (whole or {}).items()]
+    parts = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("field"), F.lit(boost).alias("boost"), terms.alias("terms"))) for c, boost, terms in columns))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("x")).select("id", "x.field", "x.boost", "x.terms", F.size("x.terms").alias("dl"))
+    asked = _asked(queries).unionByName(queries.select("query_id", F.explode(F.split("text", r"\s+")).alias("term"))).distinct()
+    total = rows.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    tf = rows.select("id", "field", "boost", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "field", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("boost").alias("boost"))
+    df = tf.groupBy("term", "field").agg(F.count("*").alias("df"))
+    # One row for each field.
+    idf = df.join(F.broadcast(total), "field").select("term", "field", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("boost") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    return tf.join(idf, ["term", "field"]).join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+
+
+def phrase_boost(docs: DataFrame, id_col: str, fields: dict[str, float], query: str) -> DataFrame:
+    """(id, boost): the sum of the boosts of the fields that hold the query's words one after the other; none for queries of one word. Words are lower-cased."""
+    words = " ".join(w for w in re.split("[^a-z0-9]+", query.lower()) if w)
+    if " " not in words:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("boost")).limit(0)
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(T.tokens(F.col(c)), " "), F.lit(" "))
+    total = sum((F.when(F.contains(joined(c), F.lit(f" {words} ")), F.lit(b)).otherwise(0.0) for c, b in fields.items()), F.lit(0.0))
+    return docs.select(F.col(id_col).alias("id"), total.alias("boost")).where("boost > 0")
+
+
+def chunk_search(chunks: DataFrame, query: str, limit: int = 500, language: str | None = None) -> DataFrame:
+    """(id, score): lexical search over chunks (id, signature, doc, snippet, parent_scope, file_path, chunk_type, language) by boosted fields and phrases."""
+    if language:
+        chunks = chunks.where(F.col("language") == language)
+    asked = chunks.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
+    found = field_bm25(chunks, "id", CHUNK_FIELDS, asked, CHUNK_WHOLE).join(phrase_boost(chunks, "id", CHUNK_PHRASES, query), "id", "left")
+    score = F.round(F.col("score") + F.coalesce("boost", F.lit(0.0)), 6)
+    return found.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def phrase_hits(docs: DataFrame, id_col: str, text_col: str, phrase: str) -> DataFrame:
@@ -45,22 +122,42 @@ def phrase_hits(docs: DataFrame, id_col: str, text_col: str, phrase: str) -> Dat
 
 def fuzzy_names(symbols: DataFrame, name: str) -> DataFrame:
     """Rows whose name is within one edit of ``name``; a transposition counts as one."""
-    low = F.lower("name")
-    swap = [name[:i] + name[i + 1] + name[i] + name[i + 2 :] for i in range(len(name) - 1)]
-    near = F.abs(F.length("name") - len(name)) <= 1
-    return symbols.where(near & ((F.levenshtein(low, F.lit(name.lower())) <= 1) | low.isin([s.lower() for s in swap])))
+    return symbols.where(within_one_edit(F.col("name"), name))
+
 
+def within_one_edit(name: Column, asked: str) -> Column:
+    """Whether ``name``, lower-cased, is ``asked`` but for one insertion, deletion, substitution or swap of neighbours."""
+    low, asked = F.lower(name), asked.lower()
+    swaps = [asked[:i] + asked[i + 1] + asked[i] + asked[i + 2 :] for i in range(len(asked) - 1)]
+    near = F.abs(F.length(name) - len(asked)) <= 1
+    return near & ((F.levenshtein(low, F.lit(asked)) <= 1) | low.isin(swaps) if swaps else F.levenshtein(low, F.lit(asked)) <= 1)
 
-def symbol_search(symbols: DataFrame, query: str, limit: int = 10, kind: str | None = None) -> DataFrame:
-    """(id, name, score): exact name x 12, shared n-grams x 4, signature words x 2.5, one-edit names x 0.6."""
-    if kind:
-        symbols = symbols.where(F.col("kind") == kind)
-    wanted = T.ngrams(F.lit(query.lower()))
-    own = T.ngrams(F.lower("name"))
-    shared = F.size(F.array_intersect(own, wanted)) / F.greatest(F.lit(1), F.size(F.array_distinct(wanted)))
-    words = F.size(F.array_intersect(T.tokens(F.col("signature")), T.tokens(F.lit(query))))
-    score = 12 * (F.col("name") == query).cast("double") + 4 * shared + 2.5 * words + 0.6 * (F.levenshtein(F.lower("name"), F.lit(query.lower())) <= 1).cast("double")
-    return symbols.select("id", "name", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+def symbol_search(symbols: DataFrame, query: str, limit: int = 10, kind: str | None = None, module: str | None = None, language: str | None = None) -> DataFrame:
+    """(id, name, score): symbols (id, name, kind, module, language, signature, doc, context) by BM25 over their names' n-grams and their texts.
+
+    The name's n-grams (case stays) count 4.0, signature 2.5, doc 1.5, context 1.0; an exact name adds 12, a name within one edit 0.6, an n-gram
+    within one edit of the query 0.35. Filters come first, so statistics are those of the symbols that may be found.
+    """
+    for column, value in (("kind", kind), ("module", module), ("language", language)):
+        if value is not None:
+            symbols = symbols.where(F.col(column) == value)
+    spark = symbols.sparkSession
+    texts = {c: b for c, b in SYMBOL_FIELDS.items() if c in symbols.columns}
+    asked = spark.createDataFrame([(0, query)], "query_id long, text string")
+    words = field_bm25(symbols, "id", texts, asked).select("id", F.col("score").alias("words"))
+    grams = symbols.select("id", T.ngrams(F.col("name")).alias("terms"))
+    rows = grams.select("id", F.size("terms").alias("dl"), "terms")
+    total = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    own = sorted({query[i : i + n] for n in range(3, 11) for i in range(len(query) - n + 1)})
+    held = rows.select("id", "dl", F.explode(F.filter("terms", lambda t: t.isin(own) if own else F.lit(False))).alias("term"))
+    tf = held.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    names = _scored(tf, total, spark.createDataFrame([(0, g) for g in own] or [(0, "")], "query_id long, term string")).select("id", (NAME_GRAMS * F.col("score")).alias("grams"))
+    near = F.exists(T.ngrams(F.col("name")), lambda g: within_one_edit(g, query))
+    extra = F.when(F.col("name") == query, NAME_EXACT).otherwise(0.0) + F.when(within_one_edit(F.col("name"), query), NAME_FUZZY).otherwise(0.0) + F.when(near, GRAM_FUZZY).otherwise(0.0)
+    both = symbols.select("id", "name", extra.alias("extra")).join(words, "id", "left").join(names, "id", "left")
+    score = F.col("extra") + F.coalesce("words", F.lit(0.0)) + F.coalesce("grams", F.lit(0.0))
+    return both.select("id", "name", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def knn(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
@@ -78,36 +175,52 @@ def two_phase_knn(vectors: DataFrame, query: list[float], limit: int, share: flo
     return knn(near.orderBy("distance", "id").limit(kept), query, limit)
 
 
-def batch_knn(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 4096) -> DataFrame:
-    """(query_id, id, score) for many queries: blocks of vectors meet all queries as matrices; each block hands on its best only."""
-    import numpy as np
-    import pandas as pd
+#: Queries that meet the vectors at once; more go in further passes.
+QUERY_BLOCK = 16_384
 
-    asked = queries.orderBy("query_id").toPandas()  # a stated set of queries; checked below
-    if len(asked) > 100_000:
-        raise ValueError("ask at most 100,000 queries at once")
-    q = np.stack(asked["embedding"].to_numpy()).astype(float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    ids = asked["query_id"].to_numpy()
 
-    def run(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), block):
-                part = pdf.iloc[i : i + block]
-                v = np.stack(part["embedding"].to_numpy()).astype(float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                s = np.round(q @ v.T, 6)
-                own = part["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :limit]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+def batch_knn(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 1024) -> DataFrame:
+    """(query_id, id, score, rank) for many queries: blocks of vectors meet blocks of queries as matrices; each task hands on its best only.
 
-    found = vectors.select("id", "embedding").mapInPandas(run, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    Queries are counted before any is collected and come in blocks of QUERY_BLOCK, each one pass over the vectors.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark, out = vectors.sparkSession, None
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for number in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        asked = own.orderBy("query_id").toPandas()  # about QUERY_BLOCK rows
+        if not len(asked):
+            continue
+        q = np.stack(asked["embedding"].to_numpy()).astype(float)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        sent = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), q))
+
+        def run(batches, sent=sent):
+            ids, q = sent.value
+            best_id, best = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
+            for pdf in batches:
+                for i in range(0, len(pdf), block):
+                    part = pdf.iloc[i : i + block]
+                    v = np.stack(part["embedding"].to_numpy()).astype(float)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                    s, names = np.concatenate([best, np.round(q @ v.T, 6)], axis=1), np.concatenate([best_id, np.broadcast_to(part["id"].to_numpy(), (len(q), len(part)))], axis=1)
+                    order = np.lexsort((names, -s), axis=1)[:, :limit]
+                    best, best_id = np.take_along_axis(s, order, 1), np.take_along_axis(names, order, 1)
+            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "id": best_id.ravel(), "score": best.ravel()})
+
+        one = vectors.select("id", "embedding").mapInPandas(run, "query_id long, id long, score double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
-    """(id, score): sum of 1 / (k + rank) over lists (id, score); ranks count from 1."""
+    """(id, score): sum of 1 / (k + rank) over lists (id, score), pools of bounded size; ranks count from 1."""
     order = Window.orderBy(F.desc("score"), "id")
     ranked = [x.select("id", (1 / (k + F.row_number().over(order))).alias("part")) for x in lists]
     out = ranked[0]
@@ -176,6 +289,10 @@ def gate(hits: DataFrame, rrf_score: Column, dual: Column, least_prob: float = 0
     return ranked.withColumns({"share": share, "weak": first}).where(~((F.col("share") < least_prob) & F.col("weak"))).select(*hits.columns)
 
 
+#: An embedding of texts: a column of vectors from a column of texts.
+Embedder = Callable[[Column], Column]
+
+
 def hash_embedding(text: Column, dims: int = 32) -> Column:
     """Deterministic stand-in for a dense model: counts of tokens by hash bucket; cosine needs no unit length."""
     bucket = F.transform(T.tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dims)))
@@ -184,19 +301,197 @@ def hash_embedding(text: Column, dims: int = 32) -> Column:
     return F.element_at(F.transform(F.array(bucket), counts), 1)
 
 
-def hybrid_search(docs: DataFrame, id_col: str, text_col: str, group_col: str, query: str, limit: int = 20, pool: int = 500, per_group: int = 1) -> DataFrame:
-    """Flagship: BM25 and dense arms, convex fusion, evidence by group, diversity and back-filling: (id, file, score, rank)."""
-    spark = docs.sparkSession
-    asked = spark.createDataFrame([(0, query)], "query_id long, text string")
-    best = lambda x: x.orderBy(F.desc("score"), "id").limit(pool)
-    lexical = best(bm25(docs, id_col, text_col, asked).select("id", F.round("score", 6).alias("score")))
-    vectors = docs.select(F.col(id_col).alias("id"), hash_embedding(F.col(text_col)).alias("embedding"))
-    vector = hash_embedding(F.lit(query))
-    dense = best(vectors.select("id", F.round(M.cosine(F.col("embedding"), vector), 6).alias("score")))
-    fused = convex(dense, lexical).select("id", F.round("score", 6).alias("score"))
-    hits = fused.join(docs.select(F.col(id_col).alias("id"), F.col(group_col).alias("file")), "id")
-    chosen = diverse(hits, per_group, limit)
-    return chosen.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long")).select("id", "file", F.round("score", 6).alias("score"), "rank")
+def hash_vectors(postings: DataFrame, dims: int = 32) -> DataFrame:
+    """(id, embedding) as hash_embedding() gives them, from postings (term, id, tf): a term is hashed once for each posting, and buckets are summed in one aggregation."""
+    bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dims))
+    rows = postings.select("id", "tf", bucket.alias("b"))
+    sums = [F.sum(F.when(F.col("b") == i, F.col("tf")).otherwise(0)).cast("double").alias(f"b{i}") for i in range(dims)]
+    return rows.groupBy("id").agg(*sums).select("id", F.array(*(f"b{i}" for i in range(dims))).alias("embedding"))
+
+
+def by_evidence(hits: DataFrame, limit: int, per_file: int = 1, alpha: float = 0.5) -> DataFrame:
+    """(id, file, score, rank): files in the order of their evidence, up to ``per_file`` hits of each; what is missing is filled by the best hits left over.
+
+    ``hits`` (id, file, score) is a pool of bounded size. Ties go by file and id.
+    """
+    order = Window.partitionBy("file").orderBy(F.desc("score"), "id")
+    ranked = hits.withColumn("r", F.row_number().over(order)).join(file_evidence(hits, alpha).withColumnRenamed("score", "evidence"), "file")
+    late = (F.col("r") > per_file).cast("int")
+    first = lambda c: F.when(late == 0, c)
+    keys = [late, F.desc(first(F.round("evidence", 6))), first(F.col("file")), first(F.col("r")), F.desc("score"), "id"]
+    chosen = ranked.orderBy(*keys).limit(limit)
+    return chosen.select("id", "file", "score", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("rank"))
+
+
+def fused_hits(lexical: DataFrame, dense: DataFrame, files: DataFrame, limit: int, per_file: int = 1, alpha: float = 0.8, ignore: tuple[str, ...] = T.HARD_IGNORE) -> DataFrame:
+    """(id, file, score, rank) from two pools (id, score): convex fusion, no ignored files, evidence by file, diversity and back-filling."""
+    fused = convex(dense, lexical, alpha).select("id", F.round("score", 6).alias("score"))
+    hits = fused.join(files.select("id", "file"), "id").where(~T.matches_any(F.col("file"), ignore))
+    return by_evidence(hits, limit, per_file).select("id", "file", F.round("score", 6).alias("score"), "rank")
+
+
+def hybrid_search(docs: DataFrame, id_col: str, text_col: str, file_col: str, query: str, limit: int = 20, pool: int = 500, per_file: int = 1, embed: Embedder = hash_embedding) -> DataFrame:
+    """(id, file, score, rank): BM25 and dense arms of ``pool`` hits each, then fused_hits(), without an index."""
+    asked = docs.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
+    best = lambda x: x.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
+    vectors = docs.select(F.col(id_col).alias("id"), embed(F.col(text_col)).alias("embedding"))
+    dense = vectors.select("id", M.cosine(F.col("embedding"), embed(F.lit(query))).alias("score"))
+    return fused_hits(best(bm25(docs, id_col, text_col, asked)), best(dense), docs.select(F.col(id_col).alias("id"), F.col(file_col).alias("file")), limit, per_file)
+
+
+class TextIndex:
+    """A written index of texts: ``postings`` (term, id, tf, dl), sorted by term, ``vectors`` (id, embedding), ``docs`` (id, file, dl) and ``total`` (n_docs, avg_dl).
+
+    Tables of one folder; a query reads the postings of its terms, the vectors and the names of what it found.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        for name in ("postings", "vectors", "docs", "total"):
+            setattr(self, name, spark.read.parquet(f"{path}/{name}"))
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, text_col: str, file_col: str, path: str, parts: int | None = None) -> TextIndex:
+        """Tokenises ``docs`` once; vectors and statistics come from the written postings and lengths."""
+        spark = docs.sparkSession
+        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+        own = postings(docs, id_col, F.col(text_col)).withColumn("tf", F.col("tf").cast("int"))
+        write(own.repartitionByRange(parts, "term").sortWithinPartitions("term", "id"), "postings")
+        index = spark.read.parquet(f"{path}/postings")
+        write(docs.select(F.col(id_col).alias("id"), F.col(file_col).alias("file")).join(index.groupBy("id").agg(F.first("dl").alias("dl")), "id", "left").fillna(0, ["dl"]), "docs")
+        write(docs.select(F.col(id_col).alias("id")).join(hash_vectors(index), "id", "left").select("id", F.coalesce("embedding", F.array_repeat(F.lit(0.0), 32)).alias("embedding")), "vectors")
+        write(spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")), "total")
+        return cls(spark, path)
+
+    def bm25(self, queries: DataFrame) -> DataFrame:
+        return indexed_bm25(self.postings, self.total, queries)
+
+    def hybrid(self, query: str, limit: int = 20, pool: int = 500, per_file: int = 1) -> DataFrame:
+        """hybrid_search() over the index."""
+        asked = self.spark.createDataFrame([(0, query)], "query_id long, text string")
+        best = lambda x: x.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
+        dense = self.vectors.select("id", M.cosine(F.col("embedding"), hash_embedding(F.lit(query))).alias("score"))
+        return fused_hits(best(self.bm25(asked)), best(dense), self.docs, limit, per_file)
+
+
+def rescored(hits: DataFrame, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """``hits`` (id, score, file, chunk_type, line_start, line_end, parent_scope, signature, doc, snippet, kind, fan, name) with heuristic scores.
+
+    Weights of source class and chunk type, a penalty for single lines, a boost for blocks, a penalty where fewer than half of two terms or more occur,
+    and a bounded adjustment by the symbol's kind and calls. Without a symbol, kind is null.
+    """
+    w = {"impl": 1.0, "types": 0.7, "tests": 0.5, "generated": 0.3, "single": 0.72, "block": 1.12, "coherence": 0.75, "symbol": 0.2} | (weights or {})
+    source, score, lines = T.source_class(F.col("file")), F.col("score"), F.col("line_end") - F.col("line_start") + 1
+    score = M.downrank(score, F.when(source == "generated", w["generated"]).when(source == "tests", w["tests"]).when(source == "types", w["types"]).otherwise(w["impl"]))
+    out = hits.withColumn("score", score)
+    out = out.withColumn("score", M.downrank(F.col("score"), M.chunk_weight(F.col("chunk_type"))))
+    out = out.withColumn("score", F.when(lines <= 1, M.downrank(F.col("score"), F.lit(w["single"]))).when(M.is_block(F.col("chunk_type"), lines), M.uprank(F.col("score"), F.lit(w["block"]))).otherwise(F.col("score")))
+    if len(terms) >= 2:
+        text = F.concat_ws(" ", "file", "chunk_type", "parent_scope", "signature", "doc", "snippet")
+        low = T.coverage(F.array(*map(F.lit, terms)), text) < 0.5
+        out = out.withColumn("score", F.when(low, M.downrank(F.col("score"), F.lit(w["coherence"]))).otherwise(F.col("score")))
+    signal = M.symbol_signal(F.col("kind"), F.col("fan"), F.lower("name").isin(*T.TRIVIAL_NAMES))
+    most = F.greatest(F.abs("score"), F.lit(1.0)) * max(0.0, min(0.25, w["symbol"]))
+    return out.withColumn("score", F.round(F.col("score") + (signal - 0.5) * 2 * most, 6))
+
+
+def strongest(hits: DataFrame, limit: int, per_file: int = 1, delta: float = 0.8, drop: float = 1.2, least: int = 1) -> DataFrame:
+    """Rescored ``hits``, a pool of bounded size: the best of equal places (file, line_start, line_end), ``per_file`` of a file, within ``delta`` of the best, before a fall of ``drop``."""
+    place = Window.partitionBy("file", "line_start", "line_end").orderBy(F.desc("score"), "id")
+    own = hits.withColumn("_p", F.row_number().over(place)).where("_p = 1").drop("_p")
+    own = own.withColumn("_f", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "id"))).where(F.col("_f") <= per_file).drop("_f")
+    kept = score_cut(own.select("id", "score"), delta, drop, least).orderBy("r").limit(limit)
+    return own.join(kept.select("id", F.col("r").cast("long").alias("rank")), "id")
+
+
+def document_search(chunks: DataFrame, vectors: DataFrame, query: str, collection: str | None = None, source: str | None = None, limit: int = 5, embed: Embedder = hash_embedding) -> DataFrame:
+    """(id, source_path, score, preview): chunks (id, collection, source_path, content) of a collection and source by cosine, with the words in context."""
+    for column, value in (("collection", collection), ("source_path", source)):
+        if value is not None:
+            chunks = chunks.where(F.col(column) == value)
+    own = vectors.join(chunks.select("id"), "id", "left_semi")
+    best = own.select("id", F.round(M.cosine(F.col("embedding"), embed(F.lit(query))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    words = F.array(*map(F.lit, [w for w in query.split() if len(w) > 1] or [""]))
+    return best.join(chunks.select("id", "source_path", T.preview(F.col("content"), words, 120, "...").alias("preview")), "id")
+
+
+def hybrid_symbols(symbols: DataFrame, vectors: DataFrame, query: str, limit: int = 10, k: int = 60, embed: Embedder = hash_embedding) -> DataFrame:
+    """(id, score): lexical and dense candidates of symbols, max(3 * limit, 20) of each, by reciprocal ranks."""
+    pool = max(3 * limit, 20)
+    lexical = symbol_search(symbols, query, pool).select("id", "score")
+    dense = vectors.select("id", F.round(M.cosine(F.col("embedding"), embed(F.lit(query))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
+    return rrf([lexical, dense], k).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+#: What a re-ranker is: scores for pairs of a query and texts, in batches.
+Reranker = Callable[[str, list[str]], list[float]]
+
+
+def reranked(hits: DataFrame, query: str, model: Reranker, limit: int) -> DataFrame:
+    """``hits`` (id, text, ...) with scores by ``model``, the best ``limit`` first; the model is called on Arrow batches."""
+    import pandas as pd
+
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in hits.drop('score').schema.fields)}, score double"
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf.drop(columns=["score"], errors="ignore")
+            yield out.assign(score=pd.Series(model(query, out["text"].tolist()), dtype=float, index=out.index))
+
+    return hits.mapInPandas(run, schema).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def rerank_text(parts: dict[str, Column], caps: dict[str, int] | None = None, most: int = 1400) -> Column:
+    """``name: value`` lines of the values that are there, each up to its cap, ``most`` characters in all."""
+    caps = {"signature": 256, "doc": 384, "context": 512, "snippet": 1024} | (caps or {})
+    lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), F.left(c, F.lit(caps.get(name, most))))) for name, c in parts.items()]
+    return F.left(F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n"), F.lit(most))
+
+
+def token_embedding(docs: DataFrame, id_col: str, text_col: str, table: DataFrame, most_chars: int) -> DataFrame:
+    """(id, embedding): static embedding: the mean of the vectors of a text's first tokens, at unit length; unknown tokens are left out.
+
+    ``table`` (term, vector) is the model; whole numbers of one scale give the same direction as what they stand for. Texts without a known token have no row.
+    """
+    words = docs.select(F.col(id_col).alias("id"), F.posexplode(T.tokens(F.left(text_col, F.lit(most_chars)))).alias("n", "term"))
+    parts = words.join(table, "term").select("id", F.posexplode("vector").alias("i", "x")).groupBy("id", "i").agg(F.avg("x").alias("x"))
+    return parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("v")).select("id", M.normalised(F.col("v")).alias("embedding"))
+
+
+def max_sim(tokens: DataFrame, query_tokens: list[list[float]]) -> DataFrame:
+    """(id, score): for each vector of the query the most similar one of the text's ``tokens`` (id, embedding), summed."""
+    asked = [F.max(M.cosine(F.col("embedding"), F.array(*map(F.lit, q)))).alias(f"s{i}") for i, q in enumerate(query_tokens)]
+    return tokens.groupBy("id").agg(*asked).select("id", sum((F.col(f"s{i}") for i in range(len(asked))), F.lit(0.0)).alias("score"))
+
+
+def feedback_terms(index: DataFrame, total: DataFrame, hits: DataFrame, top: int = 10) -> DataFrame:
+    """(term, weight): pseudo-relevance feedback: the terms that the best ``hits`` (id) hold and others do not, by tf times idf; a few hits are asked."""
+    own = index.join(F.broadcast(hits.select("id")), "id", "left_semi").groupBy("term").agg(F.sum("tf").alias("tf"))
+    df = index.join(own.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.col("tf") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return own.join(df, "term").join(F.broadcast(total)).where(F.length("term") > 2).select("term", F.round(weight, 6).alias("weight")).orderBy(F.desc("weight"), "term").limit(top)
+
+
+def coordinate_ascent(rows: DataFrame, features: list[str], steps: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0), rounds: int = 2) -> dict[str, float]:
+    """Weights of ``features`` by which the most queries have a relevant hit first: one weight at a time takes the best of ``steps`` times itself.
+
+    ``rows`` (query_id, id, relevant, features...). Every choice is one aggregation over all rows; only counts come back.
+    """
+    weights = dict.fromkeys(features, 1.0)
+    for _ in range(rounds):
+        for f in features:
+            tried = [weights | {f: step * (weights[f] or 1.0)} for step in steps]
+            scores = [sum((w[x] * F.col(x) for x in features), F.lit(0.0)) for w in tried]
+            best = [F.max_by("relevant", F.struct(s, -F.col("id"))).alias(f"r{i}") for i, s in enumerate(scores)]
+            found = rows.groupBy("query_id").agg(*best).agg(*(F.sum(F.col(f"r{i}").cast("int")).alias(f"r{i}") for i in range(len(tried)))).first()
+            weights = tried[max(range(len(tried)), key=lambda i: (found[i] or 0, -abs(tried[i][f] - weights[f])))]
+    return weights
+
+
+def cluster_members(assigned: DataFrame) -> DataFrame:
+    """(cluster, members): how many vectors each cluster holds."""
+    return assigned.groupBy("cluster").agg(F.count("*").alias("members"))
 
 
 def kmeans_assign(vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:

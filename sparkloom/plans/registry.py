@@ -6,7 +6,9 @@ are calls between parts, documents are files (module = source), events are chang
 
 from __future__ import annotations
 
+import hashlib
 import math
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import math as M
 from sparkloom.functions import text as T
-from sparkloom.operators import chunks, evaluate, graph, incremental, resolve, search
+from sparkloom.operators import chunks, evaluate, graph, incremental, overview, resolve, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -82,12 +84,14 @@ def asked(t: Tables) -> DataFrame:
 
 
 def lexical(t: Tables) -> DataFrame:
-    return search.bm25(t.documents, "doc_id", "text", asked(t)).select("id", F.round("score", 6).alias("score"))
+    return text_index(t.spark, t.dir).bm25(asked(t)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, id LIMIT 20")
 def bm25_search(spark, sf_dir):
-    return lexical(Tables(spark, sf_dir)).orderBy(F.desc("score"), "id").limit(20)
+    t = Tables(spark, sf_dir)
+    found = search.bm25(t.documents, "doc_id", "text", asked(t))
+    return found.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
 @query("""WITH terms AS (SELECT doc_id AS id, [x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> ''] AS terms FROM documents),
@@ -99,7 +103,7 @@ scored AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10""")
 def bm25_batch(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    found = search.bm25(t.documents, "doc_id", "text", t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    found = text_index(spark, sf_dir).bm25(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("score", F.round("score", 4)).withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 10")
 
@@ -248,7 +252,7 @@ def fan_in_out(spark, sf_dir):
 
 @query(f"""WITH {EDGES}, m AS (SELECT a.p_brand AS f, b.p_brand AS t, count(*) AS n FROM edges JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey WHERE a.p_brand <> b.p_brand GROUP BY 1, 2),
 x AS (SELECT module, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT t AS module, n AS i, 0 AS o FROM m UNION ALL SELECT f, 0, n FROM m) GROUP BY module)
-SELECT *, CASE WHEN regexp_matches(lower(module), 'config|log|util|infra') THEN 'Infrastructure' WHEN contains(module, '/core/') THEN 'Processing' WHEN fan_in + fan_out = 0 THEN 'Infrastructure' WHEN fan_in >= 25 AND fan_out >= 30 THEN 'Processing'
+SELECT *, CASE WHEN regexp_matches(lower(module), 'test|mock|fixture|script|[.]github|ci|spec|bench|example|third_party|third-party|vendor') THEN 'Infrastructure' WHEN contains(lower(module), '/core/') OR starts_with(lower(module), 'core/') THEN 'Processing' WHEN fan_in + fan_out = 0 THEN 'Infrastructure' WHEN fan_in >= 25 AND fan_out >= 30 THEN 'Processing'
 WHEN fan_in / (fan_in + fan_out) >= 0.75 THEN 'Data' WHEN fan_in < 25 AND fan_out >= 30 THEN 'Interface' WHEN fan_in / (fan_in + fan_out) > 0.65 THEN 'Data' WHEN fan_in / (fan_in + fan_out) < 0.35 THEN 'Interface' ELSE 'Processing' END AS layer FROM x""")
 def layers(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -326,7 +330,17 @@ def resolution_tiers_whole(spark, sf_dir):
     return u.join(s, "name").withColumn("tier", tier).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query()
+HOME = "home AS (SELECT n_nationkey AS nation, CAST(n_regionkey AS VARCHAR) AS language, n_name AS module FROM nation)"
+NAMES = f"""{HOME}, s AS (SELECT s_suppkey AS id, s_name AS name, nation AS f, language, module, CASE WHEN s_acctbal > 0 THEN 'Public' ELSE 'Private' END AS v FROM supplier JOIN home ON s_nationkey = nation),
+u AS (SELECT o_orderkey AS rel_id, 'Supplier#' || lpad(CAST(o_orderkey % 100 + 1 AS VARCHAR), 9, '0') AS name, nation AS f, language, module FROM orders JOIN customer ON o_custkey = c_custkey JOIN home ON c_nationkey = nation),
+c AS (SELECT rel_id, id, CASE WHEN u.f = s.f THEN 1 WHEN u.name = 'Supplier#000000001' AND u.language = s.language AND contains('NATION_1::Supplier#000000001', s.module) THEN 2
+ WHEN u.language = s.language AND (u.module = s.module OR s.v = 'Public') THEN 3 END AS tier FROM u JOIN s USING (name)),
+b AS (SELECT rel_id, min(tier) AS tier FROM c WHERE tier IS NOT NULL GROUP BY rel_id),
+n AS (SELECT rel_id, tier, count(*) AS n, min(id) AS id FROM b JOIN c USING (rel_id, tier) GROUP BY rel_id, tier),
+r AS (SELECT rel_id, CASE WHEN n = 1 OR tier = 1 THEN n.id END AS to_id, tier FROM u LEFT JOIN n USING (rel_id))"""
+
+
+@query(f"WITH {NAMES} SELECT rel_id, to_id, CASE WHEN tier IS NULL THEN 'no_candidates' WHEN to_id IS NULL THEN 'ambiguous' ELSE 'resolved' END AS status, CAST(tier AS BIGINT) AS tier FROM r")
 def name_resolution(spark, sf_dir):
     """Orders refer to suppliers by name; nations are files, regions languages."""
     t = Tables(spark, sf_dir)
@@ -334,7 +348,7 @@ def name_resolution(spark, sf_dir):
     s = t.supplier.join(home, F.col("s_nationkey") == F.col("nation")).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("nation").alias("file_id"), "language", "module", F.when(F.col("s_acctbal") > 0, "Public").otherwise("Private").alias("visibility"), F.lit(1).alias("line"))
     c = t.customer.join(home, F.col("c_nationkey") == F.col("nation"))
     u = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("rel_id"), F.concat(F.lit("Supplier#"), F.lpad((F.col("o_orderkey") % 100 + 1).cast("string"), 9, "0")).alias("to_name"), F.col("nation").alias("file_id"), "language", "module", F.lit(2).alias("line"))
-    imports = home.select(F.col("nation").alias("file_id"), F.lit("x::Supplier#000000001").alias("path"), F.lit(None).cast("string").alias("alias"))
+    imports = home.select(F.col("nation").alias("file_id"), F.lit("NATION_1::Supplier#000000001").alias("path"), F.lit(None).cast("string").alias("alias"))
     return resolve.resolve_names(u, s, imports)
 
 
@@ -433,7 +447,8 @@ def keyword_frequency(spark, sf_dir):
 
 @query("SELECT p_brand AS module, count(*) AS symbols, count(*) FILTER (p_size > 25) AS large, count(DISTINCT p_type) AS kinds FROM part GROUP BY 1")
 def module_stats(spark, sf_dir):
-    return Tables(spark, sf_dir).part.groupBy(F.col("p_brand").alias("module")).agg(F.count("*").alias("symbols"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_distinct("p_type").alias("kinds"))
+    rows = Tables(spark, sf_dir).part.select(F.col("p_brand").alias("module"), "p_size", "p_type")
+    return rows.groupBy("module").agg(F.count("*").alias("symbols"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_distinct("p_type").alias("kinds"))
 
 
 @query("SELECT p_partkey AS id, array_to_string([x for x in string_split(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), ' ') if x <> ''], '|') AS parts FROM part")
@@ -481,9 +496,34 @@ def ivf_search(spark, sf_dir):
     return search.ivf_search(v, assigned, centroids, PROBE, 10, probes)
 
 
+PATH_SQL = "CASE WHEN source = 'src7' THEN 'build/' || lang || '/src7' ELSE 'docs/' || lang || '/' || source END"
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
+    """The written index of the documents of ``sf_dir``, made once for each application; a part of the paths is one that searches ignore."""
+    folder = f"{store_root(spark)}/text-index-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    if (spark.sparkContext.applicationId, sf_dir) not in _INDEXES:
+        docs = Tables(spark, sf_dir).documents.withColumn("path", F.expr(PATH_SQL))
+        _INDEXES[spark.sparkContext.applicationId, sf_dir] = search.TextIndex.build(docs, "doc_id", "text", "path", folder)
+    return _INDEXES[spark.sparkContext.applicationId, sf_dir]
+
+
+_INDEXES: dict[tuple[str, str], search.TextIndex] = {}
+
+
+def store_root(spark: SparkSession) -> str:
+    """A folder of this application in the shared folder of spark.checkpoint.dir; a temporary one where none is set and all is one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}"
+    return f"{found.rstrip('/')}/sparkloom-{spark.sparkContext.applicationId}"
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search over the documents, one of each source first."""
-    return search.hybrid_search(Tables(spark, sf_dir).documents, "doc_id", "text", "source", PROSE)
+    """Hybrid search over the indexed documents: both arms, fusion, no ignored files, evidence by file, one of each file first, back-filling."""
+    return text_index(spark, sf_dir).hybrid(PROSE)
 
 
 HASHED = "[len([w for w in string_split_regex(lower({}), '[^a-z0-9]+') if w <> '' AND ('0x' || substr(md5(w), 1, 8))::BIGINT % 32 = i])::DOUBLE for i in range(0, 32)]"
@@ -493,8 +533,11 @@ HASHED = "[len([w for w in string_split_regex(lower({}), '[^a-z0-9]+') if w <> '
 v AS (SELECT doc_id AS id, {HASHED.format('text')} AS e FROM documents), q AS (SELECT {HASHED.format(repr(PROSE))} AS q),
 d0 AS (SELECT id, round(coalesce(CASE WHEN list_sum(e) = 0 THEN 0 ELSE list_cosine_similarity(e, q) END, 0), 6) AS score FROM v, q ORDER BY score DESC, id LIMIT 500),
 l AS (SELECT id, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1.1920929e-07) AS l FROM l0), d AS (SELECT id, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1.1920929e-07) AS d FROM d0),
-f AS (SELECT id, source AS file, round(0.8::DOUBLE * coalesce(d, 0) + 0.2::DOUBLE * coalesce(l, 0), 6) AS score FROM d FULL JOIN l USING (id) JOIN documents ON id = doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS r FROM f), top AS (SELECT id, file, score FROM r ORDER BY (r > 1), score DESC, id LIMIT 20)
-SELECT id, file, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM top""")
+f AS (SELECT id, {PATH_SQL} AS file, round(0.8::DOUBLE * coalesce(d, 0) + 0.2::DOUBLE * coalesce(l, 0), 6) AS score FROM d FULL JOIN l USING (id) JOIN documents ON id = doc_id),
+g AS (SELECT * FROM f WHERE NOT regexp_matches(file, '(^|/)(target|node_modules|[.]venv|venv|[.]venv-quant|[.]next|[.]nuxt|[.]svelte-kit|dist|build|out)/') AND NOT regexp_matches(file, '^(.*/)?evals/') AND NOT regexp_matches(file, '[.]eval[.][^/]*$')),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS r FROM g),
+e AS (SELECT file, round(max(CASE WHEN r = 1 THEN score END) + 0.5::DOUBLE * coalesce(sum(CASE WHEN r BETWEEN 2 AND 6 THEN score / r END), 0), 6) AS evidence FROM r GROUP BY file),
+o AS (SELECT id, file, score, row_number() OVER (ORDER BY (r > 1), CASE WHEN r = 1 THEN evidence END DESC, CASE WHEN r = 1 THEN file END, score DESC, id) AS rank FROM r JOIN e USING (file))
+SELECT id, file, score, rank FROM o WHERE rank <= 20""")
 def hybrid_search(spark, sf_dir):
     return FLAGSHIP(spark, sf_dir)
