@@ -68,7 +68,7 @@ def scan_files(spark: SparkSession, root: str, ignore: list[str] = (), tests: bo
     listed = listed.withColumn("language", language_of(F.col("rel"))).where(F.col("language").isNotNull() & ~F.col("rel").rlike(r"(?:^|/)\.[^/]+"))
     for pattern in ignore:
         listed = listed.where(~F.col("rel").rlike(T.glob_regex(pattern)))
-    rules = [r for row in spark.read.text(f"{root}/{ignore_file}", wholetext=True).collect() for r in ignore_rules(row["value"])] if _exists(spark, f"{root}/{ignore_file}") else []
+    rules = ignore_rules(_text_of(spark, f"{root}/{ignore_file}"))
     gone = F.lit(False)
     for keep, pattern in rules:
         gone = F.when(F.col("rel").rlike(pattern), not keep).otherwise(gone)
@@ -80,9 +80,18 @@ def scan_files(spark: SparkSession, root: str, ignore: list[str] = (), tests: bo
     return read_paths(spark, root, listed)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def _text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text, empty without one; read by the driver, as Spark's readers pass hidden files."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 #: Paths that are named to the reader at once.
