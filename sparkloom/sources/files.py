@@ -125,7 +125,7 @@ def scan_git(spark: SparkSession, root: str) -> DataFrame:
 def scan_collection(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("**/*.md",), collection: str = "default") -> DataFrame:
     """(collection, source_path, text, mtime) of a collection's documents."""
     listed = _listed(spark, root, None).where(T.matches_any(F.col("rel"), list(patterns)))
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     return rows.join(listed.select("path", "rel", "mtime"), "path").select(F.lit(collection).alias("collection"), F.col("rel").alias("source_path"), "text", "mtime")
 
 
