@@ -191,26 +191,14 @@ def query_coverage(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), F.round(T.coverage(T.query_terms(F.lit("the worthless clown of an idiot")), F.col("text")), 6).alias("coverage"))
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT src AS node, p_partkey AS id, p_name AS name, p_type AS kind FROM edges JOIN part ON dst = p_partkey WHERE src <= 50")
-def callees(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return graph.neighbours(edges(t).where("src <= 50"), symbols(t)).select("node", "id", "name", "kind")
-
-
-@query(f"WITH {EDGES} SELECT DISTINCT dst AS node, p_partkey AS id, p_name AS name, p_type AS kind FROM edges JOIN part ON src = p_partkey WHERE dst <= 50")
-def callers(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return graph.neighbours(edges(t).where("dst <= 50"), symbols(t), incoming=True).select("node", "id", "name", "kind")
-
-
 @query(f"WITH {EDGES} SELECT DISTINCT src AS node, p_partkey AS id, p_name AS name, p_type AS kind FROM edges JOIN part ON dst = p_partkey")
-def callees_whole(spark, sf_dir):
+def callees(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return graph.neighbours(edges(t), symbols(t)).select("node", "id", "name", "kind")
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT dst AS node, p_partkey AS id, p_name AS name, p_type AS kind FROM edges JOIN part ON src = p_partkey")
-def callers_whole(spark, sf_dir):
+def callers(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return graph.neighbours(edges(t), symbols(t), incoming=True).select("node", "id", "name", "kind")
 
@@ -222,19 +210,10 @@ def impact_radius(spark, sf_dir):
     return graph.impact(edges(t), spark.range(7, 8), 2)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src % 40 = 7 OR src = 7), walk AS (SELECT [7::BIGINT] AS path, 0 AS depth, false AS again UNION ALL
-SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON src = path[-1] WHERE NOT again AND depth < 2)
-SELECT array_to_string(path, '>') AS path, depth::BIGINT AS depth, again AS recursive FROM walk""")
-def call_tree(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    tree = graph.call_tree(edges(t).where("src % 40 = 7 or src = 7"), 7, 2, most=None)
-    return tree.select(F.array_join("path", ">").alias("path"), "depth", F.coalesce(F.col("reason") == "recursive", F.lit(False)).alias("recursive"))
-
-
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), walk AS (SELECT [7::BIGINT] AS path, 0 AS depth, false AS again UNION ALL
 SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON src = path[-1] WHERE NOT again AND depth < 2)
 SELECT array_to_string(path, '>') AS path, depth::BIGINT AS depth, again AS recursive FROM walk""")
-def call_tree_whole(spark, sf_dir):
+def call_tree(spark, sf_dir):
     tree = graph.call_tree(edges(Tables(spark, sf_dir)), 7, 2, most=None)
     return tree.select(F.array_join("path", ">").alias("path"), "depth", F.coalesce(F.col("reason") == "recursive", F.lit(False)).alias("recursive"))
 
@@ -271,18 +250,10 @@ def critical_path(spark, sf_dir):
     return graph.critical_paths(edges(Tables(spark, sf_dir)), spark.range(1, 4))
 
 
-@query(f"""WITH {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges)
-SELECT p_partkey AS id, (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT DISTINCT p_name AS name FROM e JOIN part q ON e.dst = q.p_partkey WHERE e.src = part.p_partkey)) AS callees FROM part WHERE p_partkey <= 20""")
-def symbol_context(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    found = graph.symbol_context(edges(t), symbols(t), t.part.where("p_partkey <= 20").select(F.col("p_partkey").alias("id")))
-    return found.select("id", F.when(F.size("callees") > 0, F.array_join("callees", ",")).alias("callees"))
-
-
 @query(f"""WITH {EDGES}, o AS (SELECT src AS id, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS callees FROM edges JOIN part ON dst = p_partkey GROUP BY src),
 i AS (SELECT dst AS id, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS callers FROM edges JOIN part ON src = p_partkey GROUP BY dst)
 SELECT p_partkey AS id, callees, callers FROM part LEFT JOIN o ON p_partkey = o.id LEFT JOIN i ON p_partkey = i.id""")
-def symbol_context_whole(spark, sf_dir):
+def symbol_context(spark, sf_dir):
     t = Tables(spark, sf_dir)
     found = graph.symbol_context(edges(t), symbols(t), symbols(t).select("id"))
     return found.select("id", *(F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c) for c in ("callees", "callers")))
@@ -304,30 +275,18 @@ def containment_join(spark, sf_dir):
     return resolve.containing(o.select(F.col("o_orderkey").alias("point_id"), F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at")), ranges, "k").where("range_id is not null")
 
 
-@query("""WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS f, CASE WHEN s_acctbal > 0 THEN 'Public' ELSE 'Private' END AS v FROM supplier),
-u AS (SELECT l_orderkey * 100000 + l_partkey AS rel, s_name AS name, max(c_nationkey) AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_orderkey <= 2000 GROUP BY 1, 2, l_suppkey, l_linenumber),
-c AS (SELECT rel, s.id, CASE WHEN u.f = s.f THEN 1 WHEN s.v = 'Public' THEN 3 END AS tier FROM u JOIN s ON u.name = s.name)
-SELECT tier::BIGINT AS tier, count(*) AS n FROM c WHERE tier IS NOT NULL GROUP BY tier""")
+@query("""WITH s AS (SELECT s_name AS name, s_nationkey AS f, s_acctbal > 0 AS public FROM supplier), u AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, s_name AS name, c_nationkey AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT CASE WHEN u.f = s.f THEN 1 WHEN public THEN 3 END AS tier FROM u JOIN s USING (name)) SELECT CASE WHEN tier IS NULL THEN 'no_candidates' ELSE 'resolved' END AS status, tier::BIGINT AS tier, count(*) AS n FROM t GROUP BY ALL""")
 def resolution_tiers(spark, sf_dir):
+    """Every line refers to its supplier by name, from its customer's nation; nations are files and modules."""
     t = Tables(spark, sf_dir)
-    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("f"), F.when(F.col("s_acctbal") > 0, "Public").otherwise("Private").alias("v"))
-    u = t.lineitem.where("l_orderkey <= 2000").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    u = u.groupBy((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("rel"), F.col("s_name").alias("name"), "l_suppkey", "l_linenumber").agg(F.max("c_nationkey").alias("uf"))
-    tier = F.when(F.col("uf") == F.col("f"), 1).when(F.col("v") == "Public", 3).cast("long")
-    return u.join(s, "name").withColumn("tier", tier).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))
-
-
-@query("""WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS f, CASE WHEN s_acctbal > 0 THEN 'Public' ELSE 'Private' END AS v FROM supplier),
-u AS (SELECT s_name AS name, max(c_nationkey) AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY l_orderkey, l_partkey, s_name, l_suppkey, l_linenumber),
-c AS (SELECT s.id, CASE WHEN u.f = s.f THEN 1 WHEN s.v = 'Public' THEN 3 END AS tier FROM u JOIN s ON u.name = s.name)
-SELECT tier::BIGINT AS tier, count(*) AS n FROM c WHERE tier IS NOT NULL GROUP BY tier""")
-def resolution_tiers_whole(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("f"), F.when(F.col("s_acctbal") > 0, "Public").otherwise("Private").alias("v"))
+    constant = F.lit("x").alias("language")
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("file_id"), constant, F.col("s_nationkey").cast("string").alias("module"), F.when(F.col("s_acctbal") > 0, "Public").otherwise("Private").alias("visibility"), F.lit(1).alias("line"))
     u = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    u = u.groupBy("l_orderkey", "l_partkey", F.col("s_name").alias("name"), "l_suppkey", "l_linenumber").agg(F.max("c_nationkey").alias("uf"))
-    tier = F.when(F.col("uf") == F.col("f"), 1).when(F.col("v") == "Public", 3).cast("long")
-    return u.join(s, "name").withColumn("tier", tier).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))
+    u = u.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("s_name").alias("to_name"), F.col("c_nationkey").alias("file_id")).distinct()
+    u = u.select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("rel_id"), "to_name", "file_id", constant, F.concat(F.lit("of "), "file_id").alias("module"), F.lit(2).alias("line"))
+    imports = spark.createDataFrame([], "file_id int, path string, alias string")
+    return resolve.resolution_stats(resolve.resolve_names(u, s, imports))
 
 
 HOME = "home AS (SELECT n_nationkey AS nation, CAST(n_regionkey AS VARCHAR) AS language, n_name AS module FROM nation)"
