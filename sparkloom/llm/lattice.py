@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, new_key, once, small_batches, staged, text_slices
+from .common import as_bytes, gathered, mix, new_key, once, small_batches, staged, text_slices
 
 FREQUENT = 1 << 18
 ROUNDS = 2
 #: Tokens that the prior counts as.
 PRIOR = 10_000.0
 MARK = "▁"
+#: Distinct words whose lattices are worked on together.
+WORDS = 20_000
 #: Words that a task counts before it hands them on.
 HELD = 400_000
 _BLOOM_BITS = 20
@@ -218,7 +220,7 @@ def estimate(words: DataFrame, names: list[str], start: np.ndarray, ends: int, r
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = Pieces(*sent.value)
             total = np.zeros(len(own.names))
-            for batch in batches:
+            for batch in gathered(batches, WORDS):
                 count = batch.column("c").to_numpy().astype(float)
                 for part, x in grids(batch.column("word").to_pylist()):
                     own.expected(x, count[part], total)
@@ -246,7 +248,7 @@ def score_words(words: DataFrame, names: list[str], logp: np.ndarray, total: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(*sent.value)
-        for batch in batches:
+        for batch in gathered(batches, WORDS):
             out = np.empty(batch.num_rows)
             for part, x in grids(batch.column("word").to_pylist()):
                 out[part] = own.forward(x)[0][:, -1]
