@@ -4,7 +4,7 @@ Python is parsed by its own grammar. The others are read by their definitions, b
 blanked: enough for names, ranges, owners, calls, inheritance, imports and types, without a grammar for each language.
 
 Rows are (what, name, kind, line, end_line, other), lines from 1:
-``symbol`` (other: doc comment), ``signature`` (other: the definition's text), ``call`` (name: caller, other: callee), ``method_call`` (kind: receiver, other: method),
+``symbol`` (other: doc comment), ``signature`` (other: the definition's text), ``call`` (name: caller, ``<module>`` for calls outside functions in Python and Lua, other: callee), ``method_call`` (kind: receiver, other: method),
 ``implements`` and ``extends`` (name: type, other: base), ``uses`` (name: user, other: type), ``defines`` (name: owner, other: member), ``import`` (name: path, other: alias),
 ``variable`` (name: variable, other: type), ``inherent`` (name: type, other: method), ``flow`` (name: owner, kind: kind of block).
 """
@@ -38,7 +38,7 @@ class Rules:
 
 TYPES = {"Class", "Struct", "Enum", "Trait", "Interface", "Impl", "Module"}
 #: Words that look like calls (fixed values).
-WORDS = frozenset("if for while switch match return catch function fn func fun sizeof typeof new throw elif else do and or not in until when guard defer lambda def class super assert await yield loop with except print_ using lock foreach elseif require_once include_once array list isset unset".split())
+WORDS = frozenset("if for while switch match return catch function fn func fun sizeof typeof throw elif else do and or not in until when guard defer lambda def class super assert await yield loop with except print_ using lock foreach elseif require_once include_once array list isset unset".split())
 
 CONTROL = frozenset("if for while switch match return catch function throw elif else do and or not in until when guard typeof sizeof await yield lock foreach elseif".split())
 
@@ -85,7 +85,7 @@ LANGUAGES: dict[str, Rules] = {
          (r"^[ \t]*(?:public\s+|private\s+|fileprivate\s+|internal\s+)*extension\s+(?P<name>\w+)", "Impl"), (r"^[ \t]*(?:@\w+\s+)*(?:(?:public|private|fileprivate|internal|open|final|static|class|override|mutating)\s+)*func\s+(?P<name>\w+)", "Function"), (r"^[ \t]*(?:public\s+)?typealias\s+(?P<name>\w+)", "TypeAlias")),
         (r"^\s*(?:@\w+\s+)?import\s+(?:(?:class|struct|enum|protocol|func)\s+)?(?P<path>[\w.]+)",), quotes='"', inherit="swift", variables=(r"\b(?:let|var)\s+(?P<name>\w+)\s*:\s*(?P<type>[A-Z]\w*)", r"\b(?:let|var)\s+(?P<name>\w+)\s*=\s*(?P<type>[A-Z]\w*)\("), fields=r"^[ \t]+(?:(?:public|private|fileprivate|internal|static|lazy|weak)\s+)*(?:let|var)\s+(?P<name>\w+)"),
     "lua": Rules(
-        ((r"^[ \t]*local\s+function\s+(?P<name>\w+)", "Function"), (r"^[ \t]*function\s+(?P<owner>\w+)[.:](?P<name>\w+)", "Method"), (r"^[ \t]*function\s+(?P<name>\w+)(?![\w.:])", "Function"), (r"^[ \t]*(?:local\s+)?(?P<owner>\w+)\.(?P<name>\w+)\s*=\s*function\b", "Method"), (r"^[ \t]*local\s+(?P<name>\w+)\s*=\s*function\b", "Function"), (r"^local\s+(?P<name>[A-Z][A-Z0-9_]+)\s*=", "Constant"), (r"^(?:local\s+)?(?P<name>[A-Z]\w*)\s*=\s*(?:\{|setmetatable)", "Class")),
+        ((r"^[ \t]*local\s+function\s+(?P<name>\w+)", "Function"), (r"^[ \t]*function\s+(?:\w+\.)*(?P<owner>\w+)[.:](?P<name>\w+)", "Method"), (r"^[ \t]*function\s+(?P<name>\w+)(?![\w.:])", "Function"), (r"^[ \t]*(?:local\s+)?(?P<owner>\w+)\.(?P<name>\w+)\s*=\s*function\b", "Method"), (r"^[ \t]*local\s+(?P<name>\w+)\s*=\s*function\b", "Function"), (r"^local\s+(?P<name>[A-Z][A-Z0-9_]+)\s*=", "Constant"), (r"^(?:local\s+)?(?P<name>[A-Z]\w*)\s*=\s*(?:\{|setmetatable)", "Class")),
         (r"(?:local\s+(?P<alias>\w+)\s*=\s*)?require\s*\(?\s*['\"](?P<path>[^'\"]+)['\"]",), line_comment=("--",), block_comment=("--[[", "]]"), body="end", inherit="lua", variables=(r"\blocal\s+(?P<name>\w+)\s*=\s*(?P<type>[A-Z]\w*)[.:]new\b",)),
     "gdscript": Rules(
         ((r"^[ \t]*class_name\s+(?P<name>\w+)", "Class"), (r"^[ \t]*class\s+(?P<name>\w+)", "Class"), (r"^[ \t]*(?:static\s+)?func\s+(?P<name>\w+)", "Function"), (r"^[ \t]*signal\s+(?P<name>\w+)", "Field"), (r"^[ \t]*enum\s+(?P<name>\w+)", "Enum"), (r"^[ \t]*const\s+(?P<name>\w+)", "Constant"), (r"^(?:@\w+(?:\([^)]*\))?\s+)*var\s+(?P<name>\w+)", "Variable")),
@@ -334,6 +334,8 @@ def extract(language: str, source: str) -> list[tuple]:
     seen = set()
     for m in re.finditer(r"(?:(?P<receiver>[\w\])]+)\s*(?P<dot>\.|->|::|:|\?\.)\s*)?(?P<name>[A-Za-z_]\w*)\s*!?\(", code):
         owner, name, line = innermost(callables, m.start("name")), m.group("name"), line_of(m.start("name"))
+        if owner is None and language == "lua":
+            owner = (0, 0, "<module>")
         if name in WORDS or m.start("name") in defined or owner is None:
             continue
         if (owner[2], name, line) not in seen:  # one row for each caller, callee and line
@@ -404,7 +406,9 @@ def _python(source: str) -> list[tuple]:
                 within = x.name
             elif isinstance(x, ast.Call):
                 name = x.func.attr if isinstance(x.func, ast.Attribute) else x.func.id if isinstance(x.func, ast.Name) else None
-                if name and owner:
+                if name and not owner:
+                    out.append(("call", "<module>", "Call", x.lineno, x.end_lineno, name))
+                elif name:
                     out.append(("call", owner, "Call", x.lineno, x.end_lineno, name))
                     if isinstance(x.func, ast.Attribute):
                         out.append(("method_call", owner, text(x.func.value)[:200], x.lineno, x.end_lineno, name))

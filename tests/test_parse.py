@@ -57,3 +57,20 @@ def test_hooks_and_trees():
     assert parse.hooks("const [a, setA] = useState(0);\n// useMemo(x)\nReact.useEffect(() => {}, []);") == [("useState", "a,setA", 1), ("useEffect", "", 3)]
     nodes = parse.dump("def f(): return 1\n")
     assert [n["node"] for n in nodes][:2] == ["Module", "FunctionDef"] and nodes[1]["name"] == "f"
+
+
+def test_lua_calls():
+    source = "local Animal = {}\nfunction Animal.new() return setmetatable({}, Animal) end\nfunction Dog.new() local d = Animal.new() return d end\nfunction M.utils.split(s) table.insert(s, 1) end\nsetmetatable(Dog, {__index = Animal})\n"
+    calls = {(r[1], r[5]) for r in parse.extract("lua", source) if r[0] == "call"}
+    assert calls == {("new", "setmetatable"), ("new", "new"), ("split", "insert"), ("<module>", "setmetatable")}
+
+
+@pytest.mark.parametrize(("line", "visibility"), [("public class A {}", "Public"), ("private fun a() {}", "Private"), ("protected fun a() {}", "Module"), ("internal class A", "Crate"), ("val a: Int = 0", "Public")])
+def test_kotlin_visibility(spark, line, visibility):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import text as T
+
+    body = line if "class" in line else f"class Holder {{\n    {line}\n}}"
+    head = [r[5] for r in parse.extract("kotlin", body) if r[0] == "signature" and r[1] != "Holder"][0]
+    assert spark.range(1).select(T.visibility(F.lit(head), F.lit("kotlin"))).first()[0] == visibility
