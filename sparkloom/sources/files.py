@@ -254,25 +254,31 @@ def dump_trees(files: DataFrame) -> DataFrame:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """(path, what, name, kind, line, end_line, other): every extracted row of each file, on Arrow batches; calls once for each caller, callee and line."""
+    """(path, what, name, kind, line, end_line, other, signature): every extracted row of each file, on Arrow batches; symbols have their signature.
+
+    Calls are given once for each caller, callee and line.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, *x) for p, lang, c in zip(pdf["path"], pdf["language"], pdf["content"]) for x in extract(lang, c or "")]
-            yield pd.DataFrame(rows, columns=["path", "what", "name", "kind", "line", "end_line", "other"])
+            rows = []
+            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
+                found = extract(language, content or "")
+                heads = {(x[1], x[2], x[3]): x[5] for x in found if x[0] == "signature"}
+                rows += [(path, *x, heads.get((x[1], x[2], x[3])) if x[0] == "symbol" else None) for x in found if x[0] != "signature"]
+            yield pd.DataFrame(rows, columns=["path", "what", "name", "kind", "line", "end_line", "other", "signature"])
 
-    return files.select("path", "language", "content").mapInPandas(run, "path string, what string, name string, kind string, line long, end_line long, other string")
+    return files.select("path", "language", "content").mapInPandas(run, "path string, what string, name string, kind string, line long, end_line long, other string, signature string")
 
 
 def symbol_table(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols (id, name, kind, file_path, language, module, visibility, start_line, end_line, signature, doc, class_name) of parsed rows; ids are hashes of place and name."""
     from sparkloom.operators import resolve
 
-    own = parsed.where("what = 'symbol'").select(F.col("path").alias("file_path"), "name", "kind", F.col("line").alias("start_line"), "end_line", F.col("other").alias("doc"))
+    own = parsed.where("what = 'symbol'").select(F.col("path").alias("file_path"), "name", "kind", F.col("line").alias("start_line"), "end_line", F.col("other").alias("doc"), "signature")
     key = ["file_path", "name", "kind", "start_line"]
-    heads = parsed.where("what = 'signature'").groupBy(F.col("path").alias("file_path"), "name", "kind", F.col("line").alias("start_line")).agg(F.min("other").alias("signature"))
     owners = parsed.where("what = 'defines'").groupBy(F.col("path").alias("file_path"), F.col("other").alias("name"), "kind", F.col("line").alias("start_line")).agg(F.min("name").alias("class_name"))
-    rows = own.join(heads, key, "left").join(owners, key, "left").join(files.select(F.col("path").alias("file_path"), "language"), "file_path")
+    rows = own.join(owners, key, "left").join(files.select(F.col("path").alias("file_path"), "language"), "file_path")
     return rows.select(
         F.xxhash64(*key).bitwiseAND(F.lit((1 << 62) - 1)).alias("id"), "name", "kind", "file_path", "language", resolve.module_path(F.col("file_path"), F.col("language")).alias("module"),
         T.visibility(F.coalesce("signature", F.lit("")), F.col("language")).alias("visibility"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "signature", "doc", "class_name",
