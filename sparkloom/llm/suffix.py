@@ -314,7 +314,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """(t1, t2, spans array<struct<a, b>>): first and last starts of strings of ``length`` bytes that also start elsewhere."""
     found = staged(segments(docs, length, gram), "suffix-segments")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c1").alias("c_lo"), F.max("c1").alias("c_hi")).where("n > 1")
-    # Segments whose anchor occurs once go; written, so that a common anchor's rows can be split among tasks.
+    # Segments whose anchor occurs once go. Both sides and the result are written tables, so that a common anchor's rows can be split among tasks.
+    twice = staged(twice, "suffix-anchors")
     rows = staged(found.join(twice.select("anchor", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "anchor"), "suffix-repeats")
     mixed = rows.where("mixed")
     # All first() see the same rows in the same order, so they give one segment's values.
