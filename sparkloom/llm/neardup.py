@@ -259,11 +259,13 @@ def exact_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     room = F.expr(f"size - (size * {THRESHOLD} + 99) div 100 + 1 - (size - size(x))").cast("int")
     first = held.withColumn("room", room).where("room > 0").select("node", "group", "size", "marks", F.size("x").alias("left"), F.posexplode(F.slice(F.array_sort("x"), F.lit(1), F.col("room"))["h"]).alias("at", "h"))
     first = staged(first.withColumn("left", F.col("left") - F.col("at")).drop("at"), "neardup-prefixes")
-    ends = first.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    ends = staged(first.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi"), "neardup-buckets")
+    # Written, so that a bucket's rows are dealt anew on both sides of the join and can be split among tasks.
+    held = staged(first.join(ends, "h"), "neardup-held")
     # With two groups in a bucket, each side holds one of them.
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "group", "size", "marks", "left")]
-    a = first.join(ends, "h").where("group < hi").select("h", *side("a"))
-    b = first.join(ends, "h").where("group > lo").select("h", *side("b"))
+    a = held.where("group < hi").select("h", *side("a"))
+    b = held.where("group > lo").select("h", *side("b"))
     follows = f"{100 + THRESHOLD} * least(left_a, left_b) >= {THRESHOLD} * (size_a + size_b)"
     differ = " + ".join(f"bit_count(marks_a[{i}] ^ marks_b[{i}])" for i in range(MARKS // 64))
     near = f"group_a < group_b and {follows} and {100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * (size_a + size_b)"
