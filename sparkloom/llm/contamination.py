@@ -9,12 +9,14 @@ the pointer, and a random bit for (step, byte) moves the pointer on, so that the
 follows the edit distance of what they walk over. TABLES tables for each walk sample SAMPLED positions; windows
 of a document and of an item that agree in one table are a hit, and a hit places a window of the item's size in the
 document. An item is entered with up to ENTERED of its starts, spread over its length. Each start is one more trial, so
-the chance to miss an item falls with the number of its starts: at edits of a tenth of the length, tests hold
-recall to 0.9 at least for items of SHORT bytes and more (measured: 0.97 to 1 at 100 bytes, 1 beyond 250). For what a hit places, shared three-byte strings bound the edit
+the chance to miss an item falls with the number of its starts. For what a hit places, shared three-byte strings bound the edit
 distance from below, which no match fails, and an exact approximate-matching pass confirms the rest.
 
-Items under SHORT bytes, where few windows fit, are found exactly: of the pieces that one more than the permitted
-edits cut an item into, one stands unchanged in every match.
+What windows miss (texts and items with few starts, items under SHORT bytes, and chance) is found exactly, so that no match is lost.
+One of an item's S segments has at most 1 / S of the permitted edits, and is cut into one piece more than these. Some piece then
+stands unchanged with one edit at most in the piece behind it: by the cycle lemma one can start at a piece, and go on round the end, such
+that the first n pieces have fewer than n edits for every n. Places where both hold are confirmed as those of windows
+are, but for what windows have searched already.
 
 Items are handled in blocks of BLOCK_BYTES; each block is one scan of the documents. A worker's memory for a block grows
 with its items' starts, not with the longest item. Null or empty texts match nothing; items that are null or blank
@@ -25,6 +27,8 @@ processed whole, whatever their length, and other columns pass unread.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +43,10 @@ STEPS, WALKS, TABLES, SAMPLED = 40, 2, 3, 16
 #: Starts of an item that are entered, and length under which items are found by their pieces.
 ENTERED, SHORT = 64, 64
 BLOCK_BYTES = 2 << 20
-#: Bytes of a piece that are looked up.
-GRAM = 8
+#: Bytes of a piece that are looked up, and most of a segment.
+GRAM, SEGMENT = 8, 512
+#: Hits that are worked on at once.
+HITS = 1 << 20
 #: Bytes of texts that are searched at once.
 SLICE = 1 << 19
 _NORMAL = bytes(0x20 if b in (0x20, *range(0x09, 0x0E)) else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -115,17 +121,17 @@ class Lookup:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _SPREAD) >> self.shift).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the key, entry) of all entries of all ``keys``."""
+    def find(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the key, entry) of all entries of all ``keys``, about HITS at a time."""
         slot = self._slot(keys)
         hit = np.flatnonzero((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
         at = np.searchsorted(self.keys, keys[hit])
         at = np.minimum(at, len(self.keys) - 1)
         same = self.keys[at] == keys[hit] if len(self.keys) else np.zeros(0, bool)
         hit, at = hit[same], at[same]
-        n = self.first[at + 1] - self.first[at]
-        entry = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(hit, n), self.entries[entry]
+        for i, j in cuts(self.first[at + 1] - self.first[at], HITS):
+            own, entry = ranges(self.first[at[i:j]], self.first[at[i:j] + 1])
+            yield hit[i:j][own], self.entries[entry]
 
 
 def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
@@ -163,6 +169,15 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lo)), n), np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
+def cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive slices of ``sizes`` that sum to ``limit`` at most, or have one member."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j
+        i = j
+
+
 def histograms(bucket: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """How often each bucket occurs at the places of each range."""
     own, at = ranges(lo, hi)
@@ -173,8 +188,26 @@ def trigrams(data: np.ndarray, count: int) -> np.ndarray:
     return ((words_of(data, 4, count) & np.uint32(0xFFFFFF)) * np.uint32(0x9E3779B1) >> np.uint32(21)).astype(np.int64)
 
 
+class Parts(NamedTuple):
+    """Items or segments: where they begin in the joined items, their sizes and the edits that each may have."""
+
+    base: np.ndarray
+    size: np.ndarray
+    allowed: np.ndarray
+
+
+class Pieces(NamedTuple):
+    """Pieces by the bytes that are looked up: segment and offset in it, and four bytes of each half of the piece behind it, with their distances from it (0: none)."""
+
+    lookup: Lookup
+    segment: np.ndarray
+    offset: np.ndarray
+    half: np.ndarray
+    ahead: np.ndarray
+
+
 class ItemIndex:
-    """Benchmark items: LSH tables of their windows, and the pieces of those that are short."""
+    """Benchmark items: LSH tables of their windows, and the pieces of their segments."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE):
         #: Items by number.
@@ -201,62 +234,113 @@ class ItemIndex:
         self.item, self.offset = item, at - self.base[item]
         keys = list(window_keys(self.data, at)) if len(at) else [np.empty(0, np.uint64)]
         self.windows = Lookup(np.concatenate(keys), np.tile(np.arange(len(at), dtype=np.int32), len(keys) if len(at) else 0))
-        # Pieces of short items, by the number of bytes that are looked up.
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
-        for k in np.flatnonzero(self.size < SHORT).tolist():
-            text, parts = self.items[k][1], int(self.allowed[k]) + 1
-            for j in range(parts):
-                a, b = len(text) * j // parts, len(text) * (j + 1) // parts
-                own = text[a : min(b, a + GRAM)]
-                pieces.setdefault(len(own), []).append((int.from_bytes(own, "little"), k, a))
+        self.parts = Parts(self.base, self.size, self.allowed)
+        self._cut()
+
+    def _cut(self) -> None:
+        """Cuts items into segments, and these into pieces."""
+        count = np.maximum(1, -(-self.size // SEGMENT))
+        #: Item of each segment, and where it begins in it.
+        self.of = np.repeat(np.arange(len(self.items)), count)
+        nth = np.arange(len(self.of)) - np.repeat(np.cumsum(count) - count, count)
+        self.begin = self.size[self.of] * nth // count[self.of]
+        end = self.size[self.of] * (nth + 1) // count[self.of]
+        self.segments = Parts(self.base[self.of] + self.begin, end - self.begin, (self.allowed // count)[self.of])
+        self.whole = (count == 1)[self.of]
+        n = self.segments.allowed + 1
+        segment = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+        size, n = self.segments.size[segment], n[segment]
+        a, b, c = (size * (nth + i) // n for i in range(3))
+        # The piece behind, if it has two halves of four bytes.
+        ahead = np.stack([b - a, (b + c) // 2 - a]) * ((nth + 1 < n) & (c - b >= 8))
+        at = self.segments.base[segment] + a
+        word = words_of(self.data, 4, len(self.data) - 3)
+        half = word[np.minimum(at + ahead, len(word) - 1)]
+        key, length = words_of(self.data, GRAM, len(self.data) - GRAM + 1)[at], np.minimum(b - a, GRAM)
         self.pieces = {}
-        for n, own in pieces.items():
-            keys, numbers, offsets = zip(*own)
-            self.pieces[n] = (Lookup(np.array(keys, np.uint64), np.arange(len(own), dtype=np.int32)), np.array(numbers, np.int64), np.array(offsets, np.int64))
+        for k in np.unique(length).tolist():
+            own = np.flatnonzero(length == k)
+            lookup = Lookup(key[own] & np.uint64((1 << 8 * k) - 1), np.arange(len(own), dtype=np.int32))
+            self.pieces[k] = Pieces(lookup, segment[own], a[own], half[:, own], ahead[:, own])
 
     def hits(self, data: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, offset) where a window or piece of an item agrees with the padded ``data``."""
+        """(place, item, offset) where a window of an item agrees with the padded ``data``."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
         if len(self.item):
             at = starts_of(data, count)
             for keys in window_keys(data, at):
-                k, entry = self.windows.find(keys)
-                found.append((at[k], self.item[entry], self.offset[entry]))
-        word = words_of(data, GRAM, count)
-        for n, (lookup, item, offset) in self.pieces.items():
-            k, entry = lookup.find(word & np.uint64((1 << 8 * n) - 1))
-            found.append((k, item[entry], offset[entry]))
+                found.extend((at[k], self.item[entry], self.offset[entry]) for k, entry in self.windows.find(keys))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def places(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, item, lo, hi): where an item may stand in a text; ``bounds``: where texts start. No match around a hit is left out."""
-        at, item, offset = self.hits(data, int(bounds[-1]))
+    def piece_hits(self, data: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, segment, offset) where a piece stands in the padded ``data`` and the one behind it has one edit at most, about HITS at a time."""
+        key, word = words_of(data, GRAM, count), words_of(data, 4, len(data) - 3)
+        found, n = [], 0
+        for k, own in self.pieces.items():
+            for lo in range(0, count, SLICE):
+                for at, entry in own.lookup.find(key[lo : lo + SLICE] & np.uint64((1 << 8 * k) - 1)):
+                    at = at + lo
+                    (first, second), (one, two) = own.half[:, entry], own.ahead[:, entry]
+                    fits = one == 0
+                    fits |= word[np.minimum(at + one, len(word) - 1)] == first
+                    for shift in (-1, 0, 1):
+                        fits |= word[np.clip(at + two + shift, 0, len(word) - 1)] == second
+                    at, entry = at[fits], entry[fits]
+                    found.append((at, own.segment[entry], own.offset[entry]))
+                    n += len(at)
+                    if n >= HITS:
+                        yield tuple(np.concatenate(x) for x in zip(*found))
+                        found, n = [], 0
+        if n:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+    def places(self, hits: tuple[np.ndarray, ...], parts: Parts, bounds: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, part, lo, hi): where a part may stand in a text; ``bounds``: where texts start. No match around a hit is left out."""
+        at, item, offset = hits
         text = np.searchsorted(bounds, at, "right") - 1
         diagonal = at - offset
         order = np.lexsort((diagonal, item, text))
         text, item, diagonal = text[order], item[order], diagonal[order]
         new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > self.allowed[item[1:]] + 1)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > parts.allowed[item[1:]] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(text)) - 1 if len(first) else first
         text, item = text[first], item[first]
-        a = self.allowed[item]
+        a, size = parts.allowed[item], parts.size[item]
         lo = np.maximum(bounds[text], diagonal[first] - a)
-        hi = np.minimum(bounds[text + 1] - 1, diagonal[last] + self.size[item] + 2 * a)
+        hi = np.minimum(bounds[text + 1] - 1, diagonal[last] + size + 2 * a)
         # An edit changes three strings of three bytes at most.
-        need = self.size[item] - 2 - 3 * a
-        bucket = trigrams(data, int(bounds[-1]))
+        need = size - 2 - 3 * a
         keep = np.zeros(len(item), bool)
-        cuts = np.cumsum(hi - lo + self.size[item] + _BUCKETS)
-        i = 0
-        while i < len(item):
-            j = max(i + 1, int(np.searchsorted(cuts, (cuts[i - 1] if i else 0) + (1 << 20), "right")))
-            own = item[i:j]
-            mine = histograms(self.bucket, self.base[own], self.base[own] + np.maximum(0, self.size[own] - 2))
+        for i, j in cuts(hi - lo + size + _BUCKETS, 1 << 20):
+            base = parts.base[item[i:j]]
+            mine = histograms(self.bucket, base, base + np.maximum(0, size[i:j] - 2))
             keep[i:j] = np.minimum(histograms(bucket, lo[i:j], np.maximum(lo[i:j], hi[i:j] - 2)), mine).sum(axis=1) >= need[i:j]
-            i = j
         return text[keep], item[keep], lo[keep], hi[keep]
 
+    def rest(self, joined: bytes, data: np.ndarray, bounds: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, lo, hi) as of places(), for every match of every item, by pieces."""
+        for hits in self.piece_hits(data, len(joined)):
+            text, segment, lo, hi = self.places(hits, self.segments, bounds, bucket)
+            base, size, allowed = (x[segment] for x in self.segments)
+            keep = self.whole[segment]
+            for i in np.flatnonzero(~keep).tolist():
+                own = self.data[base[i] : base[i] + size[i]].tobytes()
+                keep[i] = best_match(own, joined[lo[i] : hi[i]])[0] <= allowed[i]
+            text, segment, lo, hi = text[keep], segment[keep], lo[keep], hi[keep]
+            item, cut = self.of[segment], ~self.whole[segment]
+            a = self.allowed[item]
+            lo = np.maximum(bounds[text], lo - cut * (self.begin[segment] + a))
+            hi = np.minimum(bounds[text + 1] - 1, hi + cut * (self.size[item] - self.begin[segment] + 2 * a))
+            # Segments of one match place the item alike: what overlaps is searched once.
+            order = np.lexsort((lo, item, text))
+            text, item, lo, hi = text[order], item[order], lo[order], hi[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+            first = np.flatnonzero(new)
+            yield text[first], item[first], lo[first], np.maximum.reduceat(hi, first) if len(first) else hi
+
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its (item number, distance, start, end), the best place of each item."""
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
@@ -264,7 +348,15 @@ class ItemIndex:
             return [[] for _ in texts]
         joined = b"\xff".join([*map(normal, texts), b""])
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        for t, k, lo, hi in zip(*(x.tolist() for x in self.places(padded(np.frombuffer(joined, np.uint8)), bounds))):
+        data = padded(np.frombuffer(joined, np.uint8))
+        bucket = trigrams(data, len(joined))
+        searched: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        by_windows = self.places(self.hits(data, len(joined)), self.parts, bounds, bucket)
+        for t, k, lo, hi in (x for found in chain([by_windows], self.rest(joined, data, bounds, bucket)) for x in zip(*(x.tolist() for x in found))):
+            done = searched.setdefault((t, k), [])
+            if any(a <= lo and hi <= b for a, b in done):
+                continue
+            done.append((lo, hi))
             pattern, near, start = self.items[k][1], joined[lo:hi], lo - int(bounds[t])
             at = near.find(pattern)
             if at >= 0:
