@@ -264,30 +264,42 @@ class ItemIndex:
             lookup = Lookup(key[own] & np.uint64((1 << 8 * k) - 1), np.arange(len(own), dtype=np.int32))
             self.pieces[k] = Pieces(lookup, segment[own], a[own], half[:, own], ahead[:, own])
 
-    def hits(self, data: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, offset) where a window of an item agrees with the padded ``data``."""
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]
+    def hits(self, data: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
+        """(place, item, offset, 0) where a window of an item agrees with the padded ``data``."""
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
         if len(self.item):
             at = starts_of(data, count)
             for keys in window_keys(data, at):
-                found.extend((at[k], self.item[entry], self.offset[entry]) for k, entry in self.windows.find(keys))
+                found.extend((at[k], self.item[entry], self.offset[entry], np.zeros(len(k), np.int64)) for k, entry in self.windows.find(keys))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def piece_hits(self, data: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, segment, offset) where a piece stands in the padded ``data`` and the one behind it has one edit at most, about HITS at a time."""
+    def piece_hits(self, data: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(place, segment, offset, more) where a piece stands in the padded ``data`` and the one behind it has one edit at most, about HITS at a time.
+
+        In a run of one byte all places see the same as far as a hit looks: the first one is looked up, with the number of those behind it.
+        """
         key, word = words_of(data, GRAM, count), words_of(data, 4, len(data) - 3)
+        more, kept = np.zeros(count, np.int64), None
+        same = np.flatnonzero(key[1:] == key[:-1])
+        if len(same):
+            first = np.flatnonzero(np.append(True, same[1:] != same[:-1] + 1))
+            run = np.diff(np.append(first, len(same))) + GRAM
+            first = same[first]
+            more[first] = np.maximum(0, run - max(GRAM, *(int(own.ahead.max()) + 5 for own in self.pieces.values())))
+            kept = np.delete(np.arange(count), ranges(first + 1, first + 1 + more[first])[1])
+            key = key[kept]
         found, n = [], 0
         for k, own in self.pieces.items():
-            for lo in range(0, count, SLICE):
+            for lo in range(0, len(key), SLICE):
                 for at, entry in own.lookup.find(key[lo : lo + SLICE] & np.uint64((1 << 8 * k) - 1)):
-                    at = at + lo
+                    at = at + lo if kept is None else kept[at + lo]
                     (first, second), (one, two) = own.half[:, entry], own.ahead[:, entry]
                     fits = one == 0
                     fits |= word[np.minimum(at + one, len(word) - 1)] == first
                     for shift in (-1, 0, 1):
                         fits |= word[np.clip(at + two + shift, 0, len(word) - 1)] == second
                     at, entry = at[fits], entry[fits]
-                    found.append((at, own.segment[entry], own.offset[entry]))
+                    found.append((at, own.segment[entry], own.offset[entry], more[at]))
                     n += len(at)
                     if n >= HITS:
                         yield tuple(np.concatenate(x) for x in zip(*found))
@@ -297,19 +309,23 @@ class ItemIndex:
 
     def places(self, hits: tuple[np.ndarray, ...], parts: Parts, bounds: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, part, lo, hi): where a part may stand in a text; ``bounds``: where texts start. No match around a hit is left out."""
-        at, item, offset = hits
+        at, item, offset, more = hits
         text = np.searchsorted(bounds, at, "right") - 1
         diagonal = at - offset
         order = np.lexsort((diagonal, item, text))
-        text, item, diagonal = text[order], item[order], diagonal[order]
+        text, item, diagonal, end = text[order], item[order], diagonal[order], (diagonal + more)[order]
         new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > parts.allowed[item[1:]] + 1)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+        # The farthest diagonal of a text and item so far: each pair's diagonals are moved beyond those of the pair before.
+        beyond = (np.cumsum(new) - 1) * (int(bounds[-1]) + int(parts.size.max()) + 1)
+        end = np.maximum.accumulate(end + beyond) - beyond
+        new[1:] |= diagonal[1:] - end[:-1] > parts.allowed[item[1:]] + 1
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(text)) - 1 if len(first) else first
         text, item = text[first], item[first]
         a, size = parts.allowed[item], parts.size[item]
         lo = np.maximum(bounds[text], diagonal[first] - a)
-        hi = np.minimum(bounds[text + 1] - 1, diagonal[last] + size + 2 * a)
+        hi = np.minimum(bounds[text + 1] - 1, end[last] + size + 2 * a)
         # An edit changes three strings of three bytes at most.
         need = size - 2 - 3 * a
         keep = np.zeros(len(item), bool)

@@ -79,3 +79,16 @@ def test_few_hits_at_once(monkeypatch):
     wanted = contamination.ItemIndex(items).search(texts)
     monkeypatch.setattr(contamination, "HITS", 7)
     assert contamination.ItemIndex(items).search(texts) == wanted and all(wanted)
+
+
+def test_runs_of_one_byte():
+    """Items and texts with long runs of one byte: results are those of brute force, and a run is one hit of a piece, not one at each place."""
+    rng = random.Random(12)
+    items = [(i, some(rng.randrange(5, 60), rng, LETTERS) + b"-" * rng.randrange(9, 150) + some(rng.randrange(5, 60), rng, LETTERS)) for i in range(20)]
+    items += [(20, b"-" * 40), (21, b"-" * 90 + b"=" * 30), (22, b"-" * 700)]
+    index = contamination.ItemIndex(items)
+    texts = [b"-" * 900, b"x" + b"-" * 60 + b"=" * 80, b"ab" + b"-" * 645 + b"yz"] + [b"-" * 300 + edited(t, "mixed", set(rng.sample(range(len(t)), len(t) // 10)), rng, b"-a") + b"-" * 200 for _, t in items]
+    wanted = [[(k, contamination.best_match(t, text)[0]) for k, (_, t) in enumerate(index.items) if contamination.best_match(t, text)[0] <= len(t) // 10] for text in texts]
+    assert [[(k, d) for k, d, *_ in own] for own in index.search(texts)] == wanted
+    rule = contamination.padded(contamination.np.full(100_000, ord("-"), contamination.np.uint8))
+    assert sum(len(at) for at, *_ in index.piece_hits(rule, 100_000)) < 20_000
