@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, contamination, htmltext, lattice, neardup, pii, suffix, toxicity, urlrules
+from . import audio, bpe, contamination, drake, htmltext, lattice, merkle, neardup, pii, sketch, suffix, toxicity, urlrules
 from .common import held_out
 
 
@@ -64,7 +64,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_suffix_dedup, op4_minhash_forest, op5_audio_features, op6_html_text, op7_pii, op8_decontamination, op9_url_rules, op10_bpe)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(read(spark, sf_dir, "documents")))
 
-#: Only URL rules can be stated in SQL; the others are tested against brute force, round trips and held-out rows.
-ORACLE_SQL = {"op9_url_rules": urlrules.SQL}
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.edit_trial(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", sketch.fingerprint(F.col("sketch")).alias("fingerprint"), sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.clusters(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_suffix_dedup, op4_minhash_forest, op5_audio_features, op6_html_text, op7_pii, op8_decontamination, op9_url_rules, op10_bpe, op11_merkle, op12_fingerprints, op13_drake_clusters)}
+
+#: What SQL can state; the others are tested against brute force, round trips and held-out rows.
+ORACLE_SQL = {"op9_url_rules": urlrules.SQL, "op11_merkle": merkle.SQL, "op13_drake_clusters": drake.SQL}
