@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_slices
+from .common import as_bytes, small_batches, staged, text_slices
 from .neardup import shingle_sets
 
 #: One hash in FRACTION is kept.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, fraction: int = FRACTION, words: int = WORDS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                own = sketches([x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()], fraction, words)
+                own = sketches(as_bytes(part.column("text")), fraction, words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(map(len, own), pa.int64()), pa.array(map(packed, own), pa.binary())], ["doc_id", "n_hashes", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_hashes long, sketch binary")
@@ -113,8 +113,17 @@ def edit_trial(docs: DataFrame, fraction: int = FRACTION, words: int = WORDS) ->
     """
     spark = small_batches(docs.sparkSession)
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("row")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in text_slices(batch, "text"):
+                texts = as_bytes(piece.column("text"))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(map(len, texts), pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in texts], pa.binary())], ["doc_id", "tie", "row", "size", "text"])
+
+    # Texts cross the shuffle compressed one by one, better than its own codec does.
+    rows = rows.mapInArrow(pressed, "doc_id long, tie long, row long, size long, text binary")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
@@ -125,10 +134,10 @@ def edit_trial(docs: DataFrame, fraction: int = FRACTION, words: int = WORDS) ->
 
         waiting = lambda kind, doc_id, text, own: (part, kind, text, doc_id, None, None, packed(own), None, None, None)
         for batch in batches:
-            for piece in text_slices(batch, "text"):
-                texts = [x or "" for x in piece.column("text").to_pylist()]
+            for piece in text_slices(batch, "text", 1 << 18):
+                raw = [pa.decompress(x, n, "zstd", asbytes=True) if n else b"" for x, n in zip(piece.column("text").to_pylist(), piece.column("size").to_pylist())]
                 out = []
-                for now in zip(piece.column("doc_id").to_pylist(), texts, sketches([x.encode() for x in texts], fraction, words)):
+                for now in zip(piece.column("doc_id").to_pylist(), [x.decode() for x in raw], sketches(raw, fraction, words)):
                     if held is None:
                         out.append(waiting(FIRST, *now))
                     else:
