@@ -42,7 +42,7 @@ def cut(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith(("local[", "local")):
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))
     return rows.checkpoint()

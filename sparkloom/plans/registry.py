@@ -94,20 +94,6 @@ def bm25_search(spark, sf_dir):
     return found.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("""WITH terms AS (SELECT doc_id AS id, [x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> ''] AS terms FROM documents),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> '']) AS term FROM benchmark),
-total AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_dl FROM terms),
-tf AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM terms) WHERE term IN (SELECT term FROM asked) GROUP BY id, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-scored AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 4) AS score FROM tf JOIN df USING (term) JOIN asked USING (term), total GROUP BY query_id, id)
-SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10""")
-def bm25_batch(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    found = text_index(spark, sf_dir).bm25(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("score", F.round("score", 4)).withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 10")
-
-
 @query(f"WITH {TERMS} SELECT id, hits FROM (SELECT id, len([i for i in range(1, len(terms)) if terms[i] = 'of' AND terms[i + 1] = 'the'])::BIGINT AS hits FROM terms) WHERE hits > 0")
 def phrase_search(spark, sf_dir):
     return search.phrase_hits(Tables(spark, sf_dir).documents, "doc_id", "text", "of the")
