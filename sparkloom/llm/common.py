@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,27 +46,42 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Folders of tables that were staged since clear_staged() was last called.
-_STAGED: list[str] = []
+#: Folders that were staged within each open scope of this thread, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """A scope for staged tables: those made within it are removed at its end, and no others.
+
+    What reads them must have been written by then. Tables staged outside any scope stay, as results that are still open may read them.
+    """
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield own
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    for own in _SCOPES.get()[-1:]:
+        own.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Removes all staged tables. Results that read them must have been written before."""
-    jvm = spark.sparkContext._jvm
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name`` with a mark in front that makes it differ from all of ``taken``, whatever their case."""
     own, low = f"__{name}", {x.lower() for x in taken}

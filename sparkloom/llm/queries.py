@@ -31,7 +31,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(read(spark, sf_dir, "documents"))
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"), keep_text=True)
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,10 @@
 
 Every string of ``length`` bytes belongs to one anchor: the leftmost smallest hash among the ``GRAM``-byte
 strings inside it. Equal strings have equal anchors at equal places, so only strings around equal anchors
-need comparing, and each run of strings that share an anchor is one segment of text. Where all segments of an
-anchor are equal and there are two at least, they hold repeated strings only. Where an anchor has different
-segments, one of each goes on, and a suffix array of a block of them finds what they share: suffixes smaller than
-their successors are sorted directly, the others are induced by scans over the buckets, and adjacent common
-prefixes of ``length`` bytes mark repeated strings. Anchors with more than GIANT different segments are dealt out
+need comparing, and each run of strings that share an anchor is one segment of text. Of equal segments (by a 128-bit
+hash of their bytes) one goes on, and if there are several, a second copy of it stands for the others. A suffix
+array of a block of segments finds what they share: suffixes smaller than their successors are sorted directly, the
+others are induced by scans over the buckets, and adjacent common prefixes of ``length`` bytes mark repeated strings. Anchors with more than GIANT different segments are dealt out
 before that: strings whose anchor stands in the left or right half of its range also share the bytes that all of
 that half have in common, so each half is a group by those bytes, and groups still too large are halved again.
 
@@ -194,10 +193,12 @@ _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 def sorted_runs(kinds: DataFrame, length: int) -> DataFrame:
     """(anchor, c1, c2, runs): strings, by first and last start in the segment, that another segment of the group holds too.
 
-    ``kinds`` (anchor, c1, c2, bytes): different segments, one row each. Whole groups are gathered into blocks.
+    ``kinds`` (anchor, c1, c2, n, bytes): different segments, one row each, and how often each occurs. Whole groups are gathered into blocks.
     """
 
     def sort_block(block: list[tuple]) -> pa.RecordBatch:
+        # A second copy of what occurs more than once, whose own hits are those of the first.
+        block = block + [r for r in block if r[4] > 1]
         parts = [np.frombuffer(r[3], np.uint8) for r in block]
         text = np.concatenate(parts)
         base = np.cumsum([0, *map(len, parts)])
@@ -213,8 +214,11 @@ def sorted_runs(kinds: DataFrame, length: int) -> DataFrame:
         twice[:-1] |= same[1:]
         hit = np.zeros(len(text) + 1, bool)
         hit[order[twice]] = True
-        rows = []
+        rows, told = [], set()
         for r, lo, p in zip(block, base, parts):
+            if r[:3] in told:
+                continue
+            told.add(r[:3])
             own = np.diff(np.concatenate([[0], hit[lo : lo + len(p)].astype(np.int8), [0]]))
             a, b = np.flatnonzero(own == 1), np.flatnonzero(own == -1) - 1
             if len(a):
@@ -224,7 +228,7 @@ def sorted_runs(kinds: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in (*KIND, "bytes"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in (*KIND, "bytes", "n"))):
                 if size >= BLOCK and r[0] != last:
                     yield sort_block(block)
                     block, size = [], 0
@@ -234,23 +238,23 @@ def sorted_runs(kinds: DataFrame, length: int) -> DataFrame:
         if block:
             yield sort_block(block)
 
-    dealt = kinds.select(*KIND, "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = kinds.select(*KIND, "bytes", "n").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, f"anchor long, c1 long, c2 long, runs {RUNS}")
 
 
 def halves(kinds: DataFrame, length: int) -> DataFrame:
-    """(anchor, c1, c2, shift, g, d1, d2, lo, hi, low, high, bytes): each segment of ``kinds`` as its strings with the anchor in either half of the group's range.
+    """(anchor, c1, c2, shift, g, d1, d2, lo, hi, low, high, n, bytes): each segment of ``kinds`` as its strings with the anchor in either half of the group's range.
 
     A string's offset is the anchor's place in it; a segment's offsets go from ``hi`` at its first start to ``lo`` at its last. ``low`` and ``high``
     bound the group's offsets. All strings with offsets in [low, high] hold the bytes around the anchor that g is a hash of.
     """
-    names = [*KIND, "shift", "g", "d1", "d2", "lo", "hi", "low", "high", "bytes"]
-    kinds_ = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
+    names = [*KIND, "shift", "g", "d1", "d2", "lo", "hi", "low", "high", "n", "bytes"]
+    kinds_ = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for anchor, c1, c2, lo, hi, low, high, text in zip(*(batch.column(c).to_pylist() for c in (*KIND, "lo", "hi", "low", "high", "bytes"))):
+            for anchor, c1, c2, lo, hi, low, high, n, text in zip(*(batch.column(c).to_pylist() for c in (*KIND, "lo", "hi", "low", "high", "n", "bytes"))):
                 middle = (low + high) // 2
                 for a, b in ((low, middle), (middle + 1, high)):
                     own_lo, own_hi = max(lo, a), min(hi, b)
@@ -260,34 +264,33 @@ def halves(kinds: DataFrame, length: int) -> DataFrame:
                     part = text[shift : hi - own_lo + length]
                     core = text[hi - a : hi - b + length]  # that is a to the left of the anchor, as it stands at ``hi``, to the end of string ``b``
                     g = xxhash.xxh3_64_intdigest(core + b"%d:%d:%d" % (anchor, a, b)) - (1 << 63)
-                    rows.append((anchor, c1, c2, shift, g, *content_keys([part])[0].tolist(), own_lo, own_hi, a, b, part))
+                    rows.append((anchor, c1, c2, shift, g, *content_keys([part])[0].tolist(), own_lo, own_hi, a, b, n, part))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * len(names), kinds_)], names)
 
-    return kinds.mapInArrow(run, "anchor long, c1 long, c2 long, shift int, g long, d1 long, d2 long, lo int, hi int, low int, high int, bytes binary")
+    return kinds.mapInArrow(run, "anchor long, c1 long, c2 long, shift int, g long, d1 long, d2 long, lo int, hi int, low int, high int, n long, bytes binary")
 
 
 def shared_runs(kinds: DataFrame, length: int, depth: int = 0) -> DataFrame:
-    """(anchor, c1, c2, runs) as sorted_runs(), for groups of any size; ``kinds`` (anchor, c1, c2, lo, hi, low, high, bytes) is a written table."""
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    """(anchor, c1, c2, runs) as sorted_runs(), for groups of any size; ``kinds`` (anchor, c1, c2, n, lo, hi, low, high, bytes) is a written table."""
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("k"), F.max("n").alias("often")).where("k > 1 or often > 1").drop("often")
     counted = staged(kinds.join(sizes, "anchor"), f"suffix-groups-{depth}")
     found = sorted_runs(counted.where(F.col("k") <= GIANT), length)
     large = counted.where(F.col("k") > GIANT)
     if large.isEmpty():
         return found
     parts = staged(halves(large.drop("k"), length), f"suffix-halves-{depth}")
-    whole = parts.groupBy("g", "d1", "d2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("lo", "hi", "low", "high", "bytes")))
+    whole = parts.groupBy("g", "d1", "d2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("lo", "hi", "low", "high", "bytes")))
     whole = staged(whole, f"suffix-parts-{depth}")
     renamed = {"g": "anchor", "d1": "c1", "d2": "c2"}
-    inner = staged(shared_runs(whole.drop("n").withColumnsRenamed(renamed), length, depth + 1), f"suffix-runs-{depth}")
-    own = whole.select("g", "d1", "d2", "n").join(inner.withColumnsRenamed({v: k for k, v in renamed.items()}), ["g", "d1", "d2"], "left").where("n > 1 or runs is not null")
-    full = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b")))
-    moved = F.transform(F.when(F.col("n") > 1, full).otherwise(F.col("runs")), lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b")))
+    inner = staged(shared_runs(whole.withColumnsRenamed(renamed), length, depth + 1), f"suffix-runs-{depth}")
+    own = inner.withColumnsRenamed({v: k for k, v in renamed.items()})
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b")))
     back = parts.drop("bytes").join(own, ["g", "d1", "d2"]).select(*KIND, moved.alias("runs")).groupBy(*KIND).agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return found.unionByName(back)
 
 
 def segment_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, c1, c2, lo, hi, bytes) of the segments in ``wanted`` (t1, t2, anchor, c1, c2, first, last, place), a written table."""
+    """(anchor, c1, c2, n, lo, hi, bytes) of the segments in ``wanted`` (t1, t2, anchor, c1, c2, n, first, last, place), a written table."""
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("t1").distinct(), "t1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,41 +307,35 @@ def segment_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         rows.append((*key, texts[k]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.binary()))], [*KEY, "text"])
 
-    own = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*KIND, "first", "last", "place")).alias("own"))
+    own = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*KIND, "n", "first", "last", "place")).alias("own"))
     rows = docs.select("text").mapInArrow(run, "t1 long, t2 long, text binary").join(own, KEY).select("text", F.explode("own").alias("x"))
     cut = F.substring(F.col("text"), F.col("x.first") + 1, F.col("x.last") - F.col("x.first") + length)
-    return rows.select("x.anchor", "x.c1", "x.c2", (F.col("x.place") - F.col("x.last")).alias("lo"), (F.col("x.place") - F.col("x.first")).alias("hi"), cut.alias("bytes"))
+    return rows.select("x.anchor", "x.c1", "x.c2", "x.n", (F.col("x.place") - F.col("x.last")).alias("lo"), (F.col("x.place") - F.col("x.first")).alias("hi"), cut.alias("bytes"))
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(t1, t2, spans array<struct<a, b>>): first and last starts of strings of ``length`` bytes that also start elsewhere."""
     found = staged(segments(docs, length, gram), "suffix-segments")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c1").alias("c_lo"), F.max("c1").alias("c_hi")).where("n > 1")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     # Segments whose anchor occurs once go. Both sides and the result are written tables, so that a common anchor's rows can be split among tasks.
-    twice = staged(twice, "suffix-anchors")
-    rows = staged(found.join(twice.select("anchor", (F.col("c_lo") != F.col("c_hi")).alias("mixed")), "anchor"), "suffix-repeats")
-    mixed = rows.where("mixed")
+    rows = staged(found.join(staged(twice, "suffix-anchors"), "anchor"), "suffix-repeats")
     # All first() see the same rows in the same order, so they give one segment's values.
-    kinds = mixed.groupBy(*KIND).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*KEY, "first", "last", "place")))
-    kinds = staged(kinds, "suffix-kinds")
-    cuts = staged(segment_bytes(docs, kinds, length), "suffix-cuts")
+    kinds = rows.groupBy(*KIND).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*KEY, "first", "last", "place")))
+    cuts = staged(segment_bytes(docs, staged(kinds, "suffix-kinds"), length), "suffix-cuts")
     cuts = cuts.dropDuplicates(KIND).withColumns({"low": F.lit(0), "high": F.lit(length - gram)})
     runs = staged(shared_runs(staged(cuts, "suffix-bytes"), length), "suffix-runs")
-    own = staged(kinds.select(*KIND, "n").join(runs, KIND, "left").where("n > 1 or runs is not null"), "suffix-repeated")
-    full = F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
-    hits = mixed.join(own, KIND).select(*KEY, F.explode(F.when(F.col("n") > 1, full).otherwise(moved)).alias("x"))
-    hits = hits.unionByName(rows.where("not mixed").select(*KEY, F.struct(F.col("first").alias("a"), F.col("last").alias("b")).alias("x")))
+    hits = rows.join(runs, KIND).select(*KEY, F.explode(moved).alias("x"))
     # Copies of a text have equal segments, so each is gathered once.
     return hits.distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("x")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of every row; bytes of a character that a span cuts are no part of the text."""
     spark = small_batches(docs.sparkSession)
     spans = staged(repeated_starts(docs, length, gram), "suffix-spans")
     sent = spark.sparkContext.broadcast(id_filter(spans, "t1"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     names = [x.split()[0] for x in schema.split(", ")]
 
     def results(ids: pa.Array, texts: list[bytes], spans: list) -> pa.RecordBatch:
@@ -354,8 +351,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 at = max(at, hi)
             kept.append(text[max(at, 0) :])
             left = b"".join(kept)
-            rows.append((len(text), removed, merged, hashlib.sha256(left).hexdigest(), left)[: 4 + keep_text])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            rows.append((len(text), removed, merged, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None)[: 4 + keep_text])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]]:

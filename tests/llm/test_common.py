@@ -45,13 +45,18 @@ def test_small_batches_keep_smaller_settings(spark):
     assert spark.conf.get(name) == str(common.BATCH_ROWS)
 
 
-def test_staged_tables_are_removed(spark):
-    common.clear_staged(spark)
-    kept = common.staged(spark.range(3), "test")
-    assert kept.count() == 3
-    common.clear_staged(spark)
+def test_a_scope_removes_its_own_tables_only(spark):
+    outer = common.staged(spark.range(3), "test")
+    with common.staging(spark):
+        own = common.staged(spark.range(4), "test")
+        with common.staging(spark) as names:
+            inner = common.staged(spark.range(5), "test")
+        assert len(names) == 1 and own.count() == 4
+        with pytest.raises(Exception, match="(?i)not exist|FAILED_READ_FILE"):
+            inner.count()
+    assert outer.count() == 3
     with pytest.raises(Exception, match="(?i)not exist|FAILED_READ_FILE"):
-        kept.count()
+        own.count()
 
 
 def test_fresh_names():

@@ -201,6 +201,21 @@ def test_repeats_by_brute_force(spark, monkeypatch, giant):
         assert (got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (mark.sum(), (np.diff(np.concatenate([[0], mark])) == 1).sum(), hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_are_decided_by_sorting(spark):
+    """A lone segment that occurs twice is found by its second copy; one that occurs once isn't."""
+    body = bytes(range(65, 91)) * 20
+    kinds = spark.createDataFrame([(1, 5, 6, 2, body), (2, 7, 8, 1, bytes(range(48, 58)) * 3 + body), (3, 9, 9, 1, body[:401])], "anchor long, c1 long, c2 long, n long, bytes binary").coalesce(1)
+    got = {r["anchor"]: [(x["a"], x["b"]) for x in r["runs"]] for r in suffix.sorted_runs(kinds.where("anchor = 1"), 400).collect()}
+    assert got == {1: [(0, len(body) - 400)]}
+
+
+def test_kept_text(spark):
+    rows = spark.createDataFrame([(1, "é" * 10 + "x" * 30), (2, "ü" + "x" * 30 + "y"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(rows, 25, 10, keep_text=True).collect()}
+    assert [got[i]["kept_text"] for i in (1, 2, 3)] == ["é" * 10, "üy", ""]
+    assert got[2]["kept_sha256"] == hashlib.sha256("üy".encode()).hexdigest()
+
+
 # -- near duplicates ----------------------------------------------------------------------------------------------
 
 

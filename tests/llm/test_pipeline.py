@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import contamination, pii, toxicity
+from sparkloom.llm import contamination, neardup, pii, toxicity
 from sparkloom.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -180,3 +180,11 @@ def test_edges(spark, name, stage):
             kept = [(r[0], "write to <EMAIL> now", *r[2:6], 20, r[7]) if r[0] in (6, 7) else r for r in kept]
         assert [tuple(r) for r in got] == kept
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_results_that_are_open_outlive_the_pipeline(spark):
+    """A frame made before a run of the pipeline reads its own staged tables after it."""
+    sf = "/root/testdata/sf0.001"
+    held = neardup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), words=4)
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert held.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
