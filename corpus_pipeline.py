@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import bpe, contamination, neardup, pii, toxicity
-from sparkloom.llm.common import clear_staged, fresh, shared_dir
+from sparkloom.llm.common import fresh, remove, shared_dir, staging
 from sparkloom.llm.queries import read, tokenizer
 
 
@@ -56,11 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a Parquet table in the shared folder, and what a stage staged is removed after it."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is a Parquet table in the shared folder.
+
+    What a stage staged is removed after it, and its input after the next one's is written; the last table stays, as the result reads it.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/sparkloom/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        clear_staged(spark)
-        docs = spark.read.parquet(f"{base}/{name}")
+        with staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{base}/{name}"
+        docs = spark.read.parquet(before)
     return docs
