@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import math as M
 from sparkloom.functions import text as T
+from sparkloom.operators.graph import cut
 
 K1, B = 1.2, 0.75
 
@@ -153,7 +154,8 @@ def symbol_search(symbols: DataFrame, query: str, limit: int = 10, kind: str | N
     held = rows.select("id", "dl", F.explode(F.filter("terms", lambda t: t.isin(own) if own else F.lit(False))).alias("term"))
     tf = held.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     names = _scored(tf, total, spark.createDataFrame([(0, g) for g in own] or [(0, "")], "query_id long, term string")).select("id", (NAME_GRAMS * F.col("score")).alias("grams"))
-    near = F.exists(T.ngrams(F.col("name")), lambda g: within_one_edit(g, query))
+    # Only n-grams about as long as the query can be within one edit of it.
+    near = F.exists(T.ngrams(F.col("name"), max(3, len(query) - 1), min(10, len(query) + 1)), lambda g: within_one_edit(g, query)) if 2 <= len(query) <= 11 else F.lit(False)
     extra = F.when(F.col("name") == query, NAME_EXACT).otherwise(0.0) + F.when(within_one_edit(F.col("name"), query), NAME_FUZZY).otherwise(0.0) + F.when(near, GRAM_FUZZY).otherwise(0.0)
     both = symbols.select("id", "name", extra.alias("extra")).join(words, "id", "left").join(names, "id", "left")
     score = F.col("extra") + F.coalesce("words", F.lit(0.0)) + F.coalesce("grams", F.lit(0.0))
@@ -219,10 +221,31 @@ def batch_knn(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 1
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
-    """(id, score): sum of 1 / (k + rank) over lists (id, score), pools of bounded size; ranks count from 1."""
-    order = Window.orderBy(F.desc("score"), "id")
-    ranked = [x.select("id", (1 / (k + F.row_number().over(order))).alias("part")) for x in lists]
+def in_order(rows: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """``rows`` with their place ``r`` in the order of all, from 1, and ``prev``, the ``value`` of the row before (null for the first).
+
+    A range sort over all tasks; of each sorted part only its size and last value come to the driver. The sorted rows are a checkpoint, as
+    places must not change between the two passes.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(sorted_.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.max_by(value, "at").alias("last")).orderBy("part").collect()  # one row for each part
+    starts, done, last = [], 0, None
+    for p in parts:
+        starts.append((p["part"], done, last))
+        done, last = done + p["n"], p["last"]
+    kind = dict(rows.dtypes)[value]
+    ahead = rows.sparkSession.createDataFrame(starts, f"part int, done long, ahead {kind}")
+    prev = F.lag(value).over(Window.partitionBy("part").orderBy("at"))
+    out = placed.withColumn("prev", prev).join(F.broadcast(ahead), "part")
+    return out.withColumns({"r": F.col("done") + F.col("at") + 1, "prev": F.coalesce("prev", "ahead")}).drop("part", "at", "done", "ahead")
+
+
+def rrf(lists: list[DataFrame], k: int = 60, pools: bool = False) -> DataFrame:
+    """(id, score): sum of 1 / (k + rank) over lists (id, score); ranks count from 1. ``pools`` says that the lists are limited to a few rows each."""
+    order = [F.desc("score"), F.col("id")]
+    placed = lambda x: x.withColumn("r", F.row_number().over(Window.orderBy(*order))) if pools else in_order(x.select("id", "score"), order, "score")
+    ranked = [placed(x).select("id", (1 / (k + F.col("r"))).alias("part")) for x in lists]
     out = ranked[0]
     for x in ranked[1:]:
         out = out.unionByName(x)
@@ -230,11 +253,10 @@ def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
 
 
 def convex(dense: DataFrame, lexical: DataFrame, alpha: float = 0.8) -> DataFrame:
-    """(id, score): alpha * dense + (1 - alpha) * lexical, each scaled to [0, 1] within its list; missing counts 0."""
+    """(id, score): alpha * dense + (1 - alpha) * lexical, each scaled to [0, 1] within its list; missing counts 0. Least and greatest are one aggregated row each."""
 
     def scaled(x: DataFrame, name: str) -> DataFrame:
-        pool = Window.partitionBy()
-        low, high = F.min("score").over(pool), F.max("score").over(pool)
+        low, high = x.agg(F.min("score")).scalar(), x.agg(F.max("score")).scalar()
         return x.select("id", ((F.col("score") - low) / F.greatest(high - low, F.lit(1.1920929e-07))).alias(name))
 
     both = scaled(dense, "d").join(scaled(lexical, "l"), "id", "full_outer")
@@ -242,51 +264,53 @@ def convex(dense: DataFrame, lexical: DataFrame, alpha: float = 0.8) -> DataFram
 
 
 def file_evidence(hits: DataFrame, alpha: float = 0.5, tail: int = 5) -> DataFrame:
-    """(file, score): a file's best score plus alpha times its next ones, each divided by its rank plus one."""
+    """(file, score): a file's best score plus alpha times its next ones, each divided by its rank plus one. Each task hands on a file's best tail + 1 only."""
     order = Window.partitionBy("file").orderBy(F.desc("score"), "id")
-    ranked = hits.withColumn("r", F.row_number().over(order))
-    rest = F.when((F.col("r") > 1) & (F.col("r") <= tail + 1), F.col("score") / F.col("r"))
+    ranked = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= tail + 1)
+    rest = F.when(F.col("r") > 1, F.col("score") / F.col("r"))
     return ranked.groupBy("file").agg((F.max(F.when(F.col("r") == 1, F.col("score"))) + alpha * F.coalesce(F.sum(rest), F.lit(0.0))).alias("score"))
 
 
 def diverse(hits: DataFrame, per_file: int, limit: int) -> DataFrame:
-    """The best ``limit`` hits with at most ``per_file`` of a file first; others fill up what is missing."""
+    """The best ``limit`` hits with at most ``per_file`` of a file first; others fill up what is missing. Each task hands on a file's best ``per_file`` only, and its best ``limit`` others."""
     order = Window.partitionBy("file").orderBy(F.desc("score"), "id")
-    ranked = hits.withColumn("late", (F.row_number().over(order) > per_file).cast("int"))
-    return ranked.orderBy("late", F.desc("score"), "id").limit(limit).drop("late")
+    best = [F.desc("score"), F.col("id")]
+    first = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_file).drop("r")
+    rest = hits.join(first.select("id"), "id", "left_anti").select(*hits.columns)
+    both = first.orderBy(*best).limit(limit).withColumn("late", F.lit(0)).unionByName(rest.orderBy(*best).limit(limit).withColumn("late", F.lit(1)))
+    return both.orderBy("late", *best).limit(limit).drop("late")
 
 
 def score_cut(hits: DataFrame, delta: float = 0.8, drop: float = 1.2, least: int = 1) -> DataFrame:
-    """Hits within ``delta`` of the best, up to the first fall of ``drop`` or more after ``least`` hits."""
-    order = Window.orderBy(F.desc("score"), "id")
-    ranked = hits.withColumns({"r": F.row_number().over(order), "fall": F.lag("score").over(order) - F.col("score"), "top": F.max("score").over(Window.partitionBy())})
-    cliff = F.min(F.when((F.col("r") > least) & (F.col("fall") >= drop), F.col("r"))).over(Window.partitionBy())
-    return ranked.withColumn("cliff", cliff).where((F.col("score") >= F.col("top") - delta) & (F.col("cliff").isNull() | (F.col("r") < F.col("cliff")))).select("id", "score", "r")
+    """(id, score, r): hits within ``delta`` of the best, up to the first fall of ``drop`` or more after ``least`` hits."""
+    # A fall below the bound cuts nothing that the bound leaves.
+    near = hits.select("id", "score").where(F.col("score") >= hits.agg(F.max("score")).scalar() - delta)
+    ranked = in_order(near, [F.desc("score"), F.col("id")], "score")
+    cliff = ranked.where((F.col("r") > least) & (F.col("prev") - F.col("score") >= drop)).agg(F.min("r")).scalar()
+    return ranked.where(cliff.isNull() | (F.col("r") < cliff)).select("id", "score", "r")
 
 
 def prefilter(hits: DataFrame, lexical: DataFrame, dense: DataFrame, target: int, gap: float, tail: int) -> DataFrame:
-    """What a re-ranker should see: the best ``target``, all if the next is within ``gap``, and up to ``tail`` more that both arms found."""
-    order = Window.orderBy(F.desc("score"), "id")
-    ranked = hits.withColumn("r", F.row_number().over(order))
-    both = lexical.select("id").join(dense.select("id"), "id").distinct().withColumn("dual", F.lit(True))
-    ranked = ranked.join(both, "id", "left")
-    edge = Window.partitionBy()
-    last, following = (F.max(F.when(F.col("r") == k, F.col("score"))).over(edge) for k in (target, target + 1))
-    extra = F.sum(F.when(F.col("dual") & (F.col("r") > target), 1).otherwise(0)).over(Window.orderBy("r"))
-    close = F.coalesce(last - following < gap, F.lit(False))
-    marked = ranked.withColumns({"close": close, "extra": extra})
-    return marked.where((F.col("r") <= target) | F.col("close") | (F.col("dual") & (F.col("extra") <= tail))).select("id", "score")
+    """(id, score): what a re-ranker should see: the best ``target``, all if the next is within ``gap``, and up to ``tail`` more that both arms found."""
+    best = [F.desc("score"), F.col("id")]
+    own = hits.select("id", "score")
+    head = own.orderBy(*best).limit(target + 1)
+    ranked = cut(head.withColumn("r", F.row_number().over(Window.orderBy(*best))))  # target + 1 rows
+    at = {r["r"]: r["score"] for r in ranked.where(F.col("r") >= target).collect()}
+    if target in at and target + 1 in at and at[target] - at[target + 1] < gap:
+        return own
+    first = ranked.where(F.col("r") <= target).select("id", "score")
+    both = lexical.select("id").join(dense.select("id"), "id", "left_semi").distinct()
+    more = own.join(first.select("id"), "id", "left_anti").join(both, "id", "left_semi").orderBy(*best).limit(tail)
+    return first.unionByName(more.select("id", "score"))
 
 
 def gate(hits: DataFrame, rrf_score: Column, dual: Column, least_prob: float = 0.34, least_rrf: float = 0.018) -> DataFrame:
-    """All hits, or none if the best is doubtful: low softmax share among the first five, low fused score, one source only."""
-    order = Window.orderBy(F.desc("score"), "id")
-    ranked = hits.withColumn("r", F.row_number().over(order))
-    edge = Window.partitionBy()
-    top = F.max("score").over(edge)
-    share = 1 / F.sum(F.when(F.col("r") <= 5, F.exp(F.col("score") - top))).over(edge)
-    first = F.max(F.when(F.col("r") == 1, (rrf_score < least_rrf) & ~dual)).over(edge)
-    return ranked.withColumns({"share": share, "weak": first}).where(~((F.col("share") < least_prob) & F.col("weak"))).select(*hits.columns)
+    """All hits, or none if the best is doubtful: low softmax share among the first five, low fused score, one source only. Five rows decide."""
+    first = hits.withColumn("doubt", (rrf_score < least_rrf) & ~dual).orderBy(F.desc("score"), "id").limit(5)
+    facts = first.agg((1 / F.sum(F.exp(F.col("score") - first.agg(F.max("score")).scalar()))).alias("share"), F.max_by("doubt", F.struct("score", -F.col("id"))).alias("weak"))
+    doubtful = facts.select(F.coalesce((F.col("share") < least_prob) & F.col("weak"), F.lit(False))).scalar()
+    return hits.where(~doubtful)
 
 
 #: An embedding of texts: a column of vectors from a column of texts.
@@ -421,7 +445,7 @@ def hybrid_symbols(symbols: DataFrame, vectors: DataFrame, query: str, limit: in
     pool = max(3 * limit, 20)
     lexical = symbol_search(symbols, query, pool).select("id", "score")
     dense = vectors.select("id", F.round(M.cosine(F.col("embedding"), embed(F.lit(query))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
-    return rrf([lexical, dense], k).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return rrf([lexical, dense], k, pools=True).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 #: What a re-ranker is: scores for pairs of a query and texts, in batches.

@@ -19,7 +19,7 @@ TABLES = {
     "clusters": "cluster int, centroid array<double>",
 }
 #: Version of the written form; an index of a newer one is not read.
-VERSION = 1
+VERSION = 2
 
 
 class Embedder(Protocol):

@@ -1,5 +1,6 @@
 """The written index, file sources, tools and search operators on small corpora."""
 
+import os
 import subprocess
 
 import pytest
@@ -77,9 +78,10 @@ def test_store(spark, tmp_path):
     assert states == {"": "added"} and store.metadata()["facts"]["roots"] == [""]
     store.clear()
     assert store.read("files").count() == 0
-    store._write_text(f"{store.path}/CURRENT.json", '{"version": 99}')
+    os.makedirs(tmp_path / "newer")
+    (tmp_path / "newer" / "manifest-000000000001.json").write_text('{"version": 99}')
     with pytest.raises(ValueError):
-        store.read("files")
+        IndexStore(spark, f"file://{tmp_path}/newer").read("files")
 
 
 def test_swap_table(spark, tmp_path):
