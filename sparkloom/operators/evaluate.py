@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.search import in_order
+
 
 def metrics(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     """(query_id, hit1, rr10, ndcg10, recall5, recall10); a document counts once, at its best rank. ``runs`` (query_id, rank, id), ``qrels`` (query_id, id, grade)."""
@@ -61,10 +63,13 @@ def paired(a: DataFrame, b: DataFrame, least: float = 0.05) -> DataFrame:
 
 def upper_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, n, median, p90, mean): the middle value, the upper of two, and the value at int(0.9 n), the last at most; nulls do not count."""
-    sorted_ = F.array_sort(F.collect_list(value))
-    grouped = rows.where(F.col(value).isNotNull()).groupBy(by).agg(sorted_.alias("v"), F.avg(value).alias("mean"))
-    n = F.size("v")
-    return grouped.select(by, n.cast("long").alias("n"), F.element_at("v", F.floor(n / 2).cast("int") + 1).alias("median"), F.element_at("v", F.least(F.floor(n * F.lit(9) / 10).cast("int") + 1, n)).alias("p90"), "mean")
+    # Places in the order of all rows: those of a group lie side by side, so a group's middle is a place, and no group is gathered.
+    own = rows.where(F.col(value).isNotNull()).select(by, value)
+    placed = in_order(own, [F.col(by).asc_nulls_first(), F.col(value).asc()], value)
+    groups = placed.groupBy(by).agg(F.count("*").alias("n"), F.min("r").alias("first"), F.avg(value).alias("mean"))
+    at = groups.withColumns({"middle": F.col("first") + F.floor(F.col("n") / 2), "ninth": F.col("first") + F.least(F.floor(F.col("n") * 9 / 10), F.col("n") - 1)})
+    value_at = lambda place, name: placed.select(F.col("r").alias(place), F.col(value).alias(name))
+    return at.join(value_at("middle", "median"), "middle").join(value_at("ninth", "p90"), "ninth").select(by, "n", "median", "p90", "mean")
 
 
 def evaluation_set(commits: DataFrame, known: DataFrame, extensions: tuple[str, ...] = (".py",), least: int = 20) -> DataFrame:
@@ -80,16 +85,26 @@ def evaluation_set(commits: DataFrame, known: DataFrame, extensions: tuple[str,
     return rows.join(known.select("path"), "path", "left_semi").groupBy("id", "query").agg(F.array_sort(F.collect_set("path")).alias("gold"))
 
 
+#: Terms for which a text is searched at once.
+TERMS = 200
+
+
 def lexical_baseline(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, path, rank): files (path, content) by the number of a query's terms that they hold, by all occurrences, then by the length of their paths.
 
-    ``queries`` (query_id, terms), a small set, is sent to the files; a term occurs anywhere, whatever its case.
+    ``queries`` (query_id, terms); a term occurs anywhere, whatever its case. Each text is searched once for the distinct terms of all queries, TERMS at a time,
+    and only terms that it holds meet the queries that ask for them.
     """
-    asked = F.broadcast(queries.select("query_id", F.transform("terms", lambda t: F.lower(t)).alias("terms")))
-    low = files.select("path", F.lower("content").alias("text")).join(asked)
-    times = F.transform("terms", lambda t: ((F.length("text") - F.length(F.replace("text", t, F.lit("")))) / F.length(t)).cast("long"))
-    rows = low.select("query_id", "path", F.transform(times, lambda n: n).alias("n"))
-    rows = rows.select("query_id", "path", F.size(F.filter("n", lambda x: x > 0)).alias("distinct"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("hits")).where("distinct > 0")
+    asked = queries.select("query_id", F.posexplode(F.transform("terms", lambda t: F.lower(t))).alias("i", "term")).where("term <> ''")
+    known = sorted(r["term"] for r in asked.select("term").distinct().collect())  # what is asked, in all
+    low, found = files.select("path", F.lower("content").alias("text")), None
+    for i in range(0, len(known), TERMS):
+        times = F.transform(F.array(*map(F.lit, known[i : i + TERMS])), lambda t: F.struct(t.alias("term"), ((F.length("text") - F.length(F.replace("text", t, F.lit("")))) / F.length(t)).cast("long").alias("n")))
+        part = low.select("path", F.explode(F.filter(times, lambda x: x["n"] > 0)).alias("x")).select("path", "x.term", "x.n")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return files.sparkSession.createDataFrame([], "query_id long, path string, rank long")
+    rows = found.join(asked, "term").groupBy("query_id", "path").agg(F.count("*").alias("distinct"), F.sum("n").alias("hits"))
     order = Window.partitionBy("query_id").orderBy(F.desc("distinct"), F.desc("hits"), F.length("path"), "path")
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit).select("query_id", "path", "rank")
 

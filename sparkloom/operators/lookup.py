@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import resolve
 
 #: Kinds of symbols, and which relations they permit (fixed values): relation -> (kinds that have it, kinds that it leads to).
 KINDS = ("Function", "Method", "Struct", "Enum", "Trait", "Interface", "Class", "Module", "Variable", "Constant", "Field", "Parameter", "TypeAlias", "Macro")
@@ -142,22 +143,29 @@ def flow_parents(blocks: DataFrame, symbols: DataFrame) -> DataFrame:
 
     ``blocks`` (block_id, file_path, start_line, end_line, hint).
     """
-    s = symbols.select("id", "name", "file_path", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    around = blocks.join(s, "file_path").where("s_start <= start_line and s_end >= end_line")
-    best = F.min_by("id", F.struct((F.coalesce(F.col("name") != F.col("hint"), F.lit(True))).alias("other"), (F.col("s_end") - F.col("s_start")).alias("size"), "id"))
-    return around.groupBy("block_id").agg(best.alias("id"))
+    named = symbols.select("id", F.col("name").alias("hint"), "file_path", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
+    hinted = blocks.join(named, ["file_path", "hint"]).where("s_start <= start_line and s_end >= end_line")
+    first = hinted.groupBy("block_id").agg(F.min_by("id", F.struct((F.col("s_end") - F.col("s_start")).alias("size"), "id")).alias("id"))
+    left = blocks.join(first.select("block_id"), "block_id", "left_anti")
+    return first.unionByName(around(left, "block_id", symbols, "end_line").where("id is not null"))
+
+
+def around(places: DataFrame, place_id: str, symbols: DataFrame, until: str = "start_line") -> DataFrame:
+    """(place_id, id): the smallest symbol around each place (file_path, start_line, until), null without one."""
+    points = places.select(F.col(place_id).alias("point_id"), "file_path", F.col("start_line").alias("at"), F.col(until).alias("until"))
+    ranges = symbols.select(F.col("id").alias("range_id"), "file_path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    return resolve.containing(points, ranges, "file_path").select(F.col("point_id").alias(place_id), F.col("range_id").alias("id"))
 
 
 def sources_of(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """(ref_id, id, step): the symbol that a reference (ref_id, name, file_path, start_line, end_line) is from: the one with its name and lines (1),
     else the first of its name in the file (2), else the smallest around its first line (3); null without one."""
-    s = symbols.select("id", F.col("name").alias("s_name"), "file_path", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    near = references.join(s, "file_path")
-    named = F.col("name") == F.col("s_name")
-    step = F.when(named & (F.col("start_line") == F.col("s_start")) & (F.col("end_line") == F.col("s_end")), 1).when(named, 2).when((F.col("s_start") <= F.col("start_line")) & (F.col("start_line") <= F.col("s_end")), 3)
-    order = F.struct("step", F.when(F.col("step") == 3, F.col("s_end") - F.col("s_start")).otherwise(F.col("s_start")).alias("size"), "id")
-    best = near.withColumn("step", step).where("step is not null").groupBy("ref_id").agg(F.min(order).alias("x"))
-    return references.select("ref_id").join(best, "ref_id", "left").select("ref_id", F.col("x.id").alias("id"), F.col("x.step").cast("long").alias("step"))
+    own = symbols.select("id", "name", "file_path", F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
+    same = (F.col("start_line") == F.col("s_start")) & (F.col("end_line") == F.col("s_end"))
+    named = references.join(own, ["file_path", "name"]).groupBy("ref_id").agg(F.min(F.struct(F.when(same, 1).otherwise(2).alias("step"), F.col("s_start"), "id")).alias("x")).select("ref_id", "x.id", "x.step")
+    left = references.join(named.select("ref_id"), "ref_id", "left_anti")
+    third = around(left, "ref_id", symbols).select("ref_id", "id", F.when(F.col("id").isNotNull(), 3).alias("step"))
+    return named.unionByName(third).select("ref_id", "id", F.col("step").cast("long").alias("step"))
 
 
 def source_lines(symbols: DataFrame, files: DataFrame, ids: list[int], context: int = 0) -> DataFrame:

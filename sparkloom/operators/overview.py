@@ -106,11 +106,11 @@ def word_domains(words: DataFrame) -> DataFrame:
 def knowledge_matches(words: DataFrame, domains: DataFrame, module: str = "module", boost: int = 5) -> DataFrame:
     """(module, domain, behavior, priority, matches): domains whose keywords the module's words match, wholly or as a beginning of one another.
 
-    ``words`` (module, word); each word counts once for a domain, and ``boost`` words more if the module's own last folder matches. Knowledge
-    is a small table, so it is sent to the words.
+    ``words`` (module, word); each word counts once for a domain, and ``boost`` words more if the module's own last folder matches. Both sides
+    meet by their first letter; whether knowledge is small enough to be sent is the planner's choice.
     """
     both = lambda x: (x == F.col("keyword")) | F.startswith(x, F.col("keyword")) | F.startswith(F.col("keyword"), x)
-    known = F.broadcast(domains.withColumn("keyword", F.lower("keyword")).where("keyword <> ''"))
+    known = domains.withColumn("keyword", F.lower("keyword")).where("keyword <> ''")
     # Words that may match begin alike, which makes an equi-join of it.
     first = lambda c: F.left(c, F.lit(1)).alias("first")
     own = words.select(module, F.lower("word").alias("word")).distinct()
@@ -124,7 +124,13 @@ def knowledge_matches(words: DataFrame, domains: DataFrame, module: str = "modul
 
 def package_categories(packages: DataFrame, stacks: DataFrame) -> DataFrame:
     """(category, packages): packages (name) whose name holds a known one of the category, in order."""
-    hits = packages.select("name").distinct().join(F.broadcast(stacks.select("category", F.lower("package").alias("package"))), F.contains(F.lower("name"), F.col("package")))
+    known = stacks.select("category", F.lower("package").alias("package")).where("package <> ''").distinct()
+    sizes = sorted(r["n"] for r in known.select(F.length("package").alias("n")).distinct().collect())  # a few lengths
+    low, none = F.lower("name"), F.expr("cast(array() as array<string>)")
+    # The parts of a name that are as long as a known one are join keys.
+    long = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
+    parts = F.flatten(F.array(*map(long, sizes))) if sizes else none
+    hits = packages.select("name").distinct().select("name", F.explode(F.array_distinct(parts)).alias("package")).join(known, "package")
     return hits.groupBy("category").agg(F.array_sort(F.collect_set("name")).alias("packages"))
 
 

@@ -23,7 +23,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
 def containing(points: DataFrame, ranges: DataFrame, key: str, grid: int = 64) -> DataFrame:
     """(point_id, range_id): the smallest range of the same key that holds the point, ties by id; null without one.
 
-    ``points`` (point_id, key, at), ``ranges`` (range_id, key, lo, hi). Ranges are cut at the cells of a grid whose width is that of the
+    ``points`` (point_id, key, at), ``ranges`` (range_id, key, lo, hi); with a column ``until`` a point is the stretch from ``at`` to there. Ranges are cut at the cells of a grid whose width is that of the
     next power of ``grid`` that covers them, so a point meets a few cells of each width instead of all ranges of its key.
     """
     span = F.col("hi") - F.col("lo") + 1
@@ -34,7 +34,8 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, grid: int = 64) -
     # Few widths occur: one row for each.
     levels = F.broadcast(cut.select("level").distinct())
     own = points.join(levels).withColumn("cell", F.floor(F.col("at") / width))
-    held = own.join(cut, [key, "level", "cell"]).where((F.col("at") >= F.col("lo")) & (F.col("at") <= F.col("hi")))
+    end = F.greatest("at", "until") if "until" in points.columns else F.col("at")
+    held = own.join(cut, [key, "level", "cell"]).where((F.col("at") >= F.col("lo")) & (end <= F.col("hi")))
     best = held.groupBy("point_id").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "range_id"))["range_id"].alias("range_id"))
     return points.select("point_id").distinct().join(best, "point_id", "left")
 
@@ -42,7 +43,7 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, grid: int = 64) -
 LAST_PART = r"::|\.|/|\\"
 
 
-def resolve_names(unresolved: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve_names(unresolved: DataFrame, symbols: DataFrame, imports: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """(rel_id, to_id, status, tier): the symbol that a name means, tier by tier.
 
     1: same file; 2: imported (alias or last path part equals the name, module and path contain one another, same language);
@@ -51,6 +52,8 @@ def resolve_names(unresolved: DataFrame, symbols: DataFrame, imports: DataFrame)
     ``unresolved`` (rel_id, to_name, file_id, language, module, line), ``symbols`` (id, name, file_id, language, module, visibility, line),
     ``imports`` (file_id, path, alias).
 
+    With ``matched`` (file_id, local, to_id), as imports.matched_imports() gives it, tier 2 goes by the languages' own rules instead.
+
     Each tier is a join on its own keys, for what the tiers before left: a common name meets the symbols of its file, then those of its
     imports. In tier 3 all that is asked is how many symbols fit, so they are counted by name, language and module first and no pairs are made.
     """
@@ -62,7 +65,8 @@ def resolve_names(unresolved: DataFrame, symbols: DataFrame, imports: DataFrame)
 
     left = unresolved.join(first.select("rel_id"), "rel_id", "left_anti")
     named = imports.select("file_id", F.coalesce("alias", F.element_at(F.split("path", LAST_PART), -1)).alias("to_name"), "path").distinct()
-    through = left.join(named, ["file_id", "to_name"]).join(s, ["to_name", "language"]).where(F.contains("path", "s_module") | F.contains("s_module", "path"))
+    known = s.select("to_id", "language")
+    through = left.join(matched.select("file_id", F.col("local").alias("to_name"), "to_id"), ["file_id", "to_name"]).join(known, ["to_id", "language"]) if matched is not None else left.join(named, ["file_id", "to_name"]).join(s, ["to_name", "language"]).where(F.contains("path", "s_module") | F.contains("s_module", "path"))
     second = through.groupBy("rel_id").agg(F.count_distinct("to_id").alias("n"), F.min("to_id").alias("low")).select("rel_id", F.when(F.col("n") == 1, F.col("low")).alias("to_id"), F.lit(2).alias("tier"))
 
     left = left.join(second.select("rel_id"), "rel_id", "left_anti")

@@ -473,12 +473,12 @@ def rerank_text(parts: dict[str, Column], caps: dict[str, int] | None = None, mo
     return F.left(F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n"), F.lit(most))
 
 
-def token_embedding(docs: DataFrame, id_col: str, text_col: str, table: DataFrame, most_chars: int) -> DataFrame:
-    """(id, embedding): static embedding: the mean of the vectors of a text's first tokens, at unit length; unknown tokens are left out.
+def token_embedding(docs: DataFrame, id_col: str, text_col: str, table: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """(id, embedding): static embedding: the mean of the vectors of a text's tokens, of its first ``most_chars`` characters if given, at unit length; unknown tokens are left out.
 
     ``table`` (term, vector) is the model; whole numbers of one scale give the same direction as what they stand for. Texts without a known token have no row.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(T.tokens(F.left(text_col, F.lit(most_chars)))).alias("n", "term"))
+    words = docs.select(F.col(id_col).alias("id"), F.posexplode(T.tokens(F.left(text_col, F.lit(most_chars)) if most_chars else F.col(text_col))).alias("n", "term"))
     parts = words.join(table, "term").select("id", F.posexplode("vector").alias("i", "x")).groupBy("id", "i").agg(F.avg("x").alias("x"))
     return parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("v")).select("id", M.normalised(F.col("v")).alias("embedding"))
 
@@ -491,7 +491,7 @@ def max_sim(tokens: DataFrame, query_tokens: list[list[float]]) -> DataFrame:
 
 def feedback_terms(index: DataFrame, total: DataFrame, hits: DataFrame, top: int = 10) -> DataFrame:
     """(term, weight): pseudo-relevance feedback: the terms that the best ``hits`` (id) hold and others do not, by tf times idf; a few hits are asked."""
-    own = index.join(F.broadcast(hits.select("id")), "id", "left_semi").groupBy("term").agg(F.sum("tf").alias("tf"))
+    own = index.join(hits.select("id"), "id", "left_semi").groupBy("term").agg(F.sum("tf").alias("tf"))
     df = index.join(own.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return own.join(df, "term").join(F.broadcast(total)).where(F.length("term") > 2).select("term", F.round(weight, 6).alias("weight")).orderBy(F.desc("weight"), "term").limit(top)

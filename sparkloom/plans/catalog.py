@@ -189,9 +189,9 @@ def symbols_at_line(spark, sf_dir):
     return lookup.find_symbols(code(Tables(spark, sf_dir)), language="rust", line=101).select("id", "name", "module")
 
 
-@query(f"WITH {RELATIONS} SELECT from_id, to_id FROM rels WHERE kind = 'Extends' AND from_id % 7 = 0")
+@query(f"WITH {RELATIONS} SELECT from_id, to_id FROM rels WHERE kind = 'Extends'")
 def relationships_of_kind(spark, sf_dir):
-    return lookup.find_relationships(relations(Tables(spark, sf_dir)), kind="Extends").where("from_id % 7 = 0").select("from_id", "to_id")
+    return lookup.find_relationships(relations(Tables(spark, sf_dir)), kind="Extends").select("from_id", "to_id")
 
 
 @query(f"WITH {CODE} SELECT id, file_path FROM code WHERE NOT starts_with(file_path, 'dist/')")
@@ -218,12 +218,12 @@ def entry_points(spark, sf_dir):
     return lookup.entry_points(code(Tables(spark, sf_dir)))
 
 
-@query(f"""WITH {CODE}, b AS (SELECT id AS block_id, file_path, start_line + 1 AS lo, start_line + 1 AS hi, CASE WHEN id % 2 = 0 THEN name END AS hint FROM code WHERE id % 3 = 0 AND end_line > start_line)
+@query(f"""WITH {CODE}, b AS (SELECT id AS block_id, file_path, start_line + 1 AS lo, start_line + 1 AS hi, CASE WHEN id % 2 = 0 THEN name END AS hint FROM code WHERE end_line > start_line)
 SELECT block_id, id FROM (SELECT block_id, c.id, row_number() OVER (PARTITION BY block_id ORDER BY coalesce(c.name <> hint, true), end_line - start_line, c.id) AS r FROM b JOIN code c ON b.file_path = c.file_path AND start_line <= lo AND end_line >= hi) WHERE r = 1""")
 def flow_parents(spark, sf_dir):
     c = code(Tables(spark, sf_dir))
     line = F.col("start_line") + 1
-    blocks = c.where("id % 3 = 0 and end_line > start_line").select(F.col("id").alias("block_id"), "file_path", line.alias("start_line"), line.alias("end_line"), F.when(F.col("id") % 2 == 0, F.col("name")).alias("hint"))
+    blocks = c.where("end_line > start_line").select(F.col("id").alias("block_id"), "file_path", line.alias("start_line"), line.alias("end_line"), F.when(F.col("id") % 2 == 0, F.col("name")).alias("hint"))
     return lookup.flow_parents(blocks, c)
 
 
@@ -503,11 +503,11 @@ def int8_vectors(spark, sf_dir):
     return Tables(spark, sf_dir).embeddings.select(F.col("vec_id").alias("id"), F.array_join(M.quantised(F.col("embedding"), F.lit(0.01)).cast("array<string>"), ",").alias("q"))
 
 
-@query("""WITH t(term, v) AS (VALUES ('the', [3, 0]), ('of', [0, 4]), ('and', [1, 1])), w AS (SELECT doc_id, unnest([x for x in string_split_regex(lower(left(text, 300)), '[^a-z0-9]+') if x <> '']) AS term FROM documents),
+@query("""WITH t(term, v) AS (VALUES ('the', [3, 0]), ('of', [0, 4]), ('and', [1, 1])), w AS (SELECT doc_id, unnest([x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> '']) AS term FROM documents),
 m AS (SELECT doc_id, avg(v[1]) AS a, avg(v[2]) AS b FROM w JOIN t USING (term) GROUP BY doc_id) SELECT doc_id AS id, round(a / greatest(sqrt(a * a + b * b), 1e-12), 6) AS x, round(b / greatest(sqrt(a * a + b * b), 1e-12), 6) AS y FROM m""")
 def static_embedding(spark, sf_dir):
     table = spark.createDataFrame([("the", [3, 0]), ("of", [0, 4]), ("and", [1, 1])], "term string, vector array<int>")
-    found = search.token_embedding(Tables(spark, sf_dir).documents, "doc_id", "text", table, 300)
+    found = search.token_embedding(Tables(spark, sf_dir).documents, "doc_id", "text", table)
     return found.select("id", F.round(F.col("embedding")[0], 6).alias("x"), F.round(F.col("embedding")[1], 6).alias("y"))
 
 
