@@ -3,10 +3,10 @@
 Every string of ``length`` bytes belongs to one anchor: the leftmost smallest hash among the ``GRAM``-byte
 strings inside it. Equal strings have equal anchors at equal places, so only strings around equal anchors
 need comparing, and each run of strings that share an anchor is one segment of text. Of equal segments (by a 128-bit
-hash of their bytes) one goes on, and if there are several, a second copy of it stands for the others. A suffix
+hash of their bytes) one goes on with their number; its entries in the suffix array count for two. A suffix
 array of a block of segments finds what they share: suffixes smaller than their successors are sorted directly, the
-others are induced by scans over the buckets, and adjacent common prefixes of ``length`` bytes mark repeated strings. Anchors with more than GIANT different segments are dealt out
-before that: strings whose anchor stands in the left or right half of its range also share the bytes that all of
+others are induced by scans over the buckets, and adjacent common prefixes of ``length`` bytes mark repeated strings.
+Anchors with more than GIANT different segments are dealt out before that: strings whose anchor stands in the left or right half of its range also share the bytes that all of
 that half have in common, so each half is a group by those bytes, and groups still too large are halved again.
 
 Matches never cross texts. Null texts count as empty, texts shorter than ``length`` have no spans, and repeated rows
@@ -82,18 +82,44 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+#: Rounds of eight bytes in which suffixes are sorted together before those that still agree are compared whole.
+ROUNDS = 4
+
+
+def _eights(text: np.ndarray, order: str) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    return np.ndarray((len(text) + 1,), f"{order}u8", padded, strides=(1,))
+
+
 def _direct_sort(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """``places`` in the order of the first ``depth`` bytes of the suffixes there; a shorter suffix precedes its extensions."""
-    raw = text.tobytes()
-    return np.array(sorted(places.tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    raw, eight, out = text.tobytes(), _eights(text, ">"), np.empty(len(places), np.int64)
+    order, group, slot = places, np.zeros(len(places), np.int64), np.arange(len(places))
+    for turn in range(min(ROUNDS, depth // 8)):
+        # Suffixes that agree so far are a group; each round sorts the groups by their next eight bytes, those that are alone are done.
+        key = eight[np.minimum(order + 8 * turn, len(text))].astype(np.uint64)
+        by = np.lexsort((key, group))
+        order, key, group = order[by], key[by], group[by]
+        out[slot] = order
+        group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])[: len(key)]) - 1
+        tied = np.bincount(group)[group] > 1
+        order, group, slot = order[tied], group[tied], slot[tied]
+        if len(order) == 0:
+            return out
+    cuts = [*np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist(), len(group)]
+    held, done = order.tolist(), []
+    for a, b in zip(cuts, cuts[1:]):
+        done += sorted(held[a:b], key=lambda i: raw[i : i + depth])
+    out[slot] = done
+    return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix in ``order`` the length, up to ``most``, of what it shares with the one before it."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, exact: bool = True) -> np.ndarray:
+    """For each suffix in ``order`` the length, up to ``most``, of what it shares with the one before it; if not ``exact``, lengths below ``most`` - 7 in steps of eight."""
     n = len(text)
-    padded = np.zeros(n + 8, np.uint8)
-    padded[:n] = text
-    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    eight = _eights(text, "<")
     out = np.zeros(len(order), np.int64)
     live = np.arange(1, len(order))
     room = np.minimum(n - np.maximum(order[1:], order[:-1]), most)
@@ -103,7 +129,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         same = (at + 8 <= room[live - 1]) & (eight[np.minimum(order[live] + at, n)] == eight[np.minimum(order[live - 1] + at, n)])
         live = live[same]
         out[live] += 8
-    live = np.arange(1, len(order))
+    live = np.arange(1, len(order)) if exact else np.flatnonzero(out > most - 8)
     for _ in range(7):
         at = out[live]
         live = live[at < room[live - 1]]
@@ -197,8 +223,6 @@ def sorted_runs(kinds: DataFrame, length: int) -> DataFrame:
     """
 
     def sort_block(block: list[tuple]) -> pa.RecordBatch:
-        # A second copy of what occurs more than once, whose own hits are those of the first.
-        block = block + [r for r in block if r[4] > 1]
         parts = [np.frombuffer(r[3], np.uint8) for r in block]
         text = np.concatenate(parts)
         base = np.cumsum([0, *map(len, parts)])
@@ -209,16 +233,14 @@ def sorted_runs(kinds: DataFrame, length: int) -> DataFrame:
             start[lo : lo + len(p) - length + 1] = True
         # Suffixes that agree on ``length`` bytes stand together, so those that are no starts can be left out first.
         order = order[start[order]]
-        same = common_prefixes(text, order, length) >= length
-        twice = same.copy()
+        same = common_prefixes(text, order, length, exact=False) >= length
+        # An entry of a segment that occurs more than once stands for two suffixes side by side whose common prefix is the whole segment's rest.
+        twice = same | np.array([r[4] > 1 for r in block])[np.searchsorted(base, order, "right") - 1]
         twice[:-1] |= same[1:]
         hit = np.zeros(len(text) + 1, bool)
         hit[order[twice]] = True
-        rows, told = [], set()
+        rows = []
         for r, lo, p in zip(block, base, parts):
-            if r[:3] in told:
-                continue
-            told.add(r[:3])
             own = np.diff(np.concatenate([[0], hit[lo : lo + len(p)].astype(np.int8), [0]]))
             a, b = np.flatnonzero(own == 1), np.flatnonzero(own == -1) - 1
             if len(a):
