@@ -147,23 +147,6 @@ def semantic_search_docs(spark, sf_dir):
     return corpus(Tables(spark, sf_dir)).semantic_search_docs("the red widget")
 
 
-@query(f"""WITH v AS (SELECT doc_id AS id, source, {HASHED.format('text')} AS e FROM documents WHERE lang = 'en'), q AS (SELECT {HASHED.format("'the and of worthless'")} AS q)
-SELECT id, source AS source_path, round(CASE WHEN list_sum(e) = 0 THEN 0 ELSE list_cosine_similarity(e, q) END, 6) AS score FROM v, q ORDER BY score DESC, id LIMIT 5""")
-def search_documents(spark, sf_dir):
-    from sparkloom.plans.registry import text_index
-
-    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), F.col("source").alias("source_path"), F.col("text").alias("content"))
-    return search.document_search(docs, text_index(spark, sf_dir).vectors, "the and of worthless", "en").select("id", "source_path", "score")
-
-
-@query(f"""WITH RECURSIVE {RELATIONS}, e AS (SELECT from_id AS src, to_id AS dst FROM rels WHERE kind = 'Calls'), walk AS (SELECT [8::BIGINT] AS path, 0 AS depth, false AS again UNION ALL SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON src = path[-1] WHERE NOT again AND depth < 3)
-SELECT path[-2] AS parent, path[-1] AS callee, count(*) AS n, min(depth)::BIGINT AS depth FROM walk WHERE depth > 0 GROUP BY 1, 2""")
-def get_call_tree(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    calls = relations(t).where("kind = 'Calls'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    return graph.collapse_calls(graph.call_tree(calls, 8, 3, most=None))
-
-
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), walk AS (SELECT [7::BIGINT] AS path, 0 AS depth, false AS again UNION ALL SELECT list_append(path, dst), depth + 1, list_contains(path, dst) FROM walk JOIN e ON src = path[-1] WHERE NOT again AND depth < 2)
 SELECT count(*) AS nodes, max(depth)::BIGINT AS depth, bool_or(again) AS cycles, bool_or(depth = 2 AND NOT again AND path[-1] IN (SELECT src FROM e)) AS truncated FROM walk""")
 def tree_stats(spark, sf_dir):
