@@ -38,10 +38,13 @@ class Rules:
 
 TYPES = {"Class", "Struct", "Enum", "Trait", "Interface", "Impl", "Module"}
 #: Words that look like calls (fixed values).
-WORDS = frozenset("if for while switch match return catch function fn func fun sizeof typeof throw elif else do and or not in until when guard defer lambda def class super assert await yield loop with except print_ using lock foreach elseif require_once include_once array list isset unset".split())
+WORDS = frozenset("if for while switch match return catch function fn func fun sizeof typeof throw elif else do and or not in until when guard defer lambda def class super assert await yield loop with except print_ using lock foreach elseif require_once include_once array list isset unset async".split())
 
 CONTROL = frozenset("if for while switch match return catch function throw elif else do and or not in until when guard typeof sizeof await yield lock foreach elseif".split())
 
+#: Words that begin statements, not definitions (fixed values).
+STATEMENTS = frozenset("return throw new else await yield case goto delete".split())
+
 _JS = (
     (r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)", "Class"), (r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)", "Function"),
     (r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)|\w+)\s*(?::[^=\n]+)?=>", "Function"),
@@ -238,11 +241,32 @@ def _doc(lines: list[str], at: int, language: str) -> str | None:
     return "\n".join(found).strip() or None
 
 
+def _receiver(code: str, end: int, most: int = 200) -> str:
+    """The whole expression that ends at ``end``: names, calls and indexes joined by dots and the like, without white space, its last ``most`` characters."""
+    at, low = end, max(0, end - 10 * most)
+    while at > low:
+        if code[at - 1] in ")]":
+            depth = 0
+            while at > low:
+                at -= 1
+                depth += (code[at] in ")]") - (code[at] in "([")
+                if depth == 0:
+                    break
+        word = re.search(r"[\w$]+$", code[max(low, at - most) : at])
+        at -= len(word.group()) if word else 0
+        joint = re.search(r"(?:\.|::|->|\?\.|!\.)\s*$", code[max(low, at - most) : at])
+        if joint is None and not (at > low and word and code[at - 1] in ")]"):
+            break
+        at -= len(joint.group()) if joint else 0
+        at = len(code[:at].rstrip()) if joint else at
+    return "".join(code[at:end].split())[-most:]
+
+
 FLOW = (("if_else", r"\bif\b"), ("loop", r"\b(?:for|while|loop)\b"), ("try_catch", r"\btry\b"), ("switch", r"\b(?:switch|match)\b"), ("error_path", r"\b(?:throw|raise|panic!|bail!|return\s+Err)\b"), ("call_chain", r"(?:\.\s*\w+\([^()]*\)\s*){3,}"))
 
 
 def extract(language: str, source: str) -> list[tuple]:
-    """Rows of one source text; none of a text that Python's grammar refuses or of an unknown language."""
+    """Rows of one source text; none of an unknown language. Of a Python text, lines that the grammar refuses are left out."""
     if language == "python":
         return _python(source)
     rules = LANGUAGES.get(language)
@@ -259,16 +283,18 @@ def extract(language: str, source: str) -> list[tuple]:
     # (start, end, name, kind, owner) of definitions; of several patterns at one place the first counts.
     found: dict[int, tuple[int, str, str, str | None]] = {}
     for pattern, kind in rules.defs:
-        for m in re.compile(pattern, re.M).finditer(code):
+        # A definition starts a line, or follows a bracket or semicolon in one.
+        anywhere = re.sub(r"^\^", r"(?:^|(?<=[{};]))", pattern) if rules.body == "brace" else pattern
+        for m in re.compile(anywhere, re.M).finditer(code):
             at, name = m.start("name"), m.group("name")
-            if at in found or name in CONTROL:
+            if at in found or name in CONTROL or m.group().split(None, 1)[0] in STATEMENTS:
                 continue
             found[at] = (m.start() + len(m.group()) - len(m.group().lstrip()), m.end(), name, kind, m.groupdict().get("owner"))
     spans = []
     for at, (begin, header_end, name, kind, owner) in sorted(found.items()):
         spans.append((begin, _block_end(code, begin, header_end, rules), name, kind, owner, at))
     types = [x for x in spans if x[3] in TYPES]
-    callables = []
+    callables, calls = [], set()
     file_class = next((x[2] for x in spans if language == "gdscript" and re.match(r"class_name", code[x[0] : x[0] + 10])), None)
 
     def innermost(rows: list[tuple], at: int) -> tuple | None:
@@ -281,8 +307,11 @@ def extract(language: str, source: str) -> list[tuple]:
     for begin, end, name, kind, owner, at in spans:
         holder = innermost([x for x in types if x[0] < begin], begin)
         inside = owner or (holder[2] if holder and holder[3] != "Module" else None) or (file_class if kind in ("Function", "Variable", "Constant", "Field") and file_class != name else None)
-        if kind == "Method" and not inside and language in ("java", "csharp", "cpp", "typescript", "javascript"):
-            continue  # a call that looks like a definition
+        if kind == "Method" and language in ("java", "csharp", "cpp", "typescript", "javascript"):
+            around = innermost(callables, begin)
+            if not inside or around and (holder is None or around[0] > holder[0]):
+                calls.add(at)
+                continue  # a call that looks like a definition
         if "::" in name:
             inside, name = name.split("::")[-2:]
         if kind == "Function" and inside and not (innermost([x for x in spans if x[3] in ("Function", "Method") and x[0] < begin], begin)):
@@ -330,7 +359,7 @@ def extract(language: str, source: str) -> list[tuple]:
         for m in re.finditer(r"^extends\s+\"?([\w./:]+)", source, re.M):
             if file_class:
                 out.append(("extends", file_class, "Class", line_of(m.start()), line_of(m.start()), m.group(1)))
-    defined = {m for x in spans for m in (x[5], x[5] + x[2].rfind("::") + 2)}
+    defined = {m for x in spans if x[5] not in calls for m in (x[5], x[5] + x[2].rfind("::") + 2)}
     seen = set()
     for m in re.finditer(r"(?:(?P<receiver>[\w\])]+)\s*(?P<dot>\.|->|::|:|\?\.)\s*)?(?P<name>[A-Za-z_]\w*)\s*!?\(", code):
         owner, name, line = innermost(callables, m.start("name")), m.group("name"), line_of(m.start("name"))
@@ -342,7 +371,7 @@ def extract(language: str, source: str) -> list[tuple]:
             seen.add((owner[2], name, line))
             out.append(("call", owner[2], "Call", line, line, name))
         if m.group("receiver"):
-            out.append(("method_call", owner[2], m.group("receiver"), line, line, name))
+            out.append(("method_call", owner[2], _receiver(code, m.end("receiver")), line, line, name))
     for pattern in rules.imports:
         with_strings = blanked(source, rules, strings=False)
         for m in re.compile(pattern, re.M).finditer(with_strings):
@@ -368,10 +397,34 @@ def extract(language: str, source: str) -> list[tuple]:
     return sorted(set(out), key=lambda r: (r[3], r[0], r[1], r[4], str(r[5]), r[2]))
 
 
+#: Lines of a Python text that are given up, one by one, before all of it is.
+REPAIRS = 50
+
+
+def _repaired(source: str) -> tuple[ast.Module | None, set[int]]:
+    """The tree of a Python text and the lines that it was read without: each line that the grammar refuses is replaced, one that opens a block by another that does."""
+    lines, lost = source.split("\n"), set()
+    for _ in range(REPAIRS):
+        try:
+            return ast.parse("\n".join(lines)), lost
+        except SyntaxError as e:
+            # Brackets or quotes left open are reported where they began.
+            at = min(max(1, e.lineno or 1), len(lines))
+            if at in lost:
+                at = next((i for i in range(at - 1, 0, -1) if lines[i - 1].strip() and i not in lost), 0) or next((i for i in range(at + 1, len(lines) + 1) if lines[i - 1].strip() and i not in lost), 0)
+                if not at:
+                    return None, lost
+            old = lines[at - 1]
+            lines[at - 1] = old[: len(old) - len(old.lstrip())] + ("if 1:" if old.rstrip().endswith(":") else "pass") if "indent" not in (e.msg or "") else ""
+            lost.add(at)
+        except (ValueError, RecursionError):
+            return None, lost
+    return None, lost
+
+
 def _python(source: str) -> list[tuple]:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    tree, lost = _repaired(source)
+    if tree is None:
         return []
     out: list[tuple] = []
     flows = {ast.If: "if_else", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.Try: "try_catch", ast.Match: "switch", ast.Raise: "error_path"}
@@ -438,7 +491,7 @@ def _python(source: str) -> list[tuple]:
             if owner and type(x) in flows and not (isinstance(node, ast.If) and isinstance(x, ast.If) and x in node.orelse):
                 out.append(("flow", owner, flows[type(x)], x.lineno, x.end_lineno, None))
             stack.append((x, own, within, depth))
-    return sorted(out, key=lambda r: (r[3], r[0], r[1], r[4], str(r[5]), r[2]))
+    return sorted((r for r in out if r[3] not in lost), key=lambda r: (r[3], r[0], r[1], r[4], str(r[5]), r[2]))
 
 
 def dump(source: str) -> list[dict]:

@@ -50,7 +50,7 @@ def test_odd_sources():
     for language in parse.LANGUAGES:
         for source in ("", "{", "}" * 50, "fn (", '"' * 99, "/*", "class A {" * 60, "\n" * 40, "é 漢字 🙂"):
             parse.extract(language, source)
-    assert parse.extract("python", "def (") == [] and parse.extract("cobol", "x") == []
+    assert not [r for r in parse.extract("python", "def (") if r[0] == "symbol"] and parse.extract("cobol", "x") == []
 
 
 def test_hooks_and_trees():
@@ -74,3 +74,37 @@ def test_kotlin_visibility(spark, line, visibility):
     body = line if "class" in line else f"class Holder {{\n    {line}\n}}"
     head = [r[5] for r in parse.extract("kotlin", body) if r[0] == "signature" and r[1] != "Holder"][0]
     assert spark.range(1).select(T.visibility(F.lit(head), F.lit("kotlin"))).first()[0] == visibility
+
+
+def rows_of(language, source, *what):
+    return {(r[0], r[1], r[2], r[5]) for r in parse.extract(language, source) if r[0] in what}
+
+
+def test_one_line_bodies():
+    got = rows_of("rust", "pub struct Foo; impl Foo { pub fn a(&self) { helper(1); } fn b() { Foo::a(x) } }\nmod m { fn inner() { deep(); } }\n", "symbol", "call", "inherent")
+    assert {("symbol", "a", "Method", None), ("symbol", "b", "Method", None), ("symbol", "inner", "Function", None), ("call", "a", "Call", "helper"), ("call", "b", "Call", "a"), ("call", "inner", "Call", "deep"), ("inherent", "Foo", "Method", "a")} <= got
+    got = rows_of("typescript", "class A { run(x: T) { helper(x); } stop() { this.run(1); } }\n", "symbol", "call")
+    assert got == {("symbol", "A", "Class", None), ("symbol", "run", "Method", None), ("symbol", "stop", "Method", None), ("call", "run", "Call", "helper"), ("call", "stop", "Call", "run")}
+    got = rows_of("java", "class A { int run(int x) { helper(x); return other(x); } void stop() { run(1); } }\n", "symbol", "call")
+    assert got == {("symbol", "A", "Class", None), ("symbol", "run", "Method", None), ("symbol", "stop", "Method", None), ("call", "run", "Call", "helper"), ("call", "run", "Call", "other"), ("call", "stop", "Call", "run")}
+
+
+def test_calls_are_no_definitions():
+    source = "class A {\n    void run() {\n        helper(1);\n        return other(2);\n    }\n    void last() {}\n}\n"
+    assert {r[1] for r in parse.extract("java", source) if r[0] == "symbol"} == {"A", "run", "last"}
+    assert not rows_of("typescript", "const f = async (a) => { g(a); };\n", "call") - {("call", "f", "Call", "g")}
+
+
+def test_whole_receivers():
+    got = {(r[2], r[5]) for r in parse.extract("typescript", "function f() {\n  a[2].go(); b(1, c(2)).run(); this.x.y?.z(); new Foo().bar();\n}\n") if r[0] == "method_call"}
+    assert {("a[2]", "go"), ("b(1,c(2))", "run"), ("this.x.y", "z"), ("Foo()", "bar")} <= got
+    got = {(r[2], r[5]) for r in parse.extract("rust", "fn f() {\n    self.items[0].iter()\n        .map(g).collect();\n    a::B::new();\n}\n") if r[0] == "method_call"}
+    assert {("self.items[0]", "iter"), ("self.items[0].iter()", "map"), ("self.items[0].iter().map(g)", "collect"), ("a::B", "new")} <= got
+
+
+@pytest.mark.parametrize("broken", ["def bad(:\n    x = 1\n", "x = = 2\n", "class Half(\n", "  stray = 1\n", "if x\n    y = 1\n"])
+def test_python_with_a_broken_line(broken):
+    source = f"import os\ndef first(a):\n    return go(a)\n\n{broken}\ndef last():\n    other()\n"
+    found = parse.extract("python", source)
+    assert {("first", "go"), ("last", "other")} <= {(r[1], r[5]) for r in found if r[0] == "call"} and any(r[0] == "import" for r in found)
+    assert {r[1] for r in found if r[0] == "symbol" and r[2] == "Function"} >= {"first", "last"}
