@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sparkloom import schemas
 from sparkloom.functions import math as M
 from sparkloom.operators import incremental
+from sparkloom.sources.manifests import Manifests
 
 #: The one manifest of indexes of version 1.
 CURRENT = "CURRENT.json"
@@ -32,46 +33,16 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    # -- files of the store ---------------------------------------------------------------------------------------
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _read_text(self, path: str) -> str | None:
-        fs, at = self._fs(path)
-        if not fs.exists(at):
-            return None
-        stream = fs.open(at)
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        self.manifests = Manifests(spark, path)
 
     def _numbers(self) -> list[int]:
-        """Numbers of the manifests that exist, the newest first."""
-        fs, at = self._fs(self.path)
-        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted((int(x[9:-5]) for x in names if x.startswith("manifest-") and x.endswith(".json")), reverse=True)
-
-    def _manifest(self, number: int) -> dict | None:
-        """A manifest, None if it is cut short."""
-        try:
-            found = json.loads(self._read_text(f"{self.path}/manifest-{number:012d}.json") or "")
-        except ValueError:
-            return None
-        return found if isinstance(found, dict) else None
+        return self.manifests.numbers()
 
     def metadata(self) -> dict:
         """{version, number, tables: {name: segments}, gone: {name: lists}, facts}; empty before the first commit. An index of a newer version is refused, older ones are read."""
-        for number in self._numbers():
-            found = self._manifest(number)
-            if found is not None:
-                break
-        else:
-            found = json.loads(self._read_text(f"{self.path}/{CURRENT}") or "{}")
+        found = self.manifests.newest()
+        if found is None:
+            found = json.loads(self.manifests.text(CURRENT) or "{}")
             if found.get("version", 0) == 1:
                 found["tables"] = {name: [{"folder": folder, "since": 0, "bytes": 0}] for name, folder in found.get("tables", {}).items()}
                 found |= {"number": 0, "gone": {}}
@@ -85,26 +56,20 @@ class IndexStore:
         # Lists that are no younger than any segment of their table have nothing left to say.
         gone = {name: [g for g in own if any(s["since"] < g["since"] for s in tables.get(name, []))] for name, own in gone.items()}
         body = {"version": schemas.VERSION, "number": number, "tables": tables, "gone": {k: v for k, v in gone.items() if v}, "facts": facts}
-        fs, at = self._fs(f"{self.path}/manifest-{number:012d}.json")
-        out = fs.create(at, False)  # fails if another writer was first
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
+        self.manifests.create(number, body)
         used = lambda m: {x["folder"] for part in ("tables", "gone") for own in m.get(part, {}).values() for x in own}
         keep = used(body) | used(before)
         for old in self._numbers():
             if old < number and old != before.get("number"):
-                for folder in used(self._manifest(old) or {}) - keep:
-                    fs, at = self._fs(f"{self.path}/{folder}")
-                    fs.delete(at, True)
-                fs, at = self._fs(f"{self.path}/manifest-{old:012d}.json")
-                fs.delete(at, False)
+                for folder in used(self.manifests.read(old) or {}) - keep:
+                    self.manifests.remove(folder)
+                self.manifests.remove(f"manifest-{old:012d}.json")
 
     def _write(self, rows: DataFrame, name: str, since: int) -> dict:
         """A new folder with ``rows``, as a manifest names it."""
         folder = f"{name}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
-        fs, at = self._fs(f"{self.path}/{folder}")
-        return {"folder": folder, "since": since, "bytes": fs.getContentSummary(at).getLength()}
+        return {"folder": folder, "since": since, "bytes": self.manifests.size(folder)}
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
         """``rows`` with the columns of the table ``name``, in order; those that are missing are null."""
@@ -223,8 +188,7 @@ class IndexStore:
         before = self.metadata().get("facts", {}).get("states")
         self.change(made, {} if gone.isEmpty() else self._owned_keys(gone), {"states": states["folder"]})
         if before:
-            fs, at = self._fs(f"{self.path}/{before}")
-            fs.delete(at, True)
+            self.manifests.remove(before)
         for name in made:
             self.compact(name)
         return diff

@@ -1,6 +1,7 @@
 """Written indexes, subword vectors, dictionaries and sketches against plain Python."""
 
 import itertools
+import os
 import random
 from collections import Counter
 
@@ -76,6 +77,22 @@ def test_phrases_by_brute_force(spark, corpus, index):
     assert got == want and got[3, -5] == 1
 
 
+def test_a_refreshed_index_searches_like_a_fresh_one(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(positional, "SEGMENT_DOCS", 300)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = positional.PositionalIndex.build(frame(corpus[:900]), "doc_id", "text", f"file:{tmp_path}/one")
+    index = index.refresh(frame([(5, "w0 w7 w250 w250"), (3000, "w250 w251 w252"), *corpus[900:]]), "doc_id", "text", spark.createDataFrame([(7,), (11,), (99_999,)], "id long"))
+    before = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(tmp_path / "one") for f in files)
+    index = index.refresh(frame([(6, "w3 w250")]), "doc_id", "text", spark.createDataFrame([(3000,)], "id long"))
+    after = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(tmp_path / "one") for f in files)
+    assert after - before < 0.2 * before
+    now = [r for r in corpus if r[0] not in (5, 6, 7, 11)] + [(5, "w0 w7 w250 w250"), (6, "w3 w250")]
+    fresh = positional.PositionalIndex.build(frame(now), "doc_id", "text", f"file:{tmp_path}/two")
+    asked = spark.createDataFrame(QUERIES, "query_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(index.bm25(asked)) == rows(fresh.bm25(asked)) and rows(index.phrases(asked)) == rows(fresh.phrases(asked))
+
+
 def test_empty_index(spark, tmp_path):
     none = positional.PositionalIndex.build(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", f"file:{tmp_path}/none")
     asked = spark.createDataFrame(QUERIES, "query_id long, text string")
