@@ -99,7 +99,7 @@ PATHS = 50_000
 
 
 def read_paths(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
-    """(path, language, content, content_hash, mtime) of ``listed`` (path, language, mtime).
+    """(path, language, content, content_hash, mtime) of ``listed`` (path, language and, if known, mtime; else the time comes with the content).
 
     Up to PATHS paths are named to the reader, so nothing else is opened; of longer lists all files below ``root`` with their extensions are read and joined.
     """
@@ -108,18 +108,18 @@ def read_paths(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "path string, language string, content string, content_hash string, mtime long")
     reader = spark.read.format("binaryFile")
     rows = reader.load(some) if len(some) <= PATHS else reader.option("recursiveFileLookup", "true").load(root)
-    return rows.select("path", F.col("content").alias("raw")).join(listed.select("path", "language", "mtime"), "path").select("path", "language", F.decode("raw", "UTF-8").alias("content"), F.sha2("raw", 256).alias("content_hash"), "mtime")
+    known = listed.select("path", "language", "mtime") if "mtime" in listed.columns else listed.select("path", "language", F.lit(None).cast("long").alias("mtime"))
+    both = rows.select("path", F.col("content").alias("raw"), F.unix_millis("modificationTime").alias("read_at")).join(known, "path")
+    return both.withColumn("mtime", F.coalesce("mtime", "read_at")).select("path", "language", F.decode("raw", "UTF-8").alias("content"), F.sha2("raw", 256).alias("content_hash"), "mtime")
 
 
 def scan_git(spark: SparkSession, root: str) -> DataFrame:
-    """scan_files() of the files that git tracks in the working tree ``root``, which the driver sees; git's own list replaces the walk."""
-    named = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, check=True).stdout.decode().split("\0")
-    rows = [(f"file:{root.rstrip('/')}/{n}", n) for n in named if n]
-    if not rows:
-        return spark.createDataFrame([], "path string, language string, content string, content_hash string, mtime long")
-    tracked = spark.createDataFrame(rows, "path string, rel string").withColumn("language", language_of(F.col("rel"))).where(F.col("language").isNotNull() & ~F.col("rel").rlike(r"(?:^|/)\.[^/]+"))
-    known = _listed(spark, root, None).select("rel", "mtime", F.col("path").alias("real"))
-    return read_paths(spark, root, tracked.join(known, "rel").select(F.col("real").alias("path"), "language", "mtime"))
+    """scan_files() of the files that git tracks in the working tree ``root``, which the driver sees: only those are opened, and no folder is walked."""
+    listed = lambda *options: set(subprocess.run(["git", "-C", root, "ls-files", "-z", *options], capture_output=True, check=True).stdout.decode().split("\0")) - {""}
+    named = sorted(listed() - listed("--deleted"))
+    rows = spark.createDataFrame([(f"file:{root.rstrip('/')}/{n}", n) for n in named], "path string, rel string")
+    tracked = rows.withColumn("language", language_of(F.col("rel"))).where(F.col("language").isNotNull() & ~F.col("rel").rlike(r"(?:^|/)\.[^/]+"))
+    return read_paths(spark, root, tracked.select("path", "language"))
 
 
 def scan_collection(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("**/*.md",), collection: str = "default") -> DataFrame:
