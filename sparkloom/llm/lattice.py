@@ -1,9 +1,10 @@
 """LM scoring by the likelihood of a subword lattice.
 
-The pieces of an existing subword vocabulary weigh all segmentations. Their scores are the prior: where they are log
+The pieces of an existing subword vocabulary weigh all segmentations by their scores: where these are log
 probabilities they count as they are; where they are merge ranks, as in vocabularies of byte-pair kind, a rank counts as
-its Zipf probability. Expectation-maximisation over all segmentations of the training words, each by its count,
-turns the prior into the weights, so what is learned grows with the corpus. A text is the sequence of its words (A-Z
+its Zipf probability. A piece's weight is SHARE times that and, for the rest, what expectation-maximisation over all segmentations
+of the training words, each by its count, gives it: the vocabulary's scores keep their share at every size, and what is
+learned grows with the corpus. A text is the sequence of its words (A-Z
 lower-cased, between ASCII white space), each with the mark of a word's start in front, then one end. No piece crosses a
 word's start, so the sum over all segmentations of a text is the product of those of its words: a forward recursion in log
 space over the lattice of each distinct word gives its marginal probability, and counts of words do the rest. Characters without a
@@ -35,8 +36,8 @@ from .common import as_bytes, gathered, mix, new_key, once, small_batches, stage
 
 FREQUENT = 1 << 18
 ROUNDS = 2
-#: Tokens that the prior counts as.
-PRIOR = 10_000.0
+#: Share of a piece's weight that the vocabulary's own scores have, whatever the size of the corpus.
+SHARE = 0.5
 MARK = "▁"
 #: Distinct words whose lattices are worked on together.
 WORDS = 20_000
@@ -210,6 +211,12 @@ def count_words(docs: DataFrame, held: Column) -> DataFrame:
     return rows.repartition(parts, "word").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def weights(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces: SHARE of the vocabulary's (``start``, log probabilities), the rest by expected ``counts``; without counts the vocabulary's alone."""
+    total = counts.sum()
+    return np.log(SHARE * np.exp(start) + (1 - SHARE) * counts / total) if total > 0 else start
+
+
 def estimate(words: DataFrame, names: list[str], start: np.ndarray, ends: int, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces after ``rounds`` rounds of expectation-maximisation over the training words and their ``ends``, from ``start``."""
     spark = words.sparkSession
@@ -229,10 +236,10 @@ def estimate(words: DataFrame, names: list[str], start: np.ndarray, ends: int, r
 
         # One row for each piece comes back.
         found = train.mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-        n = PRIOR * np.exp(start)
+        n = np.zeros(len(start))
         n[found.column("piece").to_numpy()] += found.column("n").to_numpy()
         n[-1] += ends
-        logp = np.log(n / n.sum())
+        logp = weights(start, n)
     return logp
 
 

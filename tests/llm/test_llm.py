@@ -154,14 +154,14 @@ def test_lm_score_by_brute_force(spark):
 
     words = Counter("▁" + w for t in texts if t for w in t.encode().lower().decode().split())
     logp = start
-    n = lattice.PRIOR * np.exp(start)
+    n = np.zeros(len(start))
     for w, c in words.items():
         own = ways(w)
         p = np.exp([logp[x].sum() for x in own])
         for x, share in zip(own, p / p.sum()):
             np.add.at(n, x, c * share)
     n[-1] += len(texts)
-    logp = np.log(n / n.sum())
+    logp = np.log(0.5 * np.exp(start) + 0.5 * n / n.sum())
     got = {r["doc_id"]: r["score"] for r in lattice.score_documents(frame(spark, texts), tokenizer("piece_bpe_32k.model"), F.lit(False), rounds=1).collect()}
     for i, t in enumerate(texts):
         want = logp[-1] + sum(np.log(sum(np.exp(logp[x].sum()) for x in ways("▁" + w))) for w in (t or "").encode().lower().decode().split())
@@ -171,6 +171,19 @@ def test_lm_score_by_brute_force(spark):
 # -- suffix arrays ------------------------------------------------------------------------------------------------
 
 
+def test_scores_of_the_vocabulary_keep_their_share():
+    """Whatever the counts, no piece weighs less than half of what its score says, and without counts the scores are all."""
+    _, start = lattice.load_pieces(tokenizer("piece_bpe_32k.model"))
+    for scale in (1, 10**6, 10**12):
+        counts = np.zeros(len(start))
+        counts[5] = scale
+        found = lattice.weights(start, counts)
+        assert np.allclose(found[6:20], start[6:20] + np.log(lattice.SHARE)) and abs(np.exp(found).sum() - 1) < 1e-6 and found[5] > np.log(0.5)
+    assert (lattice.weights(start, np.zeros(len(start))) == start).all()
+    assert abs(np.exp(start).sum() - 1) < 1e-6
+
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
