@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
 Each document is the set of its lower-cased character n-grams, hashed to BUCKETS. Labelled texts
-give each n-gram the ratio r = log((p + a) / sum p) - log((q + a) / sum q) of its smoothed document
-counts among toxic and other documents; the n-grams with the strongest evidence stay, and logistic
-regression is fitted on the set features times r. Labels, language, source and id are no inputs.
+give each n-gram the ratio r = log((p + 0.5) / (n + 1)) - log((q + 0.5) / (m + 1)) of its smoothed document
+counts p among the n toxic and q among the m other documents; the ``keep`` n-grams with the strongest evidence (chi-square
+of presence against the label) among those in ``least`` sampled documents or more stay, and logistic regression is fitted on the set features times r. Labels, language, source and id are no inputs.
 
 Training uses about ``sample_rows`` labelled rows at most (chosen by a hash of the id); scoring covers
 all rows and whole texts. Null and empty texts get the score of a text without any n-gram. Rows with
@@ -29,7 +29,8 @@ from .common import as_bytes, distinct, small_batches, staged, text_slices
 SIZES = (3, 4, 5, 6)
 BITS = 19
 BUCKETS = 1 << BITS
-KEEP = 3_000
+#: Features of the model, and sampled documents that one must occur in.
+KEEP, LEAST = 3_000, 3
 SAMPLE_ROWS = 8_000
 
 
@@ -109,8 +110,8 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndar
     return w[:k], float(w[k])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fits on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks, about ``sample_rows`` of them at most."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: int = KEEP, least: int = LEAST) -> ToxicityModel:
+    """Fits on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks, about ``sample_rows`` of them at most, with ``keep`` features."""
     small_batches(docs.sparkSession)
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, sample_rows / max(1, labels.count()))
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # Evidence is the chi-square of presence against the label.
     seen, both = (other + toxic).astype(float), float(n0 + n1)
     strength = (toxic * (n0 - other.astype(float)) - other * (n1 - toxic.astype(float))) ** 2 * both / ((seen + 1) * (both - seen + 1) * n0 * n1)
-    at = np.sort(np.argsort(-np.where(seen >= 3, strength, 0), kind="stable")[:KEEP])
+    at = np.sort(np.argsort(-np.where(seen >= least, strength, 0), kind="stable")[:keep])
     feature[at] = np.arange(len(at))
     lookup = feature
 
