@@ -101,6 +101,8 @@ def resolution_stats(resolved: DataFrame) -> DataFrame:
 SCOPES = {
     "rust": ("local", "imported", "module", "crate"), "python": ("local", "enclosing", "module", "imported", "builtin"), "typescript": ("block", "hoisted", "imported", "module", "type", "global"),
     "javascript": ("block", "hoisted", "imported", "module", "global"), "go": ("local", "package", "imported"), "java": ("local", "class", "file", "imported", "package"),
+    "kotlin": ("local", "class", "companion", "file", "imported", "global"), "csharp": ("local", "class", "namespace", "imported", "global"), "php": ("local", "class", "namespace", "global"), "swift": ("local", "class", "extension", "protocol", "module", "imported"),
+    "lua": ("local", "imported", "module", "global"), "gdscript": ("local", "class", "module", "imported", "global"), "c": ("local", "module", "imported", "global"), "cpp": ("using", "local", "module", "imported", "global"),
 }
 DEFAULT_SCOPES = ("local", "module", "package", "global")
 #: What parts of a module's path are joined by (fixed values).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -452,18 +453,41 @@ def hybrid_symbols(symbols: DataFrame, vectors: DataFrame, query: str, limit: in
 Reranker = Callable[[str, list[str]], list[float]]
 
 
-def reranked(hits: DataFrame, query: str, model: Reranker, limit: int) -> DataFrame:
-    """``hits`` (id, text, ...) with scores by ``model``, the best ``limit`` first; the model is called on Arrow batches."""
+def reranked(hits: DataFrame, query: str, model: Reranker, limit: int, top_n: int | None = None, normalise: str = "none", seconds: float | None = None) -> DataFrame:
+    """``hits`` (id, text, ...) with scores by ``model``, the best ``limit`` first; the model is called on Arrow batches.
+
+    With ``top_n`` only the best so many by their score until then are given to the model, and no others are left. ``normalise`` is none or sigmoid. With ``seconds`` a task
+    gives up when its calls took longer; if one does, the scores until then decide for all.
+    """
     import pandas as pd
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in hits.drop('score').schema.fields)}, score double"
+    best = [F.desc("score"), F.col("id")]
+    pool = hits.orderBy(*best).limit(top_n) if top_n else hits
+    had = "score" in hits.columns
+    own = [f for f in pool.schema.fields if f.name != "score"]
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own)}, score double, _before double, _late boolean"
 
     def run(batches):
+        left = seconds
         for pdf in batches:
-            out = pdf.drop(columns=["score"], errors="ignore")
-            yield out.assign(score=pd.Series(model(query, out["text"].tolist()), dtype=float, index=out.index))
-
-    return hits.mapInPandas(run, schema).orderBy(F.desc("score"), "id").limit(limit)
+            before = pdf["score"].astype(float) if had else pd.Series(0.0, index=pdf.index)
+            late = left is not None and left <= 0
+            begun = time.monotonic()
+            found = before if late else pd.Series(model(query, pdf["text"].tolist()), dtype=float, index=pdf.index)
+            left = None if left is None else left - (time.monotonic() - begun)
+            yield pdf.drop(columns=["score"], errors="ignore").assign(score=found, _before=before, _late=late or (left is not None and left < 0))
+
+    rows = pool.mapInPandas(run, schema)
+    if seconds is not None:
+        rows = cut(rows)  # the model is asked once
+        if rows.agg(F.bool_or("_late")).first()[0]:
+            rows = rows.withColumn("score", F.col("_before"))
+            normalise = "none"
+    if normalise == "sigmoid":
+        rows = rows.withColumn("score", M.sigmoid(F.col("score")))
+    elif normalise != "none":
+        raise ValueError(f"normalise is none or sigmoid, not {normalise}")
+    return rows.drop("_before", "_late").orderBy(*best).limit(limit)
 
 
 def rerank_text(parts: dict[str, Column], caps: dict[str, int] | None = None, most: int = 1400) -> Column:

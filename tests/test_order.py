@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import evaluate, search
+from sparkloom.operators import evaluate, resolve, search
 
 
 def scores(spark, n=400, seed=1):
@@ -85,3 +85,34 @@ def test_upper_stats(spark):
     for k in ("a", "b", None, "one"):
         own = sorted(v for g, v in rows if g == k and v is not None)
         assert got[k] == (len(own), own[len(own) // 2], own[min(int(0.9 * len(own)), len(own) - 1)])
+
+
+def test_reranking_options(spark):
+    def length_model(query, texts):
+        return [float(len(t) - 5) for t in texts]
+
+    def slow_model(query, texts):
+        import time
+
+        time.sleep(0.3)
+        return [float(len(t)) for t in texts]
+
+    rows = [(i, "x" * (i + 1), 10.0 - i) for i in range(8)]
+    hits = spark.createDataFrame(rows, "id long, text string, score double")
+    ids = lambda df: [r["id"] for r in df.collect()]
+    assert ids(search.reranked(hits, "q", length_model, 3)) == [7, 6, 5]
+    assert ids(search.reranked(hits, "q", length_model, 3, top_n=4)) == [3, 2, 1]
+    got = search.reranked(hits, "q", length_model, 8, normalise="sigmoid").collect()
+    assert [r["id"] for r in got] == list(range(7, -1, -1)) and abs(got[3]["score"] - 0.5) < 1e-9 and all(0 < r["score"] < 1 for r in got)
+    assert ids(search.reranked(hits, "q", slow_model, 3, seconds=0.1)) == [0, 1, 2]  # what was before decides
+    assert ids(search.reranked(hits, "q", slow_model, 3, seconds=60)) == [7, 6, 5]
+    assert ids(search.reranked(hits.drop("score"), "q", length_model, 2)) == [7, 6]
+    with pytest.raises(ValueError):
+        search.reranked(hits, "q", length_model, 3, normalise="other")
+
+
+@pytest.mark.parametrize(("language", "scopes"), [("kotlin", ["local", "class", "companion", "file", "imported", "global"]), ("swift", ["local", "class", "extension", "protocol", "module", "imported"]), ("cpp", ["using", "local", "module", "imported", "global"]), ("cobol", ["local", "module", "package", "global"])])
+def test_scope_order(spark, language, scopes):
+    df = spark.createDataFrame([(language, s) for s in [*scopes, "nowhere"]], "language string, scope string")
+    got = {r["scope"]: r["k"] for r in df.withColumn("k", resolve.scope_rank(F.col("language"), F.col("scope"))).collect()}
+    assert got == {s: i + 1 for i, s in enumerate(scopes)} | {"nowhere": None}
