@@ -284,7 +284,7 @@ def inherited_methods(spark, sf_dir):
 
 @query("""WITH s AS (SELECT p_partkey % 40 AS file_id, p_type AS name, CASE p_partkey % 5 WHEN 0 THEN 'local' WHEN 1 THEN 'imported' WHEN 2 THEN 'module' WHEN 3 THEN 'package' ELSE 'crate' END AS scope, p_partkey AS id FROM part),
 u AS (SELECT p_partkey AS use_id, p_partkey % 40 AS file_id, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'ECONOMY' END AS name, CASE p_size % 3 WHEN 0 THEN 'rust' WHEN 1 THEN 'go' ELSE 'kotlin' END AS language FROM part),
-r AS (SELECT use_id, id, scope, CASE language WHEN 'rust' THEN list_position(['local', 'imported', 'module', 'crate'], scope) WHEN 'go' THEN list_position(['local', 'package', 'imported'], scope) ELSE list_position(['local', 'module', 'package', 'global'], scope) END AS k FROM u JOIN s USING (file_id, name))
+r AS (SELECT use_id, id, scope, CASE language WHEN 'rust' THEN list_position(['local', 'imported', 'module', 'crate'], scope) WHEN 'go' THEN list_position(['local', 'package', 'imported'], scope) ELSE list_position(['local', 'class', 'companion', 'file', 'imported', 'global'], scope) END AS k FROM u JOIN s USING (file_id, name))
 SELECT use_id, id, scope FROM (SELECT *, row_number() OVER (PARTITION BY use_id ORDER BY k, id) AS n FROM r WHERE k > 0) WHERE n = 1""")
 def scope_resolution(spark, sf_dir):
     p = Tables(spark, sf_dir).part
