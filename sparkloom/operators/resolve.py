@@ -122,8 +122,11 @@ def resolve_in_scopes(uses: DataFrame, scoped: DataFrame) -> DataFrame:
     """(use_id, id, scope): the first symbol, by its language's scopes and then by id, that a name means in a file.
 
     ``uses`` (use_id, file_id, name, language), ``scoped`` (file_id, name, scope, id). A name of two parts, ``A.b`` or ``A::b``, that no scope has as a whole means the
-    member b of what A means: the row of ``scoped`` with name b, scope ``member:<id of A>``.
+    member b of what A means: the row of ``scoped`` with name b, scope ``member:<id of A>``. Of the symbols of one file, name and scope only the least id can be meant, so a use
+    meets one row for each scope, however often a name is defined there.
     """
+    scoped = scoped.groupBy("file_id", "name", "scope").agg(F.min("id").alias("id"))
+
     def first(rows: DataFrame) -> DataFrame:
         near = rows.join(scoped, ["file_id", "name"]).withColumn("rank", scope_rank(F.col("language"), F.col("scope"))).where("rank is not null")
         return near.groupBy("use_id").agg(F.min_by(F.struct("id", "scope"), F.struct("rank", "id")).alias("x")).select("use_id", "x.id", "x.scope")
