@@ -1,83 +1,27 @@
-"""Streams with state of their own: debounced changes with timers and cancelling, and joins of two streams whose state the watermark clears."""
+"""Streams with state of their own: debounced changes with cancelling, and joins of two streams whose state the watermark clears."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-#: Columns of debounced changes.
-RELEASED = "path string, action string, changed timestamp"
 
 
-class Debouncer(StatefulProcessor):
-    """Per path: a change starts a timer of ``gap`` milliseconds of event time, a later change within the gap restarts it, a deletion drops what is pending.
+def debounced_changes(events: DataFrame, path: str, ts: str, action: str, gap: int, late: str = "10 seconds") -> DataFrame:
+    """(path, action, changed) of a stream of ``events``: changes that stood for ``gap`` milliseconds, and deletions. Needs RocksDB as the state store.
 
-    Deletions go out at once. A change goes out when the watermark passes its timer, so changes that come out of order within the watermark's delay count
-    as if in order; those behind the watermark are left out. Changes of one path at the same millisecond are one, a deletion among them wins.
-    The state of a path is what happened within the delay and the gap, and nothing once that is past.
+    Deletions go out at once. A later change within the gap restarts a change's time, a deletion drops what is pending: both lengthen a session of the path, whose last change goes out
+    when the watermark passes its end, if it is no deletion. Changes that come out of order within the watermark's delay count as if in order; those behind the
+    watermark are left out. Changes of one path at the same millisecond are one, a deletion among them wins.
+    The state is what happened within the delay and the gap: equal changes are dropped in one operator, a path's session is one row of another, neither calls Python.
     """
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.recent = handle.getValueState("recent", "times array<long>, actions array<string>")
-
-    def _all(self) -> dict[int, str]:
-        held = self.recent.get()
-        return dict(zip(*held)) if held else {}
-
-    def _keep(self, rows: dict[int, str]) -> None:
-        if rows:
-            self.recent.update((list(rows), list(rows.values())))
-        else:
-            self.recent.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self._all()
-        fresh: dict[int, str] = {}
-        mark = timerValues.getCurrentWatermarkInMs()
-        for pdf in rows:
-            for at, action in zip(pdf["at"].tolist(), pdf["action"].tolist()):
-                # The watermark itself is past: nothing at or before it changes what was decided.
-                if at > mark and fresh.get(at, known.get(at)) != "delete":
-                    fresh[at] = action
-        gone = [at for at, action in fresh.items() if action == "delete"]
-        if fresh:
-            self._keep(known | fresh)
-        both = sorted(known | fresh)
-        follower = dict(zip(both, both[1:]))
-        for at in both:
-            pending = follower.get(at, at + self.gap) - at >= self.gap
-            # A timer also clears what is no longer pending.
-            if at in fresh and (pending or at == both[-1]):
-                self.handle.registerTimer(at + self.gap)
-            elif at in known and not pending and follower[at] in fresh:
-                self.handle.deleteTimer(at + self.gap)
-        if gone:
-            yield pd.DataFrame({"path": key[0], "action": "delete", "changed": pd.to_datetime(gone, unit="ms")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() - self.gap
-        known = self._all()
-        later = [x for x in known if at < x < at + self.gap]
-        if known.get(at, "delete") != "delete" and not later:
-            yield pd.DataFrame({"path": [key[0]], "action": [known[at]], "changed": pd.to_datetime([at], unit="ms")})
-        self._keep({x: action for x, action in known.items() if x > at})
-
-    def close(self) -> None:
-        pass
-
-
-def debounced_changes(events: DataFrame, path: str, ts: str, action: str, gap: int, late: str = "10 seconds") -> DataFrame:
-    """(path, action, changed) of a stream of ``events``: changes that stood for ``gap`` milliseconds, and deletions. Needs RocksDB as the state store."""
-    rows = events.select(F.col(path).cast("string").alias("path"), F.col(action).alias("action"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("at")).withWatermark("ts", late)
-    return rows.groupBy("path").transformWithStateInPandas(Debouncer(gap), RELEASED, "Append", "EventTime")
+    at = F.timestamp_millis(F.unix_millis(ts))
+    rows = events.select(F.col(path).cast("string").alias("path"), F.col(action).eqNullSafe("delete").alias("gone"), F.col(action).alias("action"), at.alias("changed")).withWatermark("changed", late)
+    once = rows.dropDuplicates(["path", "changed", "gone"])
+    # Half a millisecond less than the gap: changes that are a whole gap apart are two, whether Spark joins sessions that only touch or not.
+    session = F.session_window("changed", f"{gap * 1000 - 500} microseconds")
+    last = once.groupBy("path", session).agg(F.max(F.struct("changed", "gone", "action")).alias("last"))
+    stood = last.where("not last.gone").select("path", "last.action", "last.changed")
+    return stood.unionByName(once.where("gone").select("path", "action", F.expr("timestamp_micros(unix_micros(changed))").alias("changed")))
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, within: str, late: str = "10 minutes") -> DataFrame:

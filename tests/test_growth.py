@@ -1,6 +1,7 @@
 """Work that must not grow with the square of a group: rows made by the joins of a plan."""
 
 from sparkloom.operators import resolve
+from sparkloom.streaming import stateful
 
 
 def joined_rows(df):
@@ -31,3 +32,9 @@ def test_scopes_meet_one_row_for_each_scope(spark):
     rows, most = joined_rows(resolve.resolve_in_scopes(uses, scoped))
     assert len(rows) == n and {(r["id"], r["scope"]) for r in rows} == {(6, "local")}
     assert most <= 2 * n
+
+
+def test_debouncing_calls_no_python(spark, tmp_path):
+    events = spark.readStream.schema("path string, action string, ts timestamp").parquet(str(tmp_path))
+    plan = stateful.debounced_changes(events, "path", "ts", "action", 1000)._jdf.queryExecution().analyzed().toString()
+    assert "InPandas" not in plan and "PythonUDF" not in plan
