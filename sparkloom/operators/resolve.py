@@ -24,8 +24,9 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, grid: int = 64) -
     """(point_id, range_id): the smallest range of the same key that holds the point, ties by id; null without one.
 
     ``points`` (point_id, key, at), ``ranges`` (range_id, key, lo, hi); with a column ``until`` a point is the stretch from ``at`` to there. Ranges are cut at the cells of a grid whose width is that of the
-    next power of ``grid`` that covers them, so a point meets a few cells of each width instead of all ranges of its key.
+    next power of ``grid`` that covers them, so a point meets a few cells of each width instead of all ranges of its key. Equal ranges are one, that of the least id, and equal points are one.
     """
+    ranges = ranges.groupBy(key, "lo", "hi").agg(F.min("range_id").alias("range_id"))
     span = F.col("hi") - F.col("lo") + 1
     level = F.greatest(F.lit(0), F.ceil(F.log(span.cast("double")) / math.log(grid) - 1e-9)).cast("int")
     width = F.pow(F.lit(float(grid)), F.col("level")).cast("long")
@@ -33,10 +34,11 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, grid: int = 64) -
     cut = cut.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     # Few widths occur: one row for each.
     levels = F.broadcast(cut.select("level").distinct())
-    own = points.join(levels).withColumn("cell", F.floor(F.col("at") / width))
-    end = F.greatest("at", "until") if "until" in points.columns else F.col("at")
-    held = own.join(cut, [key, "level", "cell"]).where((F.col("at") >= F.col("lo")) & (end <= F.col("hi")))
-    best = held.groupBy("point_id").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "range_id"))["range_id"].alias("range_id"))
+    points = points.withColumn("end", F.greatest("at", "until") if "until" in points.columns else F.col("at"))
+    own = points.select(key, "at", "end").distinct().join(levels).withColumn("cell", F.floor(F.col("at") / width))
+    held = own.join(cut, [key, "level", "cell"]).where((F.col("at") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
+    near = held.groupBy(key, "at", "end").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "range_id")).alias("near"))
+    best = points.join(near, [key, "at", "end"]).groupBy("point_id").agg(F.min("near")["range_id"].alias("range_id"))
     return points.select("point_id").distinct().join(best, "point_id", "left")
 
 

@@ -1,6 +1,6 @@
 """Work that must not grow with the square of a group: rows made by the joins of a plan."""
 
-from sparkloom.operators import resolve
+from sparkloom.operators import lookup, resolve
 from sparkloom.streaming import stateful
 
 
@@ -38,3 +38,12 @@ def test_debouncing_calls_no_python(spark, tmp_path):
     events = spark.readStream.schema("path string, action string, ts timestamp").parquet(str(tmp_path))
     plan = stateful.debounced_changes(events, "path", "ts", "action", 1000)._jdf.queryExecution().analyzed().toString()
     assert "InPandas" not in plan and "PythonUDF" not in plan
+
+
+def test_references_meet_one_row_for_each_place(spark):
+    n = 300
+    symbols = spark.createDataFrame([(i, "f", "a.py", 1, 9) for i in range(n)], "id long, name string, file_path string, start_line int, end_line int")
+    references = spark.createDataFrame([(i, ["f", "g"][i % 2], "a.py", 2, 9) for i in range(n)], "ref_id long, name string, file_path string, start_line int, end_line int")
+    rows, most = joined_rows(lookup.sources_of(references, symbols))
+    assert {(r["ref_id"] % 2, r["id"], r["step"]) for r in rows} == {(0, 0, 2), (1, 0, 3)} and len(rows) == n
+    assert most <= 2 * n
