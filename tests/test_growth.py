@@ -1,6 +1,7 @@
 """Work that must not grow with the square of a group: rows made by the joins of a plan."""
 
-from sparkloom.operators import lookup, resolve
+from sparkloom.operators import imports, lookup, resolve
+from sparkloom.operators.graph import cut
 from sparkloom.streaming import stateful
 
 
@@ -47,3 +48,13 @@ def test_references_meet_one_row_for_each_place(spark):
     rows, most = joined_rows(lookup.sources_of(references, symbols))
     assert {(r["ref_id"] % 2, r["id"], r["step"]) for r in rows} == {(0, 0, 2), (1, 0, 3)} and len(rows) == n
     assert most <= 2 * n
+
+
+def test_exports_follow_names_not_symbols(spark, monkeypatch):
+    n, cuts = 500, []
+    monkeypatch.setattr(imports, "cut", lambda rows: cuts.append(cut(rows)) or cuts[-1])
+    symbols = spark.createDataFrame([(i, "f", "a") for i in range(n)], "id long, name string, module string")
+    passed = spark.createDataFrame([("b", "f", "a", "f"), ("c", None, "b", None), ("b", None, "c", None)], "module string, name string, target string, taken string")
+    rows = imports.exported(symbols, passed).collect()
+    assert {(r["module"], r["name"]) for r in rows} == {("a", "f"), ("b", "f"), ("c", "f")} and len(rows) == 3 * n
+    assert max(x.count() for x in cuts) < n
