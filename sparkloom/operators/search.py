@@ -23,6 +23,18 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def counted_terms(terms: Column) -> Column:
+    """array<struct<term, tf>>: the different values of ``terms``, ascending, and how often each occurs; runs of the sorted array, without leaving the row."""
+    # Arrays that are read by place are bound as a lambda's variable, so they are computed once for each text.
+    bound = lambda x, body: F.element_at(F.transform(F.array(x), body), 1)
+
+    def counts(own: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == F.size(own)) | (F.get(own, i) != F.get(own, i - 1)))
+        return bound(ends, lambda e: F.transform(e, lambda end, k: F.struct(F.get(own, end - 1).alias("term"), (end - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("tf"))))
+
+    return F.when(F.size(terms) > 0, bound(F.array_sort(terms), counts))
+
+
 def _scored(tf: DataFrame, total: DataFrame, asked: DataFrame, boost: float = 1.0) -> DataFrame:
     """(query_id, id, score) of postings ``tf`` (term, id, tf, dl) for ``asked`` (query_id, term); ``total`` (n_docs, avg_dl) is one row."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -377,15 +389,16 @@ class TextIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str, file_col: str, path: str, parts: int | None = None) -> TextIndex:
-        """Tokenises ``docs`` once; vectors and statistics come from the written postings and lengths."""
+        """Terms are counted within the row, so postings are shuffled once, by term; vectors and lengths come from the texts. Ids of ``docs`` are unique."""
         spark = docs.sparkSession
         parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
         write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
-        own = postings(docs, id_col, F.col(text_col)).withColumn("tf", F.col("tf").cast("int"))
+        rows = docs.select(F.col(id_col).alias("id"), F.col(file_col).alias("file"), T.tokens(F.col(text_col)).alias("terms"))
+        own = rows.select("id", F.size("terms").alias("dl"), F.inline(counted_terms(F.col("terms")))).select("term", "id", "tf", "dl")
         write(own.repartitionByRange(parts, "term").sortWithinPartitions("term", "id"), "postings")
-        index = spark.read.parquet(f"{path}/postings")
-        write(docs.select(F.col(id_col).alias("id"), F.col(file_col).alias("file")).join(index.groupBy("id").agg(F.first("dl").alias("dl")), "id", "left").fillna(0, ["dl"]), "docs")
-        write(docs.select(F.col(id_col).alias("id")).join(hash_vectors(index), "id", "left").select("id", F.coalesce("embedding", F.array_repeat(F.lit(0.0), 32)).alias("embedding")), "vectors")
+        write(rows.select("id", "file", F.greatest(F.lit(0), F.coalesce(F.size("terms"), F.lit(0))).alias("dl")), "docs")
+        # A text's terms are in one row, so a task hands on one row for each of its texts.
+        write(hash_vectors(rows.select("id", F.inline_outer(counted_terms(F.col("terms"))))), "vectors")
         write(spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")), "total")
         return cls(spark, path)
 

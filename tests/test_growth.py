@@ -1,6 +1,8 @@
 """Work that must not grow with the square of a group: rows made by the joins of a plan."""
 
-from sparkloom.operators import imports, lookup, resolve
+from pyspark.sql import functions as F
+
+from sparkloom.operators import imports, lookup, resolve, search
 from sparkloom.operators.graph import cut
 from sparkloom.streaming import stateful
 
@@ -58,3 +60,15 @@ def test_exports_follow_names_not_symbols(spark, monkeypatch):
     rows = imports.exported(symbols, passed).collect()
     assert {(r["module"], r["name"]) for r in rows} == {("a", "f"), ("b", "f"), ("c", "f")} and len(rows) == 3 * n
     assert max(x.count() for x in cuts) < n
+
+
+def test_index_counts_terms_within_the_row(spark, monkeypatch, tmp_path):
+    texts = ["b a b", None, "", "the The THE cat", "x" + " y z" * 50, "--"]
+    docs = spark.createDataFrame([(i, t, f"f{i}") for i, t in enumerate(texts)], "id long, text string, path string")
+    seen, real = [], search.hash_vectors
+    monkeypatch.setattr(search, "hash_vectors", lambda rows, *a: seen.append(rows) or real(rows, *a))
+    index = search.TextIndex.build(docs, "id", "text", "path", f"file://{tmp_path}/index", 3)
+    want = search.postings(docs, "id", F.col("text"))
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: sum(r["embedding"]) for r in index.vectors.collect()} == {r["id"]: r["dl"] for r in index.docs.collect()} == {0: 3, 1: 0, 2: 0, 3: 4, 4: 101, 5: 0}
