@@ -194,39 +194,45 @@ def two_phase_knn(vectors: DataFrame, query: list[float], limit: int, share: flo
 QUERY_BLOCK = 16_384
 
 
-def batch_knn(queries: DataFrame, vectors: DataFrame, limit: int, block: int = 1024) -> DataFrame:
+def batch_knn(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, score, rank) for many queries: blocks of vectors meet blocks of queries as matrices; each task hands on its best only.
 
-    Queries are counted before any is collected and come in blocks of QUERY_BLOCK, each one pass over the vectors.
+    Queries are counted before any is collected and come in blocks of QUERY_BLOCK, each one pass over the vectors. A score is looked at only if it
+    may enter a query's best so far. Vectors with a component that is no number are like none.
     """
     import numpy as np
-    import pandas as pd
+
+    from sparkloom.operators import vectors as stored
+
+    def matrix(column):
+        return stored.unit(np.array(column.flatten(), float).reshape(len(column), -1)) if len(column) else np.empty((0, 0))
 
     spark, out = vectors.sparkSession, None
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     for number in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        asked = own.orderBy("query_id").toPandas()  # about QUERY_BLOCK rows
+        asked = own.select(F.col("query_id").cast("long"), "embedding").orderBy("query_id").toArrow()  # about QUERY_BLOCK rows
         if not len(asked):
             continue
-        q = np.stack(asked["embedding"].to_numpy()).astype(float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        sent = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), q))
+        sent = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), matrix(asked["embedding"].combine_chunks())))
 
         def run(batches, sent=sent):
-            ids, q = sent.value
-            best_id, best = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
-            for pdf in batches:
-                for i in range(0, len(pdf), block):
-                    part = pdf.iloc[i : i + block]
-                    v = np.stack(part["embedding"].to_numpy()).astype(float)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    s, names = np.concatenate([best, np.round(q @ v.T, 6)], axis=1), np.concatenate([best_id, np.broadcast_to(part["id"].to_numpy(), (len(q), len(part)))], axis=1)
-                    order = np.lexsort((names, -s), axis=1)[:, :limit]
-                    best, best_id = np.take_along_axis(s, order, 1), np.take_along_axis(names, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "id": best_id.ravel(), "score": best.ravel()})
-
-        one = vectors.select("id", "embedding").mapInPandas(run, "query_id long, id long, score double")
+            names, q = sent.value
+            best, (tall, wide) = stored.Nearest(len(q), limit), stored.TILE
+            for batch in batches:
+                for i in range(0, batch.num_rows, wide):
+                    part = batch.slice(i, wide)
+                    ids, v = part.column(0).to_numpy(), matrix(part.column(1))
+                    order = np.argsort(ids)
+                    order = order[np.isfinite(v[order]).all(axis=1)]
+                    ids, v = ids[order], v[order].T
+                    for k in range(0, len(q), tall):
+                        # Millionths below zero, so the most similar cost least.
+                        best.add(k, (q[k : k + tall] @ v) * -1e6, ids, np.rint)
+            yield from best.batches(names, lambda cost: -cost / 1e6, "score")
+
+        rows = vectors.select(F.col("id").cast("long"), "embedding")
+        one = stored.in_blocks(rows).mapInArrow(run, "query_id long, id long, score double")
         out = one if out is None else out.unionByName(one)
     if out is None:
         out = spark.createDataFrame([], "query_id long, id long, score double")

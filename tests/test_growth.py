@@ -1,8 +1,9 @@
 """Work that must not grow with the square of a group: rows made by the joins of a plan."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.operators import imports, lookup, resolve, search, vectors
+from sparkloom.operators import imports, lookup, resolve, search, subword, vectors
 from sparkloom.operators.graph import cut
 from sparkloom.streaming import stateful
 
@@ -84,3 +85,47 @@ def test_clusters_are_fitted_on_a_bounded_sample(spark, monkeypatch):
     assert assigned.count() == 3_000 and len(centroids) == 20 and max(seen) <= 400
     assert {r["cluster"] for r in assigned.select("cluster").distinct().collect()} <= set(range(1, 21))
     assert search.kmeans_assign(v.limit(0), 0)[0].count() == 0
+
+
+def test_nearest_codes_hold_the_best_only(spark):
+    """What is shuffled is some places of each query for each task, whatever the number of rows; many equal codes and ties included."""
+    v = spark.range(0, 6_000, 1, 4).select("id", F.array(*(F.cos((F.col("id") % 500) * (i + 1)) for i in range(16))).alias("embedding"))
+    found = vectors.nearest_codes(v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 16, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    rows = found.collect()
+    assert len(rows) == 5 * 120
+    assert all(r["distance"] == 0 for r in rows) and all(r["id"] <= r["query_id"] % 500 for r in rows if r["rank"] == 1)
+
+
+def test_search_in_blocks_equals_plain_search(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(2_000, 6)), np.repeat(rng.normal(size=(1, 6)), 2_500, 0), np.zeros((2, 6)), np.full((1, 6), np.nan)])
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "id long, embedding array<double>")
+    for k in (1, 9):
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in search.batch_knn(v.where("id % 50 = 0 and id < 4502").withColumnRenamed("id", "query_id"), v, k).collect()}
+        y = vectors.unit(x[:-1])
+        for q in range(0, 4_502, 50):
+            s = np.round(y @ y[q], 6)
+            assert [got[q, i + 1] for i in range(k)] == [(int(j), s[j]) for j in np.lexsort((np.arange(len(s)), -s))[:k]]
+
+
+def test_contexts_are_summed_in_blocks(spark, monkeypatch):
+    import public_tokenizers
+
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), ["the red cat, don't sit", None, "", "a", "it's\x1cTHE red cat 42 " * 9, "x" * 90 + " red"]
+    known, index = subword.vocabulary(path), subword.index_vectors(subword.vocabulary(path).size, 8).astype(np.int64)
+    counts, sums = np.zeros(known.size, np.int64), np.zeros((known.size, 8), np.int64)
+    for text in texts:
+        ids = [p for w in known.words.findall((text or "").lower()) for p in known.pieces(w)]
+        assert known.encode(text) == ids
+        for i, p in enumerate(ids):
+            counts[p] += 1
+            sums[p] += sum((index[ids[j]] for j in range(max(0, i - 2), min(len(ids), i + 3)) if j != i), np.zeros(8, np.int64))
+    rows = spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(60)
+    monkeypatch.setattr(subword, "BLOCK", 7)
+    seen, real = [], subword.in_blocks
+    monkeypatch.setattr(subword, "in_blocks", lambda x: seen.append(real(x)) or seen[-1])
+    got = subword.context_sums(rows, "text", path, 8, 2)
+    assert (got[0] == 3 * counts).all() and (got[1] == 3 * sums).all()
+    assert seen[0].rdd.getNumPartitions() == 24
