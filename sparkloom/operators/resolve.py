@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import cut
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
     """``left`` with the ``value`` of the latest ``right`` row of its key at or before its time.
@@ -30,13 +32,13 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, grid: int = 64) -
     span = F.col("hi") - F.col("lo") + 1
     level = F.greatest(F.lit(0), F.ceil(F.log(span.cast("double")) / math.log(grid) - 1e-9)).cast("int")
     width = F.pow(F.lit(float(grid)), F.col("level")).cast("long")
-    cut = ranges.where("lo <= hi").withColumn("level", level)
-    cut = cut.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    cells = ranges.where("lo <= hi").withColumn("level", level)
+    cells = cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     # Few widths occur: one row for each.
-    levels = F.broadcast(cut.select("level").distinct())
+    levels = F.broadcast(cells.select("level").distinct())
     points = points.withColumn("end", F.greatest("at", "until") if "until" in points.columns else F.col("at"))
     own = points.select(key, "at", "end").distinct().join(levels).withColumn("cell", F.floor(F.col("at") / width))
-    held = own.join(cut, [key, "level", "cell"]).where((F.col("at") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
+    held = own.join(cells, [key, "level", "cell"]).where((F.col("at") >= F.col("lo")) & (F.col("end") <= F.col("hi")))
     near = held.groupBy(key, "at", "end").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("size"), "range_id")).alias("near"))
     best = points.join(near, [key, "at", "end"]).groupBy("point_id").agg(F.min("near")["range_id"].alias("range_id"))
     return points.select("point_id").distinct().join(best, "point_id", "left")
@@ -99,6 +101,16 @@ def resolution_stats(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("status", "tier").agg(F.count("*").alias("n"))
 
 
+def resolution_counts(uses: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """resolution_stats() of resolve_names() for ``uses`` (to_name, file_id, language, module, line, uses), each of which stands for ``uses`` relations.
+
+    Relations with the same name, file, language, module and line mean the same, so each is resolved once and only numbers go through the tiers.
+    """
+    same = uses.groupBy("to_name", "file_id", "language", "module", "line").agg(F.sum("uses").alias("uses"))
+    own = cut(same.withColumn("rel_id", F.monotonically_increasing_id()))
+    return resolve_names(own, symbols, imports).join(own.select("rel_id", "uses"), "rel_id").groupBy("status", "tier").agg(F.sum("uses").alias("n"))
+
+
 #: Order in which scopes are searched for a name (fixed values); names of other scopes are not found.
 SCOPES = {
     "rust": ("local", "imported", "module", "crate"), "python": ("local", "enclosing", "module", "imported", "builtin"), "typescript": ("block", "hoisted", "imported", "module", "type", "global"),

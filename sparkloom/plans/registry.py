@@ -268,11 +268,14 @@ def resolution_tiers(spark, sf_dir):
     t = Tables(spark, sf_dir)
     constant = F.lit("x").alias("language")
     s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("file_id"), constant, F.col("s_nationkey").cast("string").alias("module"), F.when(F.col("s_acctbal") > 0, "Public").otherwise("Private").alias("visibility"), F.lit(1).alias("line"))
-    u = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    u = u.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("s_name").alias("to_name"), F.col("c_nationkey").alias("file_id")).distinct()
-    u = u.select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("rel_id"), "to_name", "file_id", constant, F.concat(F.lit("of "), "file_id").alias("module"), F.lit(2).alias("line"))
+    # Of each table what counts, once; then a line is its supplier and its customer's nation, and those are counted before they are named.
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").repartition("l_orderkey").distinct()
+    homes = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey").distinct()
+    used = lines.join(homes, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "c_nationkey").agg(F.count("*").alias("uses"))
+    u = used.join(t.supplier.select("s_suppkey", "s_name").distinct(), F.col("l_suppkey") == F.col("s_suppkey"))
+    u = u.select(F.col("s_name").alias("to_name"), F.col("c_nationkey").alias("file_id"), constant, F.concat(F.lit("of "), "c_nationkey").alias("module"), F.lit(2).alias("line"), "uses")
     imports = spark.createDataFrame([], "file_id int, path string, alias string")
-    return resolve.resolution_stats(resolve.resolve_names(u, s, imports))
+    return resolve.resolution_counts(u, s, imports)
 
 
 HOME = "home AS (SELECT n_nationkey AS nation, CAST(n_regionkey AS VARCHAR) AS language, n_name AS module FROM nation)"

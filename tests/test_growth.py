@@ -129,3 +129,31 @@ def test_contexts_are_summed_in_blocks(spark, monkeypatch):
     got = subword.context_sums(rows, "text", path, 8, 2)
     assert (got[0] == 3 * counts).all() and (got[1] == 3 * sums).all()
     assert seen[0].rdd.getNumPartitions() == 24
+
+
+def test_equal_relations_are_resolved_once(spark, monkeypatch):
+    schema = "to_name string, file_id int, language string, module string, line int, uses long"
+    uses = spark.createDataFrame([("f", 1, "x", "m", 2, 1)] * 50 + [("f", 2, "x", "m", 2, 3), ("f", 2, "y", "m", 2, 4), ("g", None, "x", None, 2, 5)], schema)
+    symbols = spark.createDataFrame([(1, "f", 1, "x", "m", "Private", 1), (2, "f", 3, "x", "n", "Public", 1)], "id long, name string, file_id int, language string, module string, visibility string, line int")
+    imports_ = spark.createDataFrame([], "file_id int, path string, alias string")
+    seen, real = [], resolve.resolve_names
+    monkeypatch.setattr(resolve, "resolve_names", lambda rows, *a: seen.append(rows) or real(rows, *a))
+    got = {(r["status"], r["tier"]): r["n"] for r in resolve.resolution_counts(uses, symbols, imports_).collect()}
+    assert seen[0].count() == 4
+    each = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(r for r in uses.collect() for _ in range(r["uses"]))], "rel_id long, to_name string, file_id int, language string, module string, line int")
+    assert got == {(r["status"], r["tier"]): r["n"] for r in resolve.resolution_stats(real(each, symbols, imports_)).collect()}
+
+
+def test_hits_are_searched_for_once(spark, monkeypatch):
+    from sparkloom import tools
+
+    calls = []
+    embed = lambda c: calls.append(1) or search.hash_embedding(c)
+    symbols = spark.createDataFrame([(i, f"f{i}", "red widget" if i % 2 else None, "x") for i in range(20)], "id long, name string, doc string, signature string")
+    edges = spark.createDataFrame([(i, i - 1, "Calls") for i in range(1, 20)] * 2, "from_id long, to_id long, kind string")
+    found = tools.CodeIndex(symbols, edges, embed=embed).semantic_search_with_context("red widget", 2)
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == len(calls) == 2 and all(r["impacted"] == 2 and r["callers"] == [f"f{r['id'] + 1}"] and r["id"] % 2 for r in rows)
+    vector = F.array(F.lit(1.0), F.lit(2.0))
+    assert spark.range(1).select(search.M.cosine(vector, F.array(F.lit(0.0), F.lit(0.0))).alias("z"), F.round(search.M.cosine(vector, vector), 9).alias("o")).first().asDict() == {"z": 0.0, "o": 1.0}
