@@ -109,7 +109,7 @@ class CodeIndex:
         if language:
             rows = rows.where(F.col("language") == language)
         text = F.concat_ws(" ", "name", "signature", "doc")
-        hits = rows.select("id", "name", F.round(M.cosine(self.embed(text), self.embed(F.lit(query))), 6).alias("score"))
+        hits = rows.select("id", "name", F.round(M.cosine(self.embed(text), search.embedded(rows.sparkSession, self.embed, query)), 6).alias("score"))
         hits = hits if threshold is None else lookup.at_least(hits, threshold)
         return hits.orderBy(F.desc("score"), "id").limit(limit)
 
@@ -117,16 +117,17 @@ class CodeIndex:
         """(id, file, score, rank): hybrid search over chunks, one of each file first."""
         rows = self.chunks if language is None else self.chunks.where(F.col("language") == language)
         lexical = search.chunk_search(rows.withColumnRenamed("file", "file_path"), query)
-        dense = self.vectors.join(rows.select("id"), "id", "left_semi").select("id", F.round(M.cosine(F.col("embedding"), self.embed(F.lit(query))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(500)
+        dense = self.vectors.join(rows.select("id"), "id", "left_semi").select("id", F.round(M.cosine(F.col("embedding"), search.embedded(rows.sparkSession, self.embed, query)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(500)
         hits = search.fused_hits(lexical, dense, rows, limit)
         return hits if threshold is None else lookup.at_least(hits, threshold)
 
     def semantic_search_with_context(self, query: str, limit: int = 5, threshold: float | None = None, language: str | None = None, depth: int = 2) -> DataFrame:
         """(id, name, score, callees, callers, impacted): hits with the sorted names around them and how many symbols their changes reach within ``depth`` steps."""
-        hits = self.semantic_search_docs(query, limit, threshold, language)
+        # What is found is used many times; it is searched for once.
+        hits = graph.cut(self.semantic_search_docs(query, limit, threshold, language))
         around = graph.symbol_context(self._edges("Calls"), self.symbols, hits.select("id"))
-        edges = self._edges(*graph.AFFECTS).distinct()
-        # Each hit's frontier goes with it, so hits do not mix.
+        edges = self._edges(*graph.AFFECTS)
+        # Each hit's frontier goes with it, so hits do not mix. Equal edges are one after the few that touch a frontier are found.
         seen = hits.select(F.col("id").alias("hit"), "id")
         front = seen
         for _ in range(depth):
