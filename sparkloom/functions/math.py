@@ -15,9 +15,14 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 where either norm is 0."""
-    size = norm(a) * norm(b)
-    return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
+    """0 where either norm is 0. Both are bound as a lambda's variable, so they are computed once for each row."""
+
+    def of(pair: Column) -> Column:
+        x, y = pair["a"], pair["b"]
+        parts = F.struct(dot(x, y).alias("dot"), (norm(x) * norm(y)).alias("size"))
+        return F.element_at(F.transform(F.array(parts), lambda p: F.when(p["size"] == 0, 0.0).otherwise(p["dot"] / p["size"])), 1)
+
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 1)
 
 
 def sign_words(v: Column, dims: int) -> Column:

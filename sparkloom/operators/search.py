@@ -32,7 +32,7 @@ def counted_terms(terms: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == F.size(own)) | (F.get(own, i) != F.get(own, i - 1)))
         return bound(ends, lambda e: F.transform(e, lambda end, k: F.struct(F.get(own, end - 1).alias("term"), (end - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("tf"))))
 
-    return F.when(F.size(terms) > 0, bound(F.array_sort(terms), counts))
+    return F.when(F.size(terms) > 0, bound(F.sort_array(terms), counts))
 
 
 def _scored(tf: DataFrame, total: DataFrame, asked: DataFrame, boost: float = 1.0) -> DataFrame:
@@ -339,11 +339,16 @@ Embedder = Callable[[Column], Column]
 def hash_embedding(text: Column, dims: int = 32) -> Column:
     """Deterministic stand-in for a dense model: counts of tokens by hash bucket; cosine needs no unit length."""
     bucket = F.transform(T.tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dims)))
-    # The buckets are bound as a lambda's variable, so they are computed once for each text.
-    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))
+    # The buckets are bound as a lambda's variable, so they are computed once for each text; none is null, so what array_remove() takes away is a bucket's count.
+    counts = lambda own: F.array(*((F.size(own) - F.size(F.array_remove(own, F.lit(i).cast("long")))).cast("double") for i in range(dims)))
     return F.element_at(F.transform(F.array(bucket), counts), 1)
 
 
+def embedded(spark: SparkSession, embed: Embedder, text: str) -> Column:
+    """The vector of one text as a literal, so it is computed once and not for each row it meets."""
+    return F.array(*map(F.lit, spark.range(1).select(embed(F.lit(text)).cast("array<double>")).first()[0]))
+
+
 def hash_vectors(postings: DataFrame, dims: int = 32) -> DataFrame:
     """(id, embedding) as hash_embedding() gives them, from postings (term, id, tf): a term is hashed once for each posting, and buckets are summed in one aggregation."""
     bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(dims))
@@ -378,7 +383,7 @@ def hybrid_search(docs: DataFrame, id_col: str, text_col: str, file_col: str, qu
     asked = docs.sparkSession.createDataFrame([(0, query)], "query_id long, text string")
     best = lambda x: x.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
     vectors = docs.select(F.col(id_col).alias("id"), embed(F.col(text_col)).alias("embedding"))
-    dense = vectors.select("id", M.cosine(F.col("embedding"), embed(F.lit(query))).alias("score"))
+    dense = vectors.select("id", M.cosine(F.col("embedding"), embedded(docs.sparkSession, embed, query)).alias("score"))
     return fused_hits(best(bm25(docs, id_col, text_col, asked)), best(dense), docs.select(F.col(id_col).alias("id"), F.col(file_col).alias("file")), limit, per_file)
 
 
@@ -415,7 +420,7 @@ class TextIndex:
         """hybrid_search() over the index."""
         asked = self.spark.createDataFrame([(0, query)], "query_id long, text string")
         best = lambda x: x.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
-        dense = self.vectors.select("id", M.cosine(F.col("embedding"), hash_embedding(F.lit(query))).alias("score"))
+        dense = self.vectors.select("id", M.cosine(F.col("embedding"), embedded(self.spark, hash_embedding, query)).alias("score"))
         return fused_hits(best(self.bm25(asked)), best(dense), self.docs, limit, per_file)
 
 
@@ -455,7 +460,7 @@ def document_search(chunks: DataFrame, vectors: DataFrame, query: str, collectio
         if value is not None:
             chunks = chunks.where(F.col(column) == value)
     own = vectors.join(chunks.select("id"), "id", "left_semi")
-    best = own.select("id", F.round(M.cosine(F.col("embedding"), embed(F.lit(query))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    best = own.select("id", F.round(M.cosine(F.col("embedding"), embedded(own.sparkSession, embed, query)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
     words = F.array(*map(F.lit, [w for w in query.split() if len(w) > 1] or [""]))
     return best.join(chunks.select("id", "source_path", T.preview(F.col("content"), words, 120, "...").alias("preview")), "id")
 
@@ -464,7 +469,7 @@ def hybrid_symbols(symbols: DataFrame, vectors: DataFrame, query: str, limit: in
     """(id, score): lexical and dense candidates of symbols, max(3 * limit, 20) of each, by reciprocal ranks."""
     pool = max(3 * limit, 20)
     lexical = symbol_search(symbols, query, pool).select("id", "score")
-    dense = vectors.select("id", F.round(M.cosine(F.col("embedding"), embed(F.lit(query))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
+    dense = vectors.select("id", F.round(M.cosine(F.col("embedding"), embedded(vectors.sparkSession, embed, query)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
     return rrf([lexical, dense], k, pools=True).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
