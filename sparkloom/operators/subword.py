@@ -18,10 +18,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from sparkloom.operators.vectors import in_blocks
+
 #: Tokens of a text that a model of fixed length sees; None: all.
 MOST = 512
-#: Words whose pieces a worker remembers.
-CACHED = 1 << 16
+#: Words, and runs without a space, whose pieces a worker remembers, and letters of the longest run.
+CACHED, LONGEST = 1 << 18, 64
+#: A pattern of words that hold no space.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
+#: Pieces whose contexts are summed at once, and at whose number texts are put together.
+BLOCK = 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,7 +46,8 @@ class Vocabulary:
             model = json.load(f)
         pieces, mark = model["model"]["vocab"], model["model"]["end_of_word_suffix"] or ""
         letters = byte_letters()
-        self.words = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words, self.apart = regex.compile(pattern), pattern == SPACED
         self.size = max(pieces.values()) + 1
         self.median = int(median(len(p.removesuffix(mark)) for p in pieces))
         self.trie: dict = {}
@@ -51,6 +59,7 @@ class Vocabulary:
                     node = node.setdefault(letters[c], {})
                 node["last" if mark and piece != body else "inner"] = number
         self.cache: dict[str, list[int]] = {}
+        self.runs: dict[str, list[int]] = {}
 
     def pieces(self, word: str) -> list[int]:
         """Numbers of the pieces of one word."""
@@ -69,16 +78,29 @@ class Vocabulary:
             at = end
         return out
 
+    def known(self, word: str) -> list[int]:
+        """pieces() of a word, remembered."""
+        own = self.cache.get(word)
+        if own is None:
+            if len(self.cache) >= CACHED:
+                self.cache.clear()
+            own = self.cache[word] = self.pieces(word)
+        return own
+
     def encode(self, text: str | None, most: int | None = None) -> list[int]:
         """Pieces of a text, of the first ``most`` at most; a long text is cut at ``most`` times the median length of a piece before."""
         text = (text or "")[: most * self.median if most else None]
+        text = unicodedata.normalize("NFC", text).lower()
         out: list[int] = []
-        for m in self.words.finditer(unicodedata.normalize("NFC", text).lower()):
-            own = self.cache.get(m.group())
+        # What lies between spaces is looked up as a whole where no word can hold a space. Four controls are spaces for split() only.
+        for run in text.split() if self.apart and not CONTROLS.intersection(text) else [text] if text else []:
+            own = self.runs.get(run)
             if own is None:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                own = self.cache[m.group()] = self.pieces(m.group())
+                own = [p for w in self.words.findall(run) for p in self.known(w)]
+                if len(run) <= LONGEST:
+                    if len(self.runs) >= CACHED:
+                        self.runs.clear()
+                    self.runs[run] = own
             out += own
         return out[:most] if most else out
 
@@ -103,7 +125,7 @@ def vocabulary(path: str) -> Vocabulary:
 def context_sums(docs: DataFrame, text_col: str, path: str, dims: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """(counts, sums) by piece: how often it occurs, and the sum of the index vectors of the pieces up to ``reach`` places off.
 
-    Tasks hand on their sums, one row for each piece they saw; tasks that share a piece are summed by piece. What comes to the driver is one
+    A few tasks for each core hand on their sums, one row for each piece they saw, so these do not grow with the texts; tasks that share a piece are summed by piece. What comes to the driver is one
     row for each piece of the vocabulary.
     """
     size = vocabulary(path).size
@@ -117,18 +139,34 @@ def context_sums(docs: DataFrame, text_col: str, path: str, dims: int, reach: in
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at]), lists], ["piece", "n", "sums"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, index = vocabulary(path), index_vectors(size, dims)
-        counts, sums = np.zeros(size, np.int64), np.zeros((size, dims), np.int64)
+        # The number after the last piece parts texts; its index vector is zero.
+        known, index = vocabulary(path), np.concatenate([index_vectors(size, dims), np.zeros((1, dims), np.int8)])
+        counts, sums = np.zeros(size + 1, np.int64), np.zeros((size + 1, dims), np.int64)
+        gap = [size] * reach
+
+        def add(ids: list[int]) -> None:
+            whole = np.array(gap + ids, np.int32)
+            for i in range(reach, len(whole) - reach, BLOCK):
+                end = min(i + BLOCK, len(whole) - reach)
+                near = np.zeros((end - i, dims), np.int16)
+                for off in range(1, reach + 1):
+                    near += index[whole[i - off : end - off]]
+                    near += index[whole[i + off : end + off]]
+                own = whole[i:end]
+                order = np.argsort(own, kind="stable")
+                held, starts, n = np.unique(own[order], return_index=True, return_counts=True)
+                counts[held] += n
+                sums[held] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int64)
+
+        waiting: list[int] = []
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = np.array(known.encode(text), np.int64)
-                counts += np.bincount(ids, minlength=size)
-                near = np.zeros((len(ids), dims), np.int64)
-                for off in range(1, min(reach, len(ids) - 1) + 1):
-                    near[off:] += index[ids[:-off]]
-                    near[:-off] += index[ids[off:]]
-                np.add.at(sums, ids, near)
-        yield from rows(counts, sums)
+                waiting += known.encode(text) + gap
+                if len(waiting) >= BLOCK:
+                    add(waiting)
+                    waiting = []
+        add(waiting)
+        yield from rows(counts[:size], sums[:size])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, sums = np.zeros(size, np.int64), np.zeros((size, dims), np.int64)
@@ -138,7 +176,7 @@ def context_sums(docs: DataFrame, text_col: str, path: str, dims: int, reach: in
             np.add.at(sums, at, batch.column("sums").flatten().to_numpy().reshape(len(at), dims))
         yield from rows(counts, sums)
 
-    found = docs.select(text_col).mapInArrow(partial, schema).repartition("piece").mapInArrow(combine, schema).toArrow()
+    found = in_blocks(docs.select(text_col)).mapInArrow(partial, schema).repartition("piece").mapInArrow(combine, schema).toArrow()
     counts, sums = np.zeros(size, np.int64), np.zeros((size, dims), np.int64)
     at = found.column("piece").to_numpy()
     counts[at] = found.column("n").to_numpy()
