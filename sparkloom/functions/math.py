@@ -1,9 +1,10 @@
-"""Scalar ranking and vector functions as Column expressions; vectors are arrays of numbers."""
+"""Scalar ranking, vector and time functions as Column expressions; vectors are arrays of numbers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -124,3 +125,17 @@ def mean_vector(vectors: Column) -> Column:
 def quantised(v: Column, scale: Column) -> Column:
     """Whole numbers from -127 to 127 by one scale for all vectors."""
     return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(x.cast("double") / scale).cast("int"))))
+
+
+def in_utc(rows: DataFrame, ts: str) -> Column:
+    """Column ``ts`` of ``rows`` as a point in time: a time without a zone counts as UTC, whatever the session's zone and its clock changes."""
+    if not isinstance(rows.schema[ts].dataType, TimestampNTZType):
+        return F.col(ts)
+    since = (F.col(ts) - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).cast("interval second")
+    return F.timestamp_micros((since.cast("decimal(24, 6)") * 1_000_000).cast("long"))
+
+
+def epoch_ms(rows: DataFrame, ts: str) -> Column:
+    """Milliseconds since 1970 of column ``ts`` of ``rows`` as DuckDB's epoch_ms gives them: the nearest, halves away from zero."""
+    us = F.unix_micros(in_utc(rows, ts))
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))

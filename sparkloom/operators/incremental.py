@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.math import epoch_ms
+
 
 def file_diff(disk: DataFrame, index: DataFrame) -> DataFrame:
     """(path, state): new, modified, deleted or same; equal mtimes settle it, else hashes do. Both sides (path, mtime, hash)."""
@@ -26,9 +28,9 @@ def reusable(chunks: DataFrame, stored: DataFrame, version: str) -> DataFrame:
 
 
 def debounce(events: DataFrame, key: str, ts: str, gap_ms: int) -> DataFrame:
-    """(key, released, events): one row for each run of events less than ``gap_ms`` apart; a pause of ``gap_ms`` or more starts a new run."""
+    """(key, released, events): one row for each run of events less than ``gap_ms`` apart, in their nearest milliseconds; a pause of ``gap_ms`` or more starts a new run."""
     order = Window.partitionBy(key).orderBy(ts)
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    ms = epoch_ms(events, ts)
     starts = events.withColumn("_new", (F.coalesce(ms - F.lag(ms).over(order), F.lit(gap_ms)) >= gap_ms).cast("int"))
     runs = starts.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(key, "_run").agg(F.max(ts).alias("released"), F.count("*").alias("events")).drop("_run")
