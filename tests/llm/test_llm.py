@@ -222,6 +222,30 @@ def test_repeats_are_decided_by_sorting(spark):
     assert got == {1: [(0, len(body) - 400)]}
 
 
+def test_large_groups_are_not_gathered(spark, monkeypatch):
+    """Segments of an anchor with more than GIANT of them are halved without a shuffle by that anchor; a lone segment that occurs once goes unsorted."""
+    monkeypatch.setattr(suffix, "GIANT", 2)
+    written, stage = {}, suffix.staged
+    monkeypatch.setattr(suffix, "staged", lambda df, name: stage(written.setdefault(name, df), name))
+    rng, size, gram = random.Random(8), 24, 20
+    core = bytes(rng.choices(range(97, 123), k=gram))
+    own = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    left = own(size - gram)
+    # Only the strings at the first start are equal.
+    texts = [(1, left + core + b"%d" % k + own(size - gram - 1)) for k in range(5)] + [(2, left + core + own(size - gram))]
+    rows = [(a, 0, k, 1, 0, size - gram, 0, size - gram, t) for k, (a, t) in enumerate(texts)]
+    kinds = spark.createDataFrame(rows, "anchor long, c1 long, c2 long, n long, lo int, hi int, low int, high int, bytes binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r["anchor"], r["c2"]): {(x["a"], x["b"]) for x in r["runs"]} for r in suffix.shared_runs(stage(kinds, "kinds"), size).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(1, k): {(0, 0)} for k in range(5)}
+    plans = {k: df._jdf.queryExecution().executedPlan().toString() for k, df in written.items() if "bytes" in df.columns}
+    assert "suffix-halves-0" in plans
+    assert not [k for k, plan in plans.items() if re.search(r"hashpartitioning\(anchor#\d+L?,", plan)]
+
+
 def test_kept_text(spark):
     rows = spark.createDataFrame([(1, "é" * 10 + "x" * 30), (2, "ü" + "x" * 30 + "y"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in suffix.remove_repeats(rows, 25, 10, keep_text=True).collect()}
