@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import imports, lookup, resolve, search, subword, vectors
 from sparkloom.operators.graph import cut
+from sparkloom.plans.registry import edges
 from sparkloom.streaming import stateful
 
 
@@ -157,3 +158,30 @@ def test_hits_are_searched_for_once(spark, monkeypatch):
     assert len(rows) == len(calls) == 2 and all(r["impacted"] == 2 and r["callers"] == [f"f{r['id'] + 1}"] and r["id"] % 2 for r in rows)
     vector = F.array(F.lit(1.0), F.lit(2.0))
     assert spark.range(1).select(search.M.cosine(vector, F.array(F.lit(0.0), F.lit(0.0))).alias("z"), F.round(search.M.cosine(vector, vector), 9).alias("o")).first().asDict() == {"z": 0.0, "o": 1.0}
+
+
+def test_imports_of_whole_modules_are_shuffled_and_written_as_blocks(spark, monkeypatch):
+    n, m, cuts = 3000, 40, []
+    monkeypatch.setattr(imports, "cut", lambda rows: cuts.append(cut(rows)) or cuts[-1])
+    symbols = spark.range(2 * m).selectExpr("id", "concat('s', id) as name", "'python' as language", "concat('m', id % 2) as module")
+    asked = spark.range(2 * n).selectExpr("id as import_id", "id div 2 as file_id", "'python' as language", "'app' as module", "concat('m', id % 2, '.*') as path", "cast(null as string) as alias")
+    found = imports.imported_names(asked.unionByName(asked), symbols)
+    assert sum(rows.count() for rows in cuts) <= 2 * imports.WAYS  # files of a module and a way are one row
+    rows = found.collect()
+    assert len(rows) == 2 * n * m and len(set(rows)) == len(rows)
+    changes = sum(a["to_id"] != b["to_id"] for a, b in zip(rows, rows[1:]))
+    assert changes <= len(rows) / 50  # a column that stays the same costs no disk where it is written
+
+
+class Lines:
+    def __init__(self, lineitem):
+        self.lineitem = lineitem
+
+
+def test_edges_shuffle_what_tells_parts_apart(spark):
+    rows = [(1, 1, 7, 2, 5.0), (1, 1, 7, 1, 9.0), (1, 1, 3, 4, 1.0), (1, 2, 3, 4, 1.0), (1, 2, 9, 1, None), (1, 1, 7, 1, 2.0), (2, 1, 5, 1, 1.0)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double")
+    found = edges(Lines(lines))
+    assert sorted(map(tuple, found.collect())) == sorted([(3, 7), (7, 7), (7, 7), (7, 3), (3, 9)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "l_extendedprice" not in plan.split("LogicalRDD")[0]
